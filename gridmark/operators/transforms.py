@@ -41,8 +41,9 @@ def resize(targets: DataFrame, new_height: Column, new_width: Column) -> DataFra
         changed["keypoints"] = pt.resize_points(
             F.col("keypoints"), _double("width"), _double("height"), _double("_nw"), _double("_nh")
         )
-    changed |= {"width": F.col("_nw"), "height": F.col("_nh")}
-    return staged.withColumns(changed).drop("_nw", "_nh", "_rw", "_rh")
+    # The size is replaced in its own step: inside array lambdas a replaced column would be read instead of the old one.
+    resized = staged.withColumns(changed).withColumns({"width": F.col("_nw"), "height": F.col("_nh")})
+    return resized.drop("_nw", "_nh", "_rw", "_rh")
 
 
 def flip_draw(key: Column, seed: int, probability: float = 0.5) -> Column:
