@@ -1 +1,276 @@
-"""Queries."""
+"""Pairs, greedy matching, confidence sweeps and threshold tuning."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gridmark.functions import boxes as bx
+from gridmark.operators import labels as lb
+from gridmark.operators import matching as mt
+from gridmark.operators import sampling as sp
+from gridmark.operators import sweep as sw
+from gridmark.plans.fixtures import view, with_views
+from gridmark.plans.registry import query
+
+_INTER = (
+    "greatest(least(d.x2,g.x2)-greatest(d.x1,g.x1),0)*greatest(least(d.y2,g.y2)-greatest(d.y1,g.y1),0)"
+)
+_BOTH = "((d.x2-d.x1)*(d.y2-d.y1) + (g.x2-g.x1)*(g.y2-g.y1))"
+_IOU = f"({_INTER} / greatest({_BOTH} - {_INTER}, 1e-7))"
+_HULL = "(greatest(greatest(d.x2,g.x2)-least(d.x1,g.x1),0)*greatest(greatest(d.y2,g.y2)-least(d.y1,g.y1),0))"
+_GIOU = f"({_IOU} - ({_HULL} - ({_BOTH} - {_INTER})) / greatest({_HULL}, 1e-7))"
+
+# Greedy matching as a recursive walk over the score rank: every image and class takes its next detection at each step.
+MATCHED = f"""
+    pairs as (select d.image_id, d.label, d.det_idx, g.gt_idx, g.iscrowd, {_IOU} as iou
+              from det d join gt g using (image_id, label)),
+    cand as (select image_id, label, det_idx,
+               list(gt_idx order by iou desc, gt_idx) filter (not iscrowd and iou >= 0.5) as open,
+               bool_or(iscrowd and iou >= 0.5) as on_crowd
+             from pairs group by all),
+    ranked as (select d.image_id, d.label, d.det_idx, d.score, c.open, coalesce(c.on_crowd, false) as on_crowd,
+                 row_number() over (partition by d.image_id, d.label order by d.score desc, d.det_idx) as rk
+               from det d left join cand c using (image_id, label, det_idx)),
+    walk as (
+      select image_id, label, 0::bigint as rk, []::bigint[] as used, 0::bigint as det_idx, 0::double as score,
+             false as is_tp, false as is_ignored from (select distinct image_id, label from det)
+      union all
+      select image_id, label, rk, case when pick is null then used else list_append(used, pick) end, det_idx, score,
+             pick is not null, pick is null and on_crowd
+      from (select r.image_id, r.label, r.rk, w.used, r.det_idx, r.score, r.on_crowd,
+                   list_filter(r.open, lambda x: not list_contains(w.used, x))[1] as pick
+            from walk w join ranked r on r.image_id = w.image_id and r.label = w.label and r.rk = w.rk + 1)),
+    matched as (select image_id, label, det_idx, cast(score as float) as score, is_tp, is_ignored from walk where rk > 0),
+    totals as (select label, cast(sum(n) as bigint) as total_gt from (
+                 select label, case when iscrowd then 0 else 1 end as n from gt union all select label, 0 from det)
+               group by label)
+"""
+SWEEP = """
+    grid as (select case when i = 100 then 1::double else i * 0.01::double end as threshold
+             from (select unnest(generate_series(0, 100)) as i)),
+    classes as (select t.label, g.threshold, t.total_gt,
+                  count(*) filter (m.is_tp and not m.is_ignored and m.score::double >= g.threshold) as tp,
+                  count(*) filter (not m.is_tp and not m.is_ignored and m.score::double >= g.threshold) as fp
+                from totals t cross join grid g left join (
+                  select label, score, is_tp, is_ignored from matched) m on m.label = t.label
+                group by all),
+    rates as (select *, case when tp + fp > 0 then tp::double / (tp + fp)::double else 0 end as precision,
+                case when total_gt > 0 then tp::double / total_gt::double else 0 end as recall from classes),
+    scores as (select *, case when precision + recall > 0 then precision * 2 * recall / (precision + recall) else 0 end as f1
+               from rates),
+    macro as (select threshold, coalesce(avg(f1) filter (total_gt > 0), 0) as macro_f1,
+                coalesce(avg(precision) filter (total_gt > 0), 0) as macro_precision,
+                coalesce(avg(recall) filter (total_gt > 0), 0) as macro_recall from scores group by 1),
+    best as (select * from macro order by round(macro_f1, 12) desc, threshold limit 1)
+"""
+
+
+def sides(spark, folder):
+    return view(spark, folder, "det"), view(spark, folder, "gt")
+
+
+def matched(spark, folder):
+    return mt.match_greedy(*sides(spark, folder))
+
+
+def totals(spark, folder):
+    detections, truth = sides(spark, folder)
+    return mt.ground_truth_counts(truth, detections)
+
+
+def by_class(spark, folder):
+    return sw.sweep_by_class(matched(spark, folder), totals(spark, folder))
+
+
+def _sql(select: str, parts: str = f"{MATCHED}, {SWEEP}") -> str:
+    return with_views(f"with recursive {parts} {select}", "det", "gt", recursive=True)
+
+
+@query("overlap_pairs", with_views(
+    f"select d.image_id, d.label, d.det_idx, g.gt_idx, {_IOU} as iou from det d join gt g using (image_id, label)"
+    f" where {_IOU} >= 0.5", "det", "gt"))
+def overlap_pairs(spark, folder):
+    pairs = mt.overlap_pairs(*sides(spark, folder), 0.5)
+    return pairs.select("image_id", "label", "det_idx", "gt_idx", "iou")
+
+
+@query("crowd_overlap_rules", with_views(
+    f"""select d.image_id, d.label, d.det_idx, g.gt_idx, {_IOU} as iou, {_INTER} / ((d.x2-d.x1)*(d.y2-d.y1)) as coverage
+        from det d join gt g using (image_id, label) where g.iscrowd""", "det", "gt"))
+def crowd_overlap_rules(spark, folder):
+    pairs = mt.overlap_pairs(*sides(spark, folder)).filter("gt_crowd")
+    return pairs.select("image_id", "label", "det_idx", "gt_idx", "iou", "coverage")
+
+
+@query("generalized_overlap", with_views(
+    f"select d.image_id, d.label, d.det_idx, g.gt_idx, {_GIOU} as giou from det d join gt g using (image_id, label)",
+    "det", "gt"))
+def generalized_overlap(spark, folder):
+    detections, truth = sides(spark, folder)
+    right = truth.select("image_id", "label", "gt_idx", *bx.box().named("gx1", "gy1", "gx2", "gy2"))
+    joined = detections.join(right, ["image_id", "label"])
+    giou = bx.giou(bx.box(), bx.Box(*[F.col(c) for c in ("gx1", "gy1", "gx2", "gy2")]))
+    return joined.select("image_id", "label", "det_idx", "gt_idx", giou.alias("giou"))
+
+
+@query("aligned_overlap", with_views(
+    f"""select d.image_id, d.det_idx, {_IOU} as iou, {_GIOU} as giou
+        from det d join gt g on d.image_id = g.image_id and d.det_idx = g.gt_idx""", "det", "gt"))
+def aligned_overlap(spark, folder):
+    """Row-aligned form: the n-th detection with the n-th ground truth of an image."""
+    detections, truth = sides(spark, folder)
+    right = truth.select("image_id", F.col("gt_idx").alias("det_idx"), *bx.box().named("gx1", "gy1", "gx2", "gy2"))
+    other = bx.Box(*[F.col(c) for c in ("gx1", "gy1", "gx2", "gy2")])
+    joined = detections.join(right, ["image_id", "det_idx"])
+    return joined.select("image_id", "det_idx", bx.iou(bx.box(), other).alias("iou"), bx.giou(bx.box(), other).alias("giou"))
+
+
+@query("rank_detections", with_views(
+    """select * from (select image_id, label, det_idx, score,
+         cast(row_number() over (partition by image_id, label order by score desc, det_idx) - 1 as int) as rank from det)
+       where rank < 3""", "det"))
+def rank_detections(spark, folder):
+    ranked = mt.rank_detections(view(spark, folder, "det"), 3)
+    return ranked.select("image_id", "label", "det_idx", "score", "rank")
+
+
+@query("greedy_matching", _sql("select image_id, label, det_idx, score, is_tp, is_ignored from matched", MATCHED))
+def greedy_matching(spark, folder):
+    return matched(spark, folder)
+
+
+@query("one_sided_classes", with_views(
+    """with d as (select image_id, det_idx, label from det where label <> 2), g as (select * from gt where label <> 0),
+       keys as (select label from d union select label from g)
+    select k.label, (select count(*) from d where d.label = k.label) as detections,
+      cast(case when k.label = 0 then (select count(*) from d where d.label = 0) end as bigint) as false_positives,
+      (select count(*) from g where g.label = k.label and not iscrowd) as total_gt from keys k""", "det", "gt"))
+def one_sided_classes(spark, folder):
+    """A class without ground truth is all false positives; one without detections only has its total."""
+    detections, truth = sides(spark, folder)
+    detections, truth = detections.filter("label <> 2"), truth.filter("label <> 0")
+    rows = mt.match_greedy(detections, truth).groupBy("label").agg(
+        F.count("*").alias("detections"), F.count_if(~F.col("is_tp") & ~F.col("is_ignored")).alias("false_positives")
+    )
+    joined = mt.ground_truth_counts(truth, detections).join(rows, "label", "left")
+    return joined.select(
+        "label", F.coalesce("detections", F.lit(0).cast("long")).alias("detections"),
+        F.when(F.col("label") == 0, F.col("false_positives")).alias("false_positives"), "total_gt",
+    )
+
+
+@query("merged_batches", _sql(
+    """select label, count(*) filter (is_tp) as tp, count(*) filter (is_ignored) as ignored, count(*) as n
+       from matched group by 1""", MATCHED))
+def merged_batches(spark, folder):
+    """Matching even and odd images apart and merging gives the result of one run."""
+    detections, truth = sides(spark, folder)
+    parts = [
+        mt.match_greedy(detections.filter(F.col("image_id") % 2 == i), truth.filter(F.col("image_id") % 2 == i))
+        for i in (0, 1)
+    ]
+    return mt.merge_matched(*parts).groupBy("label").agg(
+        F.count_if("is_tp").alias("tp"), F.count_if("is_ignored").alias("ignored"), F.count("*").alias("n")
+    )
+
+
+@query("counts_by_threshold", _sql("select label, threshold, total_gt, tp, fp from classes"))
+def counts_by_threshold(spark, folder):
+    return sw.counts_at_thresholds(sw.score_bins(matched(spark, folder)), totals(spark, folder)).select(
+        "label", "threshold", "total_gt", "tp", "fp"
+    )
+
+
+@query("class_threshold_sweep", _sql("select label, threshold, total_gt, tp, fp, precision, recall, f1 from scores"))
+def class_threshold_sweep(spark, folder):
+    return by_class(spark, folder)
+
+
+_MACRO = ", ".join(f"round(macro_{n}, 12) as macro_{n}" for n in ("f1", "precision", "recall"))
+
+
+def _rounded(macro):
+    return macro.select("threshold", *[F.round(f"macro_{n}", 12).alias(f"macro_{n}") for n in ("f1", "precision", "recall")])
+
+
+@query("macro_threshold_sweep", _sql(f"select threshold, {_MACRO} from macro"))
+def macro_threshold_sweep(spark, folder):
+    return _rounded(sw.macro_sweep(by_class(spark, folder)))
+
+
+@query("best_macro_threshold", _sql(f"select threshold, {_MACRO} from best"))
+def best_macro_threshold(spark, folder):
+    return _rounded(sw.best_threshold(sw.macro_sweep(by_class(spark, folder))))
+
+
+@query("class_scores_at_best", _sql(
+    "select label, threshold, precision, recall, f1 from scores where threshold = (select threshold from best)"))
+def class_scores_at_best(spark, folder):
+    return sw.class_scores_at_best(by_class(spark, folder)).select("label", "threshold", "precision", "recall", "f1")
+
+
+_TUNED = f"""{MATCHED.replace("score >= ", "score >= ")}, {SWEEP.replace(">= g.threshold", "> g.threshold")},
+    own as (select * from (select *, row_number() over (partition by label order by f1 desc, threshold) as rn from scores)
+            where rn = 1),
+    tuned as (select label, total_gt >= 17000 * (select count(*) from orders) / 15000 and f1 > 0 as has_own,
+                case when total_gt >= 17000 * (select count(*) from orders) / 15000 and f1 > 0 then threshold
+                     else (select threshold from best) end as threshold from own)
+"""
+
+
+def _tuned(spark, folder):
+    # The object minimum is set so that one class falls back to the single threshold at every scale.
+    orders = view(spark, folder, "orders").agg(F.count("*").alias("n")).scalar()
+    strict = sw.strict_sweep_by_class(matched(spark, folder), totals(spark, folder))
+    return sw.tune_class_thresholds(strict, orders * 17000 / 15000)
+
+
+@query("tuned_class_thresholds", _sql("select label, threshold, has_own from tuned", _TUNED))
+def tuned_class_thresholds(spark, folder):
+    return _tuned(spark, folder)
+
+
+@query("recall_target_threshold", _sql(
+    "select label, max(threshold) filter (recall >= 0.6) as threshold from scores group by 1"))
+def recall_target_threshold(spark, folder):
+    return sw.recall_target_threshold(by_class(spark, folder), 0.6)
+
+
+@query("score_threshold_choice", _sql(
+    """, kept as (select m.label, m.is_tp from matched m join tuned t using (label)
+                  where not m.is_ignored and m.score::double > t.threshold),
+       c as (select t.label, t.total_gt, count(*) filter (k.is_tp) as tp, count(*) filter (not k.is_tp) as fp
+             from totals t left join kept k using (label) group by all)
+       select round(avg(case when total_gt > 0 then 2*tp::double / (2*tp + fp + total_gt - tp) end), 12) as macro_f1,
+         sum(tp)::double / sum(tp + fp)::double as precision, sum(tp)::double / sum(total_gt)::double as recall,
+         cast(sum(tp + fp) as bigint) as kept from c""", _TUNED))
+def score_threshold_choice(spark, folder):
+    result = sw.score_thresholds(matched(spark, folder), totals(spark, folder), _tuned(spark, folder))
+    return result.withColumn("macro_f1", F.round("macro_f1", 12))
+
+
+@query("class_set", with_views("select label from gt union select label from det where label <> 1", "det", "gt"))
+def class_set(spark, folder):
+    detections, truth = sides(spark, folder)
+    return lb.observed_classes(truth, detections.filter("label <> 1"))
+
+
+@query("first_rank_owns_image", with_views(
+    """with r as (select *, det_idx % 3 + image_id % 2 as rank from det where det_idx > image_id % 4)
+       select image_id, det_idx, rank from r
+       where rank = (select min(rank) from r q where q.image_id = r.image_id)""", "det"))
+def first_rank_owns_image(spark, folder):
+    rows = view(spark, folder, "det").filter(F.col("det_idx") > F.col("image_id") % 4)
+    ranked = rows.withColumn("rank", F.col("det_idx") % 3 + F.col("image_id") % 2)
+    return sp.first_rank_owns(ranked).select("image_id", "det_idx", "rank")
+
+
+@query("sampler_padding", with_views(
+    """with p as (select image_id, image_id % 4 as rank, (image_id - image_id % 4) / 4 as position from img)
+       select image_id, rank + position * 4 >= (select count(*) - 10 from img) as is_repeat from p""", "img"))
+def sampler_padding(spark, folder):
+    images = view(spark, folder, "img")
+    length = images.agg((F.count("*") - 10).alias("n")).scalar()
+    rank = F.col("image_id") % 4
+    position = (F.col("image_id") - rank) / 4
+    return images.select("image_id", sp.sampler_padding(rank, position, 4, length).alias("is_repeat"))
