@@ -74,7 +74,7 @@ def protocol_sql(pairs: str, truth: str, found: str, cap: int) -> str:
     recalls as (select n.label, g.iou, n.area_range, c.max_dets, case when n.positives > 0 then
         count(p.rank)::double / n.positives::double end as recall
       from npig n cross join iou_grid g cross join caps c left join points p on p.label = n.label and p.iou = g.iou
-        and p.area_range = n.area_range and p.rank < c.max_dets group by all, n.positives)
+        and p.area_range = n.area_range and p.rank < c.max_dets group by n.label, g.iou, n.area_range, c.max_dets, n.positives)
 """
 
 
@@ -243,7 +243,7 @@ def _keypoint_sides(spark, folder):
     found = F.array(x1 + 4, y1 + 5, one, x1 + 10, y1 + 12, one, x2 - 3, y2 - 6, one)
     detections = detections.filter("label < 2").withColumn("keypoints", found)
     annotations = truth.select(F.col("label").alias("category_id"), "keypoints")
-    declared = view(spark, folder, "cat").filter("category_id < 0")
+    declared = view(spark, folder, "cat").filter("category_id < 0").withColumn("keypoints", F.array(F.col("name")))
     return detections, truth, kp.keypoint_counts(declared, annotations)
 
 
