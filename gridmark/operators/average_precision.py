@@ -48,24 +48,6 @@ def size_name(area: Column) -> Column:
     return F.when(area < 32.0**2, F.lit("small")).when(area < 96.0**2, F.lit("medium")).otherwise(F.lit("large"))
 
 
-def scored_rows(
-    detections: DataFrame,
-    ground_truth: DataFrame,
-    lanes: matching.Lanes,
-    max_dets: int,
-    pairs: DataFrame | None = None,
-    group_row_limit: int = scale.GROUP_ROW_LIMIT,
-) -> DataFrame:
-    """Matched detections with their rank inside image and class, capped at *max_dets* before matching.
-
-    The cap is the protocol's; Spark's group limit applies it before the shuffle.
-    """
-    ranked = matching.rank_detections(detections, max_dets)
-    matched = matching.match_lanes(ranked, ground_truth, lanes, pairs, group_row_limit)
-    order = Window.partitionBy(*matching.GROUP).orderBy(F.isnan("score"), F.col("score").desc(), "det_idx")
-    return matched.withColumn("rank", F.row_number().over(order) - 1)
-
-
 def positives(ground_truth: DataFrame, lanes: matching.Lanes) -> DataFrame:
     """Countable ground truths per class and area range, with zero rows kept for known classes."""
     counts = []
@@ -76,35 +58,25 @@ def positives(ground_truth: DataFrame, lanes: matching.Lanes) -> DataFrame:
     return rows.select("label", F.inline("_areas"))
 
 
-def _lane_sums(lanes: matching.Lanes) -> dict[str, Column]:
-    sums = {}
-    for lane in range(len(lanes)):
-        sums[f"tp{lane}"] = F.getbit(F.col("tp_mask"), F.lit(lane)).cast("long")
-        sums[f"seen{lane}"] = (1 - F.getbit(F.col("ignore_mask"), F.lit(lane))).cast("long")
-    return sums
+def _lane_sums(lanes: matching.Lanes) -> dict[str, str]:
+    sums = {f"tp{i}": f"CAST(getbit(tp_mask, {i}) AS BIGINT)" for i in range(len(lanes))}
+    return sums | {f"seen{i}": f"CAST(1 - getbit(ignore_mask, {i}) AS BIGINT)" for i in range(len(lanes))}
 
 
-def curve_points(scored: DataFrame, lanes: matching.Lanes, window_row_limit: int = scale.WINDOW_ROW_LIMIT) -> DataFrame:
+def curve_points(scored: DataFrame, lanes: matching.Lanes, large: bool) -> DataFrame:
     """For every lane and every true positive in it: how many true positives and counted rows came up to there.
 
-    Rows of a class are ordered by score, image and rank. A class with more rows than one task should scan is summed in
-    range slices instead; which plan is taken depends on a count by class.
+    Rows of a class are ordered by score, image and rank. With *large* a class is summed in range slices, not one task.
     """
-    order = [F.isnan("score"), F.col("score").desc(), F.col("image_id"), F.col("rank")]
+    order = ["isnan(score)", "score DESC", "image_id", "rank"]
     slim = scored.select("label", "image_id", "rank", "score", "tp_mask", "ignore_mask")
-    big = scale.any_rows(scale.groups_over([slim], ["label"], window_row_limit))
-    summed = scale.running_totals(slim, ["label"], order, _lane_sums(lanes), large=big)
-    entries = F.array(
-        *[
-            F.when(
-                F.getbit(F.col("tp_mask"), F.lit(i)) == 1,
-                F.struct(F.lit(i).alias("lane"), F.col(f"tp{i}").alias("tp"), F.col(f"seen{i}").alias("seen")),
-            )
-            for i in range(len(lanes))
-        ]
+    summed = scale.running_totals(slim, ["label"], order, _lane_sums(lanes), large=large)
+    entries = ", ".join(
+        f"CASE WHEN getbit(tp_mask, {i}) = 1 THEN named_struct('lane', {i}, 'tp', tp{i}, 'seen', seen{i}) END"
+        for i in range(len(lanes))
     )
-    hit = summed.filter(F.col("tp_mask") != 0)
-    return hit.select("label", "rank", F.inline(F.filter(entries, lambda e: e.isNotNull())))
+    hit = summed.filter("tp_mask <> 0")
+    return hit.selectExpr("label", "rank", f"inline(filter(array({entries}), e -> e IS NOT NULL))")
 
 
 def accumulate(
@@ -112,12 +84,15 @@ def accumulate(
     ground_truth: DataFrame,
     lanes: matching.Lanes,
     max_dets: Sequence[int],
-    window_row_limit: int = scale.WINDOW_ROW_LIMIT,
+    large: bool = False,
 ) -> Evaluation:
     """Interpolated precision and final recall per class, threshold and area range.
 
     Precision at recall r is the largest precision at any recall >= r: true positives are binned by the recall level
     they reach (partial maxima before the shuffle), then a per-lane window of at most 101 rows takes suffix maxima.
+
+    The binned table holds at most classes x lanes x 102 rows. It is materialised, so the matching behind it runs once
+    however many summaries follow.
     """
     npig = positives(ground_truth, lanes)
     frame = npig.select(
@@ -126,7 +101,7 @@ def accumulate(
         "positives",
         F.explode(F.array(*[F.lit(t) for t in lanes.thresholds])).alias("iou"),
     )
-    points = curve_points(scored, lanes, window_row_limit).withColumns(lanes.table(scored))
+    points = curve_points(scored, lanes, large).withColumns(lanes.names())
     keyed = points.join(npig, ["label", "area_range"])
     recall = F.col("tp").cast("double") / F.col("positives").cast("double")
     precision = F.col("tp").cast("double") / F.col("seen").cast("double")
@@ -139,6 +114,7 @@ def accumulate(
             *[F.count_if(F.col("rank") < cap).alias(f"hits{cap}") for cap in max_dets],
         )
     )
+    binned = scale.cut_lineage(binned)
     levels = frame.select(
         "*", F.posexplode(F.array(*[F.lit(r) for r in RECALL_GRID])).alias("_position", "recall_level")
     ).withColumn("bin", F.col("_position") + 1)
@@ -184,8 +160,9 @@ def evaluate(
     """
     truth = truth_areas(ground_truth)
     lanes = matching.coco_lanes(iou_grid, area_names)
-    scored = scored_rows(detections, truth, lanes, max(max_dets), pairs, group_row_limit)
-    result = accumulate(scored, truth, lanes, max_dets, window_row_limit)
+    scored = matching.match_lanes(detections, truth, lanes, pairs, max(max_dets), group_row_limit)
+    large = scale.any_rows(scale.groups_over([detections], ["label"], window_row_limit))
+    result = accumulate(scored, truth, lanes, max_dets, large)
     only_detected = detections.select("label").distinct().join(truth.select("label"), "label", "left_anti")
     blank = only_detected.select(
         "label",

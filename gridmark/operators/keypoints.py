@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridmark import scale
 from gridmark.functions import points as pt
 from gridmark.operators import average_precision as ap
 from gridmark.operators import matching
@@ -110,7 +111,12 @@ def point_box(keypoints: Column) -> list[Column]:
 
 
 def evaluate_keypoints(
-    detections: DataFrame, ground_truth: DataFrame, counts: DataFrame, sigmas: Sequence[float] | None = None, **options
+    detections: DataFrame,
+    ground_truth: DataFrame,
+    counts: DataFrame,
+    sigmas: Sequence[float] | None = None,
+    group_row_limit: int = scale.GROUP_ROW_LIMIT,
+    window_row_limit: int = scale.WINDOW_ROW_LIMIT,
 ) -> ap.Evaluation:
     """Keypoint evaluation. Categories with different point counts run in one plan with their own sigmas.
 
@@ -127,8 +133,9 @@ def evaluate_keypoints(
     # An unlabelled ground truth may absorb one detection only, unlike a crowd, so it is put outside every area range.
     scored_truth = truth.withColumn("area", F.when(F.col("_no_points"), F.lit(-1.0)).otherwise(F.col("area")))
     lanes = matching.coco_lanes(ap.IOU_GRID, KEYPOINT_AREAS)
-    scored = ap.scored_rows(found, scored_truth, lanes, cap, pairs, **options)
-    return ap.accumulate(scored, scored_truth, lanes, ap.KEYPOINT_MAX_DETS)
+    scored = matching.match_lanes(found, scored_truth, lanes, pairs, cap, group_row_limit)
+    large = scale.any_rows(scale.groups_over([detections], ["label"], window_row_limit))
+    return ap.accumulate(scored, scored_truth, lanes, ap.KEYPOINT_MAX_DETS, large)
 
 
 def visible_points(keypoints: Column) -> Column:

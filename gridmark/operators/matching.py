@@ -53,33 +53,34 @@ class Lanes:
     def every(self) -> int:
         return (1 << len(self)) - 1
 
-    def reached(self, overlap: Column) -> Column:
-        """Mask of the lanes whose threshold *overlap* reaches."""
-        mask = F.lit(0).cast("long")
+    def reached(self, overlap: str) -> str:
+        """SQL of the mask of the lanes whose threshold the expression *overlap* reaches."""
         areas = range(max(1, len(self.areas)))
-        for position, threshold in enumerate(self.thresholds):
-            bits = sum(1 << self.lane(position, a) for a in areas)
-            mask = mask + F.when(overlap >= F.lit(float(threshold)), F.lit(bits).cast("long")).otherwise(F.lit(0).cast("long"))
-        return mask
-
-    def inside(self, area: Column) -> Column:
-        """Mask of the lanes whose area range holds *area*."""
+        branches, mask = [], 0
+        for threshold, position in sorted((t, i) for i, t in enumerate(self.thresholds)):
+            mask |= sum(1 << self.lane(position, a) for a in areas)
+            branches.insert(0, f"WHEN {overlap} >= {threshold!r}D THEN {mask}L")
+        return f"(CASE {' '.join(branches)} ELSE 0L END)"
+
+    def inside(self, area: str) -> str:
+        """SQL of the mask of the lanes whose area range holds the expression *area*."""
         if not self.areas:
-            return F.lit(self.every).cast("long")
-        mask = F.lit(0).cast("long")
+            return f"{self.every}L"
+        terms = []
         for position, (_, low, high) in enumerate(self.areas):
             bits = sum(1 << self.lane(t, position) for t in range(len(self.thresholds)))
-            held = (area >= F.lit(float(low))) & (area <= F.lit(float(high)))
-            mask = mask + F.when(held, F.lit(bits).cast("long")).otherwise(F.lit(0).cast("long"))
-        return mask
-
-    def table(self, df: DataFrame, mask: str = "lane") -> dict[str, Column]:
-        """Columns ``iou`` and ``area_range`` of a lane number column."""
-        thresholds = F.array(*[F.lit(float(t)) for t in self.thresholds])
-        lane = F.col(mask).cast("int")
-        names = F.array(*[F.lit(a[0]) for a in self.areas]) if self.areas else F.array(F.lit("all"))
+            terms.append(f"CASE WHEN {area} >= {low!r}D AND {area} <= {high!r}D THEN {bits}L ELSE 0L END")
+        return f"({' | '.join(terms)})"
+
+    def names(self) -> dict[str, Column]:
+        """Columns ``iou`` and ``area_range`` of a row's ``lane`` number."""
+        thresholds = ", ".join(f"{float(t)!r}D" for t in self.thresholds)
+        areas = ", ".join(f"'{a[0]}'" for a in self.areas) or "'all'"
         size = len(self.thresholds)
-        return {"iou": F.get(thresholds, lane % size), "area_range": F.get(names, F.floor(lane / size).cast("int"))}
+        return {
+            "iou": F.expr(f"get(array({thresholds}), lane % {size})"),
+            "area_range": F.expr(f"get(array({areas}), lane div {size})"),
+        }
 
 
 def coco_lanes(thresholds: Sequence[float], area_names: Sequence[str] = ("all", "small", "medium", "large")) -> Lanes:
@@ -108,176 +109,167 @@ def overlap_pairs(detections: DataFrame, ground_truth: DataFrame, minimum: float
 
 # --- shared preparation ----------------------------------------------------------------------------------------------
 
+_AREA = "(x2 - x1) * (y2 - y1)"
 
-def _signed(score: Column) -> Column:
-    return -score  # NaN stays NaN, and NaN is the largest double: it ranks last
+
+def _corners() -> list[str]:
+    return [f"CAST({c} AS DOUBLE) AS {c}" for c in ("x1", "y1", "x2", "y2")]
 
 
 def _detection_columns(detections: DataFrame, lanes: Lanes) -> DataFrame:
-    extra = F.col("area").cast("double") if "area" in detections.columns else bx.area(bx.box())
-    corners = [F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")]
-    return detections.select(
+    area = "CAST(area AS DOUBLE)" if "area" in detections.columns else _AREA
+    return detections.selectExpr(
         *GROUP,
-        F.col("det_idx").cast("long").alias("det_idx"),
-        F.col("score").cast("double").alias("score"),
-        *corners,
-        lanes.inside(extra).alias("in_range"),
+        "CAST(det_idx AS BIGINT) AS det_idx",
+        "CAST(score AS DOUBLE) AS score",
+        *_corners(),
+        f"{lanes.inside(area)} AS in_range",
     )
 
 
 def _truth_columns(ground_truth: DataFrame, lanes: Lanes) -> DataFrame:
-    area = F.col("area").cast("double") if "area" in ground_truth.columns else bx.area(bx.box())
-    crowd = F.coalesce(F.col("iscrowd"), F.lit(False))
-    corners = [F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")]
-    regular = F.when(crowd, F.lit(0).cast("long")).otherwise(lanes.inside(area))
-    return ground_truth.select(
-        *GROUP, F.col("gt_idx").cast("long").alias("gt_idx"), *corners, crowd.alias("crowd"), regular.alias("regular")
+    area = "CAST(area AS DOUBLE)" if "area" in ground_truth.columns else _AREA
+    return ground_truth.selectExpr(
+        *GROUP,
+        "CAST(gt_idx AS BIGINT) AS gt_idx",
+        *_corners(),
+        "coalesce(iscrowd, false) AS crowd",
+        f"CASE WHEN iscrowd THEN 0L ELSE {lanes.inside(area)} END AS regular",
     )
 
 
-def _overlap(d: bx.Box, g: bx.Box, crowd: Column, lanes: Lanes) -> Column:
-    if lanes.crowd_rule == "iou":
-        return bx.iou(d, g)
-    return F.when(crowd, bx.coverage(d, g)).otherwise(bx.iou(d, g))
-
-
-def _bits(text: str) -> str:
-    return f"CAST({text} AS BIGINT)"
-
-
 # --- plan 1: fold ----------------------------------------------------------------------------------------------------
 
+# Detections of a row are ordered by (signed, det_idx): signed is minus the score, so NaN, the largest double, is last.
 # One step: a candidate takes the lanes it may serve that are still open and that its ground truth has not given away.
 _FOLD = """
 aggregate(
   dets,
-  named_struct('used', array_repeat({zero}, size(gts)), 'out', CAST(array() AS array<struct<tp:bigint,ig:bigint>>)),
-  (s, d) -> transform(
+  named_struct('used', array_repeat(0L, size(gts)), 'out', CAST(array() AS array<struct<tp:bigint,ig:bigint>>)),
+  (s, d) -> CASE WHEN size(d.cands) = 0
+    THEN named_struct('used', s.used, 'out', concat(s.out, array(named_struct('tp', 0L, 'ig', 0L))))
+    ELSE transform(
     array(aggregate(
       d.cands,
-      named_struct('open', {every}, 'tp', {zero}, 'ig', {zero}, 'used', s.used),
+      named_struct('open', {every}L, 'tp', 0L, 'ig', 0L, 'used', s.used),
       (a, c) -> transform(
-        array(a.open & c.mask & ~(CASE WHEN c.reusable THEN {zero} ELSE element_at(a.used, c.pos) END)),
+        array(a.open & c.mask & ~(CASE WHEN c.reusable THEN 0L ELSE element_at(a.used, c.pos) END)),
         take -> named_struct(
           'open', a.open & ~take,
           'tp', CASE WHEN c.ignored THEN a.tp ELSE a.tp | take END,
           'ig', CASE WHEN c.ignored THEN a.ig | take ELSE a.ig END,
-          'used', CASE WHEN take = {zero} OR c.reusable THEN a.used
+          'used', CASE WHEN take = 0L OR c.reusable THEN a.used
                        ELSE transform(a.used, (u, i) -> CASE WHEN i + 1 = c.pos THEN u | take ELSE u END) END
         )
       )[0]
     )),
     r -> named_struct('used', r.used, 'out', concat(s.out, array(named_struct('tp', r.tp, 'ig', r.ig))))
-  )[0]
+  )[0] END
 ).out
 """
 
+# Regular lanes first, then ignored ones; inside each by overlap, ties by ground-truth order.
+_CANDIDATES = """
+array_sort(flatten(transform({near}, c -> filter(array(
+  named_struct('ignored', false, 'signed', -c.overlap, 'tie', {tie}, 'pos', c.pos,
+               'mask', {reach} & c.regular, 'reusable', c.crowd),
+  named_struct('ignored', true, 'signed', -c.overlap, 'tie', {tie}, 'pos', c.pos,
+               'mask', {reach} & ~c.regular, 'reusable', c.crowd)
+), e -> e.mask <> 0L))))
+"""
+
+# Overlaps of one detection with the ground truths of its group that touch it.
+_TOUCHING = """
+filter(transform(filter(transform(gts, (g, i) -> named_struct(
+    'inter', greatest(least(d.x2, g.x2) - greatest(d.x1, g.x1), 0D) * greatest(least(d.y2, g.y2) - greatest(d.y1, g.y1), 0D),
+    'size', (g.x2 - g.x1) * (g.y2 - g.y1), 'pos', i + 1, 'regular', g.regular, 'crowd', g.crowd)),
+  t -> t.inter > 0D),
+  t -> named_struct('overlap', {overlap}, 'pos', t.pos, 'regular', t.regular, 'crowd', t.crowd)),
+  o -> o.overlap >= {minimum!r}D)
+"""
+
+
+def _candidates(near: str, lanes: Lanes) -> str:
+    tie = "-c.pos" if lanes.later_wins else "c.pos"
+    return _CANDIDATES.format(near=near, tie=tie, reach=lanes.reached("c.overlap"))
 
-def _fold(groups: DataFrame, lanes: Lanes) -> DataFrame:
-    """Rows with sorted ``dets`` (each with ordered ``cands``) and ``gts`` to one row per detection with its masks."""
-    text = _FOLD.format(zero=_bits("0"), every=_bits(str(lanes.every)))
-    outcome = groups.withColumn("_out", F.expr(text))
-    rows = outcome.select(*GROUP, F.explode(F.arrays_zip("dets", "_out")).alias("_row"))
-    tp, ig = F.col("_row._out.tp"), F.col("_row._out.ig")
-    beyond = F.bitwise_not(F.col("_row.dets.in_range")).bitwiseAND(F.bitwise_not(tp.bitwiseOR(ig)))
-    return rows.select(
-        *GROUP,
-        F.col("_row.dets.det_idx").alias("det_idx"),
-        (-F.col("_row.dets.signed")).alias("score"),
-        tp.alias("tp_mask"),
-        ig.bitwiseOR(beyond.bitwiseAND(F.lit(lanes.every))).alias("ignore_mask"),
-    )
 
+def _touching(lanes: Lanes) -> str:
+    own = "((d.x2 - d.x1) * (d.y2 - d.y1))"
+    overlap = f"t.inter / greatest({own} + t.size - t.inter, {bx.TINY_AREA!r}D)"
+    if lanes.crowd_rule == "coverage":
+        overlap = f"CASE WHEN t.crowd THEN t.inter / {own} ELSE {overlap} END"
+    return _TOUCHING.format(overlap=overlap, minimum=min(lanes.thresholds))
 
-def _ordered_candidates(found: Column, lanes: Lanes) -> Column:
-    """Regular lanes first, then ignored ones; inside each by overlap, ties by ground-truth order."""
-    kept = F.filter(found, lambda c: c["reach"] > 0)
-    tie = (lambda c: -c["pos"]) if lanes.later_wins else (lambda c: c["pos"])
 
-    def part(ignored: bool) -> Column:
-        def entry(c: Column) -> Column:
-            lanes_of = F.bitwise_not(c["regular"]) if ignored else c["regular"]
-            return F.struct(
-                F.lit(ignored).alias("ignored"),
-                (-c["overlap"]).alias("signed"),
-                tie(c).alias("tie"),
-                c["pos"].alias("pos"),
-                c["reach"].bitwiseAND(lanes_of).alias("mask"),
-                c["crowd"].alias("reusable"),
-            )
+def _fold(groups: DataFrame, lanes: Lanes) -> DataFrame:
+    """Rows with ordered ``dets`` (each with ordered ``cands``) and ``gts`` to one row per detection with its masks."""
+    outcome = groups.withColumn("_out", F.expr(_FOLD.format(every=lanes.every)))
+    rows = outcome.selectExpr(*GROUP, "posexplode(arrays_zip(dets, _out)) AS (rank, _row)")
+    beyond = f"(~_row.dets.in_range & ~(_row._out.tp | _row._out.ig) & {lanes.every}L)"
+    return rows.selectExpr(
+        *GROUP,
+        "_row.dets.det_idx AS det_idx",
+        "-_row.dets.signed AS score",
+        "rank",
+        "_row._out.tp AS tp_mask",
+        f"_row._out.ig | {beyond} AS ignore_mask",
+    )
 
-        return F.filter(F.transform(kept, entry), lambda c: c["mask"] != 0)
 
-    return F.array_sort(F.concat(part(False), part(True)))
+def _capped(dets: str, max_dets: int | None) -> str:
+    return dets if max_dets is None else f"slice({dets}, 1, {int(max_dets)})"
 
 
-def _fold_boxes(detections: DataFrame, ground_truth: DataFrame, lanes: Lanes) -> DataFrame:
+def _fold_boxes(detections: DataFrame, ground_truth: DataFrame, lanes: Lanes, max_dets: int | None) -> DataFrame:
     """One shuffle: both sides of a group meet in one row and overlaps are computed there."""
-    d = detections.select(
+    d = detections.selectExpr(
+        *GROUP,
+        "named_struct('signed', -score, 'det_idx', det_idx, 'x1', x1, 'y1', y1, 'x2', x2, 'y2', y2, 'in_range', in_range) AS d",
+    )
+    g = ground_truth.selectExpr(
         *GROUP,
-        F.struct(_signed(F.col("score")).alias("signed"), "det_idx", "x1", "y1", "x2", "y2", "in_range").alias("d"),
+        "named_struct('gt_idx', gt_idx, 'x1', x1, 'y1', y1, 'x2', x2, 'y2', y2, 'crowd', crowd, 'regular', regular) AS g",
     )
-    g = ground_truth.select(*GROUP, F.struct("gt_idx", "x1", "y1", "x2", "y2", "crowd", "regular").alias("g"))
     both = d.unionByName(g, allowMissingColumns=True)
     groups = both.groupBy(*GROUP).agg(
-        F.array_sort(F.collect_list("d")).alias("dets"), F.array_sort(F.collect_list("g")).alias("gts")
+        F.expr(f"{_capped('array_sort(collect_list(d))', max_dets)} AS dets"), F.expr("array_sort(collect_list(g)) AS gts")
     )
-
-    def corners(row: Column) -> bx.Box:
-        return bx.Box(row["x1"], row["y1"], row["x2"], row["y2"])
-
-    def candidates(det: Column) -> Column:
-        def pair(gt: Column, index: Column) -> Column:
-            overlap = _overlap(corners(det), corners(gt), gt["crowd"], lanes)
-            return F.struct(overlap.alias("overlap"), (index + 1).alias("pos"), gt["regular"], gt["crowd"])
-
-        near = F.filter(F.transform("gts", pair), lambda c: c["overlap"] >= min(lanes.thresholds))
-        found = F.transform(
-            near, lambda c: F.struct(c["overlap"], c["pos"], c["regular"], c["crowd"], lanes.reached(c["overlap"]).alias("reach"))
-        )
-        return _ordered_candidates(found, lanes)
-
-    with_candidates = F.transform(
-        "dets", lambda det: F.struct(det["signed"], det["det_idx"], det["in_range"], candidates(det).alias("cands"))
+    cands = _candidates(_touching(lanes), lanes)
+    with_candidates = (
+        f"transform(dets, d -> named_struct('signed', d.signed, 'det_idx', d.det_idx, 'in_range', d.in_range, 'cands', {cands}))"
     )
-    ready = groups.filter(F.size("dets") > 0).withColumn("dets", with_candidates)
+    ready = groups.filter("size(dets) > 0").withColumn("dets", F.expr(with_candidates))
     return _fold(ready, lanes)
 
 
-def _fold_pairs(detections: DataFrame, ground_truth: DataFrame, pairs: DataFrame, lanes: Lanes) -> DataFrame:
+def _fold_pairs(
+    detections: DataFrame, ground_truth: DataFrame, pairs: DataFrame, lanes: Lanes, max_dets: int | None
+) -> DataFrame:
     """The same fold when overlaps were computed elsewhere (masks, keypoints)."""
     truth = ground_truth.select(*GROUP, "gt_idx", "crowd", "regular")
     near = pairs.filter(F.col("overlap") >= min(lanes.thresholds)).join(truth, [*GROUP, "gt_idx"])
     by_detection = near.groupBy(*GROUP, "det_idx").agg(
-        F.collect_list(F.struct("gt_idx", "overlap", "regular", "crowd")).alias("found")
+        F.expr("collect_list(named_struct('gt_idx', gt_idx, 'overlap', overlap, 'regular', regular, 'crowd', crowd)) AS found")
     )
-    d = detections.join(by_detection, [*GROUP, "det_idx"], "left").select(
-        *GROUP, F.struct(_signed(F.col("score")).alias("signed"), "det_idx", "in_range", "found").alias("d")
+    d = detections.join(by_detection, [*GROUP, "det_idx"], "left").selectExpr(
+        *GROUP,
+        "named_struct('signed', -score, 'det_idx', det_idx, 'in_range', in_range, 'found', coalesce(found, array())) AS d",
     )
     both = d.unionByName(truth.select(*GROUP, F.col("gt_idx").alias("g")), allowMissingColumns=True)
     groups = both.groupBy(*GROUP).agg(
-        F.collect_list("d").alias("dets"), F.array_sort(F.collect_list("g")).alias("gts")
+        F.expr("collect_list(d) AS dets"), F.expr("array_sort(collect_list(g)) AS gts")
     )
-
-    def candidates(det: Column) -> Column:
-        found = F.transform(
-            F.coalesce(det["found"], F.array()),
-            lambda c: F.struct(
-                c["overlap"],
-                F.array_position("gts", c["gt_idx"]).cast("int").alias("pos"),
-                c["regular"],
-                c["crowd"],
-                lanes.reached(c["overlap"]).alias("reach"),
-            ),
-        )
-        return _ordered_candidates(found, lanes)
-
-    with_candidates = F.array_sort(
-        F.transform(
-            "dets", lambda det: F.struct(det["signed"], det["det_idx"], det["in_range"], candidates(det).alias("cands"))
-        )
+    located = (
+        "transform(d.found, f -> named_struct('overlap', f.overlap, 'pos', CAST(array_position(gts, f.gt_idx) AS INT), "
+        "'regular', f.regular, 'crowd', f.crowd))"
+    )
+    ordered = _capped(
+        "array_sort(transform(dets, d -> named_struct('signed', d.signed, 'det_idx', d.det_idx, 'in_range', d.in_range, "
+        f"'cands', {_candidates(located, lanes)})))",
+        max_dets,
     )
-    return _fold(groups.filter(F.size("dets") > 0).withColumn("dets", with_candidates), lanes)
+    return _fold(groups.filter("size(dets) > 0").withColumn("dets", F.expr(ordered)), lanes)
 
 
 # --- plan 2: rounds over large groups --------------------------------------------------------------------------------
@@ -386,14 +378,9 @@ def large_group_pairs(detections: DataFrame, ground_truth: DataFrame, lanes: Lan
 
 def _rounds(detections: DataFrame, pairs: DataFrame, lanes: Lanes) -> DataFrame:
     """Assign by rounds. Every round only removes pairs whose ground truth is held by a better-ranked detection."""
-    reach = lanes.reached(F.col("overlap"))
-    ranked = detections.select(*GROUP, "det_idx", _signed(F.col("score")).alias("signed"))
-    masks = pairs.withColumns(
-        {
-            "_regular": reach.bitwiseAND(F.col("regular")),
-            "_ignored": reach.bitwiseAND(F.bitwise_not(F.col("regular"))),
-        }
-    )
+    ranked = detections.select(*GROUP, "det_idx", (-F.col("score")).alias("signed"))
+    reach = lanes.reached("overlap")
+    masks = pairs.selectExpr("*", f"{reach} & regular AS _regular", f"{reach} & ~regular AS _ignored")
     lane_numbers = F.array(*[F.lit(i) for i in range(len(lanes))])
     lane_rows = masks.withColumn(
         "lane",
@@ -442,6 +429,7 @@ def _rounds(detections: DataFrame, pairs: DataFrame, lanes: Lanes) -> DataFrame:
         *GROUP,
         "det_idx",
         "score",
+        "rank",
         tp.alias("tp_mask"),
         ig.bitwiseOR(beyond.bitwiseAND(F.lit(lanes.every))).alias("ignore_mask"),
     )
@@ -455,18 +443,22 @@ def match_lanes(
     ground_truth: DataFrame,
     lanes: Lanes,
     pairs: DataFrame | None = None,
+    max_dets: int | None = None,
     group_row_limit: int = scale.GROUP_ROW_LIMIT,
 ) -> DataFrame:
-    """Every detection with ``tp_mask`` and ``ignore_mask`` over *lanes*.
+    """Every detection with its rank in image and class, and ``tp_mask`` and ``ignore_mask`` over *lanes*.
 
-    *pairs* (image_id, label, det_idx, gt_idx, overlap) replaces the box overlaps when given.
+    *pairs* (image_id, label, det_idx, gt_idx, overlap) replaces the box overlaps when given. *max_dets* is the
+    protocol's cap per image and class, taken in rank order before matching.
     """
     d, g = _detection_columns(detections, lanes), _truth_columns(ground_truth, lanes)
-    counted = [d, g] if pairs is None else [d, g, pairs]
+    counted = [detections, ground_truth] if pairs is None else [detections, ground_truth, pairs]
     large = scale.groups_over(counted, GROUP, group_row_limit)
 
     def fold(left: DataFrame, right: DataFrame, found: DataFrame | None) -> DataFrame:
-        return _fold_boxes(left, right, lanes) if found is None else _fold_pairs(left, right, found, lanes)
+        if found is None:
+            return _fold_boxes(left, right, lanes, max_dets)
+        return _fold_pairs(left, right, found, lanes, max_dets)
 
     if not scale.any_rows(large):
         return fold(d, g, pairs)
@@ -476,6 +468,8 @@ def match_lanes(
         return rows.join(large, GROUP, "left_anti"), rows.join(large, GROUP, "left_semi")
 
     (d_small, d_large), (g_small, g_large) = split(d), split(g)
+    # Capped before any join: the group limit keeps at most max_dets rows per map task.
+    d_large = rank_detections(d_large, max_dets)
     if pairs is None:
         found_small, found_large = None, large_group_pairs(d_large, g_large, lanes)
     else:
@@ -496,7 +490,7 @@ def match_greedy(
 
     Detections are ranked at full precision; the reported score is FLOAT, as the sweep consumes it.
     """
-    matched = match_lanes(detections, ground_truth, Lanes((iou_threshold,)), pairs, group_row_limit)
+    matched = match_lanes(detections, ground_truth, Lanes((iou_threshold,)), pairs, group_row_limit=group_row_limit)
     return matched.select(
         *GROUP,
         "det_idx",

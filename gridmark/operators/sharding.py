@@ -34,7 +34,7 @@ def plan_shards(
     sized = samples.withColumn("bytes", footprint(F.col("payload_bytes")) + footprint(F.col("sidecar_bytes")))
     large = scale.any_rows(scale.groups_over([sized], ["split"], window_row_limit))
     summed = scale.running_totals(
-        sized, ["split"], [F.col("position")], {"_before": F.col("bytes")}, large=large, inclusive=False
+        sized, ["split"], ["position"], {"_before": "bytes"}, large=large, inclusive=False
     )
     return summed.withColumn("shard_id", F.floor(F.col("_before") / max_bytes)).drop("_before")
 

@@ -21,7 +21,7 @@ _IOU = f"({_INTER} / greatest({_OWN} + (g.x2-g.x1)*(g.y2-g.y1) - {_INTER}, 1e-7)
 def protocol_sql(pairs: str, truth: str, found: str, cap: int) -> str:
     """The published protocol over tables ``pairs`` (…, overlap, crowd, garea), truth and found (with area)."""
     return f"""
-    iou_grid as (select unnest([{", ".join(repr(t) for t in ap.IOU_GRID)}]) as iou),
+    iou_grid as (select unnest([{", ".join(repr(t) for t in ap.IOU_GRID)}]::double[]) as iou),
     areas as (select * from (values ('all', 0::double, 1e10::double), ('small', 0, 1024), ('medium', 1024, 9216),
               ('large', 9216, 1e10)) v(area_range, low, high)),
     lanes as (select * from iou_grid cross join areas),
@@ -107,7 +107,7 @@ def evaluation(spark, folder):
 
 
 @query("interpolated_precision", _sql(
-    " select label, area_range, round(iou, 2) as iou, level::int as recall_percent, precision from precisions"))
+    " select label, area_range, round(iou::double, 2) as iou, level::int as recall_percent, precision from precisions"))
 def interpolated_precision(spark, folder):
     rows = evaluation(spark, folder).precision
     return rows.select(
@@ -117,7 +117,7 @@ def interpolated_precision(spark, folder):
 
 
 @query("average_recall_rows", _sql(
-    " select label, area_range, round(iou, 2) as iou, max_dets, recall from recalls"))
+    " select label, area_range, round(iou::double, 2) as iou, max_dets, recall from recalls"))
 def average_recall_rows(spark, folder):
     rows = evaluation(spark, folder).recall
     return rows.select("label", "area_range", F.round("iou", 2).alias("iou"), "max_dets", "recall")

@@ -87,37 +87,41 @@ def ordered_ids(df: DataFrame, order: Sequence[Column | str], name: str, start:
 def running_totals(
     df: DataFrame,
     groups: Sequence[str],
-    order: Sequence[Column],
-    sums: dict[str, Column],
+    order: Sequence[str],
+    sums: dict[str, str],
     *,
     large: bool,
     inclusive: bool = True,
 ) -> DataFrame:
-    """Running sums inside *groups* along *order*.
+    """Running sums (name -> SQL of a BIGINT value) inside *groups* along *order* (SQL sort terms).
 
     ``large=False`` is one window per group. ``large=True`` is a two-level scan for groups too big for one task: range
     slices are summed on their own, then shifted by the total of the slices before them. The slice totals number at
     most partitions + groups.
     """
-    last = 0 if inclusive else -1
-    zero = F.lit(0).cast("long")
+    last = "CURRENT ROW" if inclusive else "1 PRECEDING"
+    by, along = ", ".join(groups), ", ".join(order)
+
+    def over(value: str, partition: str, sort: str, end: str) -> str:
+        frame = f"ROWS BETWEEN UNBOUNDED PRECEDING AND {end}"
+        return f"coalesce(sum({value}) OVER (PARTITION BY {partition} ORDER BY {sort} {frame}), 0L)"
+
     if not large:
-        window = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
-        return df.select("*", *[F.coalesce(F.sum(value).over(window), zero).alias(n) for n, value in sums.items()])
+        return df.selectExpr("*", *[f"{over(v, by, along, last)} AS {n}" for n, v in sums.items()])
     slices = slice_count(df.sparkSession)
     placed = cut_lineage(
-        df.repartitionByRange(slices, *[F.col(g) for g in groups], *order).withColumn("_slice", F.spark_partition_id())
+        df.repartitionByRange(slices, *[F.col(g) for g in groups], *[_sort_column(term) for term in order]).withColumn(
+            "_slice", F.spark_partition_id()
+        )
     )
-    totals = placed.groupBy(*groups, "_slice").agg(*[F.sum(value).alias(f"_total_{n}") for n, value in sums.items()])
-    earlier = Window.partitionBy(*groups).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *groups,
-        "_slice",
-        *[F.coalesce(F.sum(f"_total_{n}").over(earlier), zero).alias(f"_before_{n}") for n in sums],
+    totals = placed.groupBy(*groups, "_slice").agg(*[F.expr(f"sum({v}) AS _total_{n}") for n, v in sums.items()])
+    offsets = totals.selectExpr(
+        *groups, "_slice", *[f"{over(f'_total_{n}', by, '_slice', '1 PRECEDING')} AS _before_{n}" for n in sums]
     )
-    window = Window.partitionBy(*groups, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
-    inner = placed.select("*", *[F.coalesce(F.sum(value).over(window), zero).alias(n) for n, value in sums.items()])
+    inner = placed.selectExpr("*", *[f"{over(v, by + ', _slice', along, last)} AS {n}" for n, v in sums.items()])
     joined = inner.join(offsets, [*groups, "_slice"])
-    for n in sums:
-        joined = joined.withColumn(n, F.col(n) + F.col(f"_before_{n}"))
-    return joined.drop("_slice", *[f"_before_{n}" for n in sums])
+    return joined.selectExpr(*df.columns, *[f"{n} + _before_{n} AS {n}" for n in sums])
+
+
+def _sort_column(term: str) -> Column:
+    return F.expr(term[: -len(" DESC")]).desc() if term.upper().endswith(" DESC") else F.expr(term).asc()
