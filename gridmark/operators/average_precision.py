@@ -1,21 +1,22 @@
 """Average precision and recall by the published detection-evaluation protocol.
 
-Matching runs once for all thresholds and area ranges (see ``matching``). Only rows that are a true positive in some
-lane can raise precision, so after the running counts each detection is expanded to the lanes it matched, not to all.
+Matching runs once for all thresholds and area ranges (see ``matching``) and marks a detection's outcome in each lane
+with one bit. The precision curve is one ordered pass over those masks: detections are never copied per lane, and only
+the maxima per recall bin leave the pass.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmark import scale
 from gridmark.functions import boxes as bx
-from gridmark.functions.scalars import grid_position
 from gridmark.operators import matching
 
 # Overlap thresholds 0.50, 0.55 ... 0.95 and recall levels 0.00, 0.01 ... 1.00, evenly spaced.
@@ -58,25 +59,118 @@ def positives(ground_truth: DataFrame, lanes: matching.Lanes) -> DataFrame:
     return rows.select("label", F.inline("_areas"))
 
 
-def _lane_sums(lanes: matching.Lanes) -> dict[str, str]:
-    sums = {f"tp{i}": f"CAST(getbit(tp_mask, {i}) AS BIGINT)" for i in range(len(lanes))}
-    return sums | {f"seen{i}": f"CAST(1 - getbit(ignore_mask, {i}) AS BIGINT)" for i in range(len(lanes))}
+_ORDER = ["isnan(score)", "score DESC", "image_id", "rank"]
+_BIN_SCHEMA = "label bigint, lane int, bin int, best double, hits array<bigint>"
 
 
-def curve_points(scored: DataFrame, lanes: matching.Lanes, large: bool) -> DataFrame:
-    """For every lane and every true positive in it: how many true positives and counted rows came up to there.
+def _positive_arrays(ground_truth: DataFrame, lanes: matching.Lanes) -> DataFrame:
+    inside = [
+        f"count_if(NOT iscrowd AND area >= {low!r}D AND area <= {high!r}D)"
+        for _, low, high in lanes.areas
+        for _ in lanes.thresholds
+    ]
+    return ground_truth.groupBy("label").agg(F.expr(f"array({', '.join(inside)}) AS positives"))
+
+
+def _bin_batches(lane_count: int, caps: Sequence[int]):
+    """Arrow-batch step over rows in score order. A header row opens a stretch of one class with its ground-truth
+    counts and the running counts before it; each following row moves all lanes at once.
+    """
 
-    Rows of a class are ordered by score, image and rank. With *large* a class is summed in range slices, not one task.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lane_numbers = np.arange(lane_count, dtype=np.int64)
+        grid = np.asarray(RECALL_GRID)
+        stretch: dict = {}
+
+        def close() -> pd.DataFrame | None:
+            if not stretch:
+                return None
+            lane, level = np.nonzero(stretch["best"] > 0)
+            best = stretch["best"][lane, level]
+            # Hits per cap are reported once per lane, with the lane's first bin.
+            first = np.concatenate(([True], lane[1:] != lane[:-1])) if len(lane) else np.zeros(0, bool)
+            none = np.zeros(len(caps), dtype=np.int64)
+            hits = [stretch["hits"][number] if lead else none for number, lead in zip(lane, first)]
+            return pd.DataFrame({"label": stretch["label"], "lane": lane, "bin": level, "best": best, "hits": hits})
+
+        for batch in batches:
+            opens = np.flatnonzero(batch["positives"].notna().to_numpy())
+            edges = np.unique(np.concatenate(([0], opens, [len(batch)])))
+            for start, end in zip(edges[:-1], edges[1:]):
+                part = batch.iloc[start:end]
+                if start in opens:
+                    done = close()
+                    if done is not None and len(done):
+                        yield done
+                    head = part.iloc[0]
+                    carried = np.asarray(head["carried"], dtype=np.int64)
+                    stretch = {
+                        "label": head["label"],
+                        "positives": np.maximum(np.asarray(head["positives"], dtype=np.int64), 1),
+                        "tp": carried[:lane_count],
+                        "seen": carried[lane_count:],
+                        "best": np.zeros((lane_count, len(grid) + 1)),
+                        "hits": np.zeros((lane_count, len(caps)), dtype=np.int64),
+                    }
+                    part = part.iloc[1:]
+                # Classes without ground truth have no header: they are undefined and skipped.
+                part = part[part["label"] == stretch["label"]] if stretch else part.iloc[:0]
+                if not len(part):
+                    continue
+                hit = (part["tp_mask"].to_numpy(np.int64)[:, None] >> lane_numbers) & 1
+                counted = 1 - ((part["ignore_mask"].to_numpy(np.int64)[:, None] >> lane_numbers) & 1)
+                tp = stretch["tp"] + np.cumsum(hit, axis=0)
+                seen = stretch["seen"] + np.cumsum(counted, axis=0)
+                stretch["tp"], stretch["seen"] = tp[-1], seen[-1]
+                row, lane = np.nonzero(hit)
+                reached = tp[row, lane]
+                level = np.searchsorted(grid, reached / stretch["positives"][lane], side="right")
+                np.maximum.at(stretch["best"], (lane, level), reached / seen[row, lane])
+                rank = part["rank"].to_numpy(np.int64)
+                for position, cap in enumerate(caps):
+                    stretch["hits"][:, position] += hit[rank < cap].sum(axis=0)
+        done = close()
+        if done is not None and len(done):
+            yield done
+
+    return run
+
+
+def precision_bins(
+    scored: DataFrame, ground_truth: DataFrame, lanes: matching.Lanes, max_dets: Sequence[int], large: bool
+) -> DataFrame:
+    """Largest precision per class, lane and recall bin, and true positives per cap.
+
+    Rows of a class are read in order of score, image and rank by one streaming task per class. With *large*, order
+    ranges of equal size replace classes as the unit: each starts from the counts of the ranges before it.
     """
-    order = ["isnan(score)", "score DESC", "image_id", "rank"]
     slim = scored.select("label", "image_id", "rank", "score", "tp_mask", "ignore_mask")
-    summed = scale.running_totals(slim, ["label"], order, _lane_sums(lanes), large=large)
-    entries = ", ".join(
-        f"CASE WHEN getbit(tp_mask, {i}) = 1 THEN named_struct('lane', {i}, 'tp', tp{i}, 'seen', seen{i}) END"
-        for i in range(len(lanes))
+    positive = _positive_arrays(ground_truth, lanes)
+    count = len(lanes)
+    keys = ["label"]
+    if not large:
+        heads = positive.withColumn("carried", F.expr(f"array_repeat(0L, {2 * count})"))
+    else:
+        keys = ["label", "_slice"]
+        slim = scale.order_slices(scale.cut_lineage(slim), ["label"], _ORDER)
+        sums = [f"sum(getbit(tp_mask, {i}))" for i in range(count)]
+        sums += [f"sum(1 - getbit(ignore_mask, {i}))" for i in range(count)]
+        totals = slim.groupBy(*keys).agg(F.expr(f"array({', '.join(sums)}) AS own"))
+        window = "OVER (PARTITION BY label ORDER BY _slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        # One row per class and range, so even the class that fills every range has as many rows as there are slices.
+        before = [f"coalesce(sum(own[{i}]) {window}, 0L)" for i in range(2 * count)]
+        heads = totals.selectExpr(*keys, f"array({', '.join(before)}) AS carried").join(positive, "label")
+    heads = heads.selectExpr(*keys, "0 AS _kind", "positives", "carried")
+    rows = slim.selectExpr("*", "1 AS _kind").unionByName(heads, allowMissingColumns=True)
+    placed = rows.repartition(*keys).sortWithinPartitions(*keys, "_kind", *[scale.sort_column(t) for t in _ORDER])
+    bins = placed.select("label", "rank", "tp_mask", "ignore_mask", "positives", "carried").mapInPandas(
+        _bin_batches(count, tuple(max_dets)), _BIN_SCHEMA
+    )
+    named = bins.withColumns(lanes.names())
+    return named.groupBy("label", "area_range", "iou", "bin").agg(
+        F.max("best").alias("best"),
+        *[F.expr(f"sum(hits[{i}]) AS hits{cap}") for i, cap in enumerate(max_dets)],
     )
-    hit = summed.filter("tp_mask <> 0")
-    return hit.selectExpr("label", "rank", f"inline(filter(array({entries}), e -> e IS NOT NULL))")
 
 
 def accumulate(
@@ -88,11 +182,9 @@ def accumulate(
 ) -> Evaluation:
     """Interpolated precision and final recall per class, threshold and area range.
 
-    Precision at recall r is the largest precision at any recall >= r: true positives are binned by the recall level
-    they reach (partial maxima before the shuffle), then a per-lane window of at most 101 rows takes suffix maxima.
-
-    The binned table holds at most classes x lanes x 102 rows. It is materialised, so the matching behind it runs once
-    however many summaries follow.
+    Precision at recall r is the largest precision at any recall >= r: a per-lane window of at most 101 rows takes
+    suffix maxima over the binned table, which holds at most classes x lanes x 102 rows. That table is materialised, so
+    the matching behind it runs once however many summaries follow.
     """
     npig = positives(ground_truth, lanes)
     frame = npig.select(
@@ -101,20 +193,8 @@ def accumulate(
         "positives",
         F.explode(F.array(*[F.lit(t) for t in lanes.thresholds])).alias("iou"),
     )
-    points = curve_points(scored, lanes, large).withColumns(lanes.names())
-    keyed = points.join(npig, ["label", "area_range"])
-    recall = F.col("tp").cast("double") / F.col("positives").cast("double")
-    precision = F.col("tp").cast("double") / F.col("seen").cast("double")
     keys = ["label", "area_range", "iou"]
-    binned = (
-        keyed.withColumn("bin", grid_position(recall, RECALL_GRID))
-        .groupBy(*keys, "bin")
-        .agg(
-            F.max(precision).alias("best"),
-            *[F.count_if(F.col("rank") < cap).alias(f"hits{cap}") for cap in max_dets],
-        )
-    )
-    binned = scale.cut_lineage(binned)
+    binned = scale.cut_lineage(precision_bins(scored, ground_truth, lanes, max_dets, large))
     levels = frame.select(
         "*", F.posexplode(F.array(*[F.lit(r) for r in RECALL_GRID])).alias("_position", "recall_level")
     ).withColumn("bin", F.col("_position") + 1)

@@ -108,12 +108,7 @@ def running_totals(
 
     if not large:
         return df.selectExpr("*", *[f"{over(v, by, along, last)} AS {n}" for n, v in sums.items()])
-    slices = slice_count(df.sparkSession)
-    placed = cut_lineage(
-        df.repartitionByRange(slices, *[F.col(g) for g in groups], *[_sort_column(term) for term in order]).withColumn(
-            "_slice", F.spark_partition_id()
-        )
-    )
+    placed = order_slices(df, groups, order)
     totals = placed.groupBy(*groups, "_slice").agg(*[F.expr(f"sum({v}) AS _total_{n}") for n, v in sums.items()])
     offsets = totals.selectExpr(
         *groups, "_slice", *[f"{over(f'_total_{n}', by, '_slice', '1 PRECEDING')} AS _before_{n}" for n in sums]
@@ -123,5 +118,15 @@ def running_totals(
     return joined.selectExpr(*df.columns, *[f"{n} + _before_{n} AS {n}" for n in sums])
 
 
-def _sort_column(term: str) -> Column:
+def sort_column(term: str) -> Column:
     return F.expr(term[: -len(" DESC")]).desc() if term.upper().endswith(" DESC") else F.expr(term).asc()
+
+
+def order_slices(df: DataFrame, groups: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Tag rows with ``_slice``: consecutive ranges of about equal size in (groups, order), numbered in that order.
+
+    Materialised, because range borders are sampled and every use must see the same ones.
+    """
+    columns = [F.col(g) for g in groups] + [sort_column(term) for term in order]
+    ranged = df.repartitionByRange(slice_count(df.sparkSession), *columns)
+    return cut_lineage(ranged.withColumn("_slice", F.spark_partition_id()))
