@@ -1 +1,127 @@
-"""Queries."""
+"""Masks as column-major runs: overlap, extent, run lengths and matching."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gridmark.operators import masks as mk
+from gridmark.operators import matching as mt
+from gridmark.plans.fixtures import view, with_views
+from gridmark.plans.registry import query
+
+# Rectangles on a grid of 100 rows, a tenth of the box size so that an instance has a handful of runs.
+_HEIGHT = 100
+_RECTS = """
+    dm as (select image_id, label, det_idx as instance_id, floor(x1/10)::bigint as x1, floor(y1/10)::bigint as y1,
+             floor(x2/10)::bigint as x2, floor(y2/10)::bigint as y2 from det),
+    gm as (select image_id, label, gt_idx as instance_id, floor(x1/10)::bigint as x1, floor(y1/10)::bigint as y1,
+             floor(x2/10)::bigint as x2, floor(y2/10)::bigint as y2, iscrowd from gt),
+    mask_pairs as (select d.image_id, d.label, d.instance_id as left_id, g.instance_id as right_id, g.iscrowd,
+             greatest(least(d.x2,g.x2)-greatest(d.x1,g.x1),0)*greatest(least(d.y2,g.y2)-greatest(d.y1,g.y1),0) as intersection,
+             (d.x2-d.x1)*(d.y2-d.y1) + (g.x2-g.x1)*(g.y2-g.y1) as both_areas
+           from dm d join gm g using (image_id, label))
+"""
+
+
+def _rectangles(rows, key):
+    cells = [F.floor(F.col(c) / 10).alias(c) for c in ("x1", "y1", "x2", "y2")]
+    return rows.select("image_id", "label", F.col(key).alias("instance_id"), *cells)
+
+
+def _runs(spark, folder, name, key):
+    return mk.rectangle_runs(_rectangles(view(spark, folder, name), key), F.lit(_HEIGHT))
+
+
+@query("mask_overlaps", with_views(
+    f"""with {_RECTS} select image_id, label, left_id, right_id, intersection, both_areas - intersection as "union",
+          intersection::double / (both_areas - intersection) as iou from mask_pairs where intersection > 0""",
+    "det", "gt"))
+def mask_overlaps(spark, folder):
+    rows = mk.mask_overlaps(_runs(spark, folder, "det", "det_idx"), _runs(spark, folder, "gt", "gt_idx"))
+    return rows.select("image_id", "label", "left_id", "right_id", "intersection", "union", "iou")
+
+
+_WALK = """
+    pairs as (select image_id, label, left_id as det_idx, right_id as gt_idx, iscrowd,
+                intersection::double / (both_areas - intersection) as iou from mask_pairs),
+    cand as (select image_id, label, det_idx,
+               list(gt_idx order by iou desc, gt_idx) filter (not iscrowd and iou >= 0.5) as open,
+               bool_or(iscrowd and iou >= 0.5) as on_crowd from pairs group by all),
+    ranked as (select d.image_id, d.label, d.det_idx, c.open, coalesce(c.on_crowd, false) as on_crowd,
+                 row_number() over (partition by d.image_id, d.label order by d.score desc, d.det_idx) as rk
+               from det d left join cand c using (image_id, label, det_idx)),
+    walk as (
+      select image_id, label, 0::bigint as rk, []::bigint[] as used, 0::bigint as det_idx, false as is_tp, false as is_ignored
+      from (select distinct image_id, label from det)
+      union all
+      select image_id, label, rk, case when pick is null then used else list_append(used, pick) end, det_idx,
+             pick is not null, pick is null and on_crowd
+      from (select r.image_id, r.label, r.rk, w.used, r.det_idx, r.on_crowd,
+                   list_filter(r.open, lambda x: not list_contains(w.used, x))[1] as pick
+            from walk w join ranked r on r.image_id = w.image_id and r.label = w.label and r.rk = w.rk + 1))
+"""
+
+
+@query("mask_matching", with_views(
+    f"with recursive {_RECTS}, {_WALK} select image_id, label, det_idx, is_tp, is_ignored from walk where rk > 0",
+    "det", "gt", recursive=True))
+def mask_matching(spark, folder):
+    pairs = mk.matching_pairs(_runs(spark, folder, "det", "det_idx"), _runs(spark, folder, "gt", "gt_idx"))
+    rows = mt.match_greedy(view(spark, folder, "det"), view(spark, folder, "gt"), pairs=pairs)
+    return rows.select("image_id", "label", "det_idx", "is_tp", "is_ignored")
+
+
+@query("mask_boxes", with_views(
+    f"""with {_RECTS} select image_id, label, instance_id, x1::double as x1, y1::double as y1, (x2-1)::double as x2,
+          (y2-1)::double as y2, x2::double as end_x, y2::double as end_y from dm""", "det", "gt"))
+def mask_boxes(spark, folder):
+    runs = _runs(spark, folder, "det", "det_idx")
+    keys = ["image_id", "label", "instance_id"]
+    inclusive = mk.tight_boxes(runs, F.lit(_HEIGHT), exclusive_end=False)
+    exclusive = mk.tight_boxes(runs, F.lit(_HEIGHT), exclusive_end=True)
+    return inclusive.join(exclusive.select(*keys, F.col("x2").alias("end_x"), F.col("y2").alias("end_y")), keys)
+
+
+@query("boxes_follow_masks", with_views(
+    f"""with {_RECTS}, moved as (select *, greatest(x1-3, 0) as nx1, greatest(x2-3, 0) as nx2, instance_id % 5 <> 4 as had from dm)
+        select image_id, label, instance_id,
+          case when had then nx1::double else -1::double end as x1, case when had then y1::double else -1::double end as y1,
+          case when had then nx2::double else -1::double end as x2, case when had then y2::double else -1::double end as y2
+        from moved where not had or nx2 > nx1""", "det", "gt"))
+def boxes_follow_masks(spark, folder):
+    """Masks move three columns left; instances 4, 9 ... of an image have a box only."""
+    rectangles = _rectangles(view(spark, folder, "det"), "det_idx")
+    masked = rectangles.filter(F.col("instance_id") % 5 != 4)
+    moved = masked.withColumns({c: F.greatest(F.col(c) - 3, F.lit(0)) for c in ("x1", "x2")})
+    boxes = rectangles.withColumns({c: F.lit(-1.0) for c in ("x1", "y1", "x2", "y2")})
+    before, after = (mk.rectangle_runs(r, F.lit(_HEIGHT)) for r in (masked, moved))
+    return mk.sync_boxes(boxes, before, after, F.lit(_HEIGHT)).select("image_id", "label", "instance_id", "x1", "y1", "x2", "y2")
+
+
+@query("mask_run_lengths", with_views(
+    f"""with {_RECTS},
+    cols as (select image_id, label, instance_id, x2 - x1 as n, x1, y1, y2, unnest(generate_series(0, x2 - x1 - 1)) as c from dm),
+    steps as (
+      select image_id, label, instance_id, (2*c)::int as position,
+        case when c = 0 then x1*100 + y1 else 100 - (y2 - y1) end as length from cols
+      union all select image_id, label, instance_id, (2*c + 1)::int, y2 - y1 from cols
+      union all select image_id, label, instance_id, (2*n)::int, 1000 - ((x1 + n - 1)*100 + y2) from cols
+        where c = n - 1 and 1000 > (x1 + n - 1)*100 + y2)
+    select * from steps""", "det", "gt"))
+def mask_run_lengths(spark, folder):
+    rows = mk.run_lengths(_runs(spark, folder, "det", "det_idx"), F.lit(10 * _HEIGHT))
+    return rows.select("image_id", "label", "instance_id", "position", "length")
+
+
+@query("polygon_runs", with_views(
+    f"""with {_RECTS}, cols as (select image_id, label, instance_id, y1, y2, unnest(generate_series(x1, x2 - 1)) as c from gm)
+        select image_id, label, instance_id, c*100 + y1 as run_start, c*100 + y2 as run_end from cols""", "det", "gt"))
+def polygon_runs(spark, folder):
+    """Rectangles given as polygons fill the same pixels."""
+    r = _rectangles(view(spark, folder, "gt"), "gt_idx")
+    corners = F.array(*[F.col(c).cast("double") for c in ("x1", "y1", "x2", "y1", "x2", "y2", "x1", "y2")])
+    instances = r.select(
+        "image_id", "label", "instance_id", F.lit(_HEIGHT).alias("height"), F.lit(10).alias("width"),
+        F.array(corners, F.slice(corners, 1, 4)).alias("polygons"),
+    )
+    return mk.polygon_runs(instances)
