@@ -24,7 +24,6 @@ def split_metric(column: Column) -> tuple[Column, Column]:
     """'val/mAP' to ('val', 'mAP'); a name without a known split prefix stays whole."""
     prefix = F.split_part(column, F.lit("/"), F.lit(1))
     known = prefix.isin(*SPLITS) & column.contains("/")
-    rest = F.expr("NULL").cast("string")
     rest = F.substr(column, F.length(prefix) + 2)
     return F.when(known, prefix).otherwise(F.lit("")), F.when(known, rest).otherwise(column)
 
@@ -32,7 +31,8 @@ def split_metric(column: Column) -> tuple[Column, Column]:
 def long_metrics(wide: DataFrame, keys: list[str]) -> DataFrame:
     """Wide sparse metrics to one row per value, with split and metric name."""
     values = [c for c in wide.columns if c not in keys]
-    rows = wide.unpivot(keys, values, "column", "value").filter(F.col("value").isNotNull())
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("value")) for c in values])
+    rows = wide.select(*keys, F.inline(cells)).filter(F.col("value").isNotNull())
     split, metric = split_metric(F.col("column"))
     return rows.withColumns({"split": split, "metric": metric})
 

@@ -1 +1,129 @@
-"""Queries."""
+"""Streaming forms run to completion over the tables; each must equal its batch query."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gridmark import scale
+from gridmark.operators import matching as mt
+from gridmark.operators.sweep import score_bins
+from gridmark.plans import matching_queries as mq
+from gridmark.plans.fixtures import read, view, with_views
+from gridmark.plans.registry import query
+from gridmark.streaming import evaluation as se
+from gridmark.streaming import frames as sf
+
+
+def _image_stream(spark, folder, files: int):
+    """Whole-image rows landed as files and read back as a stream, two files per micro-batch."""
+    path = scale.run_folder(spark, "images")
+    se.pack_images(view(spark, folder, "det"), view(spark, folder, "gt")).repartition(files).write.parquet(path)
+    return spark.readStream.schema(se.IMAGE_ROWS).option("maxFilesPerTrigger", 2).parquet(path)
+
+
+def _finish(writer) -> None:
+    running = writer.trigger(availableNow=True).start()
+    running.awaitTermination()
+    if running.exception() is not None:
+        raise running.exception()
+
+
+@query("streamed_matching", mq._sql(
+    """select label, t.total_gt, count(*) filter (is_tp) as tp, count(*) filter (is_ignored) as ignored, count(*) as n
+       from matched join totals t using (label) group by 1, 2""", mq.MATCHED))
+def streamed_matching(spark, folder):
+    out = scale.run_folder(spark, "streamed")
+    _finish(se.match_stream(_image_stream(spark, folder, 4), out, f"{out}/checkpoint"))
+    matched, counts = se.matched_so_far(spark, out)
+    rows = matched.groupBy("label").agg(
+        F.count_if("is_tp").alias("tp"), F.count_if("is_ignored").alias("ignored"), F.count("*").alias("n")
+    )
+    return rows.join(counts, "label")
+
+
+@query("streamed_running_bins", mq._sql(
+    f""", {mq.SWEEP} select m.label, (select count(*) from grid g where g.threshold <= m.score::double)::int as bin,
+          count(*) filter (is_tp) as tp, count(*) filter (not is_tp) as fp
+        from matched m where not is_ignored group by all""", mq.MATCHED))
+def streamed_running_bins(spark, folder):
+    """Counters of a stream of matched rows, kept as classes x bins of state."""
+    source, out = scale.run_folder(spark, "matched"), scale.run_folder(spark, "bins")
+    matched = mq.matched(spark, folder)
+    matched.repartition(4).write.parquet(source)
+    stream = spark.readStream.schema(matched.schema).option("maxFilesPerTrigger", 2).parquet(source)
+
+    def keep(batch, _):
+        batch.write.mode("overwrite").parquet(f"{out}/latest")
+
+    writer = se.running_bins(stream).writeStream.outputMode("complete").foreachBatch(keep)
+    _finish(writer.option("checkpointLocation", f"{out}/checkpoint"))
+    return spark.read.parquet(f"{out}/latest")
+
+
+def _frames(spark, folder):
+    """Live frames: an event is a frame of its type's source."""
+    schema = read(spark, folder, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    return stream.select(F.col("event_type").alias("source"), F.col("event_id").alias("frame_idx"), "ts")
+
+
+def _landed(stream, spark, name, mode="append"):
+    out = scale.run_folder(spark, name)
+    _finish(stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/checkpoint").format("parquet").option("path", f"{out}/rows"))
+    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+
+
+@query("frame_stride", "select event_type as source, event_id as frame_idx from events where event_id % 3 = 0")
+def frame_stride(spark, folder):
+    return _landed(sf.every_nth(_frames(spark, folder), 3).select("source", "frame_idx"), spark, "stride")
+
+
+@query("newest_frames", """
+    select event_type as source, event_id as frame_idx, 'buffered' as mode from (
+      select *, row_number() over (partition by event_type order by event_id desc) as n from events) where n <= 30
+    union all select event_type, max(event_id), 'newest' from events group by 1""")
+def newest_frames(spark, folder):
+    """What a reader of one micro-batch sees with and without buffering."""
+    out = scale.run_folder(spark, "newest")
+
+    def keep(batch, batch_id):
+        parts = [sf.newest(batch, n).withColumn("mode", F.lit(mode)) for n, mode in ((30, "buffered"), (1, "newest"))]
+        parts[0].unionByName(parts[1]).write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
+
+    frames = _frames(spark, folder).select("source", "frame_idx")
+    _finish(frames.writeStream.foreachBatch(keep).option("checkpointLocation", f"{out}/checkpoint"))
+    return spark.read.parquet(f"{out}/rows").drop("batch")
+
+
+@query("synchronous_ticks", """
+    with f as (select event_id % 4 as source, (event_id - event_id % 4) / 4 as tick, event_id from events
+               where not (event_id % 4 = 2 and event_id > (select max(event_id) * 0.8 from events)))
+    select cast(tick as bigint) as tick, min(event_id) as first_frame, max(event_id) as last_frame from f group by 1 having count(*) = 4""")
+def synchronous_ticks(spark, folder):
+    """Four sources, one of which ends early."""
+    events = read(spark, folder, "events")
+    limit = events.agg((F.max("event_id") * 0.8).alias("n")).scalar()
+    source = F.col("event_id") % 4
+    frames = events.filter(~((source == 2) & (F.col("event_id") > limit))).select(
+        source.alias("source"), ((F.col("event_id") - source) / 4).cast("long").alias("tick"), F.col("event_id").alias("frame_idx")
+    )
+    rows = sf.ticks(frames, 4)
+    return rows.select(
+        "tick", F.get("frames", 0)["frame_idx"].alias("first_frame"), F.element_at("frames", -1)["frame_idx"].alias("last_frame")
+    )
+
+
+@query("first_writer_wins", "select distinct user_id as image_id from events")
+def first_writer_wins(spark, folder):
+    schema = read(spark, folder, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    images = stream.select(F.col("user_id").alias("image_id"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    return _landed(sf.first_writer_wins(images, "40 days"), spark, "first").select("image_id")
+
+
+@query("score_bin_counts", mq._sql(
+    f""", {mq.SWEEP} select m.label, (select count(*) from grid g where g.threshold <= m.score::double)::int as bin,
+          count(*) filter (is_tp) as tp, count(*) filter (not is_tp) as fp
+        from matched m where not is_ignored group by all""", mq.MATCHED))
+def score_bin_counts(spark, folder):
+    return score_bins(mt.merge_matched(mq.matched(spark, folder)))

@@ -7,6 +7,7 @@ operator take a one-shuffle plan while every group is small and a fully distribu
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -32,6 +33,11 @@ def prepare_checkpoints(spark: SparkSession) -> str:
     return configured or context.getCheckpointDir()
 
 
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for one run's files under the shared checkpoint folder."""
+    return f"{prepare_checkpoints(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise *df* in the shared checkpoint folder, so a lost executor re-reads it instead of recomputing it."""
     prepare_checkpoints(df.sparkSession)

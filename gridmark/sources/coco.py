@@ -19,12 +19,12 @@ class CocoTables:
     annotations: DataFrame  # segmentation stays JSON text: polygons and run-length objects share the field
 
 
-def read_coco(spark: SparkSession, path: str, split: str | None = None) -> CocoTables:
-    """Read one document, a folder or a glob of them.
+def read_coco(spark: SparkSession, path: str, split: str | None = None, one_per_line: bool = False) -> CocoTables:
+    """Read one document, a folder or a glob of them; *one_per_line* for files with a document on every line.
 
     A JSON document is one task, however large; land the tables once with ``save_tables`` and read those afterwards.
     """
-    document = spark.read.schema(COCO_DOCUMENT).option("multiLine", True).json(path)
+    document = spark.read.schema(COCO_DOCUMENT).option("multiLine", not one_per_line).json(path)
     if split is not None:
         document = document.withColumn("split", F.lit(split))
     else:

@@ -150,7 +150,8 @@ def to_coco(images: DataFrame, objects: DataFrame, class_names: DataFrame) -> tu
     ``objects`` holds file_name, line_no, label and a pixel box. Numbering is distributed, never one sorted task.
     """
     numbered = scale.ordered_ids(images.select("file_name", "width", "height"), ["file_name"], "image_id")
-    placed = objects.join(numbered.select("file_name", "image_id"), "file_name")
+    named = objects.drop("image_id", "ann_id")
+    placed = named.join(numbered.select("file_name", "image_id"), "file_name")
     w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     extra = []
     if "keypoints" in objects.columns:

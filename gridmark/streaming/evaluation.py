@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
+from gridmark.functions import boxes as bx
 from gridmark.functions.scalars import grid_position
 from gridmark.operators import matching
 from gridmark.operators.sweep import DEFAULT_GRID
@@ -34,6 +35,8 @@ def pack_images(detections: DataFrame, ground_truth: DataFrame) -> DataFrame:
     """Rows of both tables to whole-image rows."""
 
     def side(rows: DataFrame, schema: StructType, name: str) -> DataFrame:
+        if "area" in schema.names and "area" not in rows.columns:
+            rows = rows.withColumn("area", bx.area(bx.box()))
         fields = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in _without_image(schema).fields])
         return rows.groupBy("image_id").agg(F.collect_list(fields).alias(name))
 
