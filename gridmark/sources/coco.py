@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,17 +23,39 @@ class CocoTables:
     annotations: DataFrame  # segmentation stays JSON text: polygons and run-length objects share the field
 
 
+def _hidden_document(spark: SparkSession, path: str) -> DataFrame:
+    """A document whose file name starts with an underscore, which Spark's file listing skips; read inside a task."""
+
+    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = []
+            for file in batch["_path"]:
+                system, inner = FileSystem.from_uri(file if "://" in file else os.path.abspath(file))
+                with system.open_input_stream(inner) as stream:
+                    texts.append(stream.read().decode("utf-8"))
+            yield batch.assign(value=texts)
+
+    texts = spark.createDataFrame([(path,)], "_path string").mapInPandas(load, "_path string, value string")
+    return texts.select("_path", F.from_json("value", COCO_DOCUMENT).alias("d")).select("_path", "d.*")
+
+
 def read_coco(spark: SparkSession, path: str, split: str | None = None, one_per_line: bool = False) -> CocoTables:
     """Read one document, a folder or a glob of them; *one_per_line* for files with a document on every line.
 
+    The usual file name ``_annotations.coco.json`` must be given in full: Spark does not list names with an underscore.
     A JSON document is one task, however large; land the tables once with ``save_tables`` and read those afterwards.
     """
-    document = spark.read.schema(COCO_DOCUMENT).option("multiLine", not one_per_line).json(path)
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+    if name.startswith(("_", ".")):
+        document = _hidden_document(spark, path)
+    else:
+        document = spark.read.schema(COCO_DOCUMENT).option("multiLine", not one_per_line).json(path)
+        document = document.withColumn("_path", F.col("_metadata.file_path"))
     if split is not None:
         document = document.withColumn("split", F.lit(split))
     else:
         # <split>/<file>.json, the folder the document lies in
-        document = document.withColumn("split", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
+        document = document.withColumn("split", F.regexp_extract(F.col("_path"), r"([^/]+)/[^/]+$", 1))
     images = document.select("split", F.explode("images").alias("i")).select(
         F.col("i.id").alias("image_id"), "i.file_name", "i.width", "i.height", "split"
     )

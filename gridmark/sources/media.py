@@ -16,7 +16,6 @@ LIVE_SCHEMES = ("rtsp", "rtsps", "rtmp", "tcp", "udp", "srt")
 LABELLED_IMAGE_SUFFIXES = ("bmp", "dng", "jpg", "jpeg", "mpo", "png", "tif", "tiff", "webp")
 MANIFEST_HEADERS = ("source", "path")
 LARGEST_CAMERA = 2**31 - 1
-_MAX_CELLS = 64
 
 
 def suffix(path: Column) -> Column:
@@ -65,15 +64,18 @@ def manifest_entries(lines: DataFrame) -> DataFrame:
     counts, else every cell does.
     """
     is_csv = suffix(F.col("file_path")) == "csv"
-    schema = ", ".join(f"c{i} string" for i in range(_MAX_CELLS))
-    parsed = F.from_csv(F.regexp_replace("text", "^﻿", ""), F.lit(schema))
-    cells = F.array(*[parsed[f"c{i}"] for i in range(_MAX_CELLS)])
+    text = F.regexp_replace("text", "^\ufeff", "")
+    # Commas followed by an even number of quotes separate cells; a quoted cell loses its quotes.
+    cells = F.transform(
+        F.split(text, r',(?=(?:[^"]*"[^"]*")*[^"]*$)'),
+        lambda c: F.when(c.rlike(r'^".*"$'), F.regexp_replace(F.substr(c, F.lit(2), F.length(c) - 2), '""', '"')).otherwise(c),
+    )
     used = lambda c: c.isNotNull() & (F.trim(c) != "") & ~F.trim(c).startswith("#")
     rows = lines.select(
         "file_path",
         "line_no",
         is_csv.alias("_csv"),
-        F.when(is_csv, cells).otherwise(F.array(F.regexp_replace("text", "^﻿", ""))).alias("_cells"),
+        F.when(is_csv, cells).otherwise(F.array(text)).alias("_cells"),
     ).filter(F.exists("_cells", used))
     first = rows.filter("_csv").groupBy("file_path").agg(
         F.min_by("_cells", "line_no").alias("_header"), F.min("line_no").alias("_first")
