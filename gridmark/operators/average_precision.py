@@ -65,11 +65,36 @@ _BIN_SCHEMA = "label bigint, lane int, bin int, best double, hits array<bigint>"
 
 def _positive_arrays(ground_truth: DataFrame, lanes: matching.Lanes) -> DataFrame:
     inside = [
-        f"count_if(NOT iscrowd AND area >= {low!r}D AND area <= {high!r}D)"
+        f"array_repeat(count_if(NOT iscrowd AND area >= {low!r}D AND area <= {high!r}D), {len(lanes.thresholds)})"
         for _, low, high in lanes.areas
-        for _ in lanes.thresholds
     ]
-    return ground_truth.groupBy("label").agg(F.expr(f"array({', '.join(inside)}) AS positives"))
+    return ground_truth.groupBy("label").agg(F.expr(f"flatten(array({', '.join(inside)})) AS positives"))
+
+
+def _lane_bits(masks: pd.Series, lane_count: int) -> np.ndarray:
+    """Lanes x rows matrix of the bits of 64-bit masks."""
+    octets = masks.to_numpy("<i8").view(np.uint8).reshape(-1, 8)
+    return np.ascontiguousarray(np.unpackbits(octets, axis=1, bitorder="little", count=lane_count).T)
+
+
+def _slice_totals(slim: DataFrame, lane_count: int) -> DataFrame:
+    """Per class and slice: true positives of every lane, then counted rows of every lane, as one array.
+
+    Summed over bit matrices batch by batch; a generated aggregate over 2 x lanes columns is too large to be compiled.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers = np.arange(2 * lane_count)
+        for batch in batches:
+            for (label, part), rows in batch.groupby(["label", "_slice"]):
+                hit = _lane_bits(rows["tp_mask"], lane_count).sum(axis=1, dtype=np.int64)
+                counted = len(rows) - _lane_bits(rows["ignore_mask"], lane_count).sum(axis=1, dtype=np.int64)
+                yield pd.DataFrame({"label": label, "_slice": part, "n": numbers, "own": np.concatenate((hit, counted))})
+
+    columns = slim.select("label", "_slice", "tp_mask", "ignore_mask")
+    return columns.mapInPandas(run, "label bigint, _slice int, n int, own bigint").groupBy("label", "_slice", "n").agg(
+        F.sum("own").alias("own")
+    )
 
 
 def _bin_batches(lane_count: int, caps: Sequence[int]):
@@ -78,7 +103,6 @@ def _bin_batches(lane_count: int, caps: Sequence[int]):
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lane_numbers = np.arange(lane_count, dtype=np.int64)
         grid = np.asarray(RECALL_GRID)
         stretch: dict = {}
 
@@ -94,7 +118,7 @@ def _bin_batches(lane_count: int, caps: Sequence[int]):
             return pd.DataFrame({"label": stretch["label"], "lane": lane, "bin": level, "best": best, "hits": hits})
 
         for batch in batches:
-            opens = np.flatnonzero(batch["positives"].notna().to_numpy())
+            opens = np.flatnonzero(batch["head"].notna().to_numpy())
             edges = np.unique(np.concatenate(([0], opens, [len(batch)])))
             for start, end in zip(edges[:-1], edges[1:]):
                 part = batch.iloc[start:end]
@@ -102,13 +126,12 @@ def _bin_batches(lane_count: int, caps: Sequence[int]):
                     done = close()
                     if done is not None and len(done):
                         yield done
-                    head = part.iloc[0]
-                    carried = np.asarray(head["carried"], dtype=np.int64)
+                    numbers = np.array(part["head"].iloc[0].split(","), dtype=np.int64)
                     stretch = {
-                        "label": head["label"],
-                        "positives": np.maximum(np.asarray(head["positives"], dtype=np.int64), 1),
-                        "tp": carried[:lane_count],
-                        "seen": carried[lane_count:],
+                        "label": part["label"].iloc[0],
+                        "positives": np.maximum(numbers[:lane_count], 1),
+                        "tp": numbers[lane_count : 2 * lane_count],
+                        "seen": numbers[2 * lane_count :],
                         "best": np.zeros((lane_count, len(grid) + 1)),
                         "hits": np.zeros((lane_count, len(caps)), dtype=np.int64),
                     }
@@ -117,18 +140,25 @@ def _bin_batches(lane_count: int, caps: Sequence[int]):
                 part = part[part["label"] == stretch["label"]] if stretch else part.iloc[:0]
                 if not len(part):
                     continue
-                hit = (part["tp_mask"].to_numpy(np.int64)[:, None] >> lane_numbers) & 1
-                counted = 1 - ((part["ignore_mask"].to_numpy(np.int64)[:, None] >> lane_numbers) & 1)
-                tp = stretch["tp"] + np.cumsum(hit, axis=0)
-                seen = stretch["seen"] + np.cumsum(counted, axis=0)
-                stretch["tp"], stretch["seen"] = tp[-1], seen[-1]
-                row, lane = np.nonzero(hit)
-                reached = tp[row, lane]
-                level = np.searchsorted(grid, reached / stretch["positives"][lane], side="right")
-                np.maximum.at(stretch["best"], (lane, level), reached / seen[row, lane])
+                hit = _lane_bits(part["tp_mask"], lane_count)
+                counted = 1 - _lane_bits(part["ignore_mask"], lane_count)
+                tp = stretch["tp"][:, None] + np.cumsum(hit, axis=1, dtype=np.int64)
+                seen = stretch["seen"][:, None] + np.cumsum(counted, axis=1, dtype=np.int64)
+                stretch["tp"], stretch["seen"] = tp[:, -1], seen[:, -1]
                 rank = part["rank"].to_numpy(np.int64)
                 for position, cap in enumerate(caps):
-                    stretch["hits"][:, position] += hit[rank < cap].sum(axis=0)
+                    stretch["hits"][:, position] += hit[:, rank < cap].sum(axis=1, dtype=np.int64)
+                lane, row = np.nonzero(hit)
+                if not len(lane):
+                    continue
+                reached = tp[lane, row]
+                level = np.searchsorted(grid, reached / stretch["positives"][lane], side="right")
+                # Lanes ascend and recall only grows along a lane, so equal bins are neighbours.
+                bins = lane * (len(grid) + 1) + level
+                first = np.flatnonzero(np.concatenate(([True], bins[1:] != bins[:-1])))
+                peaks = np.maximum.reduceat(reached / seen[lane, row], first)
+                flat = stretch["best"].reshape(-1)
+                flat[bins[first]] = np.maximum(flat[bins[first]], peaks)
         done = close()
         if done is not None and len(done):
             yield done
@@ -153,17 +183,17 @@ def precision_bins(
     else:
         keys = ["label", "_slice"]
         slim = scale.order_slices(scale.cut_lineage(slim), ["label"], _ORDER)
-        sums = [f"sum(getbit(tp_mask, {i}))" for i in range(count)]
-        sums += [f"sum(1 - getbit(ignore_mask, {i}))" for i in range(count)]
-        totals = slim.groupBy(*keys).agg(F.expr(f"array({', '.join(sums)}) AS own"))
-        window = "OVER (PARTITION BY label ORDER BY _slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-        # One row per class and range, so even the class that fills every range has as many rows as there are slices.
-        before = [f"coalesce(sum(own[{i}]) {window}, 0L)" for i in range(2 * count)]
-        heads = totals.selectExpr(*keys, f"array({', '.join(before)}) AS carried").join(positive, "label")
-    heads = heads.selectExpr(*keys, "0 AS _kind", "positives", "carried")
+        # One row per class, range and counter; a window holds as many rows as there are slices.
+        window = "OVER (PARTITION BY label, n ORDER BY _slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        before = _slice_totals(slim, count).selectExpr(*keys, "n", f"coalesce(sum(own) {window}, 0L) AS before")
+        carried = "transform(array_sort(collect_list(named_struct('n', n, 'v', before))), c -> c.v) AS carried"
+        heads = before.groupBy(*keys).agg(F.expr(carried)).join(positive, "label")
+    # As text: the column is null on all other rows, and nested columns are converted to Python value by value.
+    heads = heads.selectExpr(*keys, "0 AS _kind", "array_join(concat(positives, carried), ',') AS head")
     rows = slim.selectExpr("*", "1 AS _kind").unionByName(heads, allowMissingColumns=True)
-    placed = rows.repartition(*keys).sortWithinPartitions(*keys, "_kind", *[scale.sort_column(t) for t in _ORDER])
-    bins = placed.select("label", "rank", "tp_mask", "ignore_mask", "positives", "carried").mapInPandas(
+    # A fixed number of partitions, so that small inputs are not merged into one Python worker.
+    placed = rows.repartition(scale.slice_count(rows.sparkSession), *keys).sortWithinPartitions(*keys, "_kind", *[scale.sort_column(t) for t in _ORDER])
+    bins = placed.select("label", "rank", "tp_mask", "ignore_mask", "head").mapInPandas(
         _bin_batches(count, tuple(max_dets)), _BIN_SCHEMA
     )
     named = bins.withColumns(lanes.names())

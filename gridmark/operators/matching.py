@@ -452,8 +452,8 @@ def match_lanes(
     protocol's cap per image and class, taken in rank order before matching.
     """
     d, g = _detection_columns(detections, lanes), _truth_columns(ground_truth, lanes)
-    counted = [detections, ground_truth] if pairs is None else [detections, ground_truth, pairs]
-    large = scale.groups_over(counted, GROUP, group_row_limit)
+    # A group's pairs cannot outnumber its detections times its ground truths, so both plans are bounded by these.
+    large = scale.groups_over([detections, ground_truth], GROUP, group_row_limit)
 
     def fold(left: DataFrame, right: DataFrame, found: DataFrame | None) -> DataFrame:
         if found is None:
