@@ -48,31 +48,24 @@ def sigma_column(k: Column, sigmas: Sequence[float] | None = None) -> Column:
     return F.when(k == len(PERSON_SIGMAS), person).otherwise(F.array_repeat(F.lit(CUSTOM_SIGMA), k.cast("int")))
 
 
-def similarity(found: Column, truth: Column, sigmas: Column, area: Column, x: Column, y: Column, w: Column, h: Column) -> Column:
-    """Keypoint similarity of two flat x, y, v lists.
-
-    With labelled points, the mean over them of exp(-squared distance / (2 * (2 sigma)^2 * area)). Without, distances
-    are to the box extended by its own size on every side.
-    """
-    labelled = F.size(F.filter(truth, lambda v, i: (i % 3 == 2) & (v > 0)))
-    zero = F.lit(0.0)
-
-    def term(sigma: Column, index: Column) -> Column:
-        xd, yd = F.get(found, index * 3), F.get(found, index * 3 + 1)
-        xg, yg, vg = F.get(truth, index * 3), F.get(truth, index * 3 + 1), F.get(truth, index * 3 + 2)
-        dx = F.when(labelled > 0, xd - xg).otherwise(
-            F.greatest(zero, (x - w) - xd) + F.greatest(zero, xd - (x + w * 2.0))
-        )
-        dy = F.when(labelled > 0, yd - yg).otherwise(
-            F.greatest(zero, (y - h) - yd) + F.greatest(zero, yd - (y + h * 2.0))
-        )
-        variance = (sigma * 2.0) * (sigma * 2.0)
-        e = (dx * dx + dy * dy) / variance / (area + SPACING) / 2.0
-        return F.when((labelled > 0) & (vg <= 0), F.lit(None).cast("double")).otherwise(F.exp(-e))
-
-    terms = F.filter(F.transform(sigmas, term), lambda t: t.isNotNull())
-    total = F.aggregate(terms, zero, lambda acc, t: acc + t)
-    return F.when(F.size(terms) > 0, total / F.size(terms)).otherwise(zero)
+# Points of a ground truth that count, with their variance: the labelled ones, or all when none is labelled.
+_COUNTED = """
+filter(transform(sequence(0, size(_sigmas) - 1), i -> named_struct(
+    'i', i, 'x', get(keypoints, 3 * i), 'y', get(keypoints, 3 * i + 1), 'v', get(keypoints, 3 * i + 2),
+    'variance', (2D * _sigmas[i]) * (2D * _sigmas[i]))),
+  p -> p.v > 0 OR _labelled = 0)
+"""
+# Distance to a labelled point, else to the box extended by its own size on every side.
+_DISTANCE = (
+    "CASE WHEN _labelled > 0 THEN get(_found, 3 * p.i{part}) - p.{axis} ELSE "
+    "greatest(0D, _low_{axis} - get(_found, 3 * p.i{part})) + greatest(0D, get(_found, 3 * p.i{part}) - _high_{axis}) END"
+)
+_SIMILARITY = """
+CASE WHEN size(_points) = 0 THEN 0D ELSE aggregate(
+  transform(_points, p -> named_struct('dx', {dx}, 'dy', {dy}, 'variance', p.variance)),
+  0D, (total, d) -> total + exp(-((d.dx * d.dx + d.dy * d.dy) / d.variance / (_area + {spacing!r}D) / 2D))
+) / size(_points) END
+"""
 
 
 def similarity_pairs(
@@ -80,25 +73,32 @@ def similarity_pairs(
 ) -> DataFrame:
     """Similarity of detections and ground truths of the same image and category, for use as matching pairs.
 
-    Detections are capped at 20 per image and category by the protocol before this join, so a ground truth meets at
-    most 20 partners.
+    With labelled points it is their mean of exp(-squared distance / (2 * (2 sigma)^2 * area)). Everything that only
+    depends on the ground truth is computed before the join. Detections are capped at 20 per image and category by the
+    protocol, so a ground truth meets at most 20 partners.
     """
-    truth = ground_truth.join(
-        counts.select(F.col("category_id").alias("label"), "k"), "label"
-    ).select(
+    known = counts.select(F.col("category_id").alias("label"), "k")
+    truth = ground_truth.join(known, "label").withColumn("_sigmas", sigma_column(F.col("k"), sigmas))
+    truth = truth.withColumn(
+        "_labelled", F.expr("size(filter(slice(keypoints, 1, 3 * k), (v, i) -> i % 3 = 2 AND v > 0))")
+    )
+    truth = truth.selectExpr(
         *matching.GROUP,
         "gt_idx",
-        F.col("keypoints").alias("_truth"),
-        F.col("area").alias("_area"),
-        *[F.col(c).alias(f"_{c}") for c in ("x1", "y1", "x2", "y2")],
-        sigma_column(F.col("k"), sigmas).alias("_sigmas"),
+        "area AS _area",
+        "_labelled",
+        f"{_COUNTED} AS _points",
+        "x1 - (x2 - x1) AS _low_x",
+        "x1 + 2D * (x2 - x1) AS _high_x",
+        "y1 - (y2 - y1) AS _low_y",
+        "y1 + 2D * (y2 - y1) AS _high_y",
     )
     joined = detections.select(*matching.GROUP, "det_idx", F.col("keypoints").alias("_found")).join(truth, matching.GROUP)
-    value = similarity(
-        F.col("_found"), F.col("_truth"), F.col("_sigmas"), F.col("_area"),
-        F.col("_x1"), F.col("_y1"), F.col("_x2") - F.col("_x1"), F.col("_y2") - F.col("_y1"),
-    )
-    return joined.select(*matching.GROUP, "det_idx", "gt_idx", value.alias("overlap"))
+    value = _SIMILARITY.format(
+        dx=_DISTANCE.format(part="", axis="x"), dy=_DISTANCE.format(part=" + 1", axis="y"), spacing=SPACING
+    )
+    # Generated instead of projected, so that a filter on it does not evaluate it twice.
+    return joined.selectExpr(*matching.GROUP, "det_idx", "gt_idx", f"explode(array({value})) AS overlap")
 
 
 def point_box(keypoints: Column) -> list[Column]:
