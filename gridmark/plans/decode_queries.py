@@ -135,7 +135,7 @@ def _point_sql(p: int) -> str:
 _KEYPOINTS_SQL = f"""
     with {_SCORED},
     best as (select * from (select *, row_number() over (partition by image_id order by score desc, flat_idx) - 1 as det_idx
-             from scored where label < 3) where det_idx < 9),
+             from scored) where det_idx < 9),
     points as (select image_id, query_idx, [{", ".join(_point_sql(p) for p in range(4))}] as p from raw),
     picked as (select b.*, width, height, case label when 0 then p[1:2] when 1 then p[3:3] else [] end as p
                from best b join points using (image_id, query_idx) join img using (image_id)),
@@ -167,7 +167,7 @@ def keypoint_decode(spark, folder):
 
 
 def _decoded(spark, folder):
-    scored = dc.explode_scores(view(spark, folder, "raw")).filter("label < 3")
+    scored = dc.explode_scores(view(spark, folder, "raw"))
     best = dc.select_topk(scored, 9)
     return dc.decode_keypoints(best, _raw_points(spark, folder), view(spark, folder, "img"), [2, 1])
 

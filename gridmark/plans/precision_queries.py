@@ -183,15 +183,18 @@ def size_buckets(spark, folder):
 
 
 _SUBSET = protocol_sql(
-    _BOX_PAIRS, _BOX_TRUTH + " where image_id % 3 = 1", _BOX_FOUND + " where image_id % 3 = 1", 100
+    _BOX_PAIRS,
+    _BOX_TRUTH + " where image_id in (select image_id from img where split = 'val')",
+    _BOX_FOUND + " where image_id in (select image_id from img where split = 'val')",
+    100,
 )
 
 
 @query("subset_average_precision", with_views(
     f"with recursive {_SUBSET}, {_STATS} select statistic, greatest(round(value, 9), 0) as value from stats"
-    " where statistic in ('AP', 'AP50')", "det", "gt", recursive=True))
+    " where statistic in ('AP', 'AP50')", "det", "gt", "img", recursive=True))
 def subset_average_precision(spark, folder):
-    subset = view(spark, folder, "img").filter(F.col("image_id") % 3 == 1)
+    subset = view(spark, folder, "img").filter("split = 'val'")
     rows = ap.evaluate_subset(*mq.sides(spark, folder), subset)
     return rows.withColumn("value", F.round("value", 9))
 
