@@ -214,3 +214,23 @@ def test_stream_ticks_and_watermarks(spark, tmp_path):
     assert sf.newest(frames, 1).count() == 3 and sf.newest(frames, 2).count() == 6
     with pytest.raises(ValueError):
         sf.every_nth(frames, 0)
+
+
+def test_ticks_on_a_stream(spark, tmp_path):
+    """Complete ticks are emitted once the watermark passes them; the incomplete tick 1 never is."""
+    rows = [(s, t, t * 10 + s, t * 60) for t in range(6) for s in range(2) if not (s == 1 and t == 1)]
+    frames = spark.createDataFrame(rows, "source long, tick long, frame_idx long, second long")
+    frames = frames.withColumn("ts", F.timestamp_seconds(F.col("second"))).drop("second")
+    for tick in range(6):
+        frames.filter(F.col("tick") == tick).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = (
+        sf.ticks(stream, 2, "30 seconds").writeStream.outputMode("append").format("parquet")
+        .option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state"))
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out")).collect()
+    emitted = sorted(r.tick for r in out)
+    assert emitted and 1 not in emitted and len(emitted) == len(set(emitted))
+    assert all([f.source for f in r.frames] == [0, 1] for r in out)
