@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-_MODULES = ("sharding", "mixing", "quality_rules", "token_counts", "license_scan")
+_MODULES = ("sharding", "jaccard_join", "mixing", "quality_rules", "token_counts", "license_scan")
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:

@@ -9,9 +9,9 @@ the overlap that 0.8 needs.
 
 Work: (1) one pass counts shingles into the sketch and writes a fingerprint of every document's set; (2) one pass sends
 prefixes, packed by shingle bucket, to tasks that keep the lists of two documents or more; copies of a set count once;
-(3) in every list the set with the smallest number is the leader; candidates with leaders are verified on whole texts
-and linked, which joins large families by as many pairs as they have members; (4) pairs whose classes are still apart are
-then looked for in all lists, verified in the same way, until no pair across classes is left unverified.
+(3) in every list the set in which the shingle comes first (it has the fewest rarer ones) is the leader; pairs with
+leaders are verified on whole texts and linked, which joins large families by as many pairs as they have members; (4) in
+the lists whose classes still differ, all pairs across classes that share enough are verified in the same way.
 So every document that a link can reach is reached, though not every link within a class is spelled out. Lists
 of very frequent shingles are dealt in blocks, each pair of blocks to a task of its own.
 
@@ -39,6 +39,8 @@ from gridmark.llm.shingles import mix, shingle_sets
 MAX_LEVEL = 8
 # Documents of one shingle's list that a task compares; longer lists are dealt in blocks of this size.
 LIST_BLOCK = 20_000
+# Postings of lists with several classes that one task compares.
+CROSS_POSTINGS = 500_000
 # Candidates for one document cost about its length; a posting costs one.
 VERIFY_COST = 0.1
 _PACK = np.dtype([("token", "<u8"), ("cid", "<i8"), ("n", "<u4"), ("place", "<u4"), ("part", "<u4"), ("block", "<u2"),
@@ -236,38 +238,39 @@ def _counted(pairs: list[np.ndarray]) -> pd.DataFrame:
 
 
 def _leader_pairs(lists: DataFrame) -> DataFrame:
-    """Candidates (leader, member) of every list; the leader is its smallest set number."""
+    """Pairs (leader, member) of every list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob in batch.column(1):
                 whole = _unpack(blob.as_py())
                 starts = _list_starts(whole)
-                # Postings of a list are in the order of their set numbers.
-                head = whole[np.repeat(starts, np.diff(np.append(starts, len(whole))))]
+                sizes = np.diff(np.append(starts, len(whole)))
+                number = np.repeat(np.arange(len(starts)), sizes)
+                leaders = np.lexsort((whole["cid"], whole["place"], number))[starts]
+                head = whole[np.repeat(leaders, sizes)]
                 ok = (head["cid"] != whole["cid"]) & _may_match(head, whole)
                 if ok.any():
                     yield pa.RecordBatch.from_pandas(_counted([_pair_rows(head[ok], whole[ok])]), preserve_index=False)
 
-    return lists.mapInArrow(run, _PAIR_SCHEMA)
+    return lists.mapInArrow(run, _PAIR_SCHEMA).select("a", "b").distinct()
 
 
-def _cross_pairs(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """Candidates of every list whose classes differ."""
+def _mixed_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """The lists whose members are in different classes: (postings, labels)."""
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bucket, blob in zip(batch.column(0), batch.column(1), strict=True):
                 cids = np.unique(_unpack(blob.as_py())["cid"])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(cids), bucket.as_py()), pa.int32()), pa.array(cids, pa.int64())], ["bucket", "node"]
-                )
+                columns = [pa.array(np.full(len(cids), bucket.as_py()), pa.int32()), pa.array(cids, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "node"])
 
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+    def tag(left: pa.Table, right: pa.Table) -> pa.Table:
         nodes, tags = right["node"].to_numpy(), right["label"].to_numpy()
         order = np.argsort(nodes)
         nodes, tags = nodes[order], tags[order]
-        pairs: list[np.ndarray] = []
+        out: list[list[bytes]] = [[], []]
         for blob in left["postings"].to_pylist():
             whole = _unpack(blob)
             label = whole["cid"].copy()
@@ -276,13 +279,50 @@ def _cross_pairs(lists: DataFrame, labels: DataFrame) -> DataFrame:
                 label = np.where(nodes[at] == label, tags[at], label)
             starts = _list_starts(whole)
             mixed = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)
+            kept = np.repeat(mixed, np.diff(np.append(starts, len(whole))))
+            if kept.any():
+                out[0].append(_pack(whole[kept]))
+                out[1].append(label[kept].tobytes())
+        return pa.table([pa.array(c, pa.binary()) for c in out], names=["postings", "labels"])
+
+    tagged = lists.mapInArrow(members, "bucket int, node bigint").join(labels, "node")
+    return lists.groupBy("bucket").cogroup(tagged.groupBy("bucket")).applyInArrow(tag, "postings binary, labels binary")
+
+
+def _cross_pairs(mixed: DataFrame) -> DataFrame:
+    """Pairs of members of different classes in every list, and how many lists of a task they share."""
+    held = mixed.agg(F.sum(F.length("labels") / 8)).first()[0] or 0
+    # Few large tasks count most of a pair's lists in one place.
+    tasks = int(held // CROSS_POSTINGS) + 1
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob, tags in zip(batch.column(0), batch.column(1), strict=True):
+                whole, label = _unpack(blob.as_py()), np.frombuffer(tags.as_py(), "<i8")
+                where = (mix(whole["token"]) % np.uint64(tasks)).astype(np.int64)
+                for task in np.unique(where):
+                    own = where == task
+                    columns = [pa.array([task], pa.int32()), pa.array([_pack(whole[own])], pa.binary()),
+                               pa.array([label[own].tobytes()], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["task", "postings", "labels"])
+
+    def compare(table: pa.Table) -> pa.Table:
+        pairs: list[np.ndarray] = []
+        for blob, tags in zip(table["postings"].to_pylist(), table["labels"].to_pylist(), strict=True):
+            whole, label = _unpack(blob), np.frombuffer(tags, "<i8")
+            starts = _list_starts(whole)
             ends = np.append(starts[1:], len(whole))
-            for begin, end in zip(starts[mixed], ends[mixed], strict=True):
+            # Lists of two, the most by far, at once; then the others one by one.
+            twos = starts[(ends - starts == 2) & (whole["part"][starts] == 0)]
+            ok = (label[twos] != label[twos + 1]) & _may_match(whole[twos], whole[twos + 1])
+            pairs.append(_pair_rows(whole[twos][ok], whole[twos + 1][ok]))
+            more = (ends - starts > 2) | (whole["part"][starts] > 0)
+            for begin, end in zip(starts[more], ends[more], strict=True):
                 one, own = whole[begin:end], label[begin:end]
                 for i in range(len(one) - 1):
                     apart = own[i + 1 :] != own[i]
                     if one["part"][0]:
-                        apart &= _meets_here(one, i)
+                        apart = apart & _meets_here(one, i)
                     rest = one[i + 1 :][apart]
                     head = np.repeat(one[i : i + 1], len(rest))
                     ok = _may_match(head, rest)
@@ -290,8 +330,7 @@ def _cross_pairs(lists: DataFrame, labels: DataFrame) -> DataFrame:
                         pairs.append(_pair_rows(head[ok], rest[ok]))
         return pa.Table.from_pandas(_counted(pairs), preserve_index=False)
 
-    tagged = lists.mapInArrow(members, "bucket int, node bigint").join(labels, "node")
-    return lists.groupBy("bucket").cogroup(tagged.groupBy("bucket")).applyInArrow(compare, _PAIR_SCHEMA)
+    return mixed.mapInArrow(spread, "task int, postings binary, labels binary").groupBy("task").applyInArrow(compare, _PAIR_SCHEMA)
 
 
 def _meets_here(one: np.ndarray, i: int) -> np.ndarray:
@@ -371,9 +410,10 @@ def near_duplicate_classes(
 
     own = F.col("doc_id").isNotNull() & (F.col("n") > 0)
     firsts = stored(profiles.filter(own).groupBy("cid").agg(F.min("doc_id").alias("low")), "jaccard-sets")
-    first = stored(_candidates(_leader_pairs(lists)), "jaccard-leaders")
+    first = stored(_leader_pairs(lists), "jaccard-leaders")
     links = stored(_verified(first, _wanted_texts(narrow, first, firsts)), "jaccard-links")
-    cross = stored(_candidates(_cross_pairs(lists, components(links))).join(first, ["a", "b"], "left_anti"), "jaccard-cross")
+    mixed = stored(_mixed_lists(lists, components(links)), "jaccard-mixed")
+    cross = stored(_candidates(_cross_pairs(mixed)).join(first, ["a", "b"], "left_anti"), "jaccard-cross")
     if not cross.isEmpty():
         more = _verified(cross, _wanted_texts(narrow, cross, firsts))
         links = links.unionByName(stored(more, "jaccard-links"))
