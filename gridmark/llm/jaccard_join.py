@@ -306,9 +306,16 @@ def _cross_pairs(mixed: DataFrame) -> DataFrame:
                                pa.array([label[own].tobytes()], pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, ["task", "postings", "labels"])
 
-    def compare(table: pa.Table) -> pa.Table:
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for task, blob in zip(batch.column(0), batch.column(1), strict=True):
+                cids, n = np.unique(_unpack(blob.as_py())["cid"], return_counts=True)
+                columns = [pa.array(np.full(len(cids), task.as_py()), pa.int32()), pa.array(cids), pa.array(n, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["task", "cid", "here"])
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         pairs: list[np.ndarray] = []
-        for blob, tags in zip(table["postings"].to_pylist(), table["labels"].to_pylist(), strict=True):
+        for blob, tags in zip(left["postings"].to_pylist(), left["labels"].to_pylist(), strict=True):
             whole, label = _unpack(blob), np.frombuffer(tags, "<i8")
             starts = _list_starts(whole)
             ends = np.append(starts[1:], len(whole))
@@ -328,9 +335,21 @@ def _cross_pairs(mixed: DataFrame) -> DataFrame:
                     ok = _may_match(head, rest)
                     if ok.any():
                         pairs.append(_pair_rows(head[ok], rest[ok]))
-        return pa.Table.from_pandas(_counted(pairs), preserve_index=False)
-
-    return mixed.mapInArrow(spread, "task int, postings binary, labels binary").groupBy("task").applyInArrow(compare, _PAIR_SCHEMA)
+        counted = _counted(pairs)
+        # A pair goes on if its lists here, and as many as both can have in other tasks, make up its level.
+        cids, rest = right["cid"].to_numpy(), right["total"].to_numpy() - right["here"].to_numpy()
+        order = np.argsort(cids)
+        cids, rest = cids[order], rest[order]
+        elsewhere = np.minimum(*(rest[np.searchsorted(cids, counted[side].to_numpy())] for side in "ab"))
+        counted = counted[counted["shared"] + elsewhere >= counted["level"]]
+        return pa.Table.from_pandas(counted, preserve_index=False)
+
+    dealt = mixed.mapInArrow(spread, "task int, postings binary, labels binary")
+    here = dealt.mapInArrow(members, "task int, cid bigint, here bigint")
+    here = here.groupBy("task", "cid").agg(F.sum("here").alias("here"))
+    totals = here.groupBy("cid").agg(F.sum("here").alias("total"))
+    here = here.join(totals, "cid")
+    return dealt.groupBy("task").cogroup(here.groupBy("task")).applyInArrow(compare, _PAIR_SCHEMA)
 
 
 def _meets_here(one: np.ndarray, i: int) -> np.ndarray:
