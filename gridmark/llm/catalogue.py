@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-_MODULES = ("sharding", "embedding_dedup", "jaccard_join", "mixing", "line_dedup", "packing", "quality_rules",
-            "token_counts", "license_scan")
+_MODULES = ("sharding", "embedding_dedup", "jaccard_join", "mixing", "line_dedup", "packing", "language_model",
+            "quality_rules", "token_counts", "license_scan")
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
