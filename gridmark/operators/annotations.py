@@ -144,7 +144,8 @@ def pad_targets(targets: DataFrame, images: DataFrame, count: int, order: list[s
     rows per map task.
     """
     rank = F.row_number().over(Window.partitionBy("image_id").orderBy(*order))
-    kept = targets.withColumn("slot", rank - 1).filter(F.col("slot") < count).withColumn("valid", F.lit(True))
+    kept = targets.withColumn("slot", rank).filter(F.col("slot") <= count)
+    kept = kept.withColumn("slot", F.col("slot") - 1).withColumn("valid", F.lit(True))
     slots = images.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("slot"))
     padded = slots.join(kept, ["image_id", "slot"], "left")
     fillers = {"bigint": 0, "int": 0, "double": 0.0, "boolean": False}

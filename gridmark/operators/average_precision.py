@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -167,27 +168,23 @@ def _bin_batches(lane_count: int, caps: Sequence[int]):
 
 
 def precision_bins(
-    scored: DataFrame, ground_truth: DataFrame, lanes: matching.Lanes, max_dets: Sequence[int], large: bool
+    scored: DataFrame, ground_truth: DataFrame, lanes: matching.Lanes, max_dets: Sequence[int]
 ) -> DataFrame:
     """Largest precision per class, lane and recall bin, and true positives per cap.
 
-    Rows of a class are read in order of score, image and rank by one streaming task per class. With *large*, order
-    ranges of equal size replace classes as the unit: each starts from the counts of the ranges before it.
+    Rows are read in order of class, score, image and rank in ranges of equal size: each starts from the counts of its
+    class's ranges before it, so no task grows with a class.
     """
     slim = scored.select("label", "image_id", "rank", "score", "tp_mask", "ignore_mask")
     positive = _positive_arrays(ground_truth, lanes)
     count = len(lanes)
-    keys = ["label"]
-    if not large:
-        heads = positive.withColumn("carried", F.expr(f"array_repeat(0L, {2 * count})"))
-    else:
-        keys = ["label", "_slice"]
-        slim = scale.order_slices(scale.cut_lineage(slim), ["label"], _ORDER)
-        # One row per class, range and counter; a window holds as many rows as there are slices.
-        window = "OVER (PARTITION BY label, n ORDER BY _slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-        before = _slice_totals(slim, count).selectExpr(*keys, "n", f"coalesce(sum(own) {window}, 0L) AS before")
-        carried = "transform(array_sort(collect_list(named_struct('n', n, 'v', before))), c -> c.v) AS carried"
-        heads = before.groupBy(*keys).agg(F.expr(carried)).join(positive, "label")
+    keys = ["label", "_slice"]
+    slim = scale.order_slices(scale.cut_lineage(slim), ["label"], _ORDER)
+    # One row per class, range and counter; a window holds as many rows as there are slices.
+    window = "OVER (PARTITION BY label, n ORDER BY _slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    before = _slice_totals(slim, count).selectExpr(*keys, "n", f"coalesce(sum(own) {window}, 0L) AS before")
+    carried = "transform(array_sort(collect_list(named_struct('n', n, 'v', before))), c -> c.v) AS carried"
+    heads = before.groupBy(*keys).agg(F.expr(carried)).join(positive, "label")
     # As text: the column is null on all other rows, and nested columns are converted to Python value by value.
     heads = heads.selectExpr(*keys, "0 AS _kind", "array_join(concat(positives, carried), ',') AS head")
     rows = slim.selectExpr("*", "1 AS _kind").unionByName(heads, allowMissingColumns=True)
@@ -208,7 +205,6 @@ def accumulate(
     ground_truth: DataFrame,
     lanes: matching.Lanes,
     max_dets: Sequence[int],
-    large: bool = False,
 ) -> Evaluation:
     """Interpolated precision and final recall per class, threshold and area range.
 
@@ -224,7 +220,7 @@ def accumulate(
         F.explode(F.array(*[F.lit(t) for t in lanes.thresholds])).alias("iou"),
     )
     keys = ["label", "area_range", "iou"]
-    binned = scale.cut_lineage(precision_bins(scored, ground_truth, lanes, max_dets, large))
+    binned = scale.cut_lineage(precision_bins(scored, ground_truth, lanes, max_dets))
     levels = frame.select(
         "*", F.posexplode(F.array(*[F.lit(r) for r in RECALL_GRID])).alias("_position", "recall_level")
     ).withColumn("bin", F.col("_position") + 1)
@@ -262,17 +258,23 @@ def evaluate(
     max_dets: Sequence[int] = BOX_MAX_DETS,
     pairs: DataFrame | None = None,
     group_row_limit: int = scale.GROUP_ROW_LIMIT,
-    window_row_limit: int = scale.WINDOW_ROW_LIMIT,
 ) -> Evaluation:
     """Full evaluation of one run. Ground truth without an ``area`` column uses box areas.
 
-    Classes that only appear in detections are kept and come out undefined.
+    Classes that only appear in detections are kept and come out undefined. A grid too long for one pass is evaluated
+    in several.
     """
+    passes = matching.lane_passes(iou_grid, area_names)
+    if len(passes) > 1:
+        options = {"area_names": area_names, "max_dets": max_dets, "pairs": pairs, "group_row_limit": group_row_limit}
+        parts = [evaluate(detections, ground_truth, iou_grid=p, **options) for p in passes]
+        return Evaluation(
+            reduce(DataFrame.unionByName, [p.precision for p in parts]), reduce(DataFrame.unionByName, [p.recall for p in parts])
+        )
     truth = truth_areas(ground_truth)
     lanes = matching.coco_lanes(iou_grid, area_names)
     scored = matching.match_lanes(detections, truth, lanes, pairs, max(max_dets), group_row_limit)
-    large = scale.any_rows(scale.groups_over([detections], ["label"], window_row_limit))
-    result = accumulate(scored, truth, lanes, max_dets, large)
+    result = accumulate(scored, truth, lanes, max_dets)
     only_detected = detections.select("label").distinct().join(truth.select("label"), "label", "left_anti")
     blank = only_detected.select(
         "label",

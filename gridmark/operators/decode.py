@@ -62,7 +62,9 @@ def select_topk(scored: DataFrame, k: int = DEFAULT_SELECT, threshold: float | N
     if threshold is not None:
         scored = scored.filter(F.isnan("score") | (F.col("score") > threshold))
     order = Window.partitionBy("image_id").orderBy(F.col("score").desc(), "flat_idx")
-    best = scored.withColumn("det_idx", F.row_number().over(order) - 1).filter(F.col("det_idx") < k)
+    # Spark limits groups before the shuffle only for a filter on the row number itself.
+    best = scored.withColumn("det_idx", F.row_number().over(order)).filter(F.col("det_idx") <= k)
+    best = best.withColumn("det_idx", F.col("det_idx") - 1)
     return best if threshold is None else best.filter(~F.isnan("score"))
 
 

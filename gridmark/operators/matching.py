@@ -42,6 +42,9 @@ class Lanes:
             raise ValueError(f"crowd_rule must be 'iou' or 'coverage', got {self.crowd_rule!r}")
         if not 0 < len(self) < 64:
             raise ValueError("between 1 and 63 lanes fit into one pass; split the thresholds into several passes")
+        if min(self.thresholds) <= 0:
+            # At 0 every pair of a group would match, touching or not; that is no matching but an all-pairs join.
+            raise ValueError("overlap thresholds must be positive")
 
     def __len__(self) -> int:
         return len(self.thresholds) * max(1, len(self.areas))
@@ -83,6 +86,12 @@ class Lanes:
         }
 
 
+def lane_passes(thresholds: Sequence[float], area_names: Sequence[str]) -> list[Sequence[float]]:
+    """Thresholds in as many runs as it takes for each to fit into one pass of at most 63 lanes."""
+    size = 63 // max(1, len(area_names))
+    return [thresholds[i : i + size] for i in range(0, len(thresholds), size)]
+
+
 def coco_lanes(thresholds: Sequence[float], area_names: Sequence[str] = ("all", "small", "medium", "large")) -> Lanes:
     """Lanes of the published protocol: capped thresholds, crowd coverage, later ground truth wins a tie."""
     areas = tuple((n, *AREA_RANGES[n]) for n in area_names)
@@ -92,8 +101,10 @@ def coco_lanes(thresholds: Sequence[float], area_names: Sequence[str] = ("all",
 def rank_detections(detections: DataFrame, limit: int | None = None) -> DataFrame:
     """Rank per image and class by score, ties by det_idx, NaN last; keep the first *limit*."""
     order = Window.partitionBy(*GROUP).orderBy(F.isnan("score"), F.col("score").desc(), "det_idx")
-    ranked = detections.withColumn("rank", F.row_number().over(order) - 1)
-    return ranked if limit is None else ranked.filter(F.col("rank") < limit)
+    ranked = detections.withColumn("rank", F.row_number().over(order))
+    # Spark limits groups before the shuffle only for a filter on the row number itself.
+    kept = ranked if limit is None else ranked.filter(F.col("rank") <= limit)
+    return kept.withColumn("rank", F.col("rank") - 1)
 
 
 def overlap_pairs(detections: DataFrame, ground_truth: DataFrame, minimum: float = 0.0) -> DataFrame:

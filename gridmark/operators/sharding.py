@@ -21,21 +21,16 @@ def footprint(payload_bytes: Column) -> Column:
     return F.lit(BLOCK_BYTES) + F.ceil(payload_bytes / BLOCK_BYTES) * BLOCK_BYTES
 
 
-def plan_shards(
-    samples: DataFrame, max_bytes: int = DEFAULT_SHARD_BYTES, window_row_limit: int = scale.WINDOW_ROW_LIMIT
-) -> DataFrame:
+def plan_shards(samples: DataFrame, max_bytes: int = DEFAULT_SHARD_BYTES) -> DataFrame:
     """Add ``bytes`` and ``shard_id`` to samples (split, position, payload_bytes, sidecar_bytes).
 
-    Shards are cut on the running offset inside the split, so no shard exceeds *max_bytes* plus one sample. A split
-    too long for one task is scanned in range slices.
+    Shards are cut on the running offset inside the split, so no shard exceeds *max_bytes* plus one sample.
+    Splits are scanned in range slices, so their length does not matter.
     """
     if max_bytes <= 0:
         raise ValueError(f"max_bytes must be positive, got {max_bytes}")
     sized = samples.withColumn("bytes", footprint(F.col("payload_bytes")) + footprint(F.col("sidecar_bytes")))
-    large = scale.any_rows(scale.groups_over([sized], ["split"], window_row_limit))
-    summed = scale.running_totals(
-        sized, ["split"], ["position"], {"_before": "bytes"}, large=large, inclusive=False
-    )
+    summed = scale.running_totals(sized, ["split"], ["position"], {"_before": "bytes"}, large=True, inclusive=False)
     return summed.withColumn("shard_id", F.floor(F.col("_before") / max_bytes)).drop("_before")
 
 

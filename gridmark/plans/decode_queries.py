@@ -360,7 +360,17 @@ def focal_costs(spark, folder):
     )
 
 
-@query("score_images_plugin")
+@query("score_images_plugin", with_views(
+    """with raw as (
+         select vec_id // 10 as image_id, vec_id % 10 as query_idx, l as label, embedding[l + 1]::double as logit
+         from (select vec_id, embedding, unnest(range(8)) as l from embeddings)),
+       scored as (
+         select image_id, query_idx * 8 + label as flat_idx, label,
+                1 / (1 + exp(-greatest(least(logit, 88.0), -88.0))) as score from raw),
+       ranked as (select *, row_number() over (partition by image_id order by score desc, flat_idx) - 1 as det_idx
+                  from scored where score > 0.5)
+       select r.image_id, det_idx::int as det_idx, label::bigint as label, round(score, 9) as score
+       from ranked r join img using (image_id) where det_idx < 300""", "img"))
 def score_images_plugin(spark, folder):
     """Any model can feed the pipeline; this one reads the class scores from the stored vectors."""
 
@@ -374,4 +384,5 @@ def score_images_plugin(spark, folder):
             yield batch[["image_id", "query_idx", "logits", "cx", "cy", "w", "h"]]
 
     raw = dc.score_images(read(spark, folder, "embeddings").select("vec_id", "embedding"), run)
-    return dc.decode(raw, view(spark, folder, "img"), 0.5).select("image_id", "det_idx", "label", "score")
+    found = dc.decode(raw, view(spark, folder, "img"), 0.5)
+    return found.select("image_id", "det_idx", "label", F.round("score", 9).alias("score"))

@@ -212,17 +212,15 @@ def class_scores_at_best(spark, folder):
 _TUNED = f"""{MATCHED.replace("score >= ", "score >= ")}, {SWEEP.replace(">= g.threshold", "> g.threshold")},
     own as (select * from (select *, row_number() over (partition by label order by f1 desc, threshold) as rn from scores)
             where rn = 1),
-    tuned as (select label, total_gt >= 17000 * (select count(*) from orders) / 15000 and f1 > 0 as has_own,
-                case when total_gt >= 17000 * (select count(*) from orders) / 15000 and f1 > 0 then threshold
+    tuned as (select label, total_gt >= 5 and f1 > 0 as has_own,
+                case when total_gt >= 5 and f1 > 0 then threshold
                      else (select threshold from best) end as threshold from own)
 """
 
 
 def _tuned(spark, folder):
-    # The object minimum is set so that one class falls back to the single threshold at every scale.
-    orders = view(spark, folder, "orders").agg(F.count("*").alias("n")).scalar()
     strict = sw.strict_sweep_by_class(matched(spark, folder), totals(spark, folder))
-    return sw.tune_class_thresholds(strict, orders * 17000 / 15000)
+    return sw.tune_class_thresholds(strict)
 
 
 @query("tuned_class_thresholds", _sql("select label, threshold, has_own from tuned", _TUNED))

@@ -226,7 +226,8 @@ def coco_box_records(spark, folder):
 
 
 @query("coco_keypoint_records", with_views(
-    """select image_id, det_idx, label as category_id, case label when 0 then 3 when 1 then 6 else 9 end as numbers, score from det""", "det"))
+    """select image_id, label as category_id, case label when 0 then 3 when 1 then 6 else 9 end::int as numbers, x1 as first,
+         case label when 0 then x1 + 2 when 1 then x1 + 5 else det_idx::double end as last, score from det""", "det"))
 def coco_keypoint_records(spark, folder):
     detections = view(spark, folder, "det").withColumn(
         "keypoints", F.array(*[F.col("x1") + i for i in range(8)], F.col("det_idx").cast("double"))
@@ -237,12 +238,10 @@ def coco_keypoint_records(spark, folder):
     categories = view(spark, folder, "gt").select(F.col("label").alias("category_id")).distinct()
     declared = categories.withColumn("keypoints", F.lit(None).cast("array<string>"))
     rows = coco.keypoint_records(detections, kp.keypoint_counts(declared, annotations), categories)
-    last = F.element_at("keypoints", -1)
-    index = F.when(F.size("keypoints") == 9, last)
-    kept = rows.join(detections.select("image_id", F.col("keypoints").alias("k"), "det_idx", "score", F.col("label").alias("category_id")),
-                     ["image_id", "score", "category_id"])
-    matched = kept.filter((index.isNull() | (index == F.col("det_idx"))) & (F.slice("k", F.lit(1), F.size("keypoints")) == F.col("keypoints")))
-    return matched.select("image_id", "det_idx", "category_id", F.size("keypoints").alias("numbers"), "score").distinct()
+    return rows.select(
+        "image_id", "category_id", F.size("keypoints").alias("numbers"), F.get("keypoints", 0).alias("first"),
+        F.element_at("keypoints", -1).alias("last"), "score",
+    )
 
 
 @query("written_shards", f"""
@@ -259,6 +258,20 @@ def written_shards(spark, folder):
     return joined.select("split", "shard_id", "samples", "bytes", "digest", "stored")
 
 
+@query("metrics_of_runs", """
+    select event_type as run, day(ts)::int as epoch, 'loss' as metric, value from events
+    union all select event_type, day(ts)::int, 'mAP', value + 1 from events""")
+def metrics_of_runs(spark, folder):
+    """One run per event type; runs have their columns in different orders, and each file is read by its own header."""
+    path = scale.run_folder(spark, "runs")
+    events = read(spark, folder, "events")
+    columns = [F.dayofmonth("ts").alias("epoch"), F.col("value").alias("train/loss"), (F.col("value") + 1).alias("val/mAP")]
+    for number, (name,) in enumerate(sorted(events.select("event_type").distinct().collect())):
+        turned = columns[number % 3 :] + columns[: number % 3]
+        events.filter(F.col("event_type") == name).select(*turned).write.option("header", True).csv(f"{path}/{name}")
+    return tb.read_metrics(spark, path).select("run", "epoch", "metric", "value")
+
+
 @query("metrics_file", """
     select day(ts)::int as epoch, event_id::int as step, 'train' as split, 'loss' as metric, value from events where event_type = 'click'
     union all select day(ts)::int, event_id::int, 'val', 'mAP', value from events where event_type = 'view'""")

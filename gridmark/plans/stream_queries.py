@@ -60,10 +60,15 @@ def streamed_running_bins(spark, folder):
     return spark.read.parquet(f"{out}/latest")
 
 
+def _either(folder: str, name: str) -> str:
+    """A table that is one file or a folder of them: a stream takes a single file only as a pattern."""
+    return f"{folder}/{name}.parque[t]"
+
+
 def _frames(spark, folder):
     """Live frames: an event is a frame of its type's source."""
     schema = read(spark, folder, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    stream = spark.readStream.schema(schema).parquet(_either(folder, "events"))
     return stream.select(F.col("event_type").alias("source"), F.col("event_id").alias("frame_idx"), "ts")
 
 
@@ -83,7 +88,7 @@ def frame_stride(spark, folder):
       select *, row_number() over (partition by event_type order by event_id desc) as n from events) where n <= 30
     union all select event_type, max(event_id), 'newest' from events group by 1""")
 def newest_frames(spark, folder):
-    """What a reader of one micro-batch sees with and without buffering."""
+    """The newest frames with and without buffering: every micro-batch keeps its own, the last step the newest of those."""
     out = scale.run_folder(spark, "newest")
 
     def keep(batch, batch_id):
@@ -92,7 +97,10 @@ def newest_frames(spark, folder):
 
     frames = _frames(spark, folder).select("source", "frame_idx")
     _finish(frames.writeStream.foreachBatch(keep).option("checkpointLocation", f"{out}/checkpoint"))
-    return spark.read.parquet(f"{out}/rows").drop("batch")
+    rows = spark.read.parquet(f"{out}/rows").drop("batch")
+    parts = [sf.newest(rows.filter(F.col("mode") == mode).drop("mode"), n).withColumn("mode", F.lit(mode))
+             for n, mode in ((30, "buffered"), (1, "newest"))]
+    return parts[0].unionByName(parts[1])
 
 
 @query("synchronous_ticks", """
@@ -116,11 +124,42 @@ def synchronous_ticks(spark, folder):
 @query("first_writer_wins", "select distinct user_id as image_id from events")
 def first_writer_wins(spark, folder):
     schema = read(spark, folder, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    stream = spark.readStream.schema(schema).parquet(_either(folder, "events"))
     images = stream.select(F.col("user_id").alias("image_id"), F.col("ts").cast("timestamp").alias("ts"), "value")
     return _landed(sf.first_writer_wins(images, "40 days"), spark, "first").select("image_id")
 
 
+_TICKS = """
+    with f as (select event_id % 4 as source, (event_id - event_id % 4) / 4 as tick, event_id from events
+               where not (event_id % 4 = 2 and event_id > 900000000))
+    select cast(tick as bigint) as tick, min(event_id) as first_frame, max(event_id) as last_frame from f group by 1 having count(*) = 4"""
+
+
+@query("streamed_ticks", _TICKS)
+def streamed_ticks(spark, folder):
+    """Ticks of four sources from a stream in several micro-batches; frames of a tick may be far apart in time."""
+    source = F.col("event_id") % 4
+    path = scale.run_folder(spark, "ticks")
+    rows = read(spark, folder, "events").select(
+        source.alias("source"), ((F.col("event_id") - source) / 4).cast("long").alias("tick"),
+        F.col("event_id").alias("frame_idx"), F.col("ts").cast("timestamp").alias("ts"),
+    )
+    rows.repartition(4, "source").write.parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    found = _landed(sf.ticks(stream, 4, "400 days"), spark, "ticks-out")
+    return found.select(
+        "tick", F.get("frames", 0)["frame_idx"].alias("first_frame"), F.element_at("frames", -1)["frame_idx"].alias("last_frame")
+    )
+
+
+@query("first_writer_rows", """
+    select user_id as image_id, event_id from events qualify row_number() over (partition by user_id order by ts, event_id) = 1""")
+def first_writer_rows(spark, folder):
+    """The whole first row of each image, by arrival."""
+    images = read(spark, folder, "events").select(F.col("user_id").alias("image_id"), "ts", "event_id")
+    return sf.first_writer_wins(images).drop("ts")
+
+
 @query("score_bin_counts", mq._sql(
     f""", {mq.SWEEP} select m.label, (select count(*) from grid g where g.threshold <= m.score::double)::int as bin,
           count(*) filter (is_tp) as tp, count(*) filter (not is_tp) as fp

@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 # Largest (image, class) group that may be folded inside one row, detections and ground truths together.
 GROUP_ROW_LIMIT = 2_000
-# Largest number of rows one window task may scan in order.
-WINDOW_ROW_LIMIT = 20_000_000
 
 
 def prepare_checkpoints(spark: SparkSession) -> str:

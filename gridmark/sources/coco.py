@@ -23,8 +23,8 @@ class CocoTables:
     annotations: DataFrame  # segmentation stays JSON text: polygons and run-length objects share the field
 
 
-def _hidden_document(spark: SparkSession, path: str) -> DataFrame:
-    """A document whose file name starts with an underscore, which Spark's file listing skips; read inside a task."""
+def _hidden_documents(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Documents whose file names start with an underscore, which Spark's file listing skips; one task reads each."""
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -35,19 +35,34 @@ def _hidden_document(spark: SparkSession, path: str) -> DataFrame:
                     texts.append(stream.read().decode("utf-8"))
             yield batch.assign(value=texts)
 
-    texts = spark.createDataFrame([(path,)], "_path string").mapInPandas(load, "_path string, value string")
+    rows = spark.createDataFrame([(p,) for p in paths], "_path string").repartition(len(paths))
+    texts = rows.mapInPandas(load, "_path string, value string")
     return texts.select("_path", F.from_json("value", COCO_DOCUMENT).alias("d")).select("_path", "d.*")
 
 
+def _hidden_names(spark: SparkSession, path: str) -> list[str]:
+    """Documents named ``_annotations.coco.json`` in a folder, or in the folders below it or that a glob names."""
+    jvm = spark.sparkContext._jvm
+    found = []
+    for pattern in (f"{path}/_annotations.coco.json", f"{path}/*/_annotations.coco.json"):
+        place = jvm.org.apache.hadoop.fs.Path(pattern)
+        system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        uris = [status.getPath().toUri() for status in system.globStatus(place) or []]
+        found += [u.getPath() if u.getScheme() in (None, "file") else u.toString() for u in uris]
+    return found
+
+
 def read_coco(spark: SparkSession, path: str, split: str | None = None, one_per_line: bool = False) -> CocoTables:
     """Read one document, a folder or a glob of them; *one_per_line* for files with a document on every line.
 
-    The usual file name ``_annotations.coco.json`` must be given in full: Spark does not list names with an underscore.
+    The usual file name ``_annotations.coco.json`` is found in the folder and in its split folders, though Spark does not
+    list names with an underscore; such documents are read by the tasks themselves.
     A JSON document is one task, however large; land the tables once with ``save_tables`` and read those afterwards.
     """
     name = path.rstrip("/").rsplit("/", 1)[-1]
-    if name.startswith(("_", ".")):
-        document = _hidden_document(spark, path)
+    hidden = [path] if name.startswith(("_", ".")) else _hidden_names(spark, path.rstrip("/"))
+    if hidden:
+        document = _hidden_documents(spark, hidden)
     else:
         document = spark.read.schema(COCO_DOCUMENT).option("multiLine", not one_per_line).json(path)
         document = document.withColumn("_path", F.col("_metadata.file_path"))

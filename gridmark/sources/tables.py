@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridmark.operators import sharding
 from gridmark.operators.annotations import require_no_rejects
-from gridmark.operators.runs import long_metrics
+from gridmark.operators.runs import split_metric
 from gridmark.operators.weekly import check_daily
 from gridmark.schemas import DAILY_COUNTS, SHARD_INDEX
 
@@ -17,21 +17,36 @@ POLICIES = ("remap", "raw")
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """Training metrics CSV as long rows (run, epoch, step, column, split, metric, value). ``epoch`` is required."""
-    wide = spark.read.option("header", True).csv(path)
-    if "epoch" not in wide.columns:
-        raise ValueError("the metrics file has no 'epoch' column")
-    step = F.col("step").try_cast("int") if "step" in wide.columns else F.lit(None).cast("int")
-    values = [c for c in wide.columns if c not in ("epoch", "step")]
+    """Training metrics CSV as long rows (run, epoch, step, column, split, metric, value). ``epoch`` is required.
+
+    Every file is read by its own first line, so runs may have other columns or another order of them. Metrics are plain
+    numbers: a cell is quoted at most as a whole. A file is one row until its lines are cut, as a run's log is small.
+    """
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path, wholetext=True)
     run = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
-    # An empty cell is no value; a text that is not a number is no value either.
-    typed = wide.select(
-        run.alias("run"),
-        F.col("epoch").cast("double").cast("int").alias("epoch"),
-        step.alias("step"),
-        *[F.col(f"`{c}`").try_cast("double").alias(c) for c in values],
+    lines = files.select(run.alias("run"), F.filter(F.split("value", r"\r\n|\r|\n"), lambda x: F.trim(x) != "").alias("lines"))
+
+    def cells(line: Column) -> Column:
+        return F.transform(F.split(line, ","), lambda c: F.regexp_replace(F.trim(c), r'^"(.*)"$', "$1"))
+
+    lines = lines.filter(F.size("lines") > 0).withColumn("header", cells(F.get("lines", 0)))
+    if not lines.filter(~F.array_contains("header", "epoch")).isEmpty():
+        raise ValueError("a metrics file has no 'epoch' column")
+    rows = lines.select(
+        "run", "header", F.explode(F.slice("lines", F.lit(2), F.size("lines"))).alias("line")
     )
-    return long_metrics(typed, ["run", "epoch", "step"])
+    rows = rows.withColumn("cells", cells(F.col("line")))
+
+    def named(name: str) -> Column:
+        return F.get("cells", F.array_position("header", name).cast("int") - 1).try_cast("double").cast("int")
+
+    # An empty cell is no value; a text that is not a number is no value either.
+    pairs = F.arrays_zip(F.col("header").alias("column"), F.col("cells").alias("text"))
+    long = rows.select("run", named("epoch").alias("epoch"), named("step").alias("step"), F.explode(pairs).alias("x"))
+    long = long.select("run", "epoch", "step", F.col("x.column").alias("column"), F.col("x.text").try_cast("double").alias("value"))
+    long = long.filter(~F.col("column").isin("epoch", "step") & F.col("value").isNotNull())
+    split, metric = split_metric(F.col("column"))
+    return long.withColumns({"split": split, "metric": metric})
 
 
 def read_daily_counts(spark: SparkSession, path: str, category: str = "without_mirrors") -> DataFrame:

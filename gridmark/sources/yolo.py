@@ -14,18 +14,38 @@ _NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 _SPECIAL = r"^[+-]?([nN][aA][nN]|[iI][nN][fF]([iI][nN][iI][tT][yY])?)$"
 
 
+# Both usual layouts: <split>/labels/a.txt and labels/<split>/a.txt, and likewise for images. A file elsewhere has split ''.
+_SPLIT = r"(?:^|/)(?:{kind}/([^/]+)|([^/]+)/{kind})/[^/]+$"
+
+
+def _split_of(path: Column, kind: str) -> Column:
+    pattern = _SPLIT.format(kind=kind)
+    first, second = F.regexp_extract(path, pattern, 1), F.regexp_extract(path, pattern, 2)
+    return F.when(first != "", first).otherwise(second)
+
+
 def read_label_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Non-blank lines of every label file with the file's stem and 1-based line number."""
+    """Non-blank lines of every label file with the file's split, stem and 1-based line number."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path, wholetext=True)
-    stem = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.txt$", 1)
-    lines = files.select(stem.alias("stem"), F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("_line", "text"))
-    return lines.filter(F.trim("text") != "").select("stem", (F.col("_line") + 1).alias("line_no"), "text")
+    place = F.col("_metadata.file_path")
+    lines = files.select(
+        _split_of(place, "labels").alias("split"),
+        F.regexp_extract(place, r"([^/]+)\.txt$", 1).alias("stem"),
+        F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("_line", "text"),
+    )
+    return lines.filter(F.trim("text") != "").select("split", "stem", (F.col("_line") + 1).alias("line_no"), "text")
 
 
 def join_images(images: DataFrame, lines: DataFrame) -> DataFrame:
-    """Every image with its label lines; an image without a label file is background and keeps one row of nulls."""
+    """Every image with its label lines; an image without a label file is background and keeps one row of nulls.
+
+    Files meet by split and stem, for a stem may repeat from split to split. An image's split is its column ``split``, or
+    else the one in its file name.
+    """
     stem = F.regexp_extract(F.regexp_replace("file_name", r"^.*/", ""), r"^(.*?)(\.[^.]*)?$", 1)
-    return images.withColumn("stem", stem).join(lines, "stem", "left")
+    split = F.col("split") if "split" in images.columns else _split_of(F.col("file_name"), "images")
+    placed = images.withColumns({"stem": stem, "split": split})
+    return placed.join(lines, ["split", "stem"], "left")
 
 
 def _fields(text: Column) -> Column:

@@ -5,8 +5,12 @@ The functions take a batch or streaming DataFrame unless said otherwise. Waterma
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def every_nth(frames: DataFrame, stride: int) -> DataFrame:
@@ -29,21 +33,58 @@ def newest(batch: DataFrame, keep: int = 1) -> DataFrame:
 def ticks(frames: DataFrame, sources: int, watermark: str | None = None) -> DataFrame:
     """Ticks for which every source has a frame, as one row with the frames in source order.
 
-    Sources count ticks from 0 without gaps, so complete ticks end with the shortest source. A tick holds at most one
-    frame per source. On a stream give *watermark*: a tick is emitted when it is complete and closed.
+    Sources count ticks from 0 without gaps, so complete ticks end with the shortest source. A source's first frame of a
+    tick counts. On a stream give *watermark*: a tick is emitted as soon as its last source arrives, whatever the times of
+    its frames, and its state is dropped when the watermark has passed them.
     """
-    keys = [F.col("tick")]
     if watermark is not None:
-        frames = frames.withWatermark("ts", watermark)
-        keys.insert(0, F.window("ts", watermark).alias("_window"))
-    grouped = frames.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("source", "frame_idx"))).alias("frames")
-    )
+        return _tick_stream(frames.withWatermark("ts", watermark), sources)
+    first = frames.groupBy("tick", "source").agg(F.min("frame_idx").alias("frame_idx"))
+    grouped = first.groupBy("tick").agg(F.array_sort(F.collect_list(F.struct("source", "frame_idx"))).alias("frames"))
     return grouped.filter(F.size("frames") == sources).select("tick", "frames")
 
 
+def _tick_stream(frames: DataFrame, sources: int) -> DataFrame:
+    kinds = dict(frames.dtypes)
+    row = f"source {kinds['source']}, frame_idx {kinds['frame_idx']}"
+
+    def complete(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        names, numbers, latest = (list(state.get[0]), list(state.get[1]), state.get[2]) if state.exists else ([], [], 0)
+        done = len(names) == sources
+        for batch in batches:
+            for source, number in zip(batch["source"], batch["frame_idx"], strict=True):
+                if source not in names:
+                    names.append(source)
+                    numbers.append(number)
+            latest = max(latest, int(batch["ts"].max().timestamp() * 1000))
+        state.update((names, numbers, latest))
+        # A closed tick must outlive its own frames in this micro-batch.
+        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + 1)
+        if not done and len(names) == sources:
+            order = sorted(range(sources), key=lambda i: names[i])
+            found = [{"source": names[i], "frame_idx": numbers[i]} for i in order]
+            yield pd.DataFrame({"tick": [key[0]], "frames": [found]})
+
+    return frames.groupBy("tick").applyInPandasWithState(
+        complete,
+        f"tick {kinds['tick']}, frames array<struct<{row.replace('source ', 'source: ').replace('frame_idx ', 'frame_idx: ')}>>",
+        f"names array<{kinds['source']}>, numbers array<{kinds['frame_idx']}>, latest bigint",
+        "append",
+        GroupStateTimeout.EventTimeTimeout,
+    )
+
+
 def first_writer_wins(images: DataFrame, watermark: str | None = None) -> DataFrame:
-    """One row per image, the first to arrive. ``images`` carries its detections as an array, so images stay whole."""
+    """One row per image, the first to arrive. ``images`` carries its detections as an array, so images stay whole.
+
+    In a batch, arrival is the order of ``ts``, ties by the row. On a stream a duplicate is known as such until the
+    watermark has passed the first row, so *watermark* must exceed the longest delay between two writers of an image.
+    """
     if watermark is None:
-        return images.dropDuplicates(["image_id"])
+        row = F.struct("ts", F.struct(*[c for c in images.columns if c not in ("image_id", "ts")]).alias("rest"))
+        first = images.groupBy("image_id").agg(F.min(row).alias("_first"))
+        return first.select("image_id", "_first.ts", "_first.rest.*").select(images.columns)
     return images.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["image_id"])

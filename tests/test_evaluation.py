@@ -13,7 +13,7 @@ from tests import oracles
 from tests.test_matching import frames, random_case
 
 
-@pytest.mark.parametrize("options", [{}, {"group_row_limit": 10, "window_row_limit": 5}])
+@pytest.mark.parametrize("options", [{}, {"group_row_limit": 10}])
 def test_average_precision_equals_the_protocol(spark, options):
     dets, gts = random_case(11, images=4, per_image=20)
     d, g = frames(spark, dets, gts)
