@@ -25,7 +25,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,7 +39,7 @@ MAX_LEVEL = 8
 # Documents of one shingle's list that a task compares; longer lists are dealt in blocks of this size.
 LIST_BLOCK = 20_000
 # Postings of lists with several classes that one task compares.
-CROSS_POSTINGS = 500_000
+CROSS_POSTINGS = 200_000
 # Candidates for one document cost about its length; a posting costs one.
 VERIFY_COST = 0.1
 _PACK = np.dtype([("token", "<u8"), ("cid", "<i8"), ("n", "<u4"), ("place", "<u4"), ("part", "<u4"), ("block", "<u2"),
@@ -98,7 +97,7 @@ def _profiles(df: DataFrame) -> DataFrame:
                 prints.append(fingerprint(tokens))
                 seen.append(tokens)
                 held += len(tokens)
-                if held > 1_000_000:
+                if held > 300_000:
                     counts.add(np.concatenate(seen))
                     seen, held = [], 0
             if seen:
@@ -172,7 +171,7 @@ def _packed_prefixes(df: DataFrame, totals: np.ndarray, buckets: int, list_block
                 entry = _parts_of(entry, seen[used], list_block)
                 held.append(entry)
                 size += entry.nbytes
-                if size > 16_000_000:
+                if size > 6_000_000:
                     yield flush()
                     held, size = [], 0
         if held:
@@ -230,11 +229,14 @@ def _pair_rows(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def _counted(pairs: list[np.ndarray]) -> pd.DataFrame:
-    if not pairs:
-        return pd.DataFrame({n: pd.Series([], dtype="int64") for n in (*_PAIRS.names, "shared")})
-    found, shared = np.unique(np.concatenate(pairs), return_counts=True)
-    return pd.DataFrame({n: found[n] for n in _PAIRS.names} | {"shared": shared})
+def _counted(pairs: list[np.ndarray]) -> dict[str, np.ndarray]:
+    """Distinct pairs and how often each was found."""
+    found = np.concatenate(pairs) if pairs else np.zeros(0, dtype=_PAIRS)
+    order = np.lexsort((found["b"], found["a"]))
+    a, b = found["a"][order], found["b"][order]
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+    shared = np.diff(np.append(first, len(a)))
+    return {"a": a[first], "b": b[first], "level": found["level"][order[first]], "shared": shared}
 
 
 def _leader_pairs(lists: DataFrame) -> DataFrame:
@@ -251,7 +253,7 @@ def _leader_pairs(lists: DataFrame) -> DataFrame:
                 head = whole[np.repeat(leaders, sizes)]
                 ok = (head["cid"] != whole["cid"]) & _may_match(head, whole)
                 if ok.any():
-                    yield pa.RecordBatch.from_pandas(_counted([_pair_rows(head[ok], whole[ok])]), preserve_index=False)
+                    yield pa.RecordBatch.from_pydict(_counted([_pair_rows(head[ok], whole[ok])]))
 
     return lists.mapInArrow(run, _PAIR_SCHEMA).select("a", "b").distinct()
 
@@ -340,9 +342,9 @@ def _cross_pairs(mixed: DataFrame) -> DataFrame:
         cids, rest = right["cid"].to_numpy(), right["total"].to_numpy() - right["here"].to_numpy()
         order = np.argsort(cids)
         cids, rest = cids[order], rest[order]
-        elsewhere = np.minimum(*(rest[np.searchsorted(cids, counted[side].to_numpy())] for side in "ab"))
-        counted = counted[counted["shared"] + elsewhere >= counted["level"]]
-        return pa.Table.from_pandas(counted, preserve_index=False)
+        elsewhere = np.minimum(*(rest[np.searchsorted(cids, counted[side])] for side in "ab"))
+        enough = counted["shared"] + elsewhere >= counted["level"]
+        return pa.table({name: values[enough] for name, values in counted.items()})
 
     dealt = mixed.mapInArrow(spread, "task int, postings binary, labels binary")
     here = dealt.mapInArrow(members, "task int, cid bigint, here bigint")

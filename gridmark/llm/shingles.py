@@ -15,7 +15,7 @@ import pyarrow as pa
 
 SHINGLE = 5
 # Bytes of text that are handled at once; one longer text is handled alone.
-CHUNK = 2_000_000
+CHUNK = 500_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _LOWER = np.arange(256, dtype=np.uint8)
