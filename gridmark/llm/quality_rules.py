@@ -153,7 +153,11 @@ def quality_counts(df: DataFrame, rules: Sequence[Rule] = RULES, *, text: str =
 def filter_by_quality(df: DataFrame, rules: Sequence[Rule] = RULES, *, text: str = "text") -> DataFrame:
     """Rows of *df* that pass the base rule and *rules*, with the columns of *df*."""
     out = fresh("quality", df.columns)
-    return quality_counts(df, rules, text=text, out=out).filter(F.col(f"`{out}`.kept")).drop(out)
+    one = fresh("one", [*df.columns, out])
+    judged = quality_counts(df, rules, text=text, out=out)
+    # A filter would be pushed below the counts, which would then be computed anew for every ratio and window.
+    kept = F.when(F.col(f"`{out}`.kept"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+    return judged.select("*", F.explode(kept).alias(one)).drop(out, one)
 
 
 _ORACLE = r"""
