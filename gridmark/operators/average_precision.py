@@ -259,7 +259,8 @@ def evaluate(
     pairs: DataFrame | None = None,
     group_row_limit: int = scale.GROUP_ROW_LIMIT,
 ) -> Evaluation:
-    """Full evaluation of one run. Ground truth without an ``area`` column uses box areas.
+    """Full evaluation of one run. Ground truth without an ``area`` column uses its ``mask_area``, or else box areas;
+    detections bring the area of their masks as ``area``.
 
     Classes that only appear in detections are kept and come out undefined. A grid too long for one pass is evaluated
     in several.
@@ -271,7 +272,7 @@ def evaluate(
         return Evaluation(
             reduce(DataFrame.unionByName, [p.precision for p in parts]), reduce(DataFrame.unionByName, [p.recall for p in parts])
         )
-    truth = truth_areas(ground_truth)
+    truth = truth_areas(ground_truth, F.col("mask_area") if "mask_area" in ground_truth.columns else None)
     lanes = matching.coco_lanes(iou_grid, area_names)
     scored = matching.match_lanes(detections, truth, lanes, pairs, max(max_dets), group_row_limit)
     result = accumulate(scored, truth, lanes, max_dets)

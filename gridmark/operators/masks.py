@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 KEYS = ["image_id", "label"]
-# Pixels per join bucket: long runs are cut at bucket borders so both sides meet on an equality.
+# Pixels per join bucket: long runs are cut at bucket borders so both sides meet on an equality. Best is the height of
+# the images: then a run meets the runs of its own column only.
 BUCKET = 4096
 
 
@@ -49,12 +50,19 @@ def mask_overlaps(left: DataFrame, right: DataFrame, bucket: int = BUCKET) -> Da
     )
 
 
-def matching_pairs(detection_runs: DataFrame, truth_runs: DataFrame) -> DataFrame:
-    """Mask overlaps in the form the matching operators take."""
-    overlaps = mask_overlaps(detection_runs, truth_runs)
-    return overlaps.select(
-        *KEYS, F.col("left_id").alias("det_idx"), F.col("right_id").alias("gt_idx"), F.col("iou").alias("overlap")
-    )
+def matching_pairs(
+    detection_runs: DataFrame, truth_runs: DataFrame, crowds: DataFrame | None = None, bucket: int = BUCKET
+) -> DataFrame:
+    """Mask overlaps in the form the matching operators take: IoU, or for *crowds* the share of the detection covered.
+
+    *crowds* are the ground truths under the published protocol's crowd rule; the confidence sweep has none.
+    """
+    overlaps = mask_overlaps(detection_runs, truth_runs, bucket).withColumnRenamed("right_id", "gt_idx")
+    overlap = F.col("iou")
+    if crowds is not None:
+        overlaps = overlaps.join(crowds.select(*KEYS, "gt_idx", F.lit(True).alias("_crowd")), [*KEYS, "gt_idx"], "left")
+        overlap = F.when(F.col("_crowd"), F.col("intersection").cast("double") / F.col("left_area")).otherwise(overlap)
+    return overlaps.select(*KEYS, F.col("left_id").alias("det_idx"), "gt_idx", overlap.alias("overlap"))
 
 
 def tight_boxes(runs: DataFrame, height: Column, exclusive_end: bool) -> DataFrame:

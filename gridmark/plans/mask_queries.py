@@ -4,18 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridmark import scale
+from gridmark.operators import average_precision as ap
+from gridmark.operators import labels as lb
 from gridmark.operators import masks as mk
 from gridmark.operators import matching as mt
 from gridmark.plans.fixtures import view, with_views
+from gridmark.plans.precision_queries import STATISTICS, protocol_sql
 from gridmark.plans.registry import query
+from gridmark.sources import coco
 
-# Rectangles on a grid of 100 rows, a tenth of the box size so that an instance has a handful of runs.
-_HEIGHT = 100
+# Boxes as masks at full size on a grid of 100 rows and 110 columns: a run of pixels for each column.
+_HEIGHT, _WIDTH = 100, 110
 _RECTS = """
-    dm as (select image_id, label, det_idx as instance_id, floor(x1/10)::bigint as x1, floor(y1/10)::bigint as y1,
-             floor(x2/10)::bigint as x2, floor(y2/10)::bigint as y2 from det),
-    gm as (select image_id, label, gt_idx as instance_id, floor(x1/10)::bigint as x1, floor(y1/10)::bigint as y1,
-             floor(x2/10)::bigint as x2, floor(y2/10)::bigint as y2, iscrowd from gt),
+    dm as (select image_id, label, det_idx as instance_id, floor(x1)::bigint as x1, floor(y1)::bigint as y1,
+             floor(x2)::bigint as x2, floor(y2)::bigint as y2 from det),
+    gm as (select image_id, label, gt_idx as instance_id, floor(x1)::bigint as x1, floor(y1)::bigint as y1,
+             floor(x2)::bigint as x2, floor(y2)::bigint as y2, iscrowd from gt),
     mask_pairs as (select d.image_id, d.label, d.instance_id as left_id, g.instance_id as right_id, g.iscrowd,
              greatest(least(d.x2,g.x2)-greatest(d.x1,g.x1),0)*greatest(least(d.y2,g.y2)-greatest(d.y1,g.y1),0) as intersection,
              (d.x2-d.x1)*(d.y2-d.y1) + (g.x2-g.x1)*(g.y2-g.y1) as both_areas
@@ -24,7 +29,7 @@ _RECTS = """
 
 
 def _rectangles(rows, key):
-    cells = [F.floor(F.col(c) / 10).alias(c) for c in ("x1", "y1", "x2", "y2")]
+    cells = [F.floor(F.col(c)).alias(c) for c in ("x1", "y1", "x2", "y2")]
     return rows.select("image_id", "label", F.col(key).alias("instance_id"), *cells)
 
 
@@ -37,7 +42,7 @@ def _runs(spark, folder, name, key):
           intersection::double / (both_areas - intersection) as iou from mask_pairs where intersection > 0""",
     "det", "gt"))
 def mask_overlaps(spark, folder):
-    rows = mk.mask_overlaps(_runs(spark, folder, "det", "det_idx"), _runs(spark, folder, "gt", "gt_idx"))
+    rows = mk.mask_overlaps(_runs(spark, folder, "det", "det_idx"), _runs(spark, folder, "gt", "gt_idx"), _HEIGHT)
     return rows.select("image_id", "label", "left_id", "right_id", "intersection", "union", "iou")
 
 
@@ -66,7 +71,7 @@ _WALK = """
     f"with recursive {_RECTS}, {_WALK} select image_id, label, det_idx, is_tp, is_ignored from walk where rk > 0",
     "det", "gt", recursive=True))
 def mask_matching(spark, folder):
-    pairs = mk.matching_pairs(_runs(spark, folder, "det", "det_idx"), _runs(spark, folder, "gt", "gt_idx"))
+    pairs = mk.matching_pairs(_runs(spark, folder, "det", "det_idx"), _runs(spark, folder, "gt", "gt_idx"), bucket=_HEIGHT)
     rows = mt.match_greedy(view(spark, folder, "det"), view(spark, folder, "gt"), pairs=pairs)
     return rows.select("image_id", "label", "det_idx", "is_tp", "is_ignored")
 
@@ -105,11 +110,11 @@ def boxes_follow_masks(spark, folder):
       select image_id, label, instance_id, (2*c)::int as position,
         case when c = 0 then x1*100 + y1 else 100 - (y2 - y1) end as length from cols
       union all select image_id, label, instance_id, (2*c + 1)::int, y2 - y1 from cols
-      union all select image_id, label, instance_id, (2*n)::int, 1000 - ((x1 + n - 1)*100 + y2) from cols
-        where c = n - 1 and 1000 > (x1 + n - 1)*100 + y2)
+      union all select image_id, label, instance_id, (2*n)::int, 11000 - ((x1 + n - 1)*100 + y2) from cols
+        where c = n - 1 and 11000 > (x1 + n - 1)*100 + y2)
     select * from steps""", "det", "gt"))
 def mask_run_lengths(spark, folder):
-    rows = mk.run_lengths(_runs(spark, folder, "det", "det_idx"), F.lit(10 * _HEIGHT))
+    rows = mk.run_lengths(_runs(spark, folder, "det", "det_idx"), F.lit(_WIDTH * _HEIGHT))
     return rows.select("image_id", "label", "instance_id", "position", "length")
 
 
@@ -121,7 +126,58 @@ def polygon_runs(spark, folder):
     r = _rectangles(view(spark, folder, "gt"), "gt_idx")
     corners = F.array(*[F.col(c).cast("double") for c in ("x1", "y1", "x2", "y1", "x2", "y2", "x1", "y2")])
     instances = r.select(
-        "image_id", "label", "instance_id", F.lit(_HEIGHT).alias("height"), F.lit(10).alias("width"),
+        "image_id", "label", "instance_id", F.lit(_HEIGHT).alias("height"), F.lit(_WIDTH).alias("width"),
         F.array(corners, F.slice(corners, 1, 4)).alias("polygons"),
     )
     return mk.polygon_runs(instances)
+
+
+_INTER = "(greatest(least(d.x2,g.x2)-greatest(d.x1,g.x1),0)*greatest(least(d.y2,g.y2)-greatest(d.y1,g.y1),0))"
+_PIXELS = "floor(x1) as x1, floor(y1) as y1, floor(x2) as x2, floor(y2) as y2, (floor(x2)-floor(x1))*(floor(y2)-floor(y1))"
+_MASK_PROTOCOL = protocol_sql(
+    f"""select d.image_id, d.label, d.det_idx, g.gt_idx, g.crowd, g.garea,
+          case when g.crowd then {_INTER} / d.area else {_INTER} / (d.area + g.garea - {_INTER}) end as overlap
+        from found d join truth g using (image_id, label)""",
+    f"select image_id, label, gt_idx, iscrowd as crowd, {_PIXELS} as garea from gt",
+    f"select image_id, label, det_idx, score, {_PIXELS} as area from det",
+    100,
+)
+
+
+def _mask_evaluation(spark, folder):
+    detections, truth = view(spark, folder, "det"), view(spark, folder, "gt")
+    found, real = _runs(spark, folder, "det", "det_idx"), _runs(spark, folder, "gt", "gt_idx")
+    keys = ["image_id", "label"]
+    areas = [mk.mask_areas(runs).withColumnRenamed("instance_id", key) for runs, key in ((found, "det_idx"), (real, "gt_idx"))]
+    detections = detections.join(areas[0], [*keys, "det_idx"])
+    truth = truth.join(areas[1].withColumnRenamed("area", "mask_area"), [*keys, "gt_idx"], "left")
+    return ap.evaluate(detections, truth, pairs=mk.matching_pairs(found, real, truth.filter("iscrowd"), _HEIGHT))
+
+
+@query("mask_statistics", with_views(
+    f"with recursive {_MASK_PROTOCOL}, {STATISTICS} select statistic, round(value, 9) as value from stats",
+    "det", "gt", recursive=True))
+def mask_statistics(spark, folder):
+    """The 12 statistics on mask overlaps and mask areas."""
+    return ap.summarize_boxes(_mask_evaluation(spark, folder)).withColumn("value", F.round("value", 9))
+
+
+@query("mask_records", with_views(
+    f"""with {_RECTS} select image_id, label * 3 + 1 as category_id, score, 100 as height, 110 as width,
+          (2 * (x2 - x1) + 1)::int as counts, x1 * 100 + y1 as first, 11000 - ((x2 - 1) * 100 + y2) as last, 11000::bigint as total
+        from dm join (select image_id, label, det_idx as instance_id, score from det) s using (image_id, label, instance_id)
+        where label <> 2""", "det", "gt"))
+def mask_records(spark, folder):
+    """Masks as uncompressed run lengths, written as result records and read back."""
+    lengths = mk.run_lengths(_runs(spark, folder, "det", "det_idx"), F.lit(_WIDTH * _HEIGHT))
+    categories = view(spark, folder, "cat").filter("category_id < 7")
+    detections = view(spark, folder, "det").withColumns({"height": F.lit(_HEIGHT), "width": F.lit(_WIDTH)})
+    path = scale.run_folder(spark, "mask-records")
+    coco.write_records(coco.mask_records(detections, lengths, categories, lb.label_space(view(spark, folder, "cat"))), path)
+    kind = "image_id bigint, category_id bigint, segmentation struct<size: array<int>, counts: array<bigint>>, score double"
+    rows, counts = spark.read.schema(kind).json(path), F.col("segmentation.counts")
+    return rows.select(
+        "image_id", "category_id", "score", F.get("segmentation.size", 0).alias("height"), F.get("segmentation.size", 1).alias("width"),
+        F.size(counts).alias("counts"), F.get(counts, 0).alias("first"), F.element_at(counts, -1).alias("last"),
+        F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"),
+    )

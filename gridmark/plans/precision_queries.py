@@ -85,7 +85,7 @@ _BOX_TRUTH = "select image_id, label, gt_idx, iscrowd as crowd, x1, y1, x2, y2,
 _BOX_FOUND = "select *, (x2-x1)*(y2-y1) as area from det"
 PROTOCOL = protocol_sql(_BOX_PAIRS, _BOX_TRUTH, _BOX_FOUND, 100)
 
-_STATS = """
+STATISTICS = """
     stats as (
       select s as statistic, coalesce(avg(precision) filter (
         case s when 'AP50' then abs(iou - 0.5) < 1e-9 when 'AP75' then abs(iou - 0.75) < 1e-9 else true end
@@ -123,7 +123,7 @@ def average_recall_rows(spark, folder):
     return rows.select("label", "area_range", F.round("iou", 2).alias("iou"), "max_dets", "recall")
 
 
-@query("box_statistics", _sql(" select statistic, round(value, 9) as value from stats", _STATS))
+@query("box_statistics", _sql(" select statistic, round(value, 9) as value from stats", STATISTICS))
 def box_statistics(spark, folder):
     return ap.summarize_boxes(evaluation(spark, folder)).withColumn("value", F.round("value", 9))
 
@@ -191,7 +191,7 @@ _SUBSET = protocol_sql(
 
 
 @query("subset_average_precision", with_views(
-    f"with recursive {_SUBSET}, {_STATS} select statistic, greatest(round(value, 9), 0) as value from stats"
+    f"with recursive {_SUBSET}, {STATISTICS} select statistic, greatest(round(value, 9), 0) as value from stats"
     " where statistic in ('AP', 'AP50')", "det", "gt", "img", recursive=True))
 def subset_average_precision(spark, folder):
     subset = view(spark, folder, "img").filter("split = 'val'")
