@@ -186,7 +186,10 @@ def precision_bins(
     carried = "transform(array_sort(collect_list(named_struct('n', n, 'v', before))), c -> c.v) AS carried"
     heads = before.groupBy(*keys).agg(F.expr(carried)).join(positive, "label")
     # As text: the column is null on all other rows, and nested columns are converted to Python value by value.
-    heads = heads.selectExpr(*keys, "0 AS _kind", "array_join(concat(positives, carried), ',') AS head")
+    # Masks are zero there, not null: with nulls they would reach Python as doubles, which hold 53 lanes only.
+    heads = heads.selectExpr(
+        *keys, "0 AS _kind", "array_join(concat(positives, carried), ',') AS head", "0L AS tp_mask", "0L AS ignore_mask"
+    )
     rows = slim.selectExpr("*", "1 AS _kind").unionByName(heads, allowMissingColumns=True)
     # A fixed number of partitions, so that small inputs are not merged into one Python worker.
     placed = rows.repartition(scale.slice_count(rows.sparkSession), *keys).sortWithinPartitions(*keys, "_kind", *[scale.sort_column(t) for t in _ORDER])

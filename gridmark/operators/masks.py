@@ -5,11 +5,8 @@ Runs make masks relational: area, overlap, extent and run lengths are sums, join
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
 KEYS = ["image_id", "label"]
 # Pixels per join bucket: long runs are cut at bucket borders so both sides meet on an equality. Best is the height of
@@ -153,37 +150,34 @@ def rectangle_runs(boxes: DataFrame, height: Column) -> DataFrame:
     )
 
 
-@udtf(returnType="run_start bigint, run_end bigint")
-class PolygonSpans:
-    """Scan-line fill of one flat x, y polygon: rows of pixels whose centres lie inside (even-odd)."""
-
-    def eval(self, polygon: list[float], height: int, width: int) -> Iterator[tuple[int, int]]:
-        points = list(zip(polygon[0::2], polygon[1::2]))
-        edges = list(zip(points, points[1:] + points[:1]))
-        low = max(0, int(min(p[0] for p in points)) - 1)
-        high = min(width, int(max(p[0] for p in points)) + 2)
-        for column in range(low, high):
-            centre = column + 0.5
-            crossings = sorted(
-                y1 + (centre - x1) * (y2 - y1) / (x2 - x1)
-                for (x1, y1), (x2, y2) in edges
-                if (x1 <= centre) != (x2 <= centre)
-            )
-            for start, end in zip(crossings[0::2], crossings[1::2]):
-                first = max(0, -int(-(start - 0.5) // 1))
-                last = min(height, -int(-(end - 0.5) // 1))
-                if last > first:
-                    yield column * height + first, column * height + last
-
-
 def polygon_runs(instances: DataFrame) -> DataFrame:
-    """Runs of instances with ``polygons`` (array of flat polygons), ``width`` and ``height``; parts are merged."""
-    spark = instances.sparkSession
-    spark.udtf.register("gridmark_polygon_spans", PolygonSpans)
-    parts = instances.select(*KEYS, "instance_id", "width", "height", F.explode("polygons").alias("_polygon"))
-    spans = spark.sql(
-        "SELECT p.image_id, p.label, p.instance_id, s.run_start, s.run_end "
-        "FROM {parts} p, LATERAL gridmark_polygon_spans(p._polygon, p.height, p.width) s",
-        parts=parts.filter(F.size("_polygon") >= 6),
+    """Runs of instances with ``polygons`` (array of flat polygons), ``width`` and ``height``; parts are merged.
+
+    Scan-line fill, column by column: pixels whose centres lie inside by the even-odd rule.
+    """
+    parts = instances.select(*KEYS, "instance_id", "width", "height", F.explode("polygons").alias("_p"))
+    parts = parts.filter(F.size("_p") >= 6).withColumn("_n", F.size("_p"))
+    xs = F.filter("_p", lambda v, i: i % 2 == 0)
+    low = F.greatest(F.lit(0), F.array_min(xs).cast("int") - 1)
+    high = F.least(F.col("width"), F.array_max(xs).cast("int") + 2)
+    edges = F.transform(
+        F.sequence(F.lit(0), F.floor(F.col("_n") / 2).cast("int") - 1),
+        lambda i: F.struct(
+            F.get("_p", i * 2).alias("x1"),
+            F.get("_p", i * 2 + 1).alias("y1"),
+            F.get("_p", (i * 2 + 2) % F.col("_n")).alias("x2"),
+            F.get("_p", (i * 2 + 3) % F.col("_n")).alias("y2"),
+        ),
     )
-    return merge_runs(spans)
+    parts = parts.withColumns({"_low": low, "_high": high, "_edges": edges}).filter("_high > _low")
+    columns = parts.select(*KEYS, "instance_id", "height", "_edges", F.explode(F.sequence(F.col("_low"), F.col("_high") - 1)).alias("_x"))
+    centre = F.col("_x") + 0.5
+    crossing = F.filter("_edges", lambda e: (e["x1"] <= centre) != (e["x2"] <= centre))
+    heights = F.transform(crossing, lambda e: e["y1"] + (centre - e["x1"]) * (e["y2"] - e["y1"]) / (e["x2"] - e["x1"]))
+    columns = columns.withColumn("_y", F.array_sort(heights)).filter(F.size("_y") >= 2)
+    spans = columns.withColumn("_k", F.explode(F.sequence(F.lit(0), F.floor(F.size("_y") / 2).cast("int") - 1)))
+    first = F.greatest(F.ceil(F.get("_y", F.col("_k") * 2) - 0.5), F.lit(0))
+    last = F.least(F.ceil(F.get("_y", F.col("_k") * 2 + 1) - 0.5), F.col("height"))
+    base = F.col("_x").cast("long") * F.col("height")
+    runs = spans.select(*KEYS, "instance_id", (base + first).alias("run_start"), (base + last).alias("run_end"))
+    return merge_runs(runs.filter(F.col("run_end") > F.col("run_start")))

@@ -126,3 +126,58 @@ def test_mask_runs_and_polygons(spark):
     other = spark.createDataFrame([(1, 1, 5, 4000, 12000)], long_run.schema)
     row = mk.mask_overlaps(long_run, other).first()
     assert (row.intersection, row.union) == (5000, 11997)
+
+
+def _filled(polygon, height, width):
+    points = list(zip(polygon[0::2], polygon[1::2]))
+    edges = list(zip(points, points[1:] + points[:1]))
+    inside = set()
+    for column in range(width):
+        for row in range(height):
+            x, y = column + 0.5, row + 0.5
+            below = [y1 + (x - x1) * (y2 - y1) / (x2 - x1) <= y for (x1, y1), (x2, y2) in edges if (x1 <= x) != (x2 <= x)]
+            if sum(below) % 2:
+                inside.add(column * height + row)
+    return inside
+
+
+def test_polygons_fill_the_pixels_inside_them(spark):
+    draw = random.Random(1)
+    shapes = [[round(draw.uniform(-3, 23), 2) for _ in range(2 * draw.randint(3, 7))] for _ in range(30)]
+    rows = [(1, 1, i, 20, 15, [p]) for i, p in enumerate(shapes)]
+    kinds = "image_id long, label long, instance_id long, width int, height int, polygons array<array<double>>"
+    got = {i: set() for i in range(len(shapes))}
+    for r in mk.polygon_runs(spark.createDataFrame(rows, kinds)).collect():
+        got[r.instance_id] |= set(range(r.run_start, r.run_end))
+    assert got == {i: _filled(p, 15, 20) for i, p in enumerate(shapes)}
+
+
+def test_long_grids_run_in_passes(spark):
+    dets, gts = random_case(5, images=3, per_image=12)
+    d, g = frames(spark, dets, gts)
+    grid = [0.2 + 0.01 * i for i in range(70)]
+    whole = ap.evaluate(d, g, iou_grid=grid, area_names=("all",), max_dets=(10,)).recall.collect()
+    assert len({r.iou for r in whole}) == 70
+    few = ap.evaluate(d, g, iou_grid=grid[60:62], area_names=("all",), max_dets=(10,)).recall.collect()
+    assert len(few) == 8 and {str(r) for r in few} <= {str(r) for r in whole}
+
+
+def test_ranks_are_limited_before_the_shuffle(spark):
+    from gridmark.operators import annotations as an
+    from gridmark.operators import decode as dc
+
+    dets, gts = random_case(6, images=2, per_image=5)
+    d, g = frames(spark, dets, gts)
+    scored = d.withColumn("flat_idx", F.col("det_idx"))
+    images = d.select("image_id").distinct()
+    plans = (m.rank_detections(d, 3), dc.select_topk(scored.drop("det_idx"), 3), an.pad_targets(g, images, 3, ["gt_idx"]))
+    for frame in plans:
+        assert "WindowGroupLimit" in frame._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("limit", [0, 2_000])
+def test_thresholds_must_be_positive(spark, limit):
+    d, g = frames(spark, *random_case(6, images=2, per_image=5))
+    with pytest.raises(ValueError):
+        m.match_greedy(d, g, 0.0, group_row_limit=limit)
+    assert m.match_greedy(d, g, 1.0, group_row_limit=limit).count() == d.count()
