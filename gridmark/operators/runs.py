@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridmark import scale
+
 # Metric groups with the texts that put a column into them and the texts that keep it out.
 METRIC_GROUPS = (
     ("Detection AP@0.50", r"mAP_50", r"mAP_50_95|mAP_75"),
@@ -181,14 +183,30 @@ def early_stop(
 
 
 def latency_statistics(timings: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean, population standard deviation, median and linearly interpolated 95th percentile."""
-    return timings.groupBy(*keys).agg(
+    """Mean, population standard deviation, median and linearly interpolated 95th percentile.
+
+    Percentiles are exact without holding a group's values: rows get their rank in range slices, and only the two
+    neighbours of each position are kept. Rows without a time count as calls only; keys must not be null.
+    """
+    totals = timings.groupBy(*keys).agg(
         F.count("*").alias("calls"),
         F.avg("ms").alias("mean_ms"),
         F.stddev_pop("ms").alias("std_ms"),
-        F.median("ms").alias("median_ms"),
-        F.percentile("ms", 0.95).alias("p95_ms"),
+        F.count("ms").alias("_n"),
     )
+    timed = timings.filter(F.col("ms").isNotNull()).select(*keys, F.col("ms").cast("double").alias("ms"))
+    ranked = scale.running_totals(timed, keys, ["ms"], {"_rank": "1L"}, large=True, inclusive=False)
+    placed = ranked.join(totals.select(*keys, "_n"), keys)
+
+    def at(share: float) -> Column:
+        place = (F.col("_n") - 1) * F.lit(share)
+        low = F.floor(place)
+        below = F.max(F.when(F.col("_rank") == low, (1 - (place - low)) * F.col("ms")))
+        above = F.max(F.when(F.col("_rank") == low + 1, (place - low) * F.col("ms")))
+        return below + F.coalesce(above, F.lit(0.0))
+
+    found = placed.groupBy(*keys).agg(at(0.5).alias("median_ms"), at(0.95).alias("p95_ms"))
+    return totals.drop("_n").join(found, keys, "left")
 
 
 def throughput(batch: Column, mean_ms: Column) -> Column:
