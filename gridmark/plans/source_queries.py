@@ -125,7 +125,8 @@ def labels_to_coco(spark, folder):
         lines l using (image_id) group by 1""", "base", "img"))
 def images_with_label_lines(spark, folder):
     stem = F.concat(F.lit("img_"), F.col("image_id").cast("string"))
-    lines = _lines(spark, folder).select(stem.alias("stem"), "line_no", "text")
+    split = view(spark, folder, "img").select("image_id", "split")
+    lines = _lines(spark, folder).join(split, "image_id").select("split", stem.alias("stem"), "line_no", "text")
     joined = yolo.join_images(view(spark, folder, "img"), lines)
     return joined.groupBy("image_id").agg(F.count("text").alias("objects"))
 
