@@ -1,10 +1,11 @@
 """Embedding near-dedup by a pivot-permutation index.
 
-Reference points (pivots) are a bounded sample of the vectors. A vector is described by its nearest pivots in order;
+Reference points (pivots) are a bounded sample of the vectors, thinned so that no two lie close to each other: a dense
+group gets few pivots whatever its size, so its members see the same ones. A vector is described by its nearest pivots in order;
 near vectors see nearly the same ones. The index has inverted lists over pivots, kept for every three pivots of a
 description at once, so that a list holds just the vectors that share these three: two vectors meet when their shared
 pivots number three or more. Pairs that meet are verified by cosine in double precision; a pair is counted only in the
-list of its three smallest shared pivots, so each link counts once.
+list of its three smallest shared pivots, so each link counts once, and rows whose pairs count elsewhere are not multiplied.
 
 Equal vectors are one class from the start. Lists are compared in blocks by matrix products inside a task; only link
 counts and a spanning tree of each list's links leave it, so no task emits all pairs of a group. Lists longer than a
@@ -35,6 +36,9 @@ from gridmark.llm.components import components
 THRESHOLD = 0.95
 # Documented bound of the sample that fits the index, and length of the descriptions.
 PIVOTS = 512
+SAMPLE = 4 * PIVOTS
+# A sampled vector with this cosine or more to a pivot is not a pivot itself.
+APART = 0.8
 PREFIX = 8
 SHARED = 3
 # Members of a list that one task compares at once.
@@ -72,6 +76,19 @@ def _normalised(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
+def thinned(units: np.ndarray) -> np.ndarray:
+    """The first PIVOTS of *units* of which none lies close to an earlier one."""
+    kept = np.zeros((0, units.shape[1]))
+    for at in range(0, len(units), 64):
+        chunk = units[at : at + 64]
+        near = (chunk @ kept.T >= APART).any(axis=1)
+        own = chunk @ chunk.T >= APART
+        for i in range(len(chunk)):
+            near[i] |= bool((own[i, :i] & ~near[:i]).any())
+        kept = np.concatenate([kept, chunk[~near]])[:PIVOTS]
+    return kept
+
+
 def describe(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """The nearest pivots of each vector, nearest first (equal ones by number)."""
     n = min(PREFIX, len(pivots))
@@ -141,11 +158,10 @@ class _Members:
         new = (self.key[1:] != self.key[:-1]) | (self.part[1:] != self.part[:-1])
         return np.concatenate([[0], np.flatnonzero(new) + 1])
 
-    def near_pairs(self, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of rows of one list at or over the threshold, each in one list only."""
+    def near_pairs(self, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of rows of one list at or over the threshold, each in one list only, some at a time."""
         starts = self.starts()
         sizes = np.diff(np.append(starts, len(self.key)))
-        found: list[tuple[np.ndarray, np.ndarray]] = []
         for size in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]):
             i, j = np.triu_indices(size, 1)
             groups = starts[sizes == size]
@@ -154,28 +170,47 @@ class _Members:
                 base = groups[at : at + step, None]
                 a, b = (base + i).ravel(), (base + j).ravel()
                 near = np.einsum("ij,ij->i", self.units[a], self.units[b]) >= threshold
-                found.append((a[near], b[near]))
+                near &= ~self.cross[a] | (self.block[a] != self.block[b])
+                a, b = a[near], b[near]
+                here = _smallest_shared(self.pivots[a], self.pivots[b]) == self.key[a]
+                yield a[here], b[here]
         for start, size in zip(starts[sizes > SMALL], sizes[sizes > SMALL], strict=True):
-            whole = self.units[start : start + size]
-            for at in range(0, size, 512):
-                a, b = np.nonzero(whole[at : at + 512] @ whole.T >= threshold)
-                later = a + at < b
-                found.append((a[later] + at + start, b[later] + start))
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        a, b = (np.concatenate(side) for side in zip(*found, strict=True))
-        own = ~self.cross[a] | (self.block[a] != self.block[b])
-        a, b = a[own], b[own]
-        here = np.zeros(len(a), dtype=bool)
-        for at in range(0, len(a), 200_000):
-            x, y = a[at : at + 200_000], b[at : at + 200_000]
-            here[at : at + 200_000] = _smallest_shared(self.pivots[x], self.pivots[y]) == self.key[x]
-        return a[here], b[here]
-
-
-def _settled(rows: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest row that each row reaches."""
-    label = np.arange(rows)
+            yield from self._near_in(start, size, threshold)
+
+    def _near_in(self, start: int, size: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The pairs of one long list; rows whose pairs count in another list are not multiplied."""
+        pivots = self.pivots[start : start + size]
+        shared = [self.key[start] // PIVOTS**2, self.key[start] // PIVOTS % PIVOTS, self.key[start] % PIVOTS]
+        if pivots.shape[1] < SHARED:
+            pivots = pivots[:, :0]
+        # A pair that shares one more pivot before the list's third counts in that one's list.
+        rows, at = np.nonzero((pivots < shared[2]) & (pivots != shared[0]) & (pivots != shared[1]))
+        names, column = np.unique(pivots[rows, at], return_inverse=True)
+        has = np.zeros((size, len(names)), dtype=np.float32)
+        has[rows, column] = 1
+        kinds, kind = np.unique(has, axis=0, return_inverse=True)
+        kind = kind.ravel()
+        order = np.argsort(kind, kind="stable")
+        units, blocks, kind = self.units[start : start + size][order], self.block[start : start + size][order], kind[order]
+        for at in range(0, size, 512):
+            some, own = np.unique(kind[at : at + 512], return_inverse=True)
+            free = kinds[some] @ kinds.T == 0
+            columns = at + np.flatnonzero(free.any(axis=0)[kind[at:]])
+            if not len(columns):
+                continue
+            near = units[at : at + 512] @ units[columns].T >= threshold
+            near &= free[own.ravel()[:, None], kind[columns]]
+            if self.cross[start]:
+                near &= blocks[at : at + 512, None] != blocks[columns]
+            a, b = np.nonzero(near)
+            later = a + at < columns[b]
+            yield order[a[later] + at] + start, order[columns[b[later]]] + start
+
+
+def _settled(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest row that each row reaches by *label* and the links."""
+    tied = np.flatnonzero(label != np.arange(len(label)))
+    a, b = np.concatenate([a, tied]), np.concatenate([b, label[tied]])
     while True:
         before = label.copy()
         np.minimum.at(label, a, before[b])
@@ -189,12 +224,15 @@ def _compare(threshold: float):
     """Rows (a, b, links): link counts of a where b is null, else an edge of a spanning tree."""
 
     def emit(members: _Members) -> Iterator[pa.RecordBatch]:
-        a, b = members.near_pairs(threshold)
-        if not len(a):
-            return
-        links = np.bincount(a, members.copies[b], len(members.key)) + np.bincount(b, members.copies[a], len(members.key))
+        rows = len(members.key)
+        links, label = np.zeros(rows), np.arange(rows)
+        for a, b in members.near_pairs(threshold):
+            if len(a):
+                links += np.bincount(a, members.copies[b], rows) + np.bincount(b, members.copies[a], rows)
+                label = _settled(label, a, b)
         some = np.flatnonzero(links)
-        label = _settled(len(members.key), a, b)
+        if not len(some):
+            return
         tied = np.flatnonzero(label != np.arange(len(label)))
         ids = np.concatenate([members.cid[some], members.cid[tied]])
         others = pa.array(np.concatenate([np.zeros(len(some), np.int64), members.cid[label[tied]]]), pa.int64(),
@@ -226,10 +264,10 @@ def embedding_classes(
     """``vec_id, n_links, component_id, kept`` of every row."""
     rows = _rows(df, vec_id, embedding)
     classes = stored(_classes(rows), "embedding-classes")
-    sample = [r.vector for r in classes.orderBy(F.xxhash64("vector", F.lit(1)), "low").limit(PIVOTS).collect()]
+    sample = [r.vector for r in classes.orderBy(F.xxhash64("vector", F.lit(1)), "low").limit(SAMPLE).collect()]
     links, labels = None, None
     if sample:
-        pivots = _normalised(np.array([v for v in sample if len(v) == len(sample[0])]))
+        pivots = thinned(_normalised(np.array([v for v in sample if len(v) == len(sample[0])])))
         described = stored(_index(classes, pivots), "embedding-index")
         entries = described.select("cid", F.explode("keys").alias("key"))
         entries = entries.withColumn("size", F.count("*").over(Window.partitionBy("key"))).filter("size > 1")

@@ -68,6 +68,24 @@ def test_recall_of_pairs_at_the_threshold(spark):
     assert all(g[1] <= w[1] for g, w in zip(got, want, strict=True))
 
 
+@pytest.mark.parametrize("cosine", [(0.975, 0.98), (0.99, 0.999)])
+def test_recall_in_a_dense_group_of_a_third(spark, cosine):
+    # One group of different vectors among vectors without links; unthinned, a third of the pivots lie inside it.
+    draw = np.random.default_rng(3)
+    rows = [v for _, v in vectors(3, groups=1, size=2000, dims=64, cosine=cosine)]
+    rows += draw.normal(size=(4000, 64)).tolist()
+    rows = [(i, rows[k]) for i, k in enumerate(draw.permutation(len(rows)).tolist())]
+    got, _ = result(spark, rows, block=700)
+    units = np.array([v for _, v in rows])
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    want = (units @ units.T >= 0.95).sum(axis=1) - 1
+    assert want.sum() > 2_000_000
+    assert sum(g[1] for g in got) >= 0.95 * want.sum()
+    assert all(g[1] <= w for g, w in zip(got, want.tolist(), strict=True))
+    low = min(g[0] for g, w in zip(got, want.tolist(), strict=True) if w)
+    assert sum(g[2] == low for g in got) >= 0.95 * (want > 0).sum()
+
+
 def test_odd_vectors(spark):
     rows = [
         (5, [1.0, 0.0, 0.5]), (3, [2.0, 0.0, 1.0]), (9, [1.0, 0.0, 0.5]), (1, None), (2, [0.0, 0.0, 0.0]), (4, [1.0, None, 0.5]),
