@@ -14,8 +14,10 @@ block are dealt as pairs of blocks to tasks of their own.
 Recall is that of meeting in three of the nearest PREFIX pivots; the tests measure it against brute force. No link below
 the threshold is returned.
 
-Defined results: vectors that are null, zero or of another length than the first pivot, or that hold null or non-finite
-components, link with nothing and are their own component; a row without id links with nothing and has no component; rows that repeat an id
+Every vector length has pivots and lists of its own, so vectors meet those of their length; a length of few vectors is
+one list.
+
+Defined results: vectors that are null, zero or empty, or that hold null or non-finite components, link with nothing and are their own component; a row without id links with nothing and has no component; rows that repeat an id
 are vectors of their own; further columns are ignored; an empty table gives no rows.
 """
 
@@ -96,7 +98,7 @@ def describe(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def _list_keys(described: np.ndarray) -> np.ndarray:
-    """The lists of each vector: every three of its pivots, smallest first, as one number."""
+    """The lists of each vector within its length: every three of its pivots, smallest first, as one number."""
     ordered = np.sort(described, axis=1)
     if ordered.shape[1] < SHARED:
         # Too few pivots to share three: everything meets in one list.
@@ -114,38 +116,50 @@ def _smallest_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[first].reshape(len(a), SHARED) * np.array([PIVOTS**2, PIVOTS, 1])).sum(axis=1)
 
 
-def _index(classes: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """``cid, copies, vector, pivots, keys``: unit vectors and sorted descriptions in bytes."""
+def _pivots(classes: DataFrame) -> dict[int, np.ndarray]:
+    """The pivots of each length that has more than SMALL vectors."""
+    sizes = classes.groupBy(F.size("vector").alias("width")).count().filter(F.col("count") > SMALL)
+    place = F.xxhash64("vector", F.lit(1))
+    share = F.pmod(place, F.lit(2**31)) / F.lit(float(2**31))
+    wide = classes.select("vector", "low", F.size("vector").alias("width"), place.alias("place"), share.alias("share"))
+    # Pivots of each of these lengths are broadcast anyway.
+    drawn = wide.join(F.broadcast(sizes), "width").filter(F.col("share") * F.col("count") < SAMPLE)
+    by_width: dict[int, list] = {}
+    for r in sorted(drawn.select("width", "place", "low", "vector").collect(), key=lambda r: (r.width, r.place, r.low)):
+        by_width.setdefault(r.width, []).append(r.vector)
+    return {width: thinned(_normalised(np.array(some))) for width, some in by_width.items()}
+
+
+def _index(classes: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """``cid, copies, vector, pivots, keys``: unit vectors and sorted descriptions in bytes; keys begin with the length."""
     shared = classes.sparkSession.sparkContext.broadcast(pivots)
-    width = pivots.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lengths = batch.column(2).value_lengths().to_numpy()
-            batch = batch.filter(pa.array(lengths == width))
-            if not batch.num_rows:
-                continue
-            units = _unit(batch, 2)
-            described = describe(units, shared.value)
-            keys = _list_keys(described)
-            columns = [
-                batch.column(0),
-                batch.column(1),
-                pa.array([u.tobytes() for u in units], pa.binary()),
-                pa.array([d.astype("<i8").tobytes() for d in np.sort(described, axis=1)], pa.binary()),
-                pa.array(keys.tolist(), pa.list_(pa.int64())),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["cid", "copies", "vector", "pivots", "keys"])
+        for whole in batches:
+            lengths = whole.column(2).value_lengths().to_numpy()
+            for width in np.unique(lengths).tolist():
+                batch = whole.filter(pa.array(lengths == width))
+                units = _unit(batch, 2)
+                described = describe(units, shared.value.get(width, np.zeros((0, width))))
+                keys = _list_keys(described) + width * PIVOTS**SHARED
+                columns = [
+                    batch.column(0),
+                    batch.column(1),
+                    pa.array([u.tobytes() for u in units], pa.binary()),
+                    pa.array([d.astype("<i8").tobytes() for d in np.sort(described, axis=1)], pa.binary()),
+                    pa.array(keys.tolist(), pa.list_(pa.int64())),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["cid", "copies", "vector", "pivots", "keys"])
 
     narrow = classes.select("cid", "copies", "vector")
     return narrow.mapInArrow(run, "cid bigint, copies bigint, vector binary, pivots binary, keys array<bigint>")
 
 
 class _Members:
-    """The rows of some lists."""
+    """The rows of some lists of one vector length; their keys are without it."""
 
     def __init__(self, table: pa.Table):
-        self.key = table["key"].to_numpy()
+        self.key = table["key"].to_numpy() % PIVOTS**SHARED
         self.part = table["part"].to_numpy()
         self.block = table["block"].to_numpy()
         self.cross = table["cross"].to_numpy(zero_copy_only=False)
@@ -240,6 +254,12 @@ def _compare(threshold: float):
         counts = np.concatenate([links[some], np.zeros(len(tied))]).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(ids), others, pa.array(counts)], ["a", "b", "links"])
 
+    def by_length(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        widths = table["key"].to_numpy() // PIVOTS**SHARED
+        cuts = [0, *(np.flatnonzero(np.diff(widths)) + 1).tolist(), len(widths)]
+        for start, end in zip(cuts, cuts[1:]):
+            yield from emit(_Members(table.slice(start, end - start)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         for batch in batches:
@@ -250,10 +270,10 @@ def _compare(threshold: float):
             last = np.flatnonzero((key != key[-1]) | (part != part[-1]))
             cut = int(last[-1]) + 1 if len(last) else 0
             if cut:
-                yield from emit(_Members(held.slice(0, cut)))
+                yield from by_length(held.slice(0, cut))
                 held = held.slice(cut)
         if held is not None and held.num_rows:
-            yield from emit(_Members(held))
+            yield from by_length(held)
 
     return run
 
@@ -264,11 +284,9 @@ def embedding_classes(
     """``vec_id, n_links, component_id, kept`` of every row."""
     rows = _rows(df, vec_id, embedding)
     classes = stored(_classes(rows), "embedding-classes")
-    sample = [r.vector for r in classes.orderBy(F.xxhash64("vector", F.lit(1)), "low").limit(SAMPLE).collect()]
     links, labels = None, None
-    if sample:
-        pivots = thinned(_normalised(np.array([v for v in sample if len(v) == len(sample[0])])))
-        described = stored(_index(classes, pivots), "embedding-index")
+    if not classes.isEmpty():
+        described = stored(_index(classes, _pivots(classes)), "embedding-index")
         entries = described.select("cid", F.explode("keys").alias("key"))
         entries = entries.withColumn("size", F.count("*").over(Window.partitionBy("key"))).filter("size > 1")
         parts = F.ceil(F.col("size") / block).cast("int")

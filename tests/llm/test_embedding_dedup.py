@@ -86,6 +86,17 @@ def test_recall_in_a_dense_group_of_a_third(spark, cosine):
     assert sum(g[2] == low for g in got) >= 0.95 * (want > 0).sum()
 
 
+def test_vectors_of_every_length_meet_their_like(spark):
+    parts = [vectors(5, groups=8), vectors(6, groups=1, size=5, dims=10), vectors(7, groups=9, dims=31), [(0, [2.0])]]
+    rows = [v for part in parts for _, v in part]
+    rows = [(i, rows[k]) for i, k in enumerate(np.random.default_rng(5).permutation(len(rows)).tolist())]
+    got, _ = result(spark, rows)
+    want = {}
+    for width in {len(v) for _, v in rows}:
+        want |= {r[0]: r for r in brute_force([(i, v) for i, v in rows if len(v) == width])}
+    assert got == [want[i] for i, _ in rows]
+
+
 def test_odd_vectors(spark):
     rows = [
         (5, [1.0, 0.0, 0.5]), (3, [2.0, 0.0, 1.0]), (9, [1.0, 0.0, 0.5]), (1, None), (2, [0.0, 0.0, 0.0]), (4, [1.0, None, 0.5]),
