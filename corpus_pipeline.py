@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmark.llm.common import read_table, stored
+from gridmark.llm.common import fresh, read_table, stored
 from gridmark.llm.jaccard_join import near_duplicate_classes
 from gridmark.llm.line_dedup import without_shared_lines
 from gridmark.llm.mixing import mixed_documents
@@ -27,10 +27,17 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate class; documents without id all stay."""
-    classes = near_duplicate_classes(docs)
-    staying = classes.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.filter("doc_id is null").unionByName(docs.join(staying, "doc_id", "left_semi"))
+    """One row of each near-duplicate class: by id (none last), then text hash, then running number.
+
+    Rows are classed one by one, so repeated rows and rows without id are too; rows without words all stay.
+    """
+    row, key = fresh("row", docs.columns), fresh("text_key", docs.columns)
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "jaccard-rows")
+    classes = near_duplicate_classes(numbered, doc_id=row).select(F.col("doc_id").alias("member"), "component_id")
+    order = numbered.select(row, F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias(key))
+    order = classes.join(order, F.col("member") == F.col(row))
+    first = order.groupBy("component_id").agg(F.min(F.struct("none", "doc_id", key, row)).alias("first"))
+    return numbered.join(first.select(F.col(f"first.{row}").alias(row)), row, "left_semi").select(docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,3 +62,14 @@ def test_run_gives_the_last_stage(spark):
     assert out.count() > 0 and out.columns[-1] == "ids"
     assert [n for n, _ in corpus_pipeline.STAGES][2] == "jaccard_join"
     assert callable(check)
+
+
+def test_one_row_of_each_class_stays(spark):
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(30)) for k in "abcd")
+    near = c + " more"
+    rows = [(5, a), (5, b), (3, a), (7, b), (7, b), (9, c), (9, c), (8, near), (None, d), (None, d), (None, a), (1, None), (2, "")]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string").repartition(3)
+    single = corpus_pipeline.near_duplicates(spark, docs, FOLDER)
+    assert single.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in single.collect()]
+    assert sorted(got, key=str) == sorted([(3, a), (5, b), (8, near), (None, d), (1, None), (2, "")], key=str)
