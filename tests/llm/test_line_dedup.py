@@ -1,7 +1,7 @@
 import random
 from itertools import combinations
 
-from gridmark.llm.line_dedup import aligned_blocks, dedup_lines, longest_rise, op5_line_dedup, without_shared_lines
+from gridmark.llm.line_dedup import aligned_blocks, dedup_lines, longest_rise, op5_line_dedup, short_runs, without_shared_lines
 
 
 def slow_rise(values):
@@ -104,3 +104,64 @@ def test_query_on_the_small_table(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
     got = {r.doc_id: r.text for r in op5_line_dedup(spark, folder).collect()}
     assert got == slow_dedup(docs)
+
+
+def all_pairs(docs):
+    """Lines of common blocks with any earlier document, by every pair of places."""
+    gone, seen = {}, []
+    for d, t in sorted(docs):
+        lines = t.split("\n")
+        here = [i for i, x in enumerate(lines) if x.split()]
+        deleted = set()
+        for earlier in seen:
+            for i in range(len(here)):
+                for j in range(len(earlier)):
+                    n = 0
+                    while i + n < len(here) and j + n < len(earlier) and lines[here[i + n]] == earlier[j + n]:
+                        n += 1
+                    if sum(len(lines[k].split()) for k in here[i : i + n]) >= 8:
+                        deleted |= set(here[i : i + n])
+        seen.append([lines[i] for i in here])
+        gone[d] = deleted
+    return gone
+
+
+def test_short_runs():
+    assert short_runs([5, 5, 2, 1]) == [(0, 1), (0, 2), (1, 3)]
+    draw = random.Random(2)
+    for _ in range(50):
+        counts = [draw.randint(1, 9) for _ in range(draw.randint(0, 12))]
+        covered = {k for a, b in short_runs(counts) for k in range(a, b + 1)} | {k for k, n in enumerate(counts) if n >= 8}
+        assert covered == (set(range(len(counts))) if sum(counts) >= 8 else set())
+
+
+def test_blocks_of_competing_owners_and_short_lines_equal_all_pairs(spark):
+    draw = random.Random(11)
+    a, b, c = line(draw, 6), line(draw, 6), line(draw, 7)
+    poem = "\n".join(line(draw, 3) for _ in range(4))
+    docs = [
+        (1, f"{a}\nx"), (2, f"y\n{b}"), (3, f"z\n{a}\n\n{b}\n{c}"), (4, f"own\n{a}\n{b}\n{c}\nend"),
+        (5, f"{c}\ntitle\n{b}\n{c}"), (6, f"{b}\n{c}"), (7, f"u\n{poem}\nv"), (8, f"{line(draw)}\n{poem}"),
+    ]
+    lines = [line(draw, n) for n in (1, 2, 3, 5, 6, 7, 9)]
+    docs += [(10 + i, "\n".join(draw.choice([*lines, "", line(draw)]) for _ in range(12))) for i in range(25)]
+    got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(docs, "doc_id int, text string"), run_words=1).collect()}
+    assert got[4] == "own\nend" and got[6] == "" and got[8].count("\n") == 0
+    gone = all_pairs(docs)
+    for d, t in docs:
+        want = [x for i, x in enumerate(t.split("\n")) if i not in gone[d] and x.split()]
+        assert [x for x in got[d].split("\n") if x.split()] == want
+
+
+def test_query_deletes_blocks_of_competing_owners(spark, tmp_path):
+    draw = random.Random(12)
+    a, b, c = line(draw, 6), line(draw, 5), line(draw, 7)
+    docs = [
+        (1, f"{a}\nx"), (2, f"y\n{b}"), (3, f"z\n{a}\n\n{b}\nshort\n{c}"), (4, f"own\n{a}\n{b}\nshort\n{c}\nend"),
+        (5, f"{c}\n-\n{a}"), (6, f"{b}\nother\n{c}"),
+    ]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text for r in op5_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == dict(docs) | {4: "own\nend", 6: "other"}
+    kept = without_shared_lines(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r.doc_id: r.text for r in kept.collect()} == got
