@@ -3,6 +3,10 @@
 A document's counts come from built-in array and string functions; each rule compares one ratio of counts with its
 bounds. Everything is computed within a row: no shuffle, and the longest text costs n log n in its own words.
 
+Rules that know only some languages bind only where they can judge. Stop words are those of English, German, French and
+Spanish; documents whose letters are mostly of another script than Latin, that name another language, or that have as
+many function words of another language in OTHER_STOP_WORDS are exempt. Words of unspaced scripts have no length bound.
+
 Defined results: a null text counts as empty (no words, so it fails the base rule); ratios over nothing are 0; repeated
 rows are judged alike; further columns of the input, also such as are named like the counts, are left alone.
 """
@@ -31,21 +35,50 @@ STOP_WORDS = (
 ).split()
 
 
+LANGUAGES = ("en", "de", "fr", "es")
+# Frequent function words of further languages in Latin script; none is an English word.
+OTHER_STOP_WORDS = (
+    "il che di della dei delle gli nel per non sono anche più come ma "  # Italian
+    "os uma não com para dos das ao pela também mais "  # Portuguese
+    "het een van niet zijn voor met aan ook maar naar wordt "  # Dutch
+    "och att det som på är av för inte till har med jag den "  # Swedish
+    "og ikke til af han hun jeg fra ble ved være "  # Danish, Norwegian
+    "ja ei että oli hän mutta kun ovat se myös niin joka ole "  # Finnish
+    "nie się na że jest jak przez ale dla oraz są był które "  # Polish
+    "je že jsem není jako pro ale jsou také který byl "  # Czech, Slovak
+    "és hogy nem egy az volt csak mint de ez meg "  # Hungarian
+    "și în nu că din care pentru mai sunt este sau "  # Romanian
+    "ve bir bu için çok ile daha olarak gibi olan değil "  # Turkish
+    "yang dan di untuk dengan ini itu dari pada tidak adalah "  # Indonesian, Malay
+    "và của là không được trong một những người các cho với "  # Vietnamese
+    "su nije i da koji ali kao biti ili što "  # Croatian, Bosnian, Slovene
+    "ir kad yra buvo tai iš un ka ir nav ja ka "  # Lithuanian, Latvian
+    "ning oli see mis ta kui aga või "  # Estonian
+    "na ya wa kwa ni katika za hii cha la "  # Swahili
+    "els amb una les però és aquest ang ng mga sa ay "  # Catalan, Tagalog
+).split()
+OTHER_STOP_WORDS = sorted(set(OTHER_STOP_WORDS) - set(STOP_WORDS) - {"i", "han", "har", "den", "ole", "ring", "meg", "sole", "pro", "sa", "la", "ta", "ya"})
+
+
 @dataclass(frozen=True)
 class Rule:
-    """Keep a document only if ``low <= ratio <= high``; a missing bound does not bind."""
+    """Keep a document only if ``low <= ratio <= high``; a missing bound does not bind.
+
+    *unless* names an entry of EXEMPT: documents it holds for pass.
+    """
 
     name: str
     ratio: str
     low: float | None = None
     high: float | None = None
+    unless: str | None = None
 
 
 # Ratios are SQL over the counts below. Bounds are wide: they reject shouting, symbol soup and lists, not prose.
 RULES = (
-    Rule("mean_word_length", "word_chars / greatest(n_words, 1)", 2.0, 15.0),
+    Rule("mean_word_length", "word_chars / greatest(n_words, 1)", 2.0, 15.0, "unspaced"),
     Rule("symbols_per_word", "n_symbols / greatest(n_words, 1)", None, 0.1),
-    Rule("stop_word_share", "n_stop_words / greatest(n_words, 1)", 0.02, None),
+    Rule("stop_word_share", "n_stop_words / greatest(n_words, 1)", 0.02, None, "foreign"),
     Rule("digit_share", "n_digits / greatest(word_chars, 1)", None, 0.3),
     Rule("repeated_line_share", "n_dup_lines / greatest(n_lines, 1)", None, 0.4),
     Rule("bullet_line_share", "n_bullet_lines / greatest(n_lines, 1)", None, 0.9),
@@ -117,15 +150,41 @@ def _counts(df: DataFrame, text: str, out: str) -> DataFrame:
     return df.withColumn(out, F.struct(*[count[c].cast("bigint").alias(c) for c in COUNTS])).drop(parts)
 
 
-def compile_rules(rules: Sequence[Rule], counts: str) -> Column:
-    """One boolean expression over the struct column *counts*."""
+def _letters(text: Column, kind: str) -> Column:
+    return F.length(F.regexp_replace(text, rf"[^{kind}]", ""))
+
+
+def _unspaced(text: Column, lang: Column) -> Column:
+    """Half of the letters or more are of scripts that put no spaces between words."""
+    scripts = "".join(rf"\p{{Is{s}}}" for s in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan"))
+    found = _letters(text, scripts)
+    return (found > 0) & (found * 2 >= _letters(text, r"\p{L}\p{M}"))
+
+
+def _foreign(text: Column, lang: Column) -> Column:
+    """The stop words cannot judge: another language, or another script."""
+    other = F.size(F.filter(words(text), lambda w: F.lower(w).isin(*OTHER_STOP_WORDS)))
+    named = F.regexp_extract(F.lower(lang), "^[a-z]+", 0)
+    return (
+        F.coalesce((named != "") & ~named.isin(*LANGUAGES, "und", "unknown", "none", "null"), F.lit(False))
+        | (_letters(text, r"\p{IsLatin}") * 2 < _letters(text, r"\p{L}"))
+        | (other >= F.size(words(text)) * 0.02) & (other > 0)
+    )
+
+
+EXEMPT = {"unspaced": _unspaced, "foreign": _foreign}
+
+
+def compile_rules(rules: Sequence[Rule], counts: str, text: Column, lang: Column) -> Column:
+    """One boolean expression over the struct column *counts*; *text* is read again only where a rule would reject."""
     verdict = F.lit(True)
     for rule in rules:
-        ratio = _ratio(rule.ratio, counts)
+        ratio, passed = _ratio(rule.ratio, counts), F.lit(True)
         if rule.low is not None:
-            verdict = verdict & (ratio >= F.lit(rule.low))
+            passed = passed & (ratio >= F.lit(rule.low))
         if rule.high is not None:
-            verdict = verdict & (ratio <= F.lit(rule.high))
+            passed = passed & (ratio <= F.lit(rule.high))
+        verdict = verdict & (F.when(passed, True).otherwise(EXEMPT[rule.unless](text, lang)) if rule.unless else passed)
     return verdict
 
 
@@ -140,21 +199,22 @@ def base_failed(counts: str) -> Column:
     return (n < MIN_WORDS) | (repeated * 100 > n * MAX_REPEAT_PERCENT)
 
 
-def quality_counts(df: DataFrame, rules: Sequence[Rule] = RULES, *, text: str = "text", out: str = "quality") -> DataFrame:
-    """*df* with a struct column *out*: COUNTS, ``base_failed`` and ``kept``."""
+def quality_counts(df: DataFrame, rules: Sequence[Rule] = RULES, *, text: str = "text", lang: str = "lang", out: str = "quality") -> DataFrame:
+    """*df* with a struct column *out*: COUNTS, ``base_failed`` and ``kept``; the language column may be missing."""
+    language = F.col(f"`{lang}`").cast("string") if lang in df.columns else F.lit(None).cast("string")
     counts = fresh("counts", [*df.columns, out])
     df = _counts(df, text, counts)
     failed = base_failed(counts)
     fields = [F.col(f"`{counts}`.`{c}`").alias(c) for c in COUNTS]
-    kept = ~failed & compile_rules(rules, counts)
+    kept = ~failed & compile_rules(rules, counts, F.coalesce(F.col(f"`{text}`"), F.lit("")), language)
     return df.withColumn(out, F.struct(*fields, failed.alias("base_failed"), kept.alias("kept"))).drop(counts)
 
 
-def filter_by_quality(df: DataFrame, rules: Sequence[Rule] = RULES, *, text: str = "text") -> DataFrame:
+def filter_by_quality(df: DataFrame, rules: Sequence[Rule] = RULES, *, text: str = "text", lang: str = "lang") -> DataFrame:
     """Rows of *df* that pass the base rule and *rules*, with the columns of *df*."""
     out = fresh("quality", df.columns)
     one = fresh("one", [*df.columns, out])
-    judged = quality_counts(df, rules, text=text, out=out)
+    judged = quality_counts(df, rules, text=text, lang=lang, out=out)
     # A filter would be pushed below the counts, which would then be computed anew for every ratio and window.
     kept = F.when(F.col(f"`{out}`.kept"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
     return judged.select("*", F.explode(kept).alias(one)).drop(out, one)
@@ -198,6 +258,7 @@ from counts
 @query("op8_quality_rules", _ORACLE)
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
-    judged = quality_counts(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = read_table(spark, sf_dir, "documents")
+    judged = quality_counts(docs.select([c for c in ("doc_id", "text", "lang") if c in docs.columns]))
     shown = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return judged.select("doc_id", *[F.col(f"quality.{c}").alias(c) for c in shown])

@@ -40,3 +40,20 @@ def test_clean_text_stays_and_columns_survive(spark):
     assert kept.columns == df.columns
     assert sorted(map(tuple, kept.collect())) == sorted([rows[0], rows[1]])
     assert filter_by_quality(df.limit(0)).count() == 0
+
+
+def test_clean_text_in_other_languages_stays(spark):
+    texts = {
+        "ru": "Вчера вечером мы долго гуляли по старому городу и говорили о том, как быстро меняется жизнь. Потом пошёл дождь, и нам пришлось вернуться домой.",
+        "el": "Χθες το βράδυ περπατήσαμε για πολλή ώρα στην παλιά πόλη και μιλήσαμε για το πώς αλλάζει η ζωή. Μετά άρχισε να βρέχει και γυρίσαμε σπίτι.",
+        "pl": "Wczoraj wieczorem długo spacerowaliśmy po starym mieście i rozmawialiśmy o tym, jak szybko zmienia się życie. Potem zaczęło padać, ale nie mieliśmy parasola.",
+        "fi": "Eilen illalla kävelimme pitkään vanhassa kaupungissa ja puhuimme siitä, kuinka nopeasti elämä muuttuu. Sitten alkoi sataa, mutta meillä ei ollut sateenvarjoa mukana.",
+        "zh": " ".join(f"昨天晚上我们在老城里散步了很久谈论生活变化得多么快第{i}次" for i in "一二三四五六七八九十百千万亿甲乙丙丁戊己庚辛"),
+    }
+    junk = " ".join(f"keyword{k}xx" for k in "abcdefghijklmnopqrstuvwxyz")
+    rows = [(i, t) for i, t in enumerate([*texts.values(), junk])]
+    kept = filter_by_quality(spark.createDataFrame(rows, "doc_id int, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(len(texts)))
+    named = [(1, junk, "sw"), (2, junk, "en"), (3, junk, None), (4, junk, "DE-at")]
+    kept = filter_by_quality(spark.createDataFrame(named, "doc_id int, text string, lang string"))
+    assert [r.doc_id for r in kept.collect()] == [1]
