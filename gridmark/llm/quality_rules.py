@@ -5,7 +5,7 @@ bounds. Everything is computed within a row: no shuffle, and the longest text co
 
 Rules that know only some languages bind only where they can judge. Stop words are those of English, German, French and
 Spanish; documents whose letters are mostly of another script than Latin, that name another language, or that have as
-many function words of another language in OTHER_STOP_WORDS are exempt. Words of unspaced scripts have no length bound.
+many function words of OTHER_STOP_WORDS (unless they name one of the four) are exempt. Words of unspaced scripts have no length bound.
 
 Defined results: a null text counts as empty (no words, so it fails the base rule); ratios over nothing are 0; repeated
 rows are judged alike; further columns of the input, also such as are named like the counts, are left alone.
@@ -168,7 +168,7 @@ def _foreign(text: Column, lang: Column) -> Column:
     return (
         F.coalesce((named != "") & ~named.isin(*LANGUAGES, "und", "unknown", "none", "null"), F.lit(False))
         | (_letters(text, r"\p{IsLatin}") * 2 < _letters(text, r"\p{L}"))
-        | (other >= F.size(words(text)) * 0.02) & (other > 0)
+        | ~F.coalesce(named.isin(*LANGUAGES), F.lit(False)) & (other >= F.size(words(text)) * 0.02) & (other > 0)
     )
 
 
