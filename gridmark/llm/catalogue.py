@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 _MODULES = ("sharding", "embedding_dedup", "jaccard_join", "mixing", "line_dedup", "packing", "language_model",
-            "quality_rules", "token_counts", "license_scan")
+            "quality_rules", "token_counts", "license_scan", "best_fit_packing", "hard_negatives", "whitening")
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
