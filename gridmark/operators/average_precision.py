@@ -50,26 +50,24 @@ def size_name(area: Column) -> Column:
     return F.when(area < 32.0**2, F.lit("small")).when(area < 96.0**2, F.lit("medium")).otherwise(F.lit("large"))
 
 
-def positives(ground_truth: DataFrame, lanes: matching.Lanes) -> DataFrame:
-    """Countable ground truths per class and area range, with zero rows kept for known classes."""
-    counts = []
-    for name, low, high in lanes.areas:
-        inside = ~F.col("iscrowd") & (F.col("area") >= low) & (F.col("area") <= high)
-        counts.append(F.struct(F.lit(name).alias("area_range"), F.count_if(inside).alias("positives")))
-    rows = ground_truth.groupBy("label").agg(F.array(*counts).alias("_areas"))
-    return rows.select("label", F.inline("_areas"))
+def truth_counts(ground_truth: DataFrame, lanes: matching.Lanes) -> DataFrame:
+    """``label, counts``: countable ground truths per class, one number for each area range; crowds keep zero rows."""
+    inside = [f"count_if(NOT iscrowd AND area >= {low!r}D AND area <= {high!r}D)" for _, low, high in lanes.areas]
+    return ground_truth.groupBy("label").agg(F.expr(f"array({', '.join(inside)}) AS counts"))
+
+
+def positives(counts: DataFrame, lanes: matching.Lanes) -> DataFrame:
+    """The counts as rows ``label, area_range, positives``."""
+    named = [F.struct(F.lit(a[0]).alias("area_range"), F.get("counts", F.lit(i)).alias("positives")) for i, a in enumerate(lanes.areas)]
+    return counts.select("label", F.inline(F.array(*named)))
 
 
 _ORDER = ["isnan(score)", "score DESC", "image_id", "rank"]
 _BIN_SCHEMA = "label bigint, lane int, bin int, best double, hits array<bigint>"
 
 
-def _positive_arrays(ground_truth: DataFrame, lanes: matching.Lanes) -> DataFrame:
-    inside = [
-        f"array_repeat(count_if(NOT iscrowd AND area >= {low!r}D AND area <= {high!r}D), {len(lanes.thresholds)})"
-        for _, low, high in lanes.areas
-    ]
-    return ground_truth.groupBy("label").agg(F.expr(f"flatten(array({', '.join(inside)})) AS positives"))
+def _positive_arrays(counts: DataFrame, lanes: matching.Lanes) -> DataFrame:
+    return counts.selectExpr("label", f"flatten(transform(counts, c -> array_repeat(c, {len(lanes.thresholds)}))) AS positives")
 
 
 def _lane_bits(masks: pd.Series, lane_count: int) -> np.ndarray:
@@ -98,13 +96,13 @@ def _slice_totals(slim: DataFrame, lane_count: int) -> DataFrame:
     )
 
 
-def _bin_batches(lane_count: int, caps: Sequence[int]):
+def _bin_batches(lane_count: int, caps: Sequence[int], levels: Sequence[float]):
     """Arrow-batch step over rows in score order. A header row opens a stretch of one class with its ground-truth
     counts and the running counts before it; each following row moves all lanes at once.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grid = np.asarray(RECALL_GRID)
+        grid = np.asarray(levels)
         stretch: dict = {}
 
         def close() -> pd.DataFrame | None:
@@ -168,15 +166,19 @@ def _bin_batches(lane_count: int, caps: Sequence[int]):
 
 
 def precision_bins(
-    scored: DataFrame, ground_truth: DataFrame, lanes: matching.Lanes, max_dets: Sequence[int]
+    scored: DataFrame,
+    counts: DataFrame,
+    lanes: matching.Lanes,
+    max_dets: Sequence[int],
+    recall_grid: Sequence[float] = RECALL_GRID,
 ) -> DataFrame:
-    """Largest precision per class, lane and recall bin, and true positives per cap.
+    """Largest precision per class, lane and recall bin, and true positives per cap; *counts* are :func:`truth_counts`.
 
     Rows are read in order of class, score, image and rank in ranges of equal size: each starts from the counts of its
     class's ranges before it, so no task grows with a class.
     """
     slim = scored.select("label", "image_id", "rank", "score", "tp_mask", "ignore_mask")
-    positive = _positive_arrays(ground_truth, lanes)
+    positive = _positive_arrays(counts, lanes)
     count = len(lanes)
     keys = ["label", "_slice"]
     slim = scale.order_slices(scale.cut_lineage(slim), ["label"], _ORDER)
@@ -194,7 +196,7 @@ def precision_bins(
     # A fixed number of partitions, so that small inputs are not merged into one Python worker.
     placed = rows.repartition(scale.slice_count(rows.sparkSession), *keys).sortWithinPartitions(*keys, "_kind", *[scale.sort_column(t) for t in _ORDER])
     bins = placed.select("label", "rank", "tp_mask", "ignore_mask", "head").mapInPandas(
-        _bin_batches(count, tuple(max_dets)), _BIN_SCHEMA
+        _bin_batches(count, tuple(max_dets), tuple(recall_grid)), _BIN_SCHEMA
     )
     named = bins.withColumns(lanes.names())
     return named.groupBy("label", "area_range", "iou", "bin").agg(
@@ -205,17 +207,20 @@ def precision_bins(
 
 def accumulate(
     scored: DataFrame,
-    ground_truth: DataFrame,
+    counts: DataFrame,
     lanes: matching.Lanes,
     max_dets: Sequence[int],
+    recall_grid: Sequence[float] = RECALL_GRID,
 ) -> Evaluation:
-    """Interpolated precision and final recall per class, threshold and area range.
+    """Interpolated precision and final recall per class, threshold and area range; *counts* are :func:`truth_counts`.
 
-    Precision at recall r is the largest precision at any recall >= r: a per-lane window of at most 101 rows takes
-    suffix maxima over the binned table, which holds at most classes x lanes x 102 rows. That table is materialised, so
+    Precision at recall r is the largest precision at any recall >= r: a per-lane window of one row per recall level takes
+    suffix maxima over the binned table, which holds at most classes x lanes x (levels + 1) rows. That table is materialised, so
     the matching behind it runs once however many summaries follow.
     """
-    npig = positives(ground_truth, lanes)
+    if list(recall_grid) != sorted(set(recall_grid)):
+        raise ValueError("recall levels must ascend")
+    npig = positives(counts, lanes)
     frame = npig.select(
         "label",
         "area_range",
@@ -223,9 +228,9 @@ def accumulate(
         F.explode(F.array(*[F.lit(t) for t in lanes.thresholds])).alias("iou"),
     )
     keys = ["label", "area_range", "iou"]
-    binned = scale.cut_lineage(precision_bins(scored, ground_truth, lanes, max_dets))
+    binned = scale.cut_lineage(precision_bins(scored, counts, lanes, max_dets, recall_grid))
     levels = frame.select(
-        "*", F.posexplode(F.array(*[F.lit(r) for r in RECALL_GRID])).alias("_position", "recall_level")
+        "*", F.posexplode(F.array(*[F.lit(float(r)) for r in recall_grid])).alias("_position", "recall_level")
     ).withColumn("bin", F.col("_position") + 1)
     suffix = Window.partitionBy(*keys).orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
     defined = F.col("positives") > 0
@@ -259,6 +264,7 @@ def evaluate(
     iou_grid: Sequence[float] = IOU_GRID,
     area_names: Sequence[str] = ("all", "small", "medium", "large"),
     max_dets: Sequence[int] = BOX_MAX_DETS,
+    recall_grid: Sequence[float] = RECALL_GRID,
     pairs: DataFrame | None = None,
     group_row_limit: int = scale.GROUP_ROW_LIMIT,
 ) -> Evaluation:
@@ -270,7 +276,7 @@ def evaluate(
     """
     passes = matching.lane_passes(iou_grid, area_names)
     if len(passes) > 1:
-        options = {"area_names": area_names, "max_dets": max_dets, "pairs": pairs, "group_row_limit": group_row_limit}
+        options = {"area_names": area_names, "max_dets": max_dets, "recall_grid": recall_grid, "pairs": pairs, "group_row_limit": group_row_limit}
         parts = [evaluate(detections, ground_truth, iou_grid=p, **options) for p in passes]
         return Evaluation(
             reduce(DataFrame.unionByName, [p.precision for p in parts]), reduce(DataFrame.unionByName, [p.recall for p in parts])
@@ -278,7 +284,7 @@ def evaluate(
     truth = truth_areas(ground_truth, F.col("mask_area") if "mask_area" in ground_truth.columns else None)
     lanes = matching.coco_lanes(iou_grid, area_names)
     scored = matching.match_lanes(detections, truth, lanes, pairs, max(max_dets), group_row_limit)
-    result = accumulate(scored, truth, lanes, max_dets)
+    result = accumulate(scored, truth_counts(truth, lanes), lanes, max_dets, recall_grid)
     only_detected = detections.select("label").distinct().join(truth.select("label"), "label", "left_anti")
     blank = only_detected.select(
         "label",
@@ -288,7 +294,7 @@ def evaluate(
     keys = ["label", "area_range", "iou"]
     extra_precision = blank.select(
         *keys,
-        F.explode(F.array(*[F.lit(r) for r in RECALL_GRID])).alias("recall_level"),
+        F.explode(F.array(*[F.lit(float(r)) for r in recall_grid])).alias("recall_level"),
         F.col("_none").alias("precision"),
     )
     extra_recall = blank.select(
@@ -322,8 +328,9 @@ def _statistics(result: Evaluation, ap_rows: list, ar_rows: list) -> DataFrame:
 
 
 def summarize_boxes(result: Evaluation, max_dets: Sequence[int] = BOX_MAX_DETS) -> DataFrame:
-    """The 12 box or mask statistics. Average precision uses the last cap, recall one row per cap and size."""
-    small, medium, last = sorted(max_dets)
+    """The box or mask statistics, 12 with three caps. Average precision uses the last cap, recall one row per cap and size."""
+    caps = sorted(max_dets)
+    last = caps[-1]
     whole = F.col("area_range") == "all"
 
     def sized(name: str) -> Column:
@@ -337,7 +344,7 @@ def summarize_boxes(result: Evaluation, max_dets: Sequence[int] = BOX_MAX_DETS)
         ("APm", sized("medium")),
         ("APl", sized("large")),
     ]
-    ar = [(f"AR{cap}", whole & (F.col("max_dets") == cap)) for cap in (small, medium, last)]
+    ar = [(f"AR{cap}", whole & (F.col("max_dets") == cap)) for cap in caps]
     ar += [(f"AR{n[0]}", sized(n) & (F.col("max_dets") == last)) for n in ("small", "medium", "large")]
     return _statistics(result, ap, ar)
 

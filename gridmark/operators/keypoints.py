@@ -133,7 +133,7 @@ def evaluate_keypoints(
     scored_truth = truth.withColumn("area", F.when(F.col("_no_points"), F.lit(-1.0)).otherwise(F.col("area")))
     lanes = matching.coco_lanes(ap.IOU_GRID, KEYPOINT_AREAS)
     scored = matching.match_lanes(found, scored_truth, lanes, pairs, cap, group_row_limit)
-    return ap.accumulate(scored, scored_truth, lanes, ap.KEYPOINT_MAX_DETS)
+    return ap.accumulate(scored, ap.truth_counts(scored_truth, lanes), lanes, ap.KEYPOINT_MAX_DETS)
 
 
 def visible_points(keypoints: Column) -> Column:

@@ -246,6 +246,11 @@ def _fold_boxes(detections: DataFrame, ground_truth: DataFrame, lanes: Lanes, ma
     groups = both.groupBy(*GROUP).agg(
         F.expr(f"{_capped('array_sort(collect_list(d))', max_dets)} AS dets"), F.expr("array_sort(collect_list(g)) AS gts")
     )
+    return _fold_groups(groups, lanes)
+
+
+def _fold_groups(groups: DataFrame, lanes: Lanes) -> DataFrame:
+    """The fold of rows with ordered boxes ``dets`` and ``gts``."""
     cands = _candidates(_touching(lanes), lanes)
     with_candidates = (
         f"transform(dets, d -> named_struct('signed', d.signed, 'det_idx', d.det_idx, 'in_range', d.in_range, 'cands', {cands}))"
@@ -254,6 +259,34 @@ def _fold_boxes(detections: DataFrame, ground_truth: DataFrame, lanes: Lanes, ma
     return _fold(ready, lanes)
 
 
+def image_groups(images: DataFrame, lanes: Lanes, max_dets: int | None = None) -> DataFrame:
+    """(image_id, label, dets, gts) of whole-image rows, without a shuffle; ready for :func:`match_groups`.
+
+    ``gts`` tells by its mask ``regular`` which ground truths count in which lanes.
+    """
+    labels = "transform(coalesce({0}, array()), e -> e.label)"
+    both = f"array_distinct(concat({labels.format('detections')}, {labels.format('ground_truth')}))"
+    named = images.selectExpr("image_id", "detections", "ground_truth", f"explode({both}) AS label").filter("label IS NOT NULL")
+    corners = "'x1', CAST(e.x1 AS DOUBLE), 'y1', CAST(e.y1 AS DOUBLE), 'x2', CAST(e.x2 AS DOUBLE), 'y2', CAST(e.y2 AS DOUBLE)"
+    box_area = "((e.x2 - e.x1) * (e.y2 - e.y1))"
+    truth_area = f"(CASE WHEN e.area > 0 THEN e.area ELSE {box_area} END)"
+    dets = f"named_struct('signed', -e.score, 'det_idx', e.det_idx, {corners}, 'in_range', {lanes.inside(box_area)})"
+    gts = (
+        f"named_struct('gt_idx', e.gt_idx, {corners}, 'crowd', coalesce(e.iscrowd, false), "
+        f"'regular', CASE WHEN e.iscrowd THEN 0L ELSE {lanes.inside(truth_area)} END)"
+    )
+
+    def own(name: str, struct: str) -> str:
+        return f"array_sort(transform(filter(coalesce({name}, array()), e -> e.label = label), e -> {struct}))"
+
+    return named.selectExpr(*GROUP, f"{_capped(own('detections', dets), max_dets)} AS dets", f"{own('ground_truth', gts)} AS gts")
+
+
+def match_groups(groups: DataFrame, lanes: Lanes) -> DataFrame:
+    """Masks of every detection of :func:`image_groups`, also on a stream."""
+    return _fold_groups(groups, lanes)
+
+
 def _fold_pairs(
     detections: DataFrame, ground_truth: DataFrame, pairs: DataFrame, lanes: Lanes, max_dets: int | None
 ) -> DataFrame:

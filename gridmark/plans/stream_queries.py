@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridmark import scale
+from gridmark.operators import average_precision as ap
 from gridmark.operators import matching as mt
 from gridmark.operators.sweep import score_bins
 from gridmark.plans import matching_queries as mq
+from gridmark.plans import precision_queries as pq
 from gridmark.plans.fixtures import read, view, with_views
 from gridmark.plans.registry import query
 from gridmark.streaming import evaluation as se
 from gridmark.streaming import frames as sf
+from gridmark.streaming import precision as sp
 
 
 def _image_stream(spark, folder, files: int):
@@ -41,6 +44,21 @@ def streamed_matching(spark, folder):
     return rows.join(counts, "label")
 
 
+@query("streamed_box_statistics", pq._sql(" select statistic, round(value, 9) as value from stats", pq.STATISTICS))
+def streamed_box_statistics(spark, folder):
+    """Five micro-batches of images; the stream ends after the first three and is started again for the others."""
+    sp.use_rocksdb(spark)
+    path, checkpoint = scale.run_folder(spark, "images"), scale.run_folder(spark, "curves")
+    images = se.pack_images(view(spark, folder, "det"), view(spark, folder, "gt"))
+    for half, files in ((0, 3), (1, 2)):
+        landed = images.filter(F.pmod(F.xxhash64("image_id"), F.lit(2)) == half)
+        landed.repartition(files).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(se.IMAGE_ROWS).option("maxFilesPerTrigger", 1).parquet(path)
+        _finish(sp.precision_stream(stream, checkpoint))
+    result = sp.precision_so_far(spark, checkpoint)
+    return ap.summarize_boxes(result).withColumn("value", F.round("value", 9))
+
+
 @query("streamed_running_bins", mq._sql(
     f""", {mq.SWEEP} select m.label, (select count(*) from grid g where g.threshold <= m.score::double)::int as bin,
           count(*) filter (is_tp) as tp, count(*) filter (not is_tp) as fp
