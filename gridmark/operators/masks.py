@@ -1,6 +1,10 @@
-"""Masks as disjoint runs of column-major pixel positions: image_id, instance_id, label, run_start, run_end (exclusive).
+"""Masks as disjoint runs of column-major pixel positions, in two forms.
 
-Runs make masks relational: area, overlap, extent and run lengths are sums, joins and window steps.
+*Run rows* (image_id, instance_id, label, run_start, run_end exclusive) make masks relational: extent, run lengths and
+merging are sums and window steps. *Packed masks* are one row each: (image_id, instance_id, label, edges, area, x1, y1, x2,
+y2), where ``edges`` lists 2 * position + 1 for each start and 2 * position for each end of a run in order, and the box is the
+tight one, in pixels of a grid of the image's height. Pairs of packed masks meet by their boxes, and two sorted lists of
+edges merge into an intersection without a row per run.
 """
 
 from __future__ import annotations
@@ -9,52 +13,106 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ["image_id", "label"]
-# Pixels per join bucket: long runs are cut at bucket borders so both sides meet on an equality. Best is the height of
-# the images: then a run meets the runs of its own column only.
-BUCKET = 4096
+# Height of the grid in which boxes around masks are taken when the image's own is not known. Any height gives right
+# pairs as long as both sides use the same; the image's own gives the fewest candidates.
+GRID_HEIGHT = 4096
+# Pixels of a side of the tiles in which masks meet.
+TILE = 128
+
+
+def _solid(runs: DataFrame) -> DataFrame:
+    return runs.filter(F.col("run_end") > F.col("run_start"))
+
+
+def pack_masks(runs: DataFrame, height: Column | None = None) -> DataFrame:
+    """Run rows as packed masks; a mask without pixels has no row. *height* is a column of the runs or a literal."""
+    sized = _solid(runs).withColumn("_h", (F.lit(GRID_HEIGHT) if height is None else height).cast("bigint"))
+    left, top, right, bottom = _extent()
+    edges = F.sort_array(F.flatten(F.collect_list(F.array(F.col("run_start") * 2 + 1, F.col("run_end") * 2))))
+    packed = sized.groupBy(*KEYS, "instance_id").agg(
+        edges.alias("edges"),
+        F.sum(F.col("run_end") - F.col("run_start")).alias("area"),
+        F.min(left).alias("x1"),
+        F.min(top).alias("y1"),
+        (F.max(right) + 1).alias("x2"),
+        (F.max(bottom) + 1).alias("y2"),
+    )
+    return packed.select(*KEYS, "instance_id", "edges", "area", "x1", "y1", "x2", "y2")
 
 
-def mask_areas(runs: DataFrame) -> DataFrame:
-    return runs.groupBy("image_id", "label", "instance_id").agg(F.sum(F.col("run_end") - F.col("run_start")).alias("area"))
+def rectangle_masks(boxes: DataFrame, height: Column) -> DataFrame:
+    """Packed masks of integer rectangles x1, y1, x2, y2 (ends exclusive), without a row per column."""
+    x1, y1, x2, y2 = (F.col(c).cast("bigint") for c in ("x1", "y1", "x2", "y2"))
+    h = height.cast("bigint")
+    ends = F.transform(F.sequence(x1, x2 - 1), lambda x: F.array((x * h + y1) * 2 + 1, (x * h + y2) * 2))
+    return boxes.filter((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))).select(
+        *KEYS, "instance_id", F.flatten(ends).alias("edges"), ((x2 - x1) * (y2 - y1)).alias("area"),
+        x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"),
+    )
 
 
-def _bucketed(runs: DataFrame, bucket: int) -> DataFrame:
-    first, last = F.floor(F.col("run_start") / bucket), F.floor((F.col("run_end") - 1) / bucket)
-    cut = runs.filter(F.col("run_end") > F.col("run_start")).withColumn("_bucket", F.explode(F.sequence(first, last)))
-    return cut.withColumns(
-        {
-            "run_start": F.greatest(F.col("run_start"), F.col("_bucket") * bucket),
-            "run_end": F.least(F.col("run_end"), (F.col("_bucket") + 1) * bucket),
-        }
-    )
+def _packed(masks: DataFrame, height: Column | None) -> DataFrame:
+    return masks if "edges" in masks.columns else pack_masks(masks, height)
+
+
+def mask_areas(masks: DataFrame) -> DataFrame:
+    if "edges" in masks.columns:
+        return masks.select("image_id", "label", "instance_id", "area")
+    return masks.groupBy("image_id", "label", "instance_id").agg(F.sum(F.col("run_end") - F.col("run_start")).alias("area"))
+
+
+# The merged edges in order: while two masks are open, the way to the next edge is shared. An end comes before a start at
+# the same position, so touching runs open one mask at most once.
+_SHARED = """
+aggregate(
+  sort_array(concat(edges, _edges)),
+  named_struct('open', 0, 'at', 0L, 'shared', 0L),
+  (s, e) -> named_struct(
+    'open', CASE WHEN e % 2L = 1L THEN s.open + 1 ELSE s.open - 1 END,
+    'at', e div 2L,
+    'shared', CASE WHEN s.open = 2 THEN s.shared + (e div 2L) - s.at ELSE s.shared END),
+  s -> s.shared)
+"""
+
+
+def _tiled(masks: DataFrame) -> DataFrame:
+    def span(low: str, high: str) -> Column:
+        return F.explode(F.sequence(F.floor(F.col(low) / TILE), F.floor((F.col(high) - 1) / TILE)))
+
+    return masks.withColumn("_tx", span("x1", "x2")).withColumn("_ty", span("y1", "y2"))
 
 
-def mask_overlaps(left: DataFrame, right: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Intersection, union and IoU of same-image same-class masks that share a pixel; other pairs have IoU 0."""
-    a = _bucketed(left, bucket).select(*KEYS, "_bucket", F.col("instance_id").alias("left_id"), "run_start", "run_end")
-    b = _bucketed(right, bucket).select(
-        *KEYS, "_bucket", F.col("instance_id").alias("right_id"), F.col("run_start").alias("_s"), F.col("run_end").alias("_e")
+def mask_overlaps(left: DataFrame, right: DataFrame, height: Column | None = None) -> DataFrame:
+    """Intersection, union and IoU of same-image same-class masks that share a pixel; other pairs have IoU 0.
+
+    Masks meet in the tiles that their boxes touch, and a pair whose boxes touch is compared once, in the tile of the low
+    corner of what the boxes share. So a crowded image does not compare all with all, and no group is probed or gathered.
+    Either side may be run rows (packed here, with *height*) or packed masks.
+    """
+    corners = ("x1", "y1", "x2", "y2")
+    a = _tiled(_packed(left, height)).withColumnsRenamed({"instance_id": "left_id", "area": "left_area"})
+    b = _tiled(_packed(right, height)).withColumnsRenamed(
+        {"instance_id": "right_id", "area": "right_area", "edges": "_edges"} | {c: f"_{c}" for c in corners}
     )
-    shared = F.least(F.col("run_end"), F.col("_e")) - F.greatest(F.col("run_start"), F.col("_s"))
-    met = a.join(b, [*KEYS, "_bucket"]).filter((F.col("run_start") < F.col("_e")) & (F.col("_s") < F.col("run_end")))
-    summed = met.groupBy(*KEYS, "left_id", "right_id").agg(F.sum(shared).alias("intersection"))
-    left_area = mask_areas(left).select(*KEYS, F.col("instance_id").alias("left_id"), F.col("area").alias("left_area"))
-    right_area = mask_areas(right).select(*KEYS, F.col("instance_id").alias("right_id"), F.col("area").alias("right_area"))
-    sized = summed.join(left_area, [*KEYS, "left_id"]).join(right_area, [*KEYS, "right_id"])
+    x, y = F.greatest("x1", "_x1"), F.greatest("y1", "_y1")
+    touching = (x < F.least("x2", "_x2")) & (y < F.least("y2", "_y2"))
+    own_tile = (F.floor(x / TILE) == F.col("_tx")) & (F.floor(y / TILE) == F.col("_ty"))
+    met = a.join(b, [*KEYS, "_tx", "_ty"]).filter(touching & own_tile)
+    # Generated instead of projected, so that a filter on it does not evaluate it twice.
+    names = [*KEYS, "left_id", "right_id", "left_area", "right_area"]
+    shared = met.select(*names, F.explode(F.array(F.expr(_SHARED))).alias("intersection")).filter("intersection > 0")
     union = F.col("left_area") + F.col("right_area") - F.col("intersection")
-    return sized.withColumn("union", union).withColumn(
-        "iou", F.when(F.col("union") > 0, F.col("intersection").cast("double") / F.col("union")).otherwise(F.lit(0.0))
-    )
+    return shared.withColumn("union", union).withColumn("iou", F.col("intersection").cast("double") / F.col("union"))
 
 
 def matching_pairs(
-    detection_runs: DataFrame, truth_runs: DataFrame, crowds: DataFrame | None = None, bucket: int = BUCKET
+    detections: DataFrame, truth: DataFrame, crowds: DataFrame | None = None, height: Column | None = None
 ) -> DataFrame:
     """Mask overlaps in the form the matching operators take: IoU, or for *crowds* the share of the detection covered.
 
     *crowds* are the ground truths under the published protocol's crowd rule; the confidence sweep has none.
     """
-    overlaps = mask_overlaps(detection_runs, truth_runs, bucket).withColumnRenamed("right_id", "gt_idx")
+    overlaps = mask_overlaps(detections, truth, height).withColumnRenamed("right_id", "gt_idx")
     overlap = F.col("iou")
     if crowds is not None:
         overlaps = overlaps.join(crowds.select(*KEYS, "gt_idx", F.lit(True).alias("_crowd")), [*KEYS, "gt_idx"], "left")
@@ -62,15 +120,21 @@ def matching_pairs(
     return overlaps.select(*KEYS, F.col("left_id").alias("det_idx"), "gt_idx", overlap.alias("overlap"))
 
 
-def tight_boxes(runs: DataFrame, height: Column, exclusive_end: bool) -> DataFrame:
-    """Smallest box around each mask. The far edge is the last pixel, or one past it with *exclusive_end*."""
-    sized = runs.filter(F.col("run_end") > F.col("run_start")).withColumn("_h", height)
+def _extent() -> tuple[Column, Column, Column, Column]:
+    """First and last column and row of a run in a grid of height ``_h``."""
     first, last = F.col("run_start"), F.col("run_end") - 1
     left, right = F.floor(first / F.col("_h")), F.floor(last / F.col("_h"))
     # A run over several columns passes through row 0 and the last row.
     spans = right > left
     top = F.when(spans, F.lit(0)).otherwise(first % F.col("_h"))
     bottom = F.when(spans, F.col("_h") - 1).otherwise(last % F.col("_h"))
+    return left, top, right, bottom
+
+
+def tight_boxes(runs: DataFrame, height: Column, exclusive_end: bool) -> DataFrame:
+    """Smallest box around each mask. The far edge is the last pixel, or one past it with *exclusive_end*."""
+    sized = _solid(runs).withColumn("_h", height)
+    left, top, right, bottom = _extent()
     add = 1 if exclusive_end else 0
     return sized.groupBy(*KEYS, "instance_id").agg(
         F.min(left).cast("double").alias("x1"),

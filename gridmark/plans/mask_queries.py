@@ -16,6 +16,13 @@ from gridmark.sources import coco
 
 # Boxes as masks at full size on a grid of 100 rows and 110 columns: a run of pixels for each column.
 _HEIGHT, _WIDTH = 100, 110
+
+
+def _heights():
+    """Images of different heights; pixels are only compared within an image."""
+    return F.col("image_id") % 37 + _HEIGHT
+
+
 _RECTS = """
     dm as (select image_id, label, det_idx as instance_id, floor(x1)::bigint as x1, floor(y1)::bigint as y1,
              floor(x2)::bigint as x2, floor(y2)::bigint as y2 from det),
@@ -37,15 +44,55 @@ def _runs(spark, folder, name, key):
     return mk.rectangle_runs(_rectangles(view(spark, folder, name), key), F.lit(_HEIGHT))
 
 
+def _masks(spark, folder, name, key):
+    return mk.rectangle_masks(_rectangles(view(spark, folder, name), key), _heights())
+
+
 @query("mask_overlaps", with_views(
     f"""with {_RECTS} select image_id, label, left_id, right_id, intersection, both_areas - intersection as "union",
           intersection::double / (both_areas - intersection) as iou from mask_pairs where intersection > 0""",
     "det", "gt"))
 def mask_overlaps(spark, folder):
-    rows = mk.mask_overlaps(_runs(spark, folder, "det", "det_idx"), _runs(spark, folder, "gt", "gt_idx"), _HEIGHT)
+    rows = mk.mask_overlaps(_masks(spark, folder, "det", "det_idx"), _masks(spark, folder, "gt", "gt_idx"))
     return rows.select("image_id", "label", "left_id", "right_id", "intersection", "union", "iou")
 
 
+# Steps: the left third of a box at full height, the middle third from its half down, the rest not at all.
+_STEPS = """
+    dsteps as (select image_id, label, instance_id, x1 + k * ((x2-x1)//3) as x1, x1 + (k+1) * ((x2-x1)//3) as x2,
+                 case when k = 0 then y1 else y1 + (y2-y1)//2 end as y1, y2 from dm cross join (select unnest([0, 1]) as k)),
+    gsteps as (select image_id, label, instance_id, x1 + k * ((x2-x1)//3) as x1, x1 + (k+1) * ((x2-x1)//3) as x2,
+                 case when k = 0 then y1 else y1 + (y2-y1)//2 end as y1, y2 from gm cross join (select unnest([0, 1]) as k)),
+    darea as (select image_id, label, instance_id, sum((x2-x1)*(y2-y1))::bigint as area from dsteps group by all),
+    garea as (select image_id, label, instance_id, sum((x2-x1)*(y2-y1))::bigint as area from gsteps group by all),
+    shared as (select d.image_id, d.label, d.instance_id as left_id, g.instance_id as right_id,
+                 sum(greatest(least(d.x2,g.x2)-greatest(d.x1,g.x1),0)*greatest(least(d.y2,g.y2)-greatest(d.y1,g.y1),0))::bigint
+                   as intersection from dsteps d join gsteps g using (image_id, label) group by all)
+"""
+
+
+@query("stepped_mask_overlaps", with_views(
+    f"""with {_RECTS}, {_STEPS} select s.image_id, s.label, left_id, right_id, intersection, d.area + g.area - intersection as "union"
+        from shared s join darea d on d.image_id = s.image_id and d.label = s.label and d.instance_id = left_id
+        join garea g on g.image_id = s.image_id and g.label = s.label and g.instance_id = right_id where intersection > 0""",
+    "det", "gt"))
+def stepped_mask_overlaps(spark, folder):
+    """Masks that are no rectangles, packed from their runs."""
+
+    def side(name, key):
+        r, third = _rectangles(view(spark, folder, name), key), F.expr("(x2 - x1) div 3")
+        parts = r.withColumns({"_third": third, "_k": F.explode(F.array(F.lit(0), F.lit(1)))})
+        steps = parts.withColumns({
+            "x2": F.col("x1") + (F.col("_k") + 1) * F.col("_third"), "x1": F.col("x1") + F.col("_k") * F.col("_third"),
+            "y1": F.when(F.col("_k") == 0, F.col("y1")).otherwise(F.col("y1") + F.expr("(y2 - y1) div 2")),
+        })
+        runs = mk.rectangle_runs(steps, _heights())
+        return mk.pack_masks(runs, _heights())
+
+    rows = mk.mask_overlaps(side("det", "det_idx"), side("gt", "gt_idx"))
+    return rows.select("image_id", "label", "left_id", "right_id", "intersection", "union")
+
+
 _WALK = """
     pairs as (select image_id, label, left_id as det_idx, right_id as gt_idx, iscrowd,
                 intersection::double / (both_areas - intersection) as iou from mask_pairs),
@@ -71,7 +118,7 @@ _WALK = """
     f"with recursive {_RECTS}, {_WALK} select image_id, label, det_idx, is_tp, is_ignored from walk where rk > 0",
     "det", "gt", recursive=True))
 def mask_matching(spark, folder):
-    pairs = mk.matching_pairs(_runs(spark, folder, "det", "det_idx"), _runs(spark, folder, "gt", "gt_idx"), bucket=_HEIGHT)
+    pairs = mk.matching_pairs(_masks(spark, folder, "det", "det_idx"), _masks(spark, folder, "gt", "gt_idx"))
     rows = mt.match_greedy(view(spark, folder, "det"), view(spark, folder, "gt"), pairs=pairs)
     return rows.select("image_id", "label", "det_idx", "is_tp", "is_ignored")
 
@@ -146,12 +193,12 @@ _MASK_PROTOCOL = protocol_sql(
 
 def _mask_evaluation(spark, folder):
     detections, truth = view(spark, folder, "det"), view(spark, folder, "gt")
-    found, real = _runs(spark, folder, "det", "det_idx"), _runs(spark, folder, "gt", "gt_idx")
+    found, real = _masks(spark, folder, "det", "det_idx"), _masks(spark, folder, "gt", "gt_idx")
     keys = ["image_id", "label"]
-    areas = [mk.mask_areas(runs).withColumnRenamed("instance_id", key) for runs, key in ((found, "det_idx"), (real, "gt_idx"))]
+    areas = [mk.mask_areas(masks).withColumnRenamed("instance_id", key) for masks, key in ((found, "det_idx"), (real, "gt_idx"))]
     detections = detections.join(areas[0], [*keys, "det_idx"])
     truth = truth.join(areas[1].withColumnRenamed("area", "mask_area"), [*keys, "gt_idx"], "left")
-    return ap.evaluate(detections, truth, pairs=mk.matching_pairs(found, real, truth.filter("iscrowd"), _HEIGHT))
+    return ap.evaluate(detections, truth, pairs=mk.matching_pairs(found, real, truth.filter("iscrowd")))
 
 
 @query("mask_statistics", with_views(
