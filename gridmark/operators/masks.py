@@ -1,10 +1,10 @@
 """Masks as disjoint runs of column-major pixel positions, in two forms.
 
 *Run rows* (image_id, instance_id, label, run_start, run_end exclusive) make masks relational: extent, run lengths and
-merging are sums and window steps. *Packed masks* are one row each: (image_id, instance_id, label, edges, area, x1, y1, x2,
-y2), where ``edges`` lists 2 * position + 1 for each start and 2 * position for each end of a run in order, and the box is the
-tight one, in pixels of a grid of the image's height. Pairs of packed masks meet by their boxes, and two sorted lists of
-edges merge into an intersection without a row per run.
+merging are sums and window steps. *Packed masks* are one row each: (image_id, instance_id, label, starts, ends, area, x1,
+y1, x2, y2), where ``starts`` and ``ends`` list the borders of the runs in order, and the box is the tight one, in pixels of a
+grid of the image's height. Pairs of packed masks meet by their boxes, and their sorted borders merge into an intersection
+without a row per run.
 """
 
 from __future__ import annotations
@@ -28,50 +28,47 @@ def pack_masks(runs: DataFrame, height: Column | None = None) -> DataFrame:
     """Run rows as packed masks; a mask without pixels has no row. *height* is a column of the runs or a literal."""
     sized = _solid(runs).withColumn("_h", (F.lit(GRID_HEIGHT) if height is None else height).cast("bigint"))
     left, top, right, bottom = _extent()
-    edges = F.sort_array(F.flatten(F.collect_list(F.array(F.col("run_start") * 2 + 1, F.col("run_end") * 2))))
     packed = sized.groupBy(*KEYS, "instance_id").agg(
-        edges.alias("edges"),
+        F.sort_array(F.collect_list("run_start")).alias("starts"),
+        F.sort_array(F.collect_list("run_end")).alias("ends"),
         F.sum(F.col("run_end") - F.col("run_start")).alias("area"),
         F.min(left).alias("x1"),
         F.min(top).alias("y1"),
         (F.max(right) + 1).alias("x2"),
         (F.max(bottom) + 1).alias("y2"),
     )
-    return packed.select(*KEYS, "instance_id", "edges", "area", "x1", "y1", "x2", "y2")
+    return packed.select(*KEYS, "instance_id", "starts", "ends", "area", "x1", "y1", "x2", "y2")
 
 
 def rectangle_masks(boxes: DataFrame, height: Column) -> DataFrame:
     """Packed masks of integer rectangles x1, y1, x2, y2 (ends exclusive), without a row per column."""
     x1, y1, x2, y2 = (F.col(c).cast("bigint") for c in ("x1", "y1", "x2", "y2"))
     h = height.cast("bigint")
-    ends = F.transform(F.sequence(x1, x2 - 1), lambda x: F.array((x * h + y1) * 2 + 1, (x * h + y2) * 2))
+    starts = F.sequence(x1 * h + y1, (x2 - 1) * h + y1, h)
+    ends = F.sequence(x1 * h + y2, (x2 - 1) * h + y2, h)
     return boxes.filter((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))).select(
-        *KEYS, "instance_id", F.flatten(ends).alias("edges"), ((x2 - x1) * (y2 - y1)).alias("area"),
+        *KEYS, "instance_id", starts.alias("starts"), ends.alias("ends"), ((x2 - x1) * (y2 - y1)).alias("area"),
         x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"),
     )
 
 
 def _packed(masks: DataFrame, height: Column | None) -> DataFrame:
-    return masks if "edges" in masks.columns else pack_masks(masks, height)
+    return masks if "starts" in masks.columns else pack_masks(masks, height)
 
 
 def mask_areas(masks: DataFrame) -> DataFrame:
-    if "edges" in masks.columns:
+    if "starts" in masks.columns:
         return masks.select("image_id", "label", "instance_id", "area")
     return masks.groupBy("image_id", "label", "instance_id").agg(F.sum(F.col("run_end") - F.col("run_start")).alias("area"))
 
 
-# The merged edges in order: while two masks are open, the way to the next edge is shared. An end comes before a start at
-# the same position, so touching runs open one mask at most once.
+# With the starts of both masks in order, and the ends in order, the i-th end lies after the next start by as many pixels as
+# these two overlap: at a pixel with n open runs, n - 1 such pairs are open, and the runs of one mask are disjoint.
 _SHARED = """
 aggregate(
-  sort_array(concat(edges, _edges)),
-  named_struct('open', 0, 'at', 0L, 'shared', 0L),
-  (s, e) -> named_struct(
-    'open', CASE WHEN e % 2L = 1L THEN s.open + 1 ELSE s.open - 1 END,
-    'at', e div 2L,
-    'shared', CASE WHEN s.open = 2 THEN s.shared + (e div 2L) - s.at ELSE s.shared END),
-  s -> s.shared)
+  zip_with(sort_array(concat(ends, _ends)), slice(sort_array(concat(starts, _starts)), 2, size(starts) + size(_starts) - 1),
+    (e, s) -> e - s),
+  0L, (total, n) -> CASE WHEN n > 0L THEN total + n ELSE total END)
 """
 
 
@@ -92,8 +89,10 @@ def mask_overlaps(left: DataFrame, right: DataFrame, height: Column | None = Non
     corners = ("x1", "y1", "x2", "y2")
     a = _tiled(_packed(left, height)).withColumnsRenamed({"instance_id": "left_id", "area": "left_area"})
     b = _tiled(_packed(right, height)).withColumnsRenamed(
-        {"instance_id": "right_id", "area": "right_area", "edges": "_edges"} | {c: f"_{c}" for c in corners}
+        {"instance_id": "right_id", "area": "right_area"} | {c: f"_{c}" for c in ("starts", "ends", *corners)}
     )
+    # Borders are often made from narrow columns, so a side is larger than its estimate; it is not to be broadcast.
+    b = b.hint("merge")
     x, y = F.greatest("x1", "_x1"), F.greatest("y1", "_y1")
     touching = (x < F.least("x2", "_x2")) & (y < F.least("y2", "_y2"))
     own_tile = (F.floor(x / TILE) == F.col("_tx")) & (F.floor(y / TILE) == F.col("_ty"))

@@ -68,7 +68,8 @@ def test_packed_masks_have_tight_boxes_and_areas(spark):
         wrapped = any(p % h == h - 1 and p + 1 in pixels for p in pixels)
         box = (min(columns), 0 if wrapped else min(lines), max(columns) + 1, h if wrapped else max(lines) + 1)
         assert (r.x1, r.y1, r.x2, r.y2) == box
-        assert [e // 2 for e in r.edges if e % 2] == [p for p in sorted(pixels) if p - 1 not in pixels]
+        assert r.starts == [p for p in sorted(pixels) if p - 1 not in pixels]
+        assert r.ends == [p + 1 for p in sorted(pixels) if p + 1 not in pixels]
 
 
 def test_rectangles_pack_alike(spark):
@@ -76,8 +77,8 @@ def test_rectangles_pack_alike(spark):
     boxes = spark.createDataFrame(rows, "image_id long, instance_id long, label long, x1 long, y1 long, x2 long, y2 long, height int")
     direct = mk.rectangle_masks(boxes, F.col("height"))
     by_runs = mk.pack_masks(mk.rectangle_runs(boxes, F.col("height")).join(boxes.select("image_id", "instance_id", "label", "height"), ["image_id", "instance_id", "label"]), F.col("height"))
-    merged = {tuple(r)[:3]: sorted(p for a, b in zip(r.edges[0::2], r.edges[1::2]) for p in range(a // 2, b // 2)) for r in direct.collect()}
-    again = {tuple(r)[:3]: sorted(p for a, b in zip(r.edges[0::2], r.edges[1::2]) for p in range(a // 2, b // 2)) for r in by_runs.collect()}
+    merged = {tuple(r)[:3]: sorted(p for a, b in zip(r.starts, r.ends, strict=True) for p in range(a, b)) for r in direct.collect()}
+    again = {tuple(r)[:3]: sorted(p for a, b in zip(r.starts, r.ends, strict=True) for p in range(a, b)) for r in by_runs.collect()}
     assert merged == again and len(merged) == 3
     areas = {(r.image_id, r.instance_id): r.area for r in mk.mask_areas(direct).collect()}
     assert areas == {(1, 0): 119, (1, 1): 1, (2, 0): 90}
