@@ -175,13 +175,14 @@ def precision_bins(
     """Largest precision per class, lane and recall bin, and true positives per cap; *counts* are :func:`truth_counts`.
 
     Rows are read in order of class, score, image and rank in ranges of equal size: each starts from the counts of its
-    class's ranges before it, so no task grows with a class.
+    class's ranges before it, so no task grows with a class. *scored* is read twice, to sample the ranges and to deal them
+    out, so it should be a stored table, as matching returns it.
     """
     slim = scored.select("label", "image_id", "rank", "score", "tp_mask", "ignore_mask")
     positive = _positive_arrays(counts, lanes)
     count = len(lanes)
     keys = ["label", "_slice"]
-    slim = scale.order_slices(scale.cut_lineage(slim), ["label"], _ORDER)
+    slim = scale.order_slices(slim, ["label"], _ORDER)
     # One row per class, range and counter; a window holds as many rows as there are slices.
     window = "OVER (PARTITION BY label, n ORDER BY _slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     before = _slice_totals(slim, count).selectExpr(*keys, "n", f"coalesce(sum(own) {window}, 0L) AS before")
@@ -220,6 +221,8 @@ def accumulate(
     """
     if list(recall_grid) != sorted(set(recall_grid)):
         raise ValueError("recall levels must ascend")
+    # One row per class, used by several summaries; what it is counted from should be read once.
+    counts = scale.stored(counts, "truth-counts")
     npig = positives(counts, lanes)
     frame = npig.select(
         "label",

@@ -48,57 +48,80 @@ def sigma_column(k: Column, sigmas: Sequence[float] | None = None) -> Column:
     return F.when(k == len(PERSON_SIGMAS), person).otherwise(F.array_repeat(F.lit(CUSTOM_SIGMA), k.cast("int")))
 
 
-# Points of a ground truth that count, with their variance: the labelled ones, or all when none is labelled.
+# Points of a ground truth that count: where in a detection's list, the range that is at no distance, and the variance. The
+# labelled ones count, each a range of one coordinate; when none is labelled all count, with the box extended by its own
+# size on every side as their range.
 _COUNTED = """
-filter(transform(sequence(0, size(_sigmas) - 1), i -> named_struct(
-    'i', i, 'x', get(keypoints, 3 * i), 'y', get(keypoints, 3 * i + 1), 'v', get(keypoints, 3 * i + 2),
-    'variance', (2D * _sigmas[i]) * (2D * _sigmas[i]))),
-  p -> p.v > 0 OR _labelled = 0)
+transform(
+  filter(sequence(0, size(_sigmas) - 1), i -> _labelled = 0 OR get(keypoints, 3 * i + 2) > 0),
+  i -> named_struct(
+    'at_x', 3 * i, 'at_y', 3 * i + 1,
+    'low_x', CASE WHEN _labelled > 0 THEN get(keypoints, 3 * i) ELSE x1 - (x2 - x1) END,
+    'high_x', CASE WHEN _labelled > 0 THEN get(keypoints, 3 * i) ELSE x1 + 2D * (x2 - x1) END,
+    'low_y', CASE WHEN _labelled > 0 THEN get(keypoints, 3 * i + 1) ELSE y1 - (y2 - y1) END,
+    'high_y', CASE WHEN _labelled > 0 THEN get(keypoints, 3 * i + 1) ELSE y1 + 2D * (y2 - y1) END,
+    'variance', (2D * _sigmas[i]) * (2D * _sigmas[i])))
 """
-# Distance to a labelled point, else to the box extended by its own size on every side.
-_DISTANCE = (
-    "CASE WHEN _labelled > 0 THEN get(_found, 3 * p.i{part}) - p.{axis} ELSE "
-    "greatest(0D, _low_{axis} - get(_found, 3 * p.i{part})) + greatest(0D, get(_found, 3 * p.i{part}) - _high_{axis}) END"
-)
+# ``g`` is what :func:`truth_points` made of a ground truth, ``found`` the detection's points.
+_SQUARE = "pow(get({found}, p.at_{axis}) - least(greatest(get({found}, p.at_{axis}), p.low_{axis}), p.high_{axis}), 2D)"
 _SIMILARITY = """
-CASE WHEN size(_points) = 0 THEN 0D ELSE aggregate(
-  transform(_points, p -> named_struct('dx', {dx}, 'dy', {dy}, 'variance', p.variance)),
-  0D, (total, d) -> total + exp(-((d.dx * d.dx + d.dy * d.dy) / d.variance / (_area + {spacing!r}D) / 2D))
-) / size(_points) END
+CASE WHEN size({g}.points) = 0 THEN 0D ELSE aggregate(
+  {g}.points, 0D, (total, p) -> total + exp(-(({x} + {y}) / p.variance / {g}.size / 2D))
+) / size({g}.points) END
 """
 
 
-def similarity_pairs(
-    detections: DataFrame, ground_truth: DataFrame, counts: DataFrame, sigmas: Sequence[float] | None = None
-) -> DataFrame:
-    """Similarity of detections and ground truths of the same image and category, for use as matching pairs.
+def _similarity(g: str, found: str) -> str:
+    return _SIMILARITY.format(g=g, x=_SQUARE.format(found=found, axis="x"), y=_SQUARE.format(found=found, axis="y"))
 
-    With labelled points it is their mean of exp(-squared distance / (2 * (2 sigma)^2 * area)). Everything that only
-    depends on the ground truth is computed before the join. Detections are capped at 20 per image and category by the
-    protocol, so a ground truth meets at most 20 partners.
-    """
+
+def truth_points(ground_truth: DataFrame, counts: DataFrame, sigmas: Sequence[float] | None = None) -> DataFrame:
+    """Ground truths of known categories with a struct ``points_of``: everything a similarity takes from their side."""
     known = counts.select(F.col("category_id").alias("label"), "k")
     truth = ground_truth.join(known, "label").withColumn("_sigmas", sigma_column(F.col("k"), sigmas))
     truth = truth.withColumn(
         "_labelled", F.expr("size(filter(slice(keypoints, 1, 3 * k), (v, i) -> i % 3 = 2 AND v > 0))")
     )
-    truth = truth.selectExpr(
-        *matching.GROUP,
-        "gt_idx",
-        "area AS _area",
-        "_labelled",
-        f"{_COUNTED} AS _points",
-        "x1 - (x2 - x1) AS _low_x",
-        "x1 + 2D * (x2 - x1) AS _high_x",
-        "y1 - (y2 - y1) AS _low_y",
-        "y1 + 2D * (y2 - y1) AS _high_y",
-    )
-    joined = detections.select(*matching.GROUP, "det_idx", F.col("keypoints").alias("_found")).join(truth, matching.GROUP)
-    value = _SIMILARITY.format(
-        dx=_DISTANCE.format(part="", axis="x"), dy=_DISTANCE.format(part=" + 1", axis="y"), spacing=SPACING
-    )
+    facts = f"named_struct('size', area + {SPACING!r}D, 'points', {_COUNTED})"
+    return truth.withColumn("points_of", F.expr(facts)).drop("_sigmas", "_labelled", "k")
+
+
+def similarity_pairs(
+    detections: DataFrame, ground_truth: DataFrame, counts: DataFrame, sigmas: Sequence[float] | None = None
+) -> DataFrame:
+    """Similarity of all detections and ground truths of the same image and category.
+
+    With labelled points it is their mean of exp(-squared distance / (2 * (2 sigma)^2 * area)). Everything that only
+    depends on the ground truth is computed before the join.
+    """
+    truth = truth_points(ground_truth, counts, sigmas).select(*matching.GROUP, "gt_idx", "points_of")
+    return _joined_similarity(detections, truth).select(*matching.GROUP, "det_idx", "gt_idx", "overlap")
+
+
+def _joined_similarity(detections: DataFrame, truth: DataFrame) -> DataFrame:
+    found = detections.select(*matching.GROUP, "det_idx", F.col("keypoints").alias("_found"))
     # Generated instead of projected, so that a filter on it does not evaluate it twice.
-    return joined.selectExpr(*matching.GROUP, "det_idx", "gt_idx", f"explode(array({value})) AS overlap")
+    value = F.explode(F.array(F.expr(_similarity("points_of", "_found")))).alias("overlap")
+    joined = found.join(truth, matching.GROUP)
+    return joined.select(*matching.GROUP, "det_idx", *[c for c in truth.columns if c not in matching.GROUP], value)
+
+
+def keypoint_overlap(lanes: matching.Lanes) -> matching.Overlap:
+    """Similarity inside the fold, for detections with ``keypoints`` and ground truths with ``points_of``.
+
+    The protocol caps detections at 20 per image and category, so a ground truth of a large group has at most 20 pairs.
+    """
+    low = min(lanes.thresholds)
+    near = (
+        f"filter(transform(gts, (g, i) -> named_struct('overlap', {_similarity('g.points_of', 'd.keypoints')}, 'pos', i + 1, "
+        f"'regular', g.regular, 'crowd', g.crowd)), o -> o.overlap >= {low!r}D)"
+    )
+
+    def pairs(detections: DataFrame, truth: DataFrame) -> DataFrame:
+        found = _joined_similarity(detections, truth).drop("points_of")
+        return found.filter(F.col("overlap") >= low)
+
+    return matching.Overlap(near, pairs, ("keypoints",), ("points_of",))
 
 
 def point_box(keypoints: Column) -> list[Column]:
@@ -123,17 +146,16 @@ def evaluate_keypoints(
     """
     cap = ap.KEYPOINT_MAX_DETS[-1]
     known = counts.select(F.col("category_id").alias("label"))
-    truth = ap.truth_areas(fill_num_keypoints(ground_truth.join(known, "label", "left_semi")))
+    truth = truth_points(ap.truth_areas(fill_num_keypoints(ground_truth)), counts, sigmas)
     truth = truth.withColumn("_no_points", F.coalesce("num_keypoints", F.lit(0)) == 0)
-    found = matching.rank_detections(detections.join(known, "label", "left_semi"), cap).drop("rank")
+    # An unlabelled ground truth may absorb one detection only, unlike a crowd, so it is put outside every area range.
+    truth = truth.withColumn("area", F.when(F.col("_no_points"), F.lit(-1.0)).otherwise(F.col("area")))
+    found = detections.join(known, "label", "left_semi")
     if "x1" not in found.columns:
         found = found.select("*", *point_box(F.col("keypoints")))
-    pairs = similarity_pairs(found, truth, counts, sigmas)
-    # An unlabelled ground truth may absorb one detection only, unlike a crowd, so it is put outside every area range.
-    scored_truth = truth.withColumn("area", F.when(F.col("_no_points"), F.lit(-1.0)).otherwise(F.col("area")))
     lanes = matching.coco_lanes(ap.IOU_GRID, KEYPOINT_AREAS)
-    scored = matching.match_lanes(found, scored_truth, lanes, pairs, cap, group_row_limit)
-    return ap.accumulate(scored, ap.truth_counts(scored_truth, lanes), lanes, ap.KEYPOINT_MAX_DETS)
+    scored = matching.match_lanes(found, truth, lanes, None, cap, group_row_limit, keypoint_overlap(lanes))
+    return ap.accumulate(scored, ap.truth_counts(truth, lanes), lanes, ap.KEYPOINT_MAX_DETS)
 
 
 def visible_points(keypoints: Column) -> Column:

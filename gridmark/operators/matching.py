@@ -3,19 +3,22 @@
 A *lane* is one (overlap threshold, area range) pair. All lanes of a pair of boxes are decided together: a candidate
 carries a bit mask of the lanes it may serve, so the grid costs one pass instead of one matching per threshold.
 
-Two plans give the same result. While every (image, class) group is small, detections and ground truths of a group meet
-in one shuffle and a native ``aggregate`` folds them. Groups above ``GROUP_ROW_LIMIT`` are never gathered: their
-candidates come from a grid join, and assignment runs as rounds in which each detection asks for its best remaining
-ground truth and each ground truth keeps its best-ranked asker. Since all ground truths rank detections the same way,
-these rounds end in exactly the greedy result.
+Detections and ground truths of an (image, class) group meet in one shuffle, which also counts them. Small groups are
+gathered there and folded by a native ``aggregate``. Groups above ``GROUP_ROW_LIMIT`` are never gathered: their rows are
+put aside in the same pass, their candidates come from a grid join, and each lane's *wishes* (candidate pairs) are settled
+in one task while they are few, else by rounds. A round settles every pair in which a detection's best remaining ground
+truth has no better-ranked wisher left, and only wishes that are still open go on. Since all ground truths rank detections
+the same way, both end in exactly the greedy result.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +29,8 @@ from gridmark.functions import boxes as bx
 AREA_RANGES = {"all": (0.0, 1e10), "small": (0.0, 1024.0), "medium": (1024.0, 9216.0), "large": (9216.0, 1e10)}
 THRESHOLD_CAP = 1 - 1e-10
 GROUP = ["image_id", "label"]
+# Wishes of one lane of a large group that one task settles in turn.
+IN_TURN = 100_000
 
 
 @dataclass(frozen=True)
@@ -123,27 +128,30 @@ def overlap_pairs(detections: DataFrame, ground_truth: DataFrame, minimum: float
 _AREA = "(x2 - x1) * (y2 - y1)"
 
 
-def _corners() -> list[str]:
-    return [f"CAST({c} AS DOUBLE) AS {c}" for c in ("x1", "y1", "x2", "y2")]
+_CORNERS = ("x1", "y1", "x2", "y2")
 
 
-def _detection_columns(detections: DataFrame, lanes: Lanes) -> DataFrame:
+def _carried(names: Sequence[str]) -> list[str]:
+    return [f"CAST({n} AS DOUBLE) AS {n}" if n in _CORNERS else n for n in names]
+
+
+def _detection_columns(detections: DataFrame, lanes: Lanes, carried: Sequence[str]) -> DataFrame:
     area = "CAST(area AS DOUBLE)" if "area" in detections.columns else _AREA
     return detections.selectExpr(
         *GROUP,
         "CAST(det_idx AS BIGINT) AS det_idx",
         "CAST(score AS DOUBLE) AS score",
-        *_corners(),
+        *_carried(carried),
         f"{lanes.inside(area)} AS in_range",
     )
 
 
-def _truth_columns(ground_truth: DataFrame, lanes: Lanes) -> DataFrame:
+def _truth_columns(ground_truth: DataFrame, lanes: Lanes, carried: Sequence[str]) -> DataFrame:
     area = "CAST(area AS DOUBLE)" if "area" in ground_truth.columns else _AREA
     return ground_truth.selectExpr(
         *GROUP,
         "CAST(gt_idx AS BIGINT) AS gt_idx",
-        *_corners(),
+        *_carried(carried),
         "coalesce(iscrowd, false) AS crowd",
         f"CASE WHEN iscrowd THEN 0L ELSE {lanes.inside(area)} END AS regular",
     )
@@ -214,44 +222,95 @@ def _touching(lanes: Lanes) -> str:
 
 
 def _fold(groups: DataFrame, lanes: Lanes) -> DataFrame:
-    """Rows with ordered ``dets`` (each with ordered ``cands``) and ``gts`` to one row per detection with its masks."""
+    """Rows with ordered ``dets`` (each with ordered ``cands``) and ``gts`` to one row per detection with its masks.
+
+    Rows put aside (see :func:`_staged`) come out as they went in, without masks.
+    """
+    aside = ["_d AS d", "_g AS g"] if "_solo" in groups.columns else []
     outcome = groups.withColumn("_out", F.expr(_FOLD.format(every=lanes.every)))
-    rows = outcome.selectExpr(*GROUP, "posexplode(arrays_zip(dets, _out)) AS (rank, _row)")
+    keys = [*GROUP, "_solo", "_d", "_g"] if aside else GROUP
+    rows = outcome.selectExpr(*keys, "posexplode(arrays_zip(dets, _out)) AS (rank, _row)")
     beyond = f"(~_row.dets.in_range & ~(_row._out.tp | _row._out.ig) & {lanes.every}L)"
-    return rows.selectExpr(
-        *GROUP,
-        "_row.dets.det_idx AS det_idx",
-        "-_row.dets.signed AS score",
-        "rank",
-        "_row._out.tp AS tp_mask",
-        f"_row._out.ig | {beyond} AS ignore_mask",
-    )
+    tp, ignored = "_row._out.tp", f"_row._out.ig | {beyond}"
+    if aside:
+        tp, ignored = (f"CASE WHEN _solo IS NULL THEN {mask} END" for mask in (tp, ignored))
+    names = ["_row.dets.det_idx AS det_idx", "-_row.dets.signed AS score", "rank"]
+    return rows.selectExpr(*GROUP, *names, f"{tp} AS tp_mask", f"{ignored} AS ignore_mask", *aside)
 
 
 def _capped(dets: str, max_dets: int | None) -> str:
     return dets if max_dets is None else f"slice({dets}, 1, {int(max_dets)})"
 
 
-def _fold_boxes(detections: DataFrame, ground_truth: DataFrame, lanes: Lanes, max_dets: int | None) -> DataFrame:
+@dataclass(frozen=True)
+class Overlap:
+    """How a detection ``d`` and the ground truths ``gts`` of its group overlap, and the columns that takes.
+
+    ``near`` is SQL for an array of (overlap, pos, regular, crowd); ``pairs`` does the same for groups too large to gather,
+    as rows (group, det_idx, gt_idx, overlap, regular, crowd).
+    """
+
+    near: str
+    pairs: Callable[[DataFrame, DataFrame], DataFrame]
+    detection: tuple[str, ...] = ("x1", "y1", "x2", "y2")
+    truth: tuple[str, ...] = ("x1", "y1", "x2", "y2")
+
+
+def box_overlap(lanes: Lanes) -> Overlap:
+    return Overlap(_touching(lanes), lambda d, g: large_group_pairs(d, g, lanes))
+
+
+def _fields(names: Sequence[str]) -> str:
+    return "".join(f", '{n}', {n}" for n in names)
+
+
+def _staged(both: DataFrame, limit: int, dets: str, fold: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame | None]:
+    """Folded detections of the small groups, and the rows (``d``, ``g``) of larger ones if there are any.
+
+    One shuffle counts the rows of each group and gathers the small ones; each row of a larger group is a group of its
+    own there (``_solo``) and is put aside. All is written at once, so the inputs are read and computed once.
+    """
+    sized = both.withColumn("_rows", F.count("*").over(Window.partitionBy(*GROUP)))
+    solo = F.when(F.col("_rows") > limit, F.monotonically_increasing_id())
+    single = "array(get(collect_list({0}), 0))"
+    groups = sized.withColumn("_solo", solo).groupBy(*GROUP, "_solo").agg(
+        F.expr(f"CASE WHEN _solo IS NULL THEN {dets} ELSE {single.format('d')} END AS dets"),
+        F.expr("array_sort(collect_list(g)) AS gts"),
+    )
+    groups = groups.filter("size(dets) > 0").selectExpr(
+        "*", "CASE WHEN _solo IS NOT NULL THEN get(dets, 0) END AS _d", "CASE WHEN _solo IS NOT NULL THEN get(gts, 0) END AS _g"
+    )
+    staged = scale.stored(fold(groups), "matched")
+    aside = staged.filter("tp_mask IS NULL").select(*GROUP, "d", "g")
+    return staged.filter("tp_mask IS NOT NULL").drop("d", "g"), aside if scale.any_rows(aside) else None
+
+
+def _fold_overlaps(
+    detections: DataFrame, ground_truth: DataFrame, overlap: Overlap, lanes: Lanes, max_dets: int | None, limit: int
+) -> DataFrame:
     """One shuffle: both sides of a group meet in one row and overlaps are computed there."""
     d = detections.selectExpr(
-        *GROUP,
-        "named_struct('signed', -score, 'det_idx', det_idx, 'x1', x1, 'y1', y1, 'x2', x2, 'y2', y2, 'in_range', in_range) AS d",
+        *GROUP, f"named_struct('signed', -score, 'det_idx', det_idx{_fields(overlap.detection)}, 'in_range', in_range) AS d"
     )
     g = ground_truth.selectExpr(
-        *GROUP,
-        "named_struct('gt_idx', gt_idx, 'x1', x1, 'y1', y1, 'x2', x2, 'y2', y2, 'crowd', crowd, 'regular', regular) AS g",
+        *GROUP, f"named_struct('gt_idx', gt_idx{_fields(overlap.truth)}, 'crowd', crowd, 'regular', regular) AS g"
     )
+
     both = d.unionByName(g, allowMissingColumns=True)
-    groups = both.groupBy(*GROUP).agg(
-        F.expr(f"{_capped('array_sort(collect_list(d))', max_dets)} AS dets"), F.expr("array_sort(collect_list(g)) AS gts")
-    )
-    return _fold_groups(groups, lanes)
+    dets = _capped("array_sort(collect_list(d))", max_dets)
+    folded, large = _staged(both, limit, dets, lambda groups: _fold_groups(groups, lanes, overlap.near))
+    if large is None:
+        return folded
+    # Capped before any join: the group limit keeps at most max_dets rows per map task.
+    found = large.filter("d IS NOT NULL").select(*GROUP, "d.*").selectExpr("*", "-signed AS score").drop("signed")
+    found = scale.stored(rank_detections(found, max_dets), "ranked")
+    truth = large.filter("g IS NOT NULL").select(*GROUP, "g.*")
+    return folded.unionByName(_settled(found, overlap.pairs(found, truth), lanes))
 
 
-def _fold_groups(groups: DataFrame, lanes: Lanes) -> DataFrame:
-    """The fold of rows with ordered boxes ``dets`` and ``gts``."""
-    cands = _candidates(_touching(lanes), lanes)
+def _fold_groups(groups: DataFrame, lanes: Lanes, near: str) -> DataFrame:
+    """The fold of rows with ordered ``dets`` and ``gts`` that overlap as *near* says."""
+    cands = _candidates(near, lanes)
     with_candidates = (
         f"transform(dets, d -> named_struct('signed', d.signed, 'det_idx', d.det_idx, 'in_range', d.in_range, 'cands', {cands}))"
     )
@@ -284,13 +343,13 @@ def image_groups(images: DataFrame, lanes: Lanes, max_dets: int | None = None) -
 
 def match_groups(groups: DataFrame, lanes: Lanes) -> DataFrame:
     """Masks of every detection of :func:`image_groups`, also on a stream."""
-    return _fold_groups(groups, lanes)
+    return _fold_groups(groups, lanes, _touching(lanes))
 
 
 def _fold_pairs(
-    detections: DataFrame, ground_truth: DataFrame, pairs: DataFrame, lanes: Lanes, max_dets: int | None
+    detections: DataFrame, ground_truth: DataFrame, pairs: DataFrame, lanes: Lanes, max_dets: int | None, limit: int
 ) -> DataFrame:
-    """The same fold when overlaps were computed elsewhere (masks, keypoints)."""
+    """The same fold when overlaps were computed elsewhere (masks)."""
     truth = ground_truth.select(*GROUP, "gt_idx", "crowd", "regular")
     near = pairs.filter(F.col("overlap") >= min(lanes.thresholds)).join(truth, [*GROUP, "gt_idx"])
     by_detection = near.groupBy(*GROUP, "det_idx").agg(
@@ -300,23 +359,29 @@ def _fold_pairs(
         *GROUP,
         "named_struct('signed', -score, 'det_idx', det_idx, 'in_range', in_range, 'found', coalesce(found, array())) AS d",
     )
+
+    def fold(groups: DataFrame) -> DataFrame:
+        located = (
+            "filter(transform(d.found, f -> named_struct('overlap', f.overlap, 'pos', CAST(array_position(gts, f.gt_idx) AS INT), "
+            "'regular', f.regular, 'crowd', f.crowd)), c -> c.pos > 0)"
+        )
+        ordered = _capped(
+            "array_sort(transform(dets, d -> named_struct('signed', d.signed, 'det_idx', d.det_idx, 'in_range', d.in_range, "
+            f"'cands', {_candidates(located, lanes)})))",
+            max_dets,
+        )
+        return _fold(groups.withColumn("dets", F.expr(ordered)), lanes)
+
     both = d.unionByName(truth.select(*GROUP, F.col("gt_idx").alias("g")), allowMissingColumns=True)
-    groups = both.groupBy(*GROUP).agg(
-        F.expr("collect_list(d) AS dets"), F.expr("array_sort(collect_list(g)) AS gts")
-    )
-    located = (
-        "transform(d.found, f -> named_struct('overlap', f.overlap, 'pos', CAST(array_position(gts, f.gt_idx) AS INT), "
-        "'regular', f.regular, 'crowd', f.crowd))"
-    )
-    ordered = _capped(
-        "array_sort(transform(dets, d -> named_struct('signed', d.signed, 'det_idx', d.det_idx, 'in_range', d.in_range, "
-        f"'cands', {_candidates(located, lanes)})))",
-        max_dets,
-    )
-    return _fold(groups.filter("size(dets) > 0").withColumn("dets", F.expr(ordered)), lanes)
+    folded, large = _staged(both, limit, "collect_list(d)", fold)
+    if large is None:
+        return folded
+    found = large.filter("d IS NOT NULL").select(*GROUP, "d.*").selectExpr("*", "-signed AS score").drop("signed")
+    found = scale.stored(rank_detections(found, max_dets), "ranked")
+    return folded.unionByName(_settled(found.drop("found"), found.select(*GROUP, "det_idx", F.inline("found")), lanes))
 
 
-# --- plan 2: rounds over large groups --------------------------------------------------------------------------------
+# --- groups too large to gather ---------------------------------------------------------------------------------------
 
 
 def _grid_pairs(detections: DataFrame, ground_truth: DataFrame, minimum: float, with_truth: Sequence[str]) -> DataFrame:
@@ -420,9 +485,11 @@ def large_group_pairs(detections: DataFrame, ground_truth: DataFrame, lanes: Lan
     )
 
 
-def _rounds(detections: DataFrame, pairs: DataFrame, lanes: Lanes) -> DataFrame:
-    """Assign by rounds. Every round only removes pairs whose ground truth is held by a better-ranked detection."""
-    ranked = detections.select(*GROUP, "det_idx", (-F.col("score")).alias("signed"))
+_WISH = [*GROUP, "lane", "det_idx"]
+
+
+def _wishes(detections: DataFrame, pairs: DataFrame, lanes: Lanes) -> DataFrame:
+    """One row for each pair and lane it may serve: who wishes (``rank``), what (``wish``, smallest first), for whom."""
     reach = lanes.reached("overlap")
     masks = pairs.selectExpr("*", f"{reach} & regular AS _regular", f"{reach} & ~regular AS _ignored")
     lane_numbers = F.array(*[F.lit(i) for i in range(len(lanes))])
@@ -432,39 +499,82 @@ def _rounds(detections: DataFrame, pairs: DataFrame, lanes: Lanes) -> DataFrame:
     )
     ignored = F.getbit(F.col("_ignored"), F.col("lane")) == 1
     tie = -F.col("gt_idx") if lanes.later_wins else F.col("gt_idx")
-    wishes = lane_rows.join(ranked, [*GROUP, "det_idx"]).select(
-        *GROUP,
-        "lane",
-        "det_idx",
-        "gt_idx",
-        F.col("crowd").alias("reusable"),
-        F.struct("signed", "det_idx").alias("rank"),
+    ranked = detections.select(*GROUP, "det_idx", "rank")
+    return lane_rows.join(ranked, [*GROUP, "det_idx"]).select(
+        *_WISH,
+        "rank",
         F.struct(
             ignored.alias("ignored"), (-F.col("overlap")).alias("signed"), tie.alias("tie"), F.col("gt_idx"), F.col("crowd")
         ).alias("wish"),
     )
-    wishes = scale.cut_lineage(wishes)
-    left = wishes.count()
-    while True:
-        asked = wishes.groupBy(*GROUP, "lane", "det_idx").agg(F.min("wish").alias("wish"), F.min("rank").alias("rank"))
-        held = (
-            asked.filter(~F.col("wish.crowd"))
-            .groupBy(*GROUP, "lane", F.col("wish.gt_idx").alias("gt_idx"))
-            .agg(F.min("rank").alias("holder"))
-        )
-        open_wishes = wishes.join(held, [*GROUP, "lane", "gt_idx"], "left").filter(
-            F.col("reusable") | F.col("holder").isNull() | (F.col("rank") <= F.col("holder"))
-        )
-        wishes = scale.cut_lineage(open_wishes.select(*wishes.columns))
-        now = wishes.count()
-        if now == left:
+
+
+def _settle_in_turn(key: tuple[pa.Scalar, ...], wishes: pa.Table) -> pa.Table:
+    """The wishes of one lane of a group, by rank: each detection gets its best ground truth that is still free."""
+    flat = wishes.select(["det_idx", "rank"])
+    for name, column in zip(("ignored", "signed", "tie", "gt_idx", "crowd"), wishes["wish"].combine_chunks().flatten(), strict=True):
+        flat = flat.append_column(name, column)
+    flat = flat.sort_by([(c, "ascending") for c in ("rank", "ignored", "signed", "tie")])
+    taken, served, ignored = set(), [], []
+    last = None
+    for det, truth, crowd, ignore in zip(*(flat[c].to_pylist() for c in ("det_idx", "gt_idx", "crowd", "ignored")), strict=True):
+        if det == last or (truth in taken and not crowd):
+            continue
+        last = det
+        served.append(det)
+        ignored.append(ignore)
+        if not crowd:
+            taken.add(truth)
+    same = [pa.array([k.as_py()] * len(served), k.type) for k in key]
+    columns = [*same, pa.array(served, pa.int64()), pa.array(ignored, pa.bool_())]
+    return pa.table(columns, [*GROUP, "lane", "det_idx", "ignored"])
+
+
+def _round(wishes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(settled detections, wishes still open). At least the best-ranked detection of every lane is settled."""
+    best = wishes.groupBy(*_WISH).agg(F.min("wish").alias("wish"), F.min("rank").alias("rank"))
+    best = best.withColumns({"gt_idx": F.col("wish.gt_idx"), "crowd": F.col("wish.crowd")})
+    truth = [*GROUP, "lane", "gt_idx"]
+    wanted = wishes.filter("NOT wish.crowd").select(*truth[:-1], F.col("wish.gt_idx").alias("gt_idx"), "rank", F.lit(False).alias("asks"))
+    asked = best.filter("NOT crowd").select(*truth, "rank", F.lit(True).alias("asks"))
+    # Of each ground truth: its best-ranked wisher, and the best-ranked of those who wish for nothing more.
+    heads = wanted.unionAll(asked).groupBy(*truth).agg(F.min("rank").alias("first"), F.min(F.when(F.col("asks"), F.col("rank"))).alias("holder"))
+    heads = scale.stored(heads, "wish-heads")
+    settled = best.join(heads, truth, "left").filter(F.col("crowd") | (F.col("rank") == F.col("first")))
+    settled = scale.stored(settled.select(*_WISH, F.col("wish.ignored").alias("ignored")), "settled")
+    # Gone: wishes of settled detections, and those for a ground truth that a better-ranked detection asks for.
+    left = wishes.join(settled.select(*_WISH), _WISH, "left_anti").withColumn("gt_idx", F.col("wish.gt_idx"))
+    left = left.join(heads.select(*truth, "holder"), truth, "left")
+    still = F.col("wish.crowd") | F.col("holder").isNull() | (F.col("rank") <= F.col("holder"))
+    return settled, left.filter(still).select(*wishes.columns)
+
+
+def _settled(detections: DataFrame, pairs: DataFrame, lanes: Lanes, in_turn: int | None = None) -> DataFrame:
+    """Masks of ranked *detections* from their candidate pairs. Lanes of at most *in_turn* wishes are settled in a task."""
+    in_turn = IN_TURN if in_turn is None else in_turn
+    wishes = scale.stored(_wishes(detections, pairs, lanes), "wishes")
+    kinds = [f"{name} {wishes.schema[name].dataType.simpleString()}" for name in GROUP]
+    schema = f"{', '.join(kinds)}, lane int, det_idx bigint, ignored boolean"
+    parts = []
+    while scale.any_rows(wishes):
+        lane = [*GROUP, "lane"]
+        large = scale.stored(wishes.groupBy(*lane).count().filter(F.col("count") > in_turn).select(*lane), "large-lanes")
+        few = wishes.join(large, lane, "left_anti")
+        parts.append(scale.stored(few.groupBy(*lane).applyInArrow(_settle_in_turn, schema), "settled"))
+        if not scale.any_rows(large):
             break
-        left = now
-    final = wishes.groupBy(*GROUP, "lane", "det_idx").agg(F.min("wish").alias("wish"))
+        settled, left = _round(wishes.join(large, lane, "left_semi"))
+        parts.append(settled)
+        left = scale.stored(left, "wishes")
+        scale.discard(wishes)
+        wishes = left
+    scale.discard(wishes)
     zero = F.lit(0).cast("long")
-    chosen = final.groupBy(*GROUP, "det_idx").agg(
-        F.bit_or(F.expr("CASE WHEN wish.ignored THEN CAST(0 AS BIGINT) ELSE shiftleft(CAST(1 AS BIGINT), lane) END")).alias("tp"),
-        F.bit_or(F.expr("CASE WHEN wish.ignored THEN shiftleft(CAST(1 AS BIGINT), lane) ELSE CAST(0 AS BIGINT) END")).alias("ig"),
+    rows = reduce(DataFrame.unionByName, parts) if parts else detections.sparkSession.createDataFrame([], schema)
+    bit = "shiftleft(CAST(1 AS BIGINT), lane)"
+    chosen = rows.groupBy(*GROUP, "det_idx").agg(
+        F.expr(f"bit_or(CASE WHEN ignored THEN 0L ELSE {bit} END) AS tp"),
+        F.expr(f"bit_or(CASE WHEN ignored THEN {bit} ELSE 0L END) AS ig"),
     )
     joined = detections.join(chosen, [*GROUP, "det_idx"], "left")
     tp, ig = F.coalesce("tp", zero), F.coalesce("ig", zero)
@@ -489,38 +599,20 @@ def match_lanes(
     pairs: DataFrame | None = None,
     max_dets: int | None = None,
     group_row_limit: int = scale.GROUP_ROW_LIMIT,
+    overlap: Overlap | None = None,
 ) -> DataFrame:
     """Every detection with its rank in image and class, and ``tp_mask`` and ``ignore_mask`` over *lanes*.
 
-    *pairs* (image_id, label, det_idx, gt_idx, overlap) replaces the box overlaps when given. *max_dets* is the
-    protocol's cap per image and class, taken in rank order before matching.
+    Boxes overlap unless *overlap* says how else, or *pairs* (image_id, label, det_idx, gt_idx, overlap) were computed
+    elsewhere. *max_dets* is the protocol's cap per image and class, taken in rank order before matching. The result is a
+    stored table.
     """
-    d, g = _detection_columns(detections, lanes), _truth_columns(ground_truth, lanes)
-    # A group's pairs cannot outnumber its detections times its ground truths, so both plans are bounded by these.
-    large = scale.groups_over([detections, ground_truth], GROUP, group_row_limit)
-
-    def fold(left: DataFrame, right: DataFrame, found: DataFrame | None) -> DataFrame:
-        if found is None:
-            return _fold_boxes(left, right, lanes, max_dets)
-        return _fold_pairs(left, right, found, lanes, max_dets)
-
-    if not scale.any_rows(large):
-        return fold(d, g, pairs)
-    large = scale.cut_lineage(large)
-
-    def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        return rows.join(large, GROUP, "left_anti"), rows.join(large, GROUP, "left_semi")
-
-    (d_small, d_large), (g_small, g_large) = split(d), split(g)
-    # Capped before any join: the group limit keeps at most max_dets rows per map task.
-    d_large = rank_detections(d_large, max_dets)
+    overlap = overlap or box_overlap(lanes)
+    d = _detection_columns(detections, lanes, overlap.detection if pairs is None else ())
+    g = _truth_columns(ground_truth, lanes, overlap.truth if pairs is None else ())
     if pairs is None:
-        found_small, found_large = None, large_group_pairs(d_large, g_large, lanes)
-    else:
-        found_small, found_large = split(pairs)
-        truth = g_large.select(*GROUP, "gt_idx", "regular", "crowd")
-        found_large = found_large.filter(F.col("overlap") >= min(lanes.thresholds)).join(truth, [*GROUP, "gt_idx"])
-    return fold(d_small, g_small, found_small).unionByName(_rounds(d_large, found_large, lanes))
+        return _fold_overlaps(d, g, overlap, lanes, max_dets, group_row_limit)
+    return _fold_pairs(d, g, pairs, lanes, max_dets, group_row_limit)
 
 
 def match_greedy(

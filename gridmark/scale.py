@@ -42,12 +42,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def groups_over(frames: Sequence[DataFrame], keys: Sequence[str], limit: int) -> DataFrame:
-    """Keys whose rows over all *frames* together exceed *limit* (counted map-side first)."""
-    rows = frames[0].select(*keys)
-    for frame in frames[1:]:
-        rows = rows.unionAll(frame.select(*keys))
-    return rows.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys)
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """*df* as a table in the shared checkpoint folder: lost executors re-read it, and readers take only what they need."""
+    path = run_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that :func:`stored` wrote and nothing reads any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def any_rows(df: DataFrame) -> bool:

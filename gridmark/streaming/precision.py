@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
+from gridmark import scale
 from gridmark.operators import average_precision as ap
 from gridmark.operators import matching
 
@@ -157,4 +158,4 @@ def precision_so_far(
     each = state("truth").select("key.label", F.posexplode("value.counts").alias("area", "n"))
     summed = each.groupBy("label", "area").agg(F.sum("n").alias("n"))
     counts = summed.groupBy("label").agg(F.expr("transform(array_sort(collect_list(struct(area, n))), c -> c.n) AS counts"))
-    return ap.accumulate(scored, counts, lanes, max_dets, recall_grid)
+    return ap.accumulate(scale.stored(scored, "curve-rows"), counts, lanes, max_dets, recall_grid)
