@@ -200,6 +200,42 @@ def run_lengths(spans: DataFrame, pixels: Column) -> DataFrame:
     return steps.select(*keys, F.inline(F.filter(entries, lambda e: e.isNotNull())))
 
 
+def counted_runs(instances: DataFrame) -> DataFrame:
+    """Run rows of instances with ``counts``, the inverse of :func:`run_lengths`: odd entries are foreground.
+
+    Empty runs are left out. Runs that an empty background separates stay apart; :func:`merge_runs` joins them.
+    """
+    keys = [*KEYS, "instance_id"]
+    order = Window.partitionBy(*keys).orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
+    steps = instances.select(*keys, F.posexplode("counts").alias("_n", "_length"))
+    ended = steps.withColumn("run_end", F.sum("_length").over(order)).filter((F.col("_n") % 2 == 1) & (F.col("_length") > 0))
+    return ended.select(*keys, (F.col("run_end") - F.col("_length")).alias("run_start"), "run_end")
+
+
+def read_run_lengths(instances: DataFrame) -> DataFrame:
+    """Instances with ``segmentation`` (JSON text) that is a list of run lengths: ``counts``, ``height``, ``width``, ``reason``.
+
+    ``reason`` is null for lists that fill the size exactly. Text counts are a codec's output, which is not decoded here.
+    """
+    kind = "counts string, size array<int>"
+    parsed = F.from_json("segmentation", kind)
+    counts = F.from_json(parsed["counts"], "array<bigint>")
+    height, width = F.get(parsed["size"], 0), F.get(parsed["size"], 1)
+    total = F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, n: a + n)
+    sized = instances.filter(F.trim("segmentation").startswith("{")).select(
+        *instances.columns, counts.alias("counts"), height.alias("height"), width.alias("width"), parsed["counts"].alias("_text")
+    )
+    known = F.col("counts").isNotNull() & ~F.exists("counts", lambda n: n.isNull())
+    reason = (
+        F.when(F.col("_text").isNull(), F.lit("no counts"))
+        .when(~known, F.lit("counts are no list of whole numbers"))
+        .when(F.col("height").isNull() | F.col("width").isNull() | (F.col("height") < 0) | (F.col("width") < 0), F.lit("no size"))
+        .when(F.exists("counts", lambda n: n < 0), F.lit("negative count"))
+        .when(total != F.col("height").cast("bigint") * F.col("width"), F.lit("counts do not fill the size"))
+    )
+    return sized.withColumn("reason", reason).drop("_text")
+
+
 def rectangle_runs(boxes: DataFrame, height: Column) -> DataFrame:
     """Runs of integer rectangles x1, y1, x2, y2 (ends exclusive): one per column."""
     columns = boxes.filter((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))).withColumns(

@@ -228,3 +228,32 @@ def mask_records(spark, folder):
         F.size(counts).alias("counts"), F.get(counts, 0).alias("first"), F.element_at(counts, -1).alias("last"),
         F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"),
     )
+
+
+@query("mask_records_rebuilt", with_views(
+    f"""with {_RECTS}, cols as (select image_id, label, instance_id, x1*100 + y1 + unnest(generate_series(0, x2 - x1 - 1))*100 as s, y2 - y1 as n
+          from dm where label <> 2)
+        select image_id, label * 3 + 1 as category_id, det_idx, count(*) as runs, sum(n)::bigint as area, min(s)::bigint as first,
+          max(s + n)::bigint as last, sum(s * 3 + n)::bigint as digest
+        from cols join (select image_id, label, det_idx from det) d on d.image_id = cols.image_id and d.label = cols.label
+          and d.det_idx = cols.instance_id group by all""".replace("select image_id, label * 3", "select cols.image_id, cols.label * 3"),
+    "det", "gt"))
+def mask_records_rebuilt(spark, folder):
+    """Masks written as run lengths in JSON, read back as text and rebuilt as runs."""
+    lengths = mk.run_lengths(_runs(spark, folder, "det", "det_idx"), F.lit(_WIDTH * _HEIGHT))
+    categories = view(spark, folder, "cat").filter("category_id < 7")
+    # The score of these records is the detection's number, so each can be told apart.
+    detections = view(spark, folder, "det").withColumns(
+        {"height": F.lit(_HEIGHT), "width": F.lit(_WIDTH), "score": F.col("det_idx").cast("double")}
+    )
+    path = scale.run_folder(spark, "mask-records")
+    coco.write_records(coco.mask_records(detections, lengths, categories, lb.label_space(view(spark, folder, "cat"))), path)
+    kind = "image_id bigint, category_id bigint, segmentation string, score double"
+    rows = spark.read.schema(kind).json(path).withColumnsRenamed({"category_id": "label"})
+    found = mk.read_run_lengths(rows.withColumn("instance_id", F.col("score").cast("bigint"))).filter("reason IS NULL")
+    runs = mk.counted_runs(found)
+    size = F.col("run_end") - F.col("run_start")
+    return runs.groupBy("image_id", F.col("label").alias("category_id"), F.col("instance_id").alias("det_idx")).agg(
+        F.count("*").alias("runs"), F.sum(size).alias("area"), F.min("run_start").alias("first"), F.max("run_end").alias("last"),
+        F.sum(F.col("run_start") * 3 + size).alias("digest"),
+    )

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from gridmark.functions import boxes as bx
 from gridmark.operators.labels import to_category_ids
 from gridmark.schemas import COCO_DOCUMENT
+from gridmark.sources.documents import document_objects
 
 
 @dataclass(frozen=True)
@@ -52,12 +53,33 @@ def _hidden_names(spark: SparkSession, path: str) -> list[str]:
     return found
 
 
+def _split_of(path: Column, split: str | None) -> Column:
+    """The given split, or else <split>/<file>.json: the folder the document lies in."""
+    return F.regexp_extract(path, r"([^/]+)/[^/]+$", 1) if split is None else F.lit(split)
+
+
+def read_coco_objects(spark: SparkSession, path: str, split: str | None = None) -> CocoTables:
+    """The same tables as :func:`read_coco` from documents that many tasks read, object by object.
+
+    For documents too large for one task each. Names with a leading underscore are not listed.
+    """
+    objects = document_objects(spark, path)
+
+    def section(name: str) -> DataFrame:
+        kind = COCO_DOCUMENT[name].dataType.elementType
+        parsed = objects.filter(F.col("section") == name).select("file", F.from_json("text", kind).alias("e"))
+        return parsed.select(_split_of(F.col("file"), split).alias("split"), "e")
+
+    return _tables(section("images"), section("categories"), section("annotations"))
+
+
 def read_coco(spark: SparkSession, path: str, split: str | None = None, one_per_line: bool = False) -> CocoTables:
     """Read one document, a folder or a glob of them; *one_per_line* for files with a document on every line.
 
     The usual file name ``_annotations.coco.json`` is found in the folder and in its split folders, though Spark does not
     list names with an underscore; such documents are read by the tasks themselves.
-    A JSON document is one task, however large; land the tables once with ``save_tables`` and read those afterwards.
+    Here a JSON document is one task; :func:`read_coco_objects` spreads large ones. Land the tables once with
+    ``save_tables`` and read those afterwards.
     """
     name = path.rstrip("/").rsplit("/", 1)[-1]
     hidden = [path] if name.startswith(("_", ".")) else _hidden_names(spark, path.rstrip("/"))
@@ -66,36 +88,33 @@ def read_coco(spark: SparkSession, path: str, split: str | None = None, one_per_
     else:
         document = spark.read.schema(COCO_DOCUMENT).option("multiLine", not one_per_line).json(path)
         document = document.withColumn("_path", F.col("_metadata.file_path"))
-    if split is not None:
-        document = document.withColumn("split", F.lit(split))
-    else:
-        # <split>/<file>.json, the folder the document lies in
-        document = document.withColumn("split", F.regexp_extract(F.col("_path"), r"([^/]+)/[^/]+$", 1))
-    images = document.select("split", F.explode("images").alias("i")).select(
-        F.col("i.id").alias("image_id"), "i.file_name", "i.width", "i.height", "split"
-    )
-    categories = document.select("split", F.explode("categories").alias("c")).select(
-        F.col("c.id").alias("category_id"), "c.name", "c.supercategory", "c.keypoints", "split"
-    )
-    box = F.col("a.bbox")
+    document = document.withColumn("split", _split_of(F.col("_path"), split))
+    return _tables(*[document.select("split", F.explode(n).alias("e")) for n in ("images", "categories", "annotations")])
+
+
+def _tables(images: DataFrame, categories: DataFrame, annotations: DataFrame) -> CocoTables:
+    """Tables from rows (split, e) with one object of a document each."""
+    images = images.select(F.col("e.id").alias("image_id"), "e.file_name", "e.width", "e.height", "split")
+    categories = categories.select(F.col("e.id").alias("category_id"), "e.name", "e.supercategory", "e.keypoints", "split")
+    box = F.col("e.bbox")
     four = F.size(box) == 4
 
     def side(position: int) -> Column:
         return F.when(four, F.get(box, position))
 
-    annotations = document.select("split", F.explode("annotations").alias("a")).select(
-        F.col("a.id").alias("ann_id"),
-        "a.image_id",
-        "a.category_id",
+    annotations = annotations.select(
+        F.col("e.id").alias("ann_id"),
+        "e.image_id",
+        "e.category_id",
         side(0).alias("x"),
         side(1).alias("y"),
         side(2).alias("w"),
         side(3).alias("h"),
-        "a.area",
-        (F.coalesce("a.iscrowd", F.lit(0)) != 0).alias("iscrowd"),
-        "a.segmentation",
-        "a.keypoints",
-        "a.num_keypoints",
+        "e.area",
+        (F.coalesce("e.iscrowd", F.lit(0)) != 0).alias("iscrowd"),
+        "e.segmentation",
+        "e.keypoints",
+        "e.num_keypoints",
         "split",
     )
     return CocoTables(images, categories, annotations)

@@ -93,3 +93,31 @@ def test_matching_pairs_of_crowds(spark):
     got = {r.gt_idx: r.overlap for r in mk.matching_pairs(found, truth, crowds).collect()}
     assert got == {0: 0.5, 1: 0.5}
     assert {r.gt_idx: r.overlap for r in mk.matching_pairs(found, truth).collect()} == {0: 50 / 450, 1: 0.5}
+
+
+def test_run_lengths_read_back_to_the_same_runs(spark):
+    masks, heights = random_masks(5)
+    runs = spark.createDataFrame(run_rows(masks, heights), RUNS).filter("run_end > run_start")
+    lengths = mk.run_lengths(runs.withColumn("height", F.col("height") * 100), F.col("height") * 100)
+    keys = ["image_id", "label", "instance_id"]
+    counts = lengths.groupBy(*keys).agg(F.expr("transform(array_sort(collect_list(struct(position, length))), r -> r.length) AS counts"))
+    columns = [*keys, "run_start", "run_end"]
+    again = mk.counted_runs(counts).select(columns)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, runs.select(columns).collect()))
+
+
+def test_run_lengths_as_json_with_reasons(spark):
+    texts = {
+        0: '{"counts":[2,3,0,1],"size":[2,3]}', 1: ' {"size":[2,3],"counts":[6]}', 2: '{"counts":"ab5","size":[2,3]}', 3: '{"counts":[1,-1,6],"size":[2,3]}',
+        4: '{"counts":[1,1],"size":[2,3]}', 5: '{"size":[2,3]}', 6: '{"counts":[0],"size":[0,3]}', 7: "[[1.0,2.0]]", 8: None, 9: '{"counts":[1,1.5],"size":[1,2]}',
+        10: '{"counts":[1,5]}', 11: '{"counts":[],"size":[0,0]}', 12: '{"counts":[null,6],"size":[2,3]}',
+    }
+    rows = spark.createDataFrame([(1, 0, i, t) for i, t in texts.items()], "image_id long, label long, instance_id long, segmentation string")
+    got = mk.read_run_lengths(rows)
+    reasons = {r.instance_id: r.reason for r in got.collect()}
+    no_list = "counts are no list of whole numbers"
+    assert reasons == {0: None, 1: None, 2: no_list, 3: "negative count", 4: "counts do not fill the size", 5: "no counts", 6: None, 9: no_list,
+                       10: "no size", 11: None, 12: no_list}
+    runs = mk.counted_runs(got.filter("reason IS NULL"))
+    assert sorted((r.instance_id, r.run_start, r.run_end) for r in runs.collect()) == [(0, 2, 5), (0, 5, 6)]
+    assert [(r.run_start, r.run_end) for r in mk.merge_runs(runs).collect()] == [(2, 6)]
