@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,32 +119,59 @@ def best_by_track(values: DataFrame, keys: list[str], better: str = "large", ini
     )
 
 
-def _epoch_values(values: DataFrame, keys: list[str], *columns: str) -> DataFrame:
-    # One element per training epoch, so the list is as long as the run has epochs.
-    row = F.struct("epoch", *columns)
-    return values.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+def _fold_values(values: list[float | None], alpha: float, start: float | None) -> Iterator[float | None]:
+    for value in values:
+        start = None if start is None or value is None else start * alpha + value * (1.0 - alpha)
+        yield start
 
 
 def smooth(values: DataFrame, keys: list[str], alpha: float, skip_epochs: int = 0) -> DataFrame:
-    """Exponential smoothing of one value per epoch, starting from 0; skipped epochs warm it up but are not reported."""
-    step = F.aggregate(
-        "_rows",
-        F.expr("named_struct('last', 0.0D, 'out', cast(array() as array<struct<epoch:int,smoothed:double>>))"),
-        lambda acc, row: F.struct(
-            (acc["last"] * alpha + row["value"] * (1.0 - alpha)).alias("last"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(
-                        row["epoch"].cast("int").alias("epoch"),
-                        (acc["last"] * alpha + row["value"] * (1.0 - alpha)).alias("smoothed"),
-                    )
-                ),
-            ).alias("out"),
+    """Exponential smoothing of one value per epoch, starting from 0; skipped epochs warm it up but are not reported.
+
+    One step is an affine map of the smoothed value, and so are many steps. A run is cut into ranges of epochs: each range
+    gives its map, the maps before a range give its start (a few numbers per run), and then every range is smoothed on its
+    own. So a long run is many tasks; ranges agree with one long fold up to rounding. A value that is null makes it and
+    all later ones null.
+    """
+    kinds = ", ".join(f"`{k}` {values.schema[k].dataType.simpleString()}" for k in keys)
+    rows = values.select(*keys, F.col("epoch").cast("int").alias("epoch"), F.col("value").cast("double").alias("value"))
+    placed = scale.order_slices(rows, keys, ["epoch", "value"])
+
+    def in_order(table: pa.Table) -> pa.Table:
+        return table.sort_by([("epoch", "ascending"), ("value", "ascending")])
+
+    def whole(table: pa.Table) -> pa.Table:
+        last = None
+        for last in _fold_values(in_order(table)["value"].to_pylist(), alpha, 0.0):
+            pass
+        head = table.slice(0, 1).select([*keys, "_slice"])
+        head = head.append_column("_factor", pa.array([alpha**table.num_rows], pa.float64()))
+        return head.append_column("_added", pa.array([last], pa.float64()))
+
+    def steps(table: pa.Table) -> pa.Table:
+        table = in_order(table)
+        found = pa.array(_fold_values(table["value"].to_pylist(), alpha, table["_start"][0].as_py()), pa.float64())
+        return table.select([*keys, "epoch"]).append_column("smoothed", found)
+
+    maps = placed.groupBy(*keys, "_slice").applyInArrow(whole, f"{kinds}, _slice int, _factor double, _added double")
+    # One element per range of a run.
+    listed = F.array_sort(F.collect_list(F.struct("_slice", "_factor", "_added")))
+    starts = F.aggregate(
+        listed,
+        F.expr("named_struct('start', 0.0D, 'out', CAST(array() AS array<struct<_slice: int, _start: double>>))"),
+        lambda acc, m: F.struct(
+            (acc["start"] * m["_factor"] + m["_added"]).alias("start"),
+            F.concat(acc["out"], F.array(F.struct(m["_slice"].alias("_slice"), acc["start"].alias("_start")))).alias("out"),
         ),
     )
-    rows = _epoch_values(values, keys, "value").select(*keys, F.inline(step["out"]))
-    return rows.filter(F.col("epoch") >= skip_epochs)
+    known = maps.groupBy(*keys).agg(starts["out"].alias("_starts")).select(*[F.col(k).alias(f"_own_{k}") for k in keys], F.inline("_starts"))
+    known = known.withColumnRenamed("_slice", "_own_slice")
+    same = F.col("_slice") == F.col("_own_slice")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_own_{k}"))
+    begun = placed.join(known, same).select(placed.columns + ["_start"])
+    smoothed = begun.groupBy(*keys, "_slice").applyInArrow(steps, f"{kinds}, epoch int, smoothed double")
+    return smoothed.filter(F.col("epoch") >= skip_epochs)
 
 
 def early_stop(
@@ -153,33 +185,50 @@ def early_stop(
     """Epoch at which a run stops, null when it never does, from rows (epoch, regular, ema).
 
     The monitored value is the EMA metric when asked for and present, else the larger of both. A non-finite value stops
-    at once. Improvement means more than the best so far plus min_delta.
+    at once. Improvement means more than the best so far plus min_delta. What a step decides depends on all before it, so
+    runs are spread over tasks and each is read in order, batch by batch, with three numbers kept and no list.
     """
     regular, ema = F.col("regular"), F.col("ema")
     larger = F.coalesce(F.greatest(regular, ema), regular, ema)
     effective = F.coalesce(ema, larger) if use_ema else larger
-    usable = values.filter(F.col("epoch") >= skip_epochs).withColumn("value", effective).filter(F.col("value").isNotNull())
-    infinity = float("inf")
-
-    def step(acc: Column, row: Column) -> Column:
-        running = acc["stopped"].isNull()
-        value = row["value"]
-        finite = ~F.isnan(value) & (F.abs(value) < infinity)
-        better = finite & (value - min_delta > acc["best"])
-        waited = F.when(better, F.lit(0)).otherwise(acc["waited"] + 1)
-        stop = ~finite | (~better & (waited >= patience))
-        return F.struct(
-            F.when(running & better, value).otherwise(acc["best"]).alias("best"),
-            F.when(running, waited).otherwise(acc["waited"]).alias("waited"),
-            F.when(running & stop, row["epoch"].cast("int")).otherwise(acc["stopped"]).alias("stopped"),
-        )
-
-    start = F.struct(
-        F.lit(-infinity).alias("best"), F.lit(0).alias("waited"), F.lit(None).cast("int").alias("stopped")
-    )
-    folded = F.aggregate("_rows", start, step)
-    rows = _epoch_values(usable, keys, "value").withColumn("_end", folded)
-    return rows.select(*keys, F.col("_end.best").alias("best"), F.col("_end.stopped").alias("stopped_epoch"))
+    usable = values.filter(F.col("epoch") >= skip_epochs).withColumn("value", effective.cast("double"))
+    usable = usable.filter(F.col("value").isNotNull()).withColumn("_run", F.to_json(F.struct(*keys)))
+    rows = usable.select("_run", *keys, F.col("epoch").cast("int").alias("epoch"), "value")
+    ordered = rows.repartition("_run").sortWithinPartitions("_run", "epoch", "value")
+    kinds = [f"`{k}` {values.schema[k].dataType.simpleString()}" for k in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, head, best, waited, stopped = None, None, -math.inf, 0, None
+
+        def result() -> pa.RecordBatch:
+            columns = [*head.columns, pa.array([best], pa.float64()), pa.array([stopped], pa.int32())]
+            return pa.RecordBatch.from_arrays(columns, [*keys, "best", "stopped_epoch"])
+
+        for batch in batches:
+            names = batch.column("_run").to_numpy(zero_copy_only=False)
+            borders = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
+            epochs, found = batch.column("epoch").to_pylist(), batch.column("value").to_pylist()
+            for start, end in zip(borders[:-1], borders[1:], strict=True):
+                if start == end:
+                    continue
+                if names[start] != current:
+                    if head is not None:
+                        yield result()
+                    current, head = names[start], batch.slice(start, 1).select(keys)
+                    best, waited, stopped = -math.inf, 0, None
+                for epoch, value in zip(epochs[start:end], found[start:end], strict=True):
+                    if stopped is not None:
+                        break
+                    if math.isfinite(value) and value - min_delta > best:
+                        best, waited = value, 0
+                    else:
+                        waited += 1
+                        if waited >= patience or not math.isfinite(value):
+                            stopped = epoch
+        if head is not None:
+            yield result()
+
+    return ordered.mapInArrow(run, ", ".join([*kinds, "best double", "stopped_epoch int"]))
 
 
 def latency_statistics(timings: DataFrame, keys: list[str]) -> DataFrame:
