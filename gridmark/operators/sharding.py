@@ -13,7 +13,6 @@ BLOCK_BYTES = 512
 DEFAULT_SHARD_BYTES = 100 * 1024 * 1024
 WARN_DEFICIT = 0.05
 FAIL_DEFICIT = 0.30
-_FAN_IN = 1024
 
 
 def footprint(payload_bytes: Column) -> Column:
@@ -34,34 +33,53 @@ def plan_shards(samples: DataFrame, max_bytes: int = DEFAULT_SHARD_BYTES) -> Dat
     return summed.withColumn("shard_id", F.floor(F.col("_before") / max_bytes)).drop("_before")
 
 
+_SUMS = [f"sum{i}" for i in range(8)]
+
+
+def _digest_sums(text: Column) -> list[Column]:
+    """Sums of the eight 32-bit words of the rows' digests: a hash of the rows as a multiset, whatever their order."""
+    digest = F.sha2(text, 256)
+    words = [F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("bigint") for i in range(len(_SUMS))]
+    return [F.sum(word).alias(name) for word, name in zip(words, _SUMS, strict=True)]
+
+
+def content_sums(samples: DataFrame, content: list[str]) -> DataFrame:
+    """Per shard: samples, bytes and digest sums. Sums of added samples add to it, those of removed ones are taken off."""
+    row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in content])
+    sums = _digest_sums(row)
+    return samples.groupBy("split", "shard_id").agg(F.count("*").alias("samples"), F.sum("bytes").alias("bytes"), *sums)
+
+
+def changed_sums(state: DataFrame, added: DataFrame | None = None, removed: DataFrame | None = None) -> DataFrame:
+    """The sums after samples came and went, from the sums of all three; no sample that stays is read again."""
+    names = ["samples", "bytes", *_SUMS]
+    parts = state.select("split", "shard_id", *names)
+    if added is not None:
+        parts = parts.unionByName(added.select("split", "shard_id", *names))
+    if removed is not None:
+        parts = parts.unionByName(removed.select("split", "shard_id", *[(-F.col(n)).alias(n) for n in names]))
+    summed = parts.groupBy("split", "shard_id").agg(*[F.sum(n).alias(n) for n in names])
+    return summed.filter(F.col("samples") > 0)
+
+
+def _token(*names: str) -> Column:
+    return F.sha2(F.concat_ws(",", *[F.col(n).cast("string") for n in names]), 256)
+
+
+def shard_tokens(sums: DataFrame) -> DataFrame:
+    return sums.select("split", "shard_id", "samples", "bytes", _token("samples", *_SUMS).alias("digest"))
+
+
 def content_digests(samples: DataFrame, content: list[str]) -> DataFrame:
-    """One digest per shard from the digests of its samples. A shard is size-bounded, so its list is too."""
-    row = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in content]), 256)
-    return samples.groupBy("split", "shard_id").agg(
-        F.count("*").alias("samples"),
-        F.sum("bytes").alias("bytes"),
-        F.sha2(F.concat_ws(",", F.array_sort(F.collect_list(row))), 256).alias("digest"),
-    )
+    """One digest per shard from the digests of its samples, in any order."""
+    return shard_tokens(content_sums(samples, content))
 
 
-def generation(shards: DataFrame, levels: int = 3) -> DataFrame:
-    """Content token of a split: shard digests combined in a tree of 1,024 children per node."""
-    level = shards.select(
-        "split",
-        F.col("shard_id").alias("node"),
-        F.sha2(F.concat_ws("|", F.col("shard_id").cast("string"), F.col("samples").cast("string"), "digest"), 256).alias(
-            "digest"
-        ),
-    )
-    for _ in range(levels):
-        ordered = F.array_sort(F.collect_list(F.struct("node", "digest")))
-        level = (
-            level.withColumn("_parent", F.floor(F.col("node") / _FAN_IN))
-            .groupBy("split", "_parent")
-            .agg(F.sha2(F.concat_ws(",", F.transform(ordered, lambda c: c["digest"])), 256).alias("digest"))
-            .select("split", F.col("_parent").alias("node"), "digest")
-        )
-    return level.select("split", F.substring("digest", 1, 8).alias("generation"))
+def generation(shards: DataFrame) -> DataFrame:
+    """Content token of a split from its shards' numbers, sizes and digests."""
+    row = F.concat_ws("|", F.col("shard_id").cast("string"), F.col("samples").cast("string"), "digest")
+    sums = shards.groupBy("split").agg(F.count("*").alias("shards"), *_digest_sums(row))
+    return sums.select("split", F.substring(_token("shards", *_SUMS), 1, 8).alias("generation"))
 
 
 def epoch_order(shards: DataFrame, epochs: int, seed: int = 0) -> DataFrame:

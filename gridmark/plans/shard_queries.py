@@ -11,6 +11,14 @@ from gridmark.plans.registry import query
 from gridmark.sources import tables as tb
 
 _LIMIT = 200_000
+
+
+def _token(count: str, digest: str) -> str:
+    """SQL of a multiset's token: its size and the sums of eight 32-bit words of the digests."""
+    sums = [f"cast(sum(cast('0x' || substr({digest}, {8 * i + 1}, 8) as bigint)) as varchar)" for i in range(8)]
+    return f"sha256({' || chr(44) || '.join([count, *sums])})"
+
+
 # Samples are documents: the text is the payload and the source the sidecar.
 _PLAN = f"""
     samples as (select case when doc_id % 5 = 4 then 'val' else 'train' end as split, doc_id as position, n_chars as payload_bytes,
@@ -19,7 +27,7 @@ _PLAN = f"""
     planned as (select *, cast(floor(coalesce(sum(bytes) over (partition by split order by position
       rows between unbounded preceding and 1 preceding), 0) / {_LIMIT}) as bigint) as shard_id from sized),
     shards as (select split, shard_id, count(*) as samples, cast(sum(bytes) as bigint) as bytes,
-      sha256(string_agg(h, ',' order by h)) as digest from (
+      {_token("count(*)", "h")} as digest from (
         select *, sha256(position || '|' || payload_bytes || '|' || lang) as h from planned) group by 1, 2)
 """
 
@@ -51,15 +59,28 @@ def shard_digests(spark, folder):
 
 
 @query("shard_generation", f"""
-    with {_PLAN}, l0 as (select split, shard_id as node, sha256(shard_id || '|' || samples || '|' || digest) as digest from shards),
-    l1 as (select split, node // 1024 as node, sha256(string_agg(digest, ',' order by node)) as digest from l0 group by 1, 2),
-    l2 as (select split, node // 1024 as node, sha256(string_agg(digest, ',' order by node)) as digest from l1 group by 1, 2),
-    l3 as (select split, node // 1024 as node, sha256(string_agg(digest, ',' order by node)) as digest from l2 group by 1, 2)
-    select split, substr(digest, 1, 8) as generation from l3""")
+    with {_PLAN} select split, substr({_token("count(*)", "sha256(shard_id || '|' || samples || '|' || digest)")}, 1, 8) as generation
+    from shards group by 1""")
 def shard_generation(spark, folder):
     return sh.generation(_shards(spark, folder))
 
 
+_CONTENT = ["position", "payload_bytes", "lang"]
+
+
+@query("updated_shard_digests", f"""
+    with {_PLAN}, now as (select * from planned where position % 11 <> 5)
+    select split, shard_id, count(*) as samples, cast(sum(bytes) as bigint) as bytes,
+      {_token("count(*)", "sha256(position || '|' || payload_bytes || '|' || lang)")} as digest from now group by 1, 2""")
+def updated_shard_digests(spark, folder):
+    """Digests kept up to date: samples that came later are added to the sums, samples that went are taken off."""
+    planned = _planned(spark, folder)
+    late, gone = F.col("position") % 7 == 3, F.col("position") % 11 == 5
+    state = sh.content_sums(planned.filter(~late), _CONTENT)
+    state = sh.changed_sums(state, added=sh.content_sums(planned.filter(late), _CONTENT))
+    return sh.shard_tokens(sh.changed_sums(state, removed=sh.content_sums(planned.filter(gone), _CONTENT)))
+
+
 _EPOCHS = f"""
     {_PLAN}, ordered as (select split, epoch, shard_id, samples, row_number() over (partition by split, epoch
       order by md5('0|' || epoch || '|' || shard_id), shard_id) - 1 as position
