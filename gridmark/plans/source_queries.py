@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridmark import scale
@@ -10,7 +11,7 @@ from gridmark.operators import labels as lb
 from gridmark.plans.fixtures import read, view, with_views
 from gridmark.plans.registry import query
 from gridmark.plans.shard_queries import _PLAN, _planned
-from gridmark.sources import coco, media, yolo
+from gridmark.sources import coco, lines, media, yolo
 from gridmark.sources import tables as tb
 
 
@@ -104,6 +105,21 @@ def _lines(spark, folder):
     return view(spark, folder, "base").select("image_id", F.col("rn").cast("long").alias("line_no"), text.alias("text"))
 
 
+@query("label_files", with_views(
+    f"""with {_LINES} select case when (image_id // 50) % 4 = 3 then 'val' else 'train' end as split, 'sheet_' || (image_id // 50) as stem,
+          (row_number() over (partition by image_id // 50 order by image_id, line_no))::int as line_no, text from lines""", "base"))
+def label_files(spark, folder):
+    """Label lines written as files under the names of their images, fifty images on a sheet, and read by their places."""
+    sheet = F.floor(F.col("image_id") / 50)
+    split = F.when(sheet % 4 == 3, F.lit("val")).otherwise(F.lit("train"))
+    name = F.concat(split, F.lit("/labels/sheet_"), sheet.cast("string"), F.lit(".txt"))
+    rows = _lines(spark, folder).select(name.alias("name"), F.struct("image_id", "line_no").alias("line_no"), "text")
+    number = F.row_number().over(Window.partitionBy("name").orderBy("line_no"))
+    path = scale.run_folder(spark, "labels")
+    lines.write_files(rows.withColumn("line_no", number), path)
+    return yolo.read_label_lines(spark, path)
+
+
 _PARSED = f"""
     {_LINES},
     v as (select l.*, width::float as wf, height::float as hf, width, height, string_split(text, ' ') as p
@@ -176,6 +192,7 @@ def images_with_label_lines(spark, folder):
          case when l_linenumber >= 6 then null when l_linenumber % 3 = 0 then 0 else (1::float * width::float)::double end as kx1,
          case when l_linenumber < 6 then (l_linenumber % 3)::double end as kv1 from p""", "base", "img"))
 def parse_pose_lines(spark, folder):
+    """Points of three numbers."""
     number = F.col("l_linenumber")
     n = F.lpad((F.col("l_partkey") % 1000).cast("string"), 3, "0")
     visibility = F.when(number == 6, F.lit("3")).otherwise((number % 3).cast("string"))
@@ -189,6 +206,29 @@ def parse_pose_lines(spark, folder):
     )
 
 
+@query("parse_flat_pose_lines", with_views(
+    """with p as (select image_id, rn as line_no, l_linenumber, width, height, lpad(cast(l_partkey % 1000 as varchar), 3, '0') as n
+                  from base join img using (image_id)),
+       q as (select *, case l_linenumber % 3 when 0 then '-0.5' when 1 then '0' else '1.5' end as x1, case l_linenumber % 3 when 1 then 0 else 0.5 end as y1 from p)
+       select image_id, line_no, case when l_linenumber = 7 then 'wrong field count' when l_linenumber = 6 then 'malformed number' end as reason,
+         case when l_linenumber < 6 then case when n = '000' then 0 else (('0.' || n)::float * width::float)::double end end as kx0,
+         case when l_linenumber < 6 then case when n = '000' then 0 else 2 end::double end as kv0,
+         case when l_linenumber < 6 then case when l_linenumber % 3 = 2 then (1::float * width::float)::double else 0 end end as kx1,
+         case when l_linenumber < 6 then case when l_linenumber % 3 = 2 then (0.5::float * height::float)::double else 0 end end as ky1,
+         case when l_linenumber < 6 then case when l_linenumber % 3 = 2 then 2 else 0 end::double end as kv1 from q""", "base", "img"))
+def parse_flat_pose_lines(spark, folder):
+    """Points of two numbers: negative ones and the origin are absent, those beyond the image are clamped."""
+    number = F.col("l_linenumber")
+    n = F.lpad((F.col("l_partkey") % 1000).cast("string"), 3, "0")
+    second = F.when(number % 3 == 0, F.lit("-0.5 0.5")).when(number % 3 == 1, F.lit("0 0")).otherwise(F.lit("1.5 0.5"))
+    second = F.when(number == 6, F.lit("far 0.5")).when(number == 7, F.lit("0.5")).otherwise(second)
+    text = F.concat(F.lit("0 0.5 0.5 0.5 0.5 0."), n, F.lit(" 0 "), second)
+    rows = view(spark, folder, "base").select("image_id", F.col("rn").cast("long").alias("line_no"), text.alias("text"))
+    parsed = yolo.parse_pose_lines(rows.join(view(spark, folder, "img"), "image_id"), 1, 2, 2)
+    points = {"kx0": 0, "kv0": 2, "kx1": 3, "ky1": 4, "kv1": 5}
+    return parsed.select("image_id", "line_no", "reason", *[F.get("keypoints", i).alias(name) for name, i in points.items()])
+
+
 @query("classify_sources", """
     with s as (select page_id, url, case page_id % 12 when 0 then regexp_replace(url, '^https?', 'rtsp') when 1 then 'https://youtu.be/' || page_id
         when 2 then 'https://WWW.YouTube.com/watch?v=' || page_id when 3 then 'http://h.example.org/a/clip.MP4?x=1' || page_id
@@ -221,6 +261,12 @@ def classify_sources(spark, folder):
     from (select *, unnest(case kind when 2 then [0, 1] else [0] end) as c from k) where not (kind = 1 and line_no = 0)""")
 def manifest_entries(spark, folder):
     """Text manifests, CSV manifests whose header names the source column, and CSV manifests without a header."""
+    entries = media.manifest_entries(_manifest_lines(spark, folder))
+    # A chosen column is reported as cell 0, like a text line.
+    return entries.select("file_path", "line_no", "cell_no", "source")
+
+
+def _manifest_lines(spark, folder):
     number = F.floor(F.col("page_id") / 20)
     line = (F.col("page_id") % 20).cast("int")
     kind = number % 3
@@ -232,13 +278,52 @@ def manifest_entries(spark, folder):
         .otherwise(F.concat(F.col("url"), F.lit(", b.jpg")))
     )
     suffix = F.when(kind == 0, F.lit(".txt")).otherwise(F.lit(".csv"))
-    lines = read(spark, folder, "pages").select(
+    return read(spark, folder, "pages").select(
         F.concat(F.lit("m"), number.cast("string"), suffix).alias("file_path"), line.alias("line_no"),
         F.when(comment, F.lit("# note")).otherwise(body).alias("text"),
     )
-    entries = media.manifest_entries(lines)
-    # A chosen column is reported as cell 0, like a text line.
-    return entries.select("file_path", "line_no", "cell_no", "source")
+
+
+@query("manifest_files", """
+    with m as (select page_id, (page_id // 20) as f, page_id % 20 as line_no, url from pages),
+    k as (select 'm' || f || (case f % 3 when 0 then '.txt' else '.csv' end) as name, f % 3 as kind, line_no, url from m where line_no % 5 <> 4),
+    e as (select name, line_no::int as line_no, c::int as cell_no, case when c = 0 then url else 'b.jpg' end as source
+      from (select *, unnest(case kind when 2 then [0, 1] else [0] end) as c from k) where not (kind = 1 and line_no = 0))
+    select *, 'image' as kind, case when source = 'b.jpg' then 'lists/b.jpg' else source end as place from e""")
+def manifest_files(spark, folder):
+    """The same manifests as files, read by many tasks; what they name lies beside them or is absolute."""
+    path = scale.run_folder(spark, "manifests")
+    lines.write_files(_manifest_lines(spark, folder).withColumn("name", F.concat(F.lit("lists/"), "file_path")), path)
+    entries = media.read_manifests(spark, path)
+    return entries.select(
+        F.regexp_extract("file_path", r"([^/]+)$", 1).alias("name"), "line_no", "cell_no", "source", "kind",
+        F.regexp_replace("resolved", r"^/.*/(lists/[^/]+)$", "$1").alias("place"),
+    )
+
+
+@query("media_listing", """
+    select 'page_' || page_id || case page_id % 3 when 0 then '.jpg' else '.PNG' end as file_name, octet_length(encode(html)) + 1 as length
+    from pages where page_id % 4 <> 3""")
+def media_listing(spark, folder):
+    """Files of four kinds on disk, of which the listing keeps the images; sizes come with it, contents are not read."""
+    number = F.col("page_id")
+    suffix = F.when(number % 4 == 3, F.lit(".tga")).when(number % 3 == 0, F.lit(".jpg")).otherwise(F.lit(".PNG"))
+    path = scale.run_folder(spark, "media")
+    rows = read(spark, folder, "pages").select(
+        F.concat(F.lit("page_"), number.cast("string"), suffix).alias("name"), F.lit(0).alias("line_no"), F.col("html").alias("text")
+    )
+    lines.write_files(rows, path)
+    return media.list_media(spark, path).select("file_name", "length")
+
+
+@query("daily_counts_file", """
+    select ts::date as day, count(*) as downloads from events group by 1""")
+def daily_counts_file(spark, folder):
+    """Daily counts as a CSV table, checked as a whole when it is read."""
+    path = scale.run_folder(spark, "daily")
+    daily = read(spark, folder, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("downloads"))
+    daily.select("day", F.lit("without_mirrors").alias("category"), "downloads").write.option("header", True).csv(path)
+    return tb.read_daily_counts(spark, path).select("day", "downloads")
 
 
 @query("media_files", with_views("select image_id, file_name from img where not file_name like '%.tga'", "img"))

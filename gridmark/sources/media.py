@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridmark.sources.lines import numbered_lines
+
 # File suffixes and URL schemes per kind of source.
 IMAGE_SUFFIXES = ("avif", "bmp", "gif", "ico", "jp2", "jpeg", "jpg", "mpo", "png", "tif", "tiff", "webp")
 VIDEO_SUFFIXES = ("asf", "avi", "m4v", "mkv", "mov", "mp4", "mpeg", "mpg", "ts", "webm", "wmv")
@@ -94,11 +96,7 @@ def manifest_entries(lines: DataFrame) -> DataFrame:
 
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
     """Entries of manifest files with their kind; relative paths are resolved against the manifest's folder."""
-    files = spark.read.option("pathGlobFilter", "*.{txt,csv,streams}").text(path, wholetext=True)
-    lines = files.select(
-        F.col("_metadata.file_path").alias("file_path"), F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("line_no", "text")
-    )
-    entries = manifest_entries(lines)
+    entries = manifest_entries(numbered_lines(spark, path, "*.{txt,csv,streams}"))
     folder = F.regexp_replace(F.regexp_extract("file_path", r"^(.*)/[^/]*$", 1), r"^file:(//)?", "")
     kind = classify(F.col("source"))
     relative = ~F.col("source").startswith("/") & ~F.col("source").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:")

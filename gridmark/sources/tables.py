@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridmark import scale
 from gridmark.operators import sharding
 from gridmark.operators.annotations import require_no_rejects
 from gridmark.operators.runs import split_metric
 from gridmark.operators.weekly import check_daily
 from gridmark.schemas import DAILY_COUNTS, SHARD_INDEX
+from gridmark.sources.lines import numbered_lines
 
 # Index version and the two category-id policies.
 INDEX_VERSION = 1
@@ -20,22 +22,21 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     """Training metrics CSV as long rows (run, epoch, step, column, split, metric, value). ``epoch`` is required.
 
     Every file is read by its own first line, so runs may have other columns or another order of them. Metrics are plain
-    numbers: a cell is quoted at most as a whole. A file is one row until its lines are cut, as a run's log is small.
+    numbers: a cell is quoted at most as a whole. Long logs are read by many tasks.
     """
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path, wholetext=True)
-    run = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
-    lines = files.select(run.alias("run"), F.filter(F.split("value", r"\r\n|\r|\n"), lambda x: F.trim(x) != "").alias("lines"))
+    lines = numbered_lines(spark, path, "*.csv").filter(F.trim("text") != "")
 
     def cells(line: Column) -> Column:
         return F.transform(F.split(line, ","), lambda c: F.regexp_replace(F.trim(c), r'^"(.*)"$', "$1"))
 
-    lines = lines.filter(F.size("lines") > 0).withColumn("header", cells(F.get("lines", 0)))
-    if not lines.filter(~F.array_contains("header", "epoch")).isEmpty():
+    heads = lines.groupBy("file_path").agg(F.min_by("text", "line_no").alias("header"), F.min("line_no").alias("first"))
+    # One row per file, read twice: checked, and joined to the file's lines.
+    heads = scale.cut_lineage(heads.withColumn("header", cells(F.col("header"))))
+    if not heads.filter(~F.array_contains("header", "epoch")).isEmpty():
         raise ValueError("a metrics file has no 'epoch' column")
-    rows = lines.select(
-        "run", "header", F.explode(F.slice("lines", F.lit(2), F.size("lines"))).alias("line")
-    )
-    rows = rows.withColumn("cells", cells(F.col("line")))
+    run = F.regexp_extract("file_path", r"([^/]+)/[^/]+$", 1)
+    rows = lines.join(heads, "file_path").filter(F.col("line_no") > F.col("first"))
+    rows = rows.select(run.alias("run"), "header", cells(F.col("text")).alias("cells"))
 
     def named(name: str) -> Column:
         return F.get("cells", F.array_position("header", name).cast("int") - 1).try_cast("double").cast("int")
