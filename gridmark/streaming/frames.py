@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -77,14 +79,68 @@ def _tick_stream(frames: DataFrame, sources: int) -> DataFrame:
     )
 
 
-def first_writer_wins(images: DataFrame, watermark: str | None = None) -> DataFrame:
-    """One row per image, the first to arrive. ``images`` carries its detections as an array, so images stay whole.
+class FirstRows(StatefulProcessor):
+    """Lets the first row of a key through and remembers the key until the watermark passes that row's time plus *keep*."""
 
-    In a batch, arrival is the order of ``ts``, ties by the row. On a stream a duplicate is known as such until the
-    watermark has passed the first row, so *watermark* must exceed the longest delay between two writers of an image.
+    def __init__(self, columns: list[str], keep_ms: int):
+        self.columns, self.keep_ms = columns, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "until bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if self.seen.exists():
+            for _ in rows:
+                pass
+            return
+        # Within one micro-batch the earliest row is first, ties by its other columns.
+        first = None
+        for batch in rows:
+            order = sorted(range(len(batch)), key=lambda i: (batch["ts"].iat[i], _comparable(batch.iloc[i], self.columns)))
+            best = batch.iloc[order[0]]
+            if first is None or (best["ts"], _comparable(best, self.columns)) < (first["ts"], _comparable(first, self.columns)):
+                first = best
+        until = int(first["ts"].timestamp() * 1000) + self.keep_ms
+        until = max(until, timerValues.getCurrentWatermarkInMs() + 1)
+        self.seen.update((until,))
+        self.handle.registerTimer(until)
+        yield pd.DataFrame([first])[self.columns]
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.seen.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def _comparable(row: pd.Series, columns: list[str]) -> list[tuple]:
+    """Values in column order, missing ones first, lists element by element."""
+
+    def key(value) -> tuple:
+        if isinstance(value, (list, tuple, np.ndarray)):
+            return (1, [key(v) for v in value])
+        return (0, 0) if value is None or value is pd.NaT or value != value else (1, value)
+
+    return [key(row[c]) for c in columns]
+
+
+def first_writer_wins(images: DataFrame, watermark: str | None = None, keep: str = "0 seconds") -> DataFrame:
+    """One row per image, the first to arrive, whole. ``images`` carries its detections as an array, so images stay whole.
+
+    In a batch, arrival is the order of ``ts``, ties by the row. On a stream (*watermark*), micro-batches arrive in their
+    order and rows of one by ``ts``; rows older than the watermark are dropped, and an image is known as written until
+    the watermark has passed its first row by *keep*, so the two together must exceed the longest delay between two
+    writers. The stream needs the state store of :func:`gridmark.streaming.precision.use_rocksdb`.
     """
     if watermark is None:
         row = F.struct("ts", F.struct(*[c for c in images.columns if c not in ("image_id", "ts")]).alias("rest"))
         first = images.groupBy("image_id").agg(F.min(row).alias("_first"))
         return first.select("image_id", "_first.ts", "_first.rest.*").select(images.columns)
-    return images.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["image_id"])
+    keep_ms = int(pd.Timedelta(keep).total_seconds() * 1000)
+    return (
+        images.withWatermark("ts", watermark)
+        .groupBy("image_id")
+        .transformWithStateInPandas(FirstRows(images.columns, keep_ms), images.schema, "Append", "EventTime")
+    )
