@@ -4,8 +4,10 @@ A document's counts come from built-in array and string functions; each rule com
 bounds. Everything is computed within a row: no shuffle, and the longest text costs n log n in its own words.
 
 Rules that know only some languages bind only where they can judge. Stop words are those of English, German, French and
-Spanish; documents whose letters are mostly of another script than Latin, that name another language, or that have as
-many function words of OTHER_STOP_WORDS (unless they name one of the four) are exempt. Words of unspaced scripts have no length bound.
+Spanish. A document without enough of them stays if it does not name one of the four and shows itself to be prose: by
+function words of another language (its own, if it names one of OTHER_LANGUAGES), by an unspaced script, or, in any other
+language or script, by punctuation and short words as prose has them. A name alone exempts nothing. Words of unspaced
+scripts have no length bound.
 
 Defined results: a null text counts as empty (no words, so it fails the base rule); ratios over nothing are 0; repeated
 rows are judged alike; further columns of the input, also such as are named like the counts, are left alone.
@@ -36,28 +38,35 @@ STOP_WORDS = (
 
 
 LANGUAGES = ("en", "de", "fr", "es")
-# Frequent function words of further languages in Latin script; none is an English word.
-OTHER_STOP_WORDS = (
-    "il che di della dei delle gli nel per non sono anche più come ma "  # Italian
-    "os uma não com para dos das ao pela também mais "  # Portuguese
-    "het een van niet zijn voor met aan ook maar naar wordt "  # Dutch
-    "och att det som på är av för inte till har med jag den "  # Swedish
-    "og ikke til af han hun jeg fra ble ved være "  # Danish, Norwegian
-    "ja ei että oli hän mutta kun ovat se myös niin joka ole "  # Finnish
-    "nie się na że jest jak przez ale dla oraz są był które "  # Polish
-    "je že jsem není jako pro ale jsou také který byl "  # Czech, Slovak
-    "és hogy nem egy az volt csak mint de ez meg "  # Hungarian
-    "și în nu că din care pentru mai sunt este sau "  # Romanian
-    "ve bir bu için çok ile daha olarak gibi olan değil "  # Turkish
-    "yang dan di untuk dengan ini itu dari pada tidak adalah "  # Indonesian, Malay
-    "và của là không được trong một những người các cho với "  # Vietnamese
-    "su nije i da koji ali kao biti ili što "  # Croatian, Bosnian, Slovene
-    "ir kad yra buvo tai iš un ka ir nav ja ka "  # Lithuanian, Latvian
-    "ning oli see mis ta kui aga või "  # Estonian
-    "na ya wa kwa ni katika za hii cha la "  # Swahili
-    "els amb una les però és aquest ang ng mga sa ay "  # Catalan, Tagalog
-).split()
-OTHER_STOP_WORDS = sorted(set(OTHER_STOP_WORDS) - set(STOP_WORDS) - {"i", "han", "har", "den", "ole", "ring", "meg", "sole", "pro", "sa", "la", "ta", "ya"})
+# Frequent function words of further languages in Latin script, by language codes.
+OTHER_LANGUAGES = {
+    ("it",): "il che di della dei delle gli nel per non sono anche più come ma e la un una",
+    ("pt",): "os uma não com para dos das ao pela também mais o a e que de do da em um",
+    ("nl",): "het een van niet zijn voor met aan ook maar naar wordt de en dat in is",
+    ("sv",): "och att det som på är av för inte till har med jag den en ett",
+    ("da", "no", "nb", "nn"): "og ikke til af han hun jeg fra ble ved være det som på er en av",
+    ("fi",): "ja ei että oli hän mutta kun ovat se myös niin joka ole on",
+    ("pl",): "nie się na że jest jak przez ale dla oraz są był które w z i o po to",
+    ("cs", "sk"): "je že jsem není jako pro ale jsou také který byl a v na se s",
+    ("hu",): "és hogy nem egy az volt csak mint de ez meg a van",
+    ("ro",): "și în nu că din care pentru mai sunt este sau de la o cu",
+    ("tr",): "ve bir bu için çok ile daha olarak gibi olan değil da de",
+    ("id", "ms"): "yang dan di untuk dengan ini itu dari pada tidak adalah ke",
+    ("vi",): "và của là không được trong một những người các cho với có",
+    ("hr", "bs", "sl", "sr"): "su nije i da koji ali kao biti ili što je u na se za",
+    ("lt",): "ir kad yra buvo tai iš su į ne kaip",
+    ("lv",): "ir un ka kas no ar par uz bija nav",
+    ("et",): "ning oli see mis ta kui aga või ja ei on",
+    ("sw",): "na ya wa kwa ni katika za hii cha la watu kuwa",
+    ("ca",): "els amb una les però és aquest de la el i que en",
+    ("tl",): "ang ng mga sa ay na at ko si",
+}
+UNSPACED = ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan")
+# A language shows by this many different ones of its words, and by their share of all words in hundredths.
+SHOWN_WORDS, SHOWN_SHARE = 3, 5
+# Prose in any language: a punctuation mark for so many words, and so many hundredths of short words.
+WORDS_A_MARK, SHORT_SHARE = 30, 10
+MARKS = ".,;:!?…،؛؟।。、，！？"
 
 
 @dataclass(frozen=True)
@@ -156,22 +165,38 @@ def _letters(text: Column, kind: str) -> Column:
 
 def _unspaced(text: Column, lang: Column) -> Column:
     """Half of the letters or more are of scripts that put no spaces between words."""
-    scripts = "".join(rf"\p{{Is{s}}}" for s in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan"))
-    found = _letters(text, scripts)
+    found = _letters(text, "".join(rf"\p{{Is{s}}}" for s in UNSPACED))
     return (found > 0) & (found * 2 >= _letters(text, r"\p{L}\p{M}"))
 
 
 def _foreign(text: Column, lang: Column) -> Column:
-    """The stop words cannot judge: another language, or another script."""
-    other = F.size(F.filter(words(text), lambda w: F.lower(w).isin(*OTHER_STOP_WORDS)))
-    named = F.regexp_extract(F.lower(lang), "^[a-z]+", 0)
-    return (
-        F.coalesce((named != "") & ~named.isin(*LANGUAGES, "und", "unknown", "none", "null"), F.lit(False))
-        | (_letters(text, r"\p{IsLatin}") * 2 < _letters(text, r"\p{L}"))
-        | ~F.coalesce(named.isin(*LANGUAGES), F.lit(False)) & (other >= F.size(words(text)) * 0.02) & (other > 0)
-    )
+    """Prose that the stop words cannot judge, by its own words; a name narrows the choice, but exempts nothing."""
+    bare = F.transform(words(text), lambda w: F.lower(F.regexp_replace(w, _BORDERS, "")))
+    named = F.coalesce(F.regexp_extract(F.lower(lang), "^[a-z]+", 0), F.lit(""))
+    codes = [code for group in OTHER_LANGUAGES for code in group]
+
+    def among(tokens: Column, table: str) -> Column:
+        return F.filter(tokens, lambda w: w.isin(*table.split()))
+
+    def shown(tokens: Column) -> Column:
+        verdict = F.lit(False)
+        for group, table in OTHER_LANGUAGES.items():
+            found = among(tokens, table)
+            enough = (F.size(F.array_distinct(found)) >= SHOWN_WORDS) & (F.size(found) * 100 >= F.size(tokens) * SHOWN_SHARE)
+            verdict = verdict | ((named.isin(*group) | ~named.isin(*codes)) & enough)
+        return verdict
+
+    def like_prose(tokens: Column) -> Column:
+        short = F.filter(tokens, lambda w: (F.length(w) >= 1) & (F.length(w) <= 3))
+        return (_missing(text, MARKS) * WORDS_A_MARK >= F.size(tokens)) & (F.size(short) * 100 >= F.size(tokens) * SHORT_SHARE)
+
+    other_script = _letters(text, r"\p{IsLatin}") * 2 < _letters(text, r"\p{L}")
+    judged = bind(bare, lambda t: shown(t) | (~named.isin(*codes) | other_script) & like_prose(t))
+    return _unspaced(text, lang) | ((~named.isin(*LANGUAGES) | other_script) & judged)
 
 
+# What stands around the letters of a word.
+_BORDERS = r"^[^\p{L}]+|[^\p{L}]+$"
 EXEMPT = {"unspaced": _unspaced, "foreign": _foreign}
 
 
@@ -220,9 +245,45 @@ def filter_by_quality(df: DataFrame, rules: Sequence[Rule] = RULES, *, text: str
     return judged.select("*", F.explode(kept).alias(one)).drop(out, one)
 
 
+def _quoted(items: Sequence[str]) -> str:
+    return ", ".join(f"'{i}'" for i in items)
+
+
+def _shown_sql() -> str:
+    """The same tables for the SQL: a case for each language."""
+    codes, cases = _quoted([c for group in OTHER_LANGUAGES for c in group]), []
+    for group, table in OTHER_LANGUAGES.items():
+        found = f"list_filter(bare, lambda x: list_contains([{_quoted(table.split())}], x))"
+        cases.append(
+            f"((named in ({_quoted(group)}) or named not in ({codes})) and len(list_distinct({found})) >= {SHOWN_WORDS} "
+            f"and len({found}) * 100 >= len(bare) * {SHOWN_SHARE})"
+        )
+    return " or ".join(cases)
+
+
+_EXEMPTIONS = rf"""
+e as (
+  select doc_id, text, coalesce(regexp_extract(lower(lang), '^[a-z]+'), '') as named,
+         list_transform(w, lambda x: lower(regexp_replace(x, '{_BORDERS}', '', 'g'))) as bare,
+         length(regexp_replace(text, '[^\p{{Latin}}]', '', 'g')) * 2 < length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) as other_script,
+         length(regexp_replace(text, '[^{"".join(rf"\p{{{x}}}" for x in UNSPACED)}]', '', 'g')) as n_unspaced,
+         length(regexp_replace(text, '[^\p{{L}}\p{{M}}]', '', 'g')) as n_marked
+  from d
+), f as (
+  select *, n_unspaced > 0 and n_unspaced * 2 >= n_marked as unspaced,
+         length(regexp_replace(text, '[^{MARKS}]', '', 'g')) * {WORDS_A_MARK} >= len(bare)
+           and len(list_filter(bare, lambda x: length(x) between 1 and 3)) * 100 >= len(bare) * {SHORT_SHARE} as like_prose
+  from e
+), exempt as (
+  select doc_id, unspaced, unspaced or ((named not in ({_quoted(LANGUAGES)}) or other_script)
+         and ({_shown_sql()} or ((named not in ({_quoted([c for g in OTHER_LANGUAGES for c in g])}) or other_script) and like_prose))) as elsewhere
+  from f
+)"""
+
+
 _ORACLE = r"""
 with d as (
-  select doc_id, coalesce(text, '') as text,
+  select doc_id, coalesce(text, '') as text, lang,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l
   from documents
@@ -243,16 +304,16 @@ with d as (
          len(list_filter(l, lambda x: regexp_matches(x, '^ *[-*•]'))) as n_bullet_lines,
          len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…) *$'))) as n_ellipsis_lines
   from d left join covered c on d.doc_id = c.doc_id
-)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+), EXEMPTIONS
+select counts.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 20 or 100 * n_repeat_words > 30 * n_words) as base_failed,
        not (n_words < 20 or 100 * n_repeat_words > 30 * n_words)
-         and word_chars / greatest(n_words, 1) between 2.0 and 15.0
-         and n_symbols / greatest(n_words, 1) <= 0.1 and n_stop_words / greatest(n_words, 1) >= 0.02
+         and (word_chars / greatest(n_words, 1) between 2.0 and 15.0 or unspaced)
+         and n_symbols / greatest(n_words, 1) <= 0.1 and (n_stop_words / greatest(n_words, 1) >= 0.02 or elsewhere)
          and n_digits / greatest(word_chars, 1) <= 0.3 and n_dup_lines / greatest(n_lines, 1) <= 0.4
          and n_bullet_lines / greatest(n_lines, 1) <= 0.9 and n_ellipsis_lines / greatest(n_lines, 1) <= 0.3 as kept
-from counts
-""".replace("STOPS", ", ".join(f"'{w}'" for w in STOP_WORDS))
+from counts join exempt on counts.doc_id = exempt.doc_id
+""".replace("STOPS", _quoted(STOP_WORDS)).replace("EXEMPTIONS", _EXEMPTIONS)
 
 
 @query("op8_quality_rules", _ORACLE)

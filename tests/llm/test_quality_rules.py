@@ -54,6 +54,38 @@ def test_clean_text_in_other_languages_stays(spark):
     rows = [(i, t) for i, t in enumerate([*texts.values(), junk])]
     kept = filter_by_quality(spark.createDataFrame(rows, "doc_id int, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == list(range(len(texts)))
-    named = [(1, junk, "sw"), (2, junk, "en"), (3, junk, None), (4, junk, "DE-at")]
-    kept = filter_by_quality(spark.createDataFrame(named, "doc_id int, text string, lang string"))
-    assert [r.doc_id for r in kept.collect()] == [1]
+
+
+def test_a_name_or_two_words_rescue_no_soup(spark):
+    junk = " ".join(f"keyword{k}xx" for k in "abcdefghijklmnopqrstuvwxyz")
+    cyrillic = " ".join(f"слово{k}" for k in "абвгдежзиклмнопрстуфхцчшщэюя")
+    named = [(i, t, lang) for i, (t, lang) in enumerate((t, lang) for t in (junk, junk + " ja ei", cyrillic) for lang in ("sw", "xx", "en", None, "DE-at", "fi", "ru"))]
+    assert filter_by_quality(spark.createDataFrame(named, "doc_id int, text string, lang string")).collect() == []
+
+
+def test_prose_stays_by_its_words_or_its_shape(spark):
+    swahili = "Watu wengi walikuwa katika mji huo na wao ni wa kabila la pwani, kwa sababu hii walikuwa wakifanya kazi ya uvuvi na biashara za samaki."
+    welsh = "Aeth y dyn i'r dref yn y bore, ac yr oedd hi'n oer iawn. Yna daeth y glaw, a bu rhaid iddo fynd adref at ei deulu cyn nos."
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([(swahili, "sw"), (swahili, None), (swahili, "xx"), (welsh, "cy"), (welsh, None)])]
+    kept = filter_by_quality(spark.createDataFrame(rows, "doc_id int, text string, lang string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3, 4]
+
+
+def test_query_equals_its_sql_on_odd_languages(spark, tmp_path):
+    import duckdb
+
+    from gridmark.llm.quality_rules import _ORACLE, op8_quality_rules
+
+    draw = random.Random(3)
+    pools = ["the of and house tree runs.", "ja ei että talo, puu mutta", "и в не дом, дерево он.", "昨天晚上我们在老城里散步", "xx yy zz qqqq wwww", "y i'r yn dref, ac oer. bu"]
+    rows = []
+    for i in range(150):
+        pool = draw.choice(pools).split() + draw.choice(pools).split()
+        rows.append((i, " ".join(draw.choice(pool) for _ in range(draw.randrange(15, 70))), draw.choice([None, "en", "fi", "ru", "xx", "zh", "cy", "de"])))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    result = con.execute(_ORACLE)
+    names = [d[0] for d in result.description]
+    got = sorted(map(tuple, op8_quality_rules(spark, str(tmp_path)).select(names).collect()))
+    assert got == sorted(result.fetchall()) and {r[-1] for r in got} == {True, False}
