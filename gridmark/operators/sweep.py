@@ -80,21 +80,25 @@ def macro_sweep(by_class: DataFrame) -> DataFrame:
     return by_class.groupBy("threshold").agg(mean("f1"), mean("precision"), mean("recall"))
 
 
-def best_threshold(macro: DataFrame) -> DataFrame:
-    """The first threshold with the largest macro F1. F1 is compared at 12 decimals, as sums may differ in the last bit."""
-    return macro.orderBy(F.round("macro_f1", 12).desc(), "threshold").limit(1)
+def best_threshold(macro: DataFrame, digits: int | None = None) -> DataFrame:
+    """The first threshold with the largest macro F1, compared as it is, or rounded to *digits*.
+
+    A mean over classes may differ in its last bit with the order of its terms; *digits* makes such values tie.
+    """
+    f1 = F.col("macro_f1") if digits is None else F.round("macro_f1", digits)
+    return macro.orderBy(f1.desc(), "threshold").limit(1)
 
 
-def class_scores_at_best(by_class: DataFrame) -> DataFrame:
-    chosen = best_threshold(macro_sweep(by_class)).select("threshold")
+def class_scores_at_best(by_class: DataFrame, digits: int | None = None) -> DataFrame:
+    chosen = best_threshold(macro_sweep(by_class), digits).select("threshold")
     return by_class.join(chosen, "threshold")
 
 
 def tune_class_thresholds(
-    by_class: DataFrame, minimum_objects: int = MIN_TUNING_OBJECTS
+    by_class: DataFrame, minimum_objects: int = MIN_TUNING_OBJECTS, digits: int | None = None
 ) -> DataFrame:
     """Each class's first F1-best threshold, or the best single one for rare classes and classes with F1 0 everywhere."""
-    single = best_threshold(macro_sweep(by_class)).select("threshold").scalar()
+    single = best_threshold(macro_sweep(by_class), digits).select("threshold").scalar()
     order = Window.partitionBy("label").orderBy(F.col("f1").desc(), "threshold")
     own = by_class.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") == 1)
     has_own = (F.col("total_gt") >= minimum_objects) & (F.col("f1") > 0)

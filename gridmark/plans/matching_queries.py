@@ -200,13 +200,13 @@ def macro_threshold_sweep(spark, folder):
 
 @query("best_macro_threshold", _sql(f"select threshold, {_MACRO} from best"))
 def best_macro_threshold(spark, folder):
-    return _rounded(sw.best_threshold(sw.macro_sweep(by_class(spark, folder))))
+    return _rounded(sw.best_threshold(sw.macro_sweep(by_class(spark, folder)), 12))
 
 
 @query("class_scores_at_best", _sql(
     "select label, threshold, precision, recall, f1 from scores where threshold = (select threshold from best)"))
 def class_scores_at_best(spark, folder):
-    return sw.class_scores_at_best(by_class(spark, folder)).select("label", "threshold", "precision", "recall", "f1")
+    return sw.class_scores_at_best(by_class(spark, folder), 12).select("label", "threshold", "precision", "recall", "f1")
 
 
 _TUNED = f"""{MATCHED.replace("score >= ", "score >= ")}, {SWEEP.replace(">= g.threshold", "> g.threshold")},
@@ -220,7 +220,7 @@ _TUNED = f"""{MATCHED.replace("score >= ", "score >= ")}, {SWEEP.replace(">= g.t
 
 def _tuned(spark, folder):
     strict = sw.strict_sweep_by_class(matched(spark, folder), totals(spark, folder))
-    return sw.tune_class_thresholds(strict)
+    return sw.tune_class_thresholds(strict, digits=12)
 
 
 @query("tuned_class_thresholds", _sql("select label, threshold, has_own from tuned", _TUNED))

@@ -161,7 +161,7 @@ def class_report(spark, folder):
     names = read(spark, folder, "nation").filter("n_nationkey < 2").select(
         F.col("n_nationkey").cast("long").alias("label"), F.col("n_name").alias("name")
     )
-    f1 = sw.class_scores_at_best(mq.by_class(spark, folder))
+    f1 = sw.class_scores_at_best(mq.by_class(spark, folder), 12)
     rows = ap.per_class_report(ap.per_class(evaluation(spark, folder)), names, f1)
     return rows.select(
         "name", "label", F.round("ap", 9).alias("ap"), F.round("ar", 9).alias("ar"),

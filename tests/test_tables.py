@@ -2,6 +2,7 @@ import json
 import random
 from datetime import date, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,9 +192,12 @@ def test_draws(spark):
 
 
 def test_latency_and_best(spark):
-    timings = spark.createDataFrame([("a", float(v)) for v in (1, 2, 3, 4, 100)], "format string, ms double")
-    row = rn.latency_statistics(timings, ["format"]).first()
-    assert (row.median_ms, round(row.p95_ms, 9)) == (3.0, 80.8)
+    rng = random.Random(8)
+    taken = {name: [rng.uniform(0.5, 60.0) for _ in range(size)] for name, size in (("engine", 57), ("eager", 20), ("one", 1))}
+    timings = spark.createDataFrame([(k, v) for k, values in taken.items() for v in values], "format string, ms double")
+    for row in rn.latency_statistics(timings, ["format"]).collect():
+        values = np.array(taken[row.format])
+        assert (row.median_ms, row.p95_ms) == pytest.approx((np.median(values), np.percentile(values, 95)), rel=1e-12)
     values = spark.createDataFrame([("r", i, v) for i, v in enumerate([0.1, 0.3, float("nan"), 0.3, 0.4])], "run string, epoch int, value double")
     best = rn.best_so_far(values, ["run"], ["epoch"]).orderBy("epoch").collect()
     assert [r.best_epoch for r in best] == [0, 1, 1, 1, 4]
@@ -203,11 +207,17 @@ def test_latency_and_best(spark):
 
 
 def test_weekly(spark):
-    days = [(date(2026, 8, 23) + timedelta(days=i), n) for i, n in enumerate([100, 1, 2, 3, 4, 5, 6, 7, 200])]
-    daily = spark.createDataFrame([("p", d, n) for d, n in days], "series string, day date, downloads long")
+    rng = random.Random(12)
+    counts = {date(2025, 2, 26) + timedelta(days=i): rng.randrange(5000) for i in range(33)}  # a Wednesday to a Sunday
+    del counts[date(2025, 3, 19)]
+    daily = spark.createDataFrame([("p", d, n) for d, n in counts.items()], "series string, day date, downloads long")
     weeks = {r.week_start: r for r in wk.weekly_sums(daily, ["series"]).collect()}
-    assert weeks[date(2026, 8, 24)].downloads == 28 and weeks[date(2026, 8, 24)].complete
-    assert not weeks[date(2026, 8, 17)].complete
+    mondays = [date(2025, 2, 24) + timedelta(days=7 * i) for i in range(5)]
+    assert sorted(weeks) == mondays
+    for monday in mondays:
+        own = [counts[d] for i in range(7) if (d := monday + timedelta(days=i)) in counts]
+        assert (weeks[monday].downloads, weeks[monday].complete) == (sum(own), len(own) == 7)
+    assert [weeks[m].complete for m in mondays] == [False, True, True, False, True]
 
 
 def test_class_thresholds(spark):
