@@ -25,6 +25,8 @@ METRIC_GROUPS = (
     ("F1 / Precision / Recall", r"F1|precision|recall", None),
 )
 SPLITS = ("train", "val", "test")
+# Epochs of a run that one task smooths.
+RANGE_ROWS = 100_000
 
 
 def split_metric(column: Column) -> tuple[Column, Column]:
@@ -128,14 +130,16 @@ def _fold_values(values: list[float | None], alpha: float, start: float | None)
 def smooth(values: DataFrame, keys: list[str], alpha: float, skip_epochs: int = 0) -> DataFrame:
     """Exponential smoothing of one value per epoch, starting from 0; skipped epochs warm it up but are not reported.
 
-    One step is an affine map of the smoothed value, and so are many steps. A run is cut into ranges of epochs: each range
-    gives its map, the maps before a range give its start (a few numbers per run), and then every range is smoothed on its
-    own. So a long run is many tasks; ranges agree with one long fold up to rounding. A value that is null makes it and
-    all later ones null.
+    One step is an affine map of the smoothed value, and so are many steps. A run of more than RANGE_ROWS epochs is cut into
+    ranges: each range gives its map, the maps before a range give its start (a few numbers per run), and then every range
+    is smoothed on its own. So a long run is many tasks, and agrees with one long fold up to rounding; shorter ones are
+    that fold. A value that is null makes it and all later ones null.
     """
     kinds = ", ".join(f"`{k}` {values.schema[k].dataType.simpleString()}" for k in keys)
     rows = values.select(*keys, F.col("epoch").cast("int").alias("epoch"), F.col("value").cast("double").alias("value"))
-    placed = scale.order_slices(rows, keys, ["epoch", "value"])
+    same_run = [F.col(f"_long_{k}").eqNullSafe(F.col(k)) for k in keys]
+    long_runs = rows.groupBy(*keys).count().filter(F.col("count") > RANGE_ROWS)
+    long_runs = scale.cut_lineage(long_runs.select(*[F.col(k).alias(f"_long_{k}") for k in keys]))
 
     def in_order(table: pa.Table) -> pa.Table:
         return table.sort_by([("epoch", "ascending"), ("value", "ascending")])
@@ -153,6 +157,16 @@ def smooth(values: DataFrame, keys: list[str], alpha: float, skip_epochs: int =
         found = pa.array(_fold_values(table["value"].to_pylist(), alpha, table["_start"][0].as_py()), pa.float64())
         return table.select([*keys, "epoch"]).append_column("smoothed", found)
 
+    def fold(table: pa.Table) -> pa.Table:
+        table = in_order(table)
+        found = pa.array(_fold_values(table["value"].to_pylist(), alpha, 0.0), pa.float64())
+        return table.select([*keys, "epoch"]).append_column("smoothed", found)
+
+    out = f"{kinds}, epoch int, smoothed double"
+    if not scale.any_rows(long_runs):
+        return rows.groupBy(*keys).applyInArrow(fold, out).filter(F.col("epoch") >= skip_epochs)
+    short = rows.join(long_runs, same_run, "left_anti").groupBy(*keys).applyInArrow(fold, out)
+    placed = scale.order_slices(rows.join(long_runs, same_run, "left_semi"), keys, ["epoch", "value"])
     maps = placed.groupBy(*keys, "_slice").applyInArrow(whole, f"{kinds}, _slice int, _factor double, _added double")
     # One element per range of a run.
     listed = F.array_sort(F.collect_list(F.struct("_slice", "_factor", "_added")))
@@ -170,8 +184,8 @@ def smooth(values: DataFrame, keys: list[str], alpha: float, skip_epochs: int =
     for k in keys:
         same &= F.col(k).eqNullSafe(F.col(f"_own_{k}"))
     begun = placed.join(known, same).select(placed.columns + ["_start"])
-    smoothed = begun.groupBy(*keys, "_slice").applyInArrow(steps, f"{kinds}, epoch int, smoothed double")
-    return smoothed.filter(F.col("epoch") >= skip_epochs)
+    smoothed = begun.groupBy(*keys, "_slice").applyInArrow(steps, out)
+    return short.unionByName(smoothed).filter(F.col("epoch") >= skip_epochs)
 
 
 def early_stop(

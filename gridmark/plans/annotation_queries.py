@@ -74,10 +74,10 @@ def clean_labelled_targets(spark, folder):
     return cleaned.select("ann_id", "image_id", "area", "iscrowd", "x1", "y1", "x2", "y2")
 
 
-# Categories are "annotated" when a customer of a few nations or any supplier refers to them.
+# Every customer and supplier annotates a category: that of a nation near its own.
 _USED = """
-    used as (select distinct c_nationkey * 3 + 1 as category_id from customer where c_nationkey % 5 = 2
-             union select distinct s_nationkey * 3 + 1 from supplier where s_nationkey % 7 = 3),
+    used as (select distinct (c_nationkey - c_nationkey % 5) * 3 + 7 as category_id from customer
+             union select distinct (s_nationkey - s_nationkey % 7) * 3 + 10 from supplier),
     kept as (select c.* from cat c where not (
                c.name in (select supercategory from cat
                           where supercategory not in ('', 'none', 'null') and supercategory <> name)
@@ -87,9 +87,9 @@ _USED = """
 
 
 def _used_categories(spark, folder):
-    customers = read(spark, folder, "customer").filter("c_nationkey % 5 = 2").select(F.col("c_nationkey").alias("n"))
-    suppliers = read(spark, folder, "supplier").filter("s_nationkey % 7 = 3").select(F.col("s_nationkey").alias("n"))
-    return customers.unionAll(suppliers).select((F.col("n") * 3 + 1).cast("long").alias("category_id"))
+    customers = read(spark, folder, "customer").select(((F.col("c_nationkey") - F.col("c_nationkey") % 5) * 3 + 7).alias("n"))
+    suppliers = read(spark, folder, "supplier").select(((F.col("s_nationkey") - F.col("s_nationkey") % 7) * 3 + 10).alias("n"))
+    return customers.unionAll(suppliers).select(F.col("n").cast("long").alias("category_id"))
 
 
 def _kept(spark, folder):

@@ -254,12 +254,11 @@ def class_set(spark, folder):
 
 
 @query("first_rank_owns_image", with_views(
-    """with r as (select *, det_idx % 3 + image_id % 2 as rank from det where det_idx > image_id % 4)
+    """with r as (select *, det_idx % 3 + image_id % 2 as rank from det)
        select image_id, det_idx, rank from r
        where rank = (select min(rank) from r q where q.image_id = r.image_id)""", "det"))
 def first_rank_owns_image(spark, folder):
-    rows = view(spark, folder, "det").filter(F.col("det_idx") > F.col("image_id") % 4)
-    ranked = rows.withColumn("rank", F.col("det_idx") % 3 + F.col("image_id") % 2)
+    ranked = view(spark, folder, "det").withColumn("rank", F.col("det_idx") % 3 + F.col("image_id") % 2)
     return sp.first_rank_owns(ranked).select("image_id", "det_idx", "rank")
 
 

@@ -206,17 +206,17 @@ def subset_without_detections(spark, folder):
     return ap.evaluate_subset(detections.filter("score > 1"), truth, view(spark, folder, "img").select("image_id"))
 
 
-# --- keypoints: label 0 has 3 points, label 1 has 2, label 2 has none -------------------------------------------------
+# --- keypoints: label 0 has 3 points, label 1 has 2, label 2 has 1 -------------------------------------------------
 
 _KP_GT = """
     kp_truth as (select image_id, gt_idx, label, x1, y1, x2, y2, iscrowd, (x2-x1)*(y2-y1) as area,
       [x1+4, y1+4, (gt_idx % 3)::double, x1+9, y1+12, (gt_idx % 2)::double, x2-3, y2-5, ((gt_idx + 1) % 3)::double] as full_points
-      from gt where label < 2),
+      from gt),
     kp_found as (select image_id, det_idx, label, score, x1, y1, x2, y2,
-      [x1+4, y1+5, 1, x1+10, y1+12, 1, x2-3, y2-6, 1] as points from det where label < 2),
+      [x1+4, y1+5, 1, x1+10, y1+12, 1, x2-3, y2-6, 1] as points from det),
     kp_pair as (select d.image_id, d.label, d.det_idx, g.gt_idx, g.iscrowd, g.area, d.points, g.full_points as gp,
       g.x1, g.y1, g.x2 - g.x1 as w, g.y2 - g.y1 as h, 3 - g.label as k,
-      len(list_filter([g.full_points[3], g.full_points[6], case when g.label = 0 then g.full_points[9] else 0 end], lambda v: v > 0)) as labelled
+      len(list_filter([g.full_points[3], case when g.label < 2 then g.full_points[6] else 0 end, case when g.label = 0 then g.full_points[9] else 0 end], lambda v: v > 0)) as labelled
       from kp_found d join kp_truth g using (image_id, label)),
     kp_term as (select *, unnest(generate_series(0, k - 1)) as i from kp_pair),
     kp_dist as (select *,
@@ -239,12 +239,12 @@ def _keypoint_sides(spark, folder):
         x1 + 4, y1 + 4, (key % 3).cast("double"), x1 + 9, y1 + 12, (key % 2).cast("double"),
         x2 - 3, y2 - 5, ((key + 1) % 3).cast("double"),
     ]
-    size = F.when(F.col("label") == 0, F.lit(9)).otherwise(F.lit(6))
-    truth = truth.filter("label < 2").withColumns(
+    size = F.when(F.col("label") == 0, F.lit(9)).when(F.col("label") == 1, F.lit(6)).otherwise(F.lit(3))
+    truth = truth.withColumns(
         {"keypoints": F.slice(F.array(*points), F.lit(1), size), "area": (x2 - x1) * (y2 - y1), "num_keypoints": F.lit(None).cast("int")}
     )
     found = F.array(x1 + 4, y1 + 5, one, x1 + 10, y1 + 12, one, x2 - 3, y2 - 6, one)
-    detections = detections.filter("label < 2").withColumn("keypoints", found)
+    detections = detections.withColumn("keypoints", found)
     annotations = truth.select(F.col("label").alias("category_id"), "keypoints")
     declared = view(spark, folder, "cat").filter("category_id < 0").withColumn("keypoints", F.array(F.col("name")))
     return detections, truth, kp.keypoint_counts(declared, annotations)
@@ -261,7 +261,7 @@ def keypoint_similarity(spark, folder):
 _KP_PROTOCOL = protocol_sql(
     """select s.image_id, s.label, s.det_idx, s.gt_idx, s.iscrowd as crowd, case when labelled = 0 then -1 else s.area end as garea,
          s.overlap from kp_similar s join found f using (image_id, label, det_idx)""",
-    """select image_id, label, gt_idx, iscrowd as crowd, case when len(list_filter([full_points[3], full_points[6],
+    """select image_id, label, gt_idx, iscrowd as crowd, case when len(list_filter([full_points[3], case when label < 2 then full_points[6] else 0 end,
          case when label = 0 then full_points[9] else 0 end], lambda v: v > 0)) = 0 then -1 else area end as garea from kp_truth""",
     "select *, (x2-x1)*(y2-y1) as area from kp_found",
     20,

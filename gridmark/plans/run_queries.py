@@ -84,28 +84,32 @@ def drop_trailing_evaluations(spark, folder):
 
 
 _VALUES = """
-    daily as (select 'run_' || user_id as run, day(ts)::int as epoch, event_type = 'error' as is_ema, max(value) as value
-              from events where event_type in ('error', 'purchase') group by all)
+    daily as (select 'run_' || user_id as run, day(ts)::int as epoch, event_type in ('error', 'view') as is_ema, max(value) as value
+              from events group by all),
+    single as (select run || '/' || is_ema as run, epoch, value from daily)
 """
 
 
 def _daily(spark, folder):
-    rows = read(spark, folder, "events").filter("event_type in ('error', 'purchase')")
-    return rows.groupBy(
+    return read(spark, folder, "events").groupBy(
         F.concat(F.lit("run_"), F.col("user_id").cast("string")).alias("run"), F.dayofmonth("ts").alias("epoch"),
-        (F.col("event_type") == "error").alias("is_ema"),
+        F.col("event_type").isin("error", "view").alias("is_ema"),
     ).agg(F.max("value").alias("value"))
 
 
+def _single(spark, folder):
+    """The regular and the EMA values as runs of their own."""
+    return _daily(spark, folder).select(F.concat("run", F.lit("/"), F.col("is_ema").cast("string")).alias("run"), "epoch", "value")
+
+
 @query("best_metric_so_far", f"""
-    with {_VALUES}, r as (select * from daily where not is_ema),
+    with {_VALUES}, r as (select * from single),
     b as (select run, epoch, value, greatest(100, max(value) over (partition by run order by epoch)) as best,
             greatest(100, coalesce(max(value) over (partition by run order by epoch rows between unbounded preceding and 1 preceding), 100)) as before from r)
     select run, epoch, value, value > before as improved, best,
       coalesce(max(case when value > before then epoch end) over (partition by run order by epoch), -1) as best_epoch from b""")
 def best_metric_so_far(spark, folder):
-    rows = _daily(spark, folder).filter("NOT is_ema").drop("is_ema")
-    return rn.best_so_far(rows, ["run"], ["epoch"], initial=100.0)
+    return rn.best_so_far(_single(spark, folder), ["run"], ["epoch"], initial=100.0)
 
 
 @query("best_metric_by_track", f"""
@@ -118,14 +122,13 @@ def best_metric_by_track(spark, folder):
 
 
 @query("smoothed_metric", f"""
-    with recursive {_VALUES}, r as (select run, epoch, value, row_number() over (partition by run order by epoch) as i from daily where not is_ema),
+    with recursive {_VALUES}, r as (select run, epoch, value, row_number() over (partition by run order by epoch) as i from single),
     s as (select run, epoch, i, 0.7::double * 0 + value * (1.0::double - 0.7::double) as smoothed from r where i = 1 union all
       select r.run, r.epoch, r.i, s.smoothed * 0.7::double + r.value * (1.0::double - 0.7::double)
       from s join r on r.run = s.run and r.i = s.i + 1)
-    select run, epoch, round(smoothed, 9) as smoothed from s where epoch >= 4""")
+    select run, epoch, smoothed from s where epoch >= 4""")
 def smoothed_metric(spark, folder):
-    rows = rn.smooth(_daily(spark, folder).filter("NOT is_ema"), ["run"], 0.7, skip_epochs=4)
-    return rows.withColumn("smoothed", F.round("smoothed", 9))
+    return rn.smooth(_single(spark, folder), ["run"], 0.7, skip_epochs=4)
 
 
 @query("early_stopping", f"""
@@ -269,7 +272,7 @@ def latest_history_rows(spark, folder):
     with {_HISTORY}, past as (select * from deltas where week_start < date '2024-01-22'),
     week as (select series, case when series = 'error' then date '2024-01-01' else max(week_start) end as week_start,
                cast(999 as bigint) as downloads, cast(5000 as bigint) as stars_total from deltas
-             where series in ('view', 'click', 'error') and week_start <= case series when 'view' then date '2024-01-15'
+             where week_start <= case series when 'view' then date '2024-01-15'
                else date '2024-01-22' end group by series),
     latest as (select series, max(week_start) as latest, arg_max(week_end, week_start) as e, arg_max(stars_total, week_start) as s from past group by 1),
     fresh as (select w.*, case when l.e + 1 = w.week_start then w.stars_total - l.s end as d from week w join latest l using (series)
@@ -279,11 +282,11 @@ def latest_history_rows(spark, folder):
       case when p.series is not null then p.new_stars else f.d end as new_stars, coalesce(f.downloads, p.downloads) as downloads
     from past p full join fresh f on p.series = f.series and p.week_start = f.week_start""")
 def upsert_week(spark, folder):
-    """One series reruns its latest week, one adds the next week, one is refused as too old."""
+    """One series reruns its latest week, most add the next week, one is refused as too old."""
     history = _history(spark, folder)
     past = history.filter(F.col("week_start") < F.lit("2024-01-22").cast("date"))
     limit = F.when(F.col("series") == "view", F.lit("2024-01-15")).otherwise(F.lit("2024-01-22")).cast("date")
-    week = history.filter(F.col("series").isin("view", "click", "error") & (F.col("week_start") <= limit)).groupBy("series").agg(
+    week = history.filter(F.col("week_start") <= limit).groupBy("series").agg(
         F.max("week_start").alias("week_start")
     )
     start = F.when(F.col("series") == "error", F.lit("2024-01-01").cast("date")).otherwise(F.col("week_start"))

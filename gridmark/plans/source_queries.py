@@ -366,16 +366,16 @@ def coco_keypoint_records(spark, folder):
 
 
 @query("written_shards", f"""
-    with {_PLAN} select split, shard_id, samples, bytes, digest, samples as stored from shards where split = 'train'""")
+    with {_PLAN} select split, shard_id, samples, bytes, digest, samples as stored from shards""")
 def written_shards(spark, folder):
     """Shards and index on disk: the index's counts next to the rows really stored in each shard."""
     planned = _planned(spark, folder)
     index = tb.shard_index(planned, ["position", "payload_bytes", "lang"])
     path = scale.run_folder(spark, "shards")
     tb.write_shards(planned, index, path)
-    rows = tb.read_shard_index(spark, path, "train")
-    stored = spark.read.parquet(f"{path}/shards").filter("split = 'train'").groupBy(F.col("shard_id").cast("long").alias("shard_id"))
-    joined = rows.join(stored.agg(F.count("*").alias("stored")), "shard_id")
+    rows = tb.read_shard_index(spark, path, "train").unionByName(tb.read_shard_index(spark, path, "val"))
+    stored = spark.read.parquet(f"{path}/shards").groupBy("split", F.col("shard_id").cast("long").alias("shard_id"))
+    joined = rows.join(stored.agg(F.count("*").alias("stored")), ["split", "shard_id"])
     return joined.select("split", "shard_id", "samples", "bytes", "digest", "stored")
 
 
@@ -394,13 +394,13 @@ def metrics_of_runs(spark, folder):
 
 
 @query("metrics_file", """
-    select day(ts)::int as epoch, event_id::int as step, 'train' as split, 'loss' as metric, value from events where event_type = 'click'
+    select day(ts)::int as epoch, event_id::int as step, 'train' as split, 'loss' as metric, value from events where event_type <> 'view'
     union all select day(ts)::int, event_id::int, 'val', 'mAP', value from events where event_type = 'view'""")
 def metrics_file(spark, folder):
     path = scale.run_folder(spark, "metrics")
     wide = read(spark, folder, "events").select(
         F.dayofmonth("ts").alias("epoch"), F.col("event_id").alias("step"),
-        F.when(F.col("event_type") == "click", F.col("value")).alias("train/loss"),
+        F.when(F.col("event_type") != "view", F.col("value")).alias("train/loss"),
         F.when(F.col("event_type") == "view", F.col("value")).alias("val/mAP"),
     )
     wide.write.option("header", True).csv(path)

@@ -16,8 +16,9 @@ def slow_smooth(rows, alpha):
     return {k: sorted(v, key=lambda x: (x is None, x)) for k, v in out.items()}
 
 
-@pytest.mark.parametrize("alpha", [0.0, 0.5, 0.97, 1.0])
-def test_smoothing_in_ranges_equals_one_fold(spark, alpha):
+@pytest.mark.parametrize("alpha,limit", [(0.0, 50), (0.5, 50), (0.97, 0), (1.0, 50), (0.7, 100_000)])
+def test_smoothing_in_ranges_equals_one_fold(spark, monkeypatch, alpha, limit):
+    monkeypatch.setattr(rn, "RANGE_ROWS", limit)
     draw = random.Random(4)
     rows = [("long", i, draw.uniform(-5, 9)) for i in range(900)] + [(None, i, draw.random()) for i in range(40)]
     rows += [("gap", i, None if i == 7 else 1.0 * i) for i in range(30)] + [("twice", i // 2, draw.random()) for i in range(20)] + [("one", 3, 2.0)]
