@@ -8,23 +8,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _point(values: Column, index: Column, part: int) -> Column:
-    return F.get(values, (index - index % 3) + F.lit(part))
+def map_points(values: Column, fx, fy, keep=None, source=None) -> Column:
+    """Rewrite every triple with x -> fx(x), y -> fy(y); triples failing keep(x, y, v) become zeros.
 
+    With *source*, slot -> slot, a triple is made from the one in another slot. Every triple is computed once.
+    """
 
-def _triples(values: Column, x: Column | None, y: Column | None, keep: Column | None, index: Column) -> Column:
-    new = F.when(index % 3 == 0, x).when(index % 3 == 1, y).otherwise(_point(values, index, 2))
-    return new if keep is None else F.when(keep, new).otherwise(F.lit(0.0))
+    def read(at: Column) -> Column:
+        return F.struct(fx(F.get(values, at * 3)).alias("x"), fy(F.get(values, at * 3 + 1)).alias("y"), F.get(values, at * 3 + 2).alias("v"))
 
+    def rewrite(p: Column) -> Column:
+        triple = F.array(p["x"], p["y"], p["v"])
+        return triple if keep is None else F.when(keep(p["x"], p["y"], p["v"]), triple).otherwise(F.array(*[F.lit(0.0)] * 3))
 
-def map_points(values: Column, fx, fy, keep=None) -> Column:
-    """Rewrite every triple with x -> fx(x), y -> fy(y); triples failing keep(x, y, v) become zeros."""
-
-    def rewrite(_: Column, index: Column) -> Column:
-        x, y = fx(_point(values, index, 0)), fy(_point(values, index, 1))
-        return _triples(values, x, y, keep(x, y, _point(values, index, 2)) if keep else None, index)
-
-    return F.transform(values, rewrite)
+    slots = F.transform(F.filter(values, lambda _, i: i % 3 == 0), lambda _, slot: slot if source is None else source(slot))
+    # A last triple that is cut short stays as short as it was.
+    return F.slice(F.flatten(F.transform(F.transform(slots, read), rewrite)), F.lit(1), F.size(values))
 
 
 def scale_pairs(values: Column, sx: Column, sy: Column) -> Column:
@@ -64,20 +63,16 @@ def shift_points(values: Column, dx: Column, dy: Column, width: Column, height:
 
 def flip_points(values: Column, width: Column, height: Column, pairs: Sequence[int] = ()) -> Column:
     """Mirror visible points to width - x, zero the others, then swap the left and right slots in *pairs*."""
-    mirrored = map_points(values, lambda x: width - x, lambda y: y, inside_and_visible(width, height))
     swap = dict(zip(pairs[0::2], pairs[1::2])) | dict(zip(pairs[1::2], pairs[0::2]))
-    if not swap:
-        return mirrored
-    count = F.floor(F.size(values) / 3)
-    table = F.create_map(*[F.lit(n) for pair in swap.items() for n in pair])
-
-    def source(_: Column, index: Column) -> Column:
-        slot = F.floor(index / 3).cast("int")
-        other = F.try_element_at(table, slot)
-        chosen = F.when(other.isNotNull() & (other < count), other).otherwise(slot)
-        return F.get(mirrored, chosen * 3 + index % 3)
-
-    return F.transform(mirrored, source)
+    count = F.floor(F.size(values) / 3).cast("int")
+
+    def source(slot: Column) -> Column:
+        other = F.coalesce(*[F.when(slot == own, F.lit(other)) for own, other in swap.items()])
+        return F.when(other < count, other).otherwise(slot)
+
+    return map_points(
+        values, lambda x: width - x, lambda y: y, inside_and_visible(width, height), source if swap else None
+    )
 
 
 def pad_points(values: Column, count: Column | int) -> Column:
