@@ -9,8 +9,12 @@ without a row per run.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 KEYS = ["image_id", "label"]
 # Height of the grid in which boxes around masks are taken when the image's own is not known. Any height gives right
@@ -18,6 +22,7 @@ KEYS = ["image_id", "label"]
 GRID_HEIGHT = 4096
 # Pixels of a side of the tiles in which masks meet.
 TILE = 128
+_LONGS = ArrayType(LongType())
 
 
 def _solid(runs: DataFrame) -> DataFrame:
@@ -157,47 +162,93 @@ def sync_boxes(instances: DataFrame, before: DataFrame, after: DataFrame, height
     return kept.withColumns(changed).drop("_had", "_x1", "_y1", "_x2", "_y2")
 
 
+def _merged(starts: str, ends: str) -> tuple[Column, Column]:
+    """Borders of the union of runs, from all starts and all ends in order.
+
+    Before the i-th start there is a gap exactly when the i smallest ends all lie before it.
+    """
+    kept_starts = F.filter(starts, lambda s, i: (i == 0) | (s > F.get(ends, i - 1)))
+    kept_ends = F.filter(ends, lambda e, i: (i == F.size(ends) - 1) | (e < F.get(starts, i + 1)))
+    return kept_starts, kept_ends
+
+
+def _inline_runs(packed: DataFrame, *names: str) -> DataFrame:
+    """Run rows of sorted borders."""
+    borders = F.arrays_zip(F.col("starts").alias("run_start"), F.col("ends").alias("run_end"))
+    return packed.select(*names, F.inline(borders))
+
+
 def merge_runs(spans: DataFrame) -> DataFrame:
     """Touching or overlapping spans of an instance become one run (gaps and islands)."""
     keys = [*KEYS, "instance_id"]
-    order = Window.partitionBy(*keys).orderBy("run_start", "run_end")
-    reached = F.max("run_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = spans.filter(F.col("run_end") > F.col("run_start")).withColumn(
-        "_new", F.when(reached.isNull() | (F.col("run_start") > reached), 1).otherwise(0)
-    )
-    numbered = marked.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*keys, "_island").agg(F.min("run_start").alias("run_start"), F.max("run_end").alias("run_end")).drop(
-        "_island"
+    packed = _solid(spans).groupBy(*keys).agg(
+        F.sort_array(F.collect_list("run_start")).alias("starts"), F.sort_array(F.collect_list("run_end")).alias("ends")
     )
+    starts, ends = _merged("starts", "ends")
+    return _inline_runs(packed.select(*keys, starts.alias("starts"), ends.alias("ends")), *keys)
 
 
-def run_lengths(spans: DataFrame, pixels: Column) -> DataFrame:
+def run_lengths(spans: DataFrame, pixels: Column, listed: bool = False) -> DataFrame:
     """Alternating background and foreground run lengths per instance, starting with background (possibly 0).
 
-    *pixels* is the mask size. The trailing background run is part of the list, also when its length is 0.
+    *pixels* is the mask size. The trailing background run is part of the list, but not when its length is 0. *spans* are
+    run rows or packed masks, whose lists never leave their row. With *listed*, one row per instance with ``counts``
+    instead of a row per length. Instances with a null in their key have none.
     """
     keys = [*KEYS, "instance_id"]
-    merged = merge_runs(spans).join(spans.select(*keys, pixels.alias("_pixels")).distinct(), keys)
-    order = Window.partitionBy(*keys).orderBy("run_start")
-    previous = F.coalesce(F.lag("run_end").over(order), F.lit(0).cast("long"))
-    steps = merged.select(
-        *keys,
-        F.col("_pixels").cast("long").alias("_pixels"),
-        (F.row_number().over(order) * 2 - 2).alias("position"),
-        (F.col("run_start") - previous).alias("background"),
-        (F.col("run_end") - F.col("run_start")).alias("foreground"),
-        "run_end",
-        F.lead("run_start").over(order).isNull().alias("_last"),
-    )
-    entries = F.array(
-        F.struct(F.col("position"), F.col("background").alias("length")),
-        F.struct((F.col("position") + 1).alias("position"), F.col("foreground").alias("length")),
-        F.when(
-            F.col("_last") & (F.col("_pixels") > F.col("run_end")),
-            F.struct((F.col("position") + 2).alias("position"), (F.col("_pixels") - F.col("run_end")).alias("length")),
-        ),
-    )
-    return steps.select(*keys, F.inline(F.filter(entries, lambda e: e.isNotNull())))
+    known = spans.dropna(subset=keys).withColumn("_pixels", pixels.cast("long"))
+    if "starts" not in spans.columns:
+        known = _solid(known).groupBy(*keys, "_pixels").agg(
+            F.sort_array(F.collect_list("run_start")).alias("starts"), F.sort_array(F.collect_list("run_end")).alias("ends")
+        )
+    counts = known.select(*keys, F.arrow_udf(_lengths, _LONGS)("starts", "ends", "_pixels").alias("counts"))
+    return counts if listed else counts.select(*keys, F.posexplode("counts").alias("position", "length"))
+
+
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of all lists one after the other, and the length of each list; nulls inside lists count as 0."""
+    values = pc.fill_null(lists.flatten(), 0).to_numpy(zero_copy_only=False)
+    return values, pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _listed(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+
+
+def _lengths(starts: pa.Array, ends: pa.Array, pixels: pa.Array) -> pa.Array:
+    """Run lengths of masks from their sorted borders. Runs that touch or overlap become one."""
+    begin, sizes = _flat(starts)
+    end, _ = _flat(ends)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    # The first border of a mask, and those with a gap before them, begin a run; what lies before a beginning ends one.
+    new = np.ones(len(begin), bool)
+    new[1:] = (row[1:] != row[:-1]) | (begin[1:] > end[:-1])
+    last = np.append(new[1:], True)[: len(new)]
+    begin, end, row = begin[new], end[last], row[new]
+    first = np.ones(len(row), bool)
+    first[1:] = row[1:] != row[:-1]
+    before = np.where(first, 0, np.concatenate([[0], end[:-1]])[: len(end)])
+    total = pc.fill_null(pixels, 0).to_numpy(zero_copy_only=False)
+    runs = np.bincount(row, minlength=len(sizes))
+    tail = np.zeros(len(sizes), np.int64)
+    final = np.append(first[1:], True)[: len(first)]
+    tail[row[final]] = np.maximum(total[row[final]] - end[final], 0)
+    count = 2 * runs + (tail > 0)
+    values = np.zeros(int(count.sum()), np.int64)
+    # Every run stands after two entries for each run before it, and one for each trailing background before it.
+    place = 2 * np.arange(len(row)) + (np.cumsum(tail > 0) - (tail > 0))[row]
+    values[place], values[place + 1] = begin - before, end - begin
+    values[(np.cumsum(count) - 1)[tail > 0]] = tail[tail > 0]
+    return _listed(values, count)
+
+
+def _running(counts: pa.Array) -> pa.Array:
+    """Running sums of each list."""
+    values, sizes = _flat(counts)
+    sums = np.concatenate([[0], np.cumsum(values)])
+    starts = np.cumsum(sizes) - sizes
+    return _listed(sums[1:] - np.repeat(sums[starts], sizes), sizes)
 
 
 def counted_runs(instances: DataFrame) -> DataFrame:
@@ -206,10 +257,10 @@ def counted_runs(instances: DataFrame) -> DataFrame:
     Empty runs are left out. Runs that an empty background separates stay apart; :func:`merge_runs` joins them.
     """
     keys = [*KEYS, "instance_id"]
-    order = Window.partitionBy(*keys).orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
-    steps = instances.select(*keys, F.posexplode("counts").alias("_n", "_length"))
-    ended = steps.withColumn("run_end", F.sum("_length").over(order)).filter((F.col("_n") % 2 == 1) & (F.col("_length") > 0))
-    return ended.select(*keys, (F.col("run_end") - F.col("_length")).alias("run_start"), "run_end")
+    ends = instances.select(*keys, "counts", F.arrow_udf(_running, _LONGS)("counts").alias("_ends"))
+    entries = F.arrays_zip(F.col("counts").alias("_length"), F.col("_ends").alias("run_end"))
+    steps = ends.select(*keys, F.posexplode(entries).alias("_n", "_e")).filter((F.col("_n") % 2 == 1) & (F.col("_e._length") > 0))
+    return steps.select(*keys, (F.col("_e.run_end") - F.col("_e._length")).alias("run_start"), F.col("_e.run_end").alias("run_end"))
 
 
 def read_run_lengths(instances: DataFrame) -> DataFrame:
@@ -217,14 +268,16 @@ def read_run_lengths(instances: DataFrame) -> DataFrame:
 
     ``reason`` is null for lists that fill the size exactly. Text counts are a codec's output, which is not decoded here.
     """
-    kind = "counts string, size array<int>"
-    parsed = F.from_json("segmentation", kind)
-    counts = F.from_json(parsed["counts"], "array<bigint>")
-    height, width = F.get(parsed["size"], 0), F.get(parsed["size"], 1)
-    total = F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, n: a + n)
-    sized = instances.filter(F.trim("segmentation").startswith("{")).select(
-        *instances.columns, counts.alias("counts"), height.alias("height"), width.alias("width"), parsed["counts"].alias("_text")
+    # Generated instead of projected, so that a filter on what is read does not read the text again.
+    texts = instances.filter(F.trim("segmentation").startswith("{"))
+    parsed = texts.select(
+        *instances.columns, F.inline(F.array(F.from_json("segmentation", "counts string, size array<int>"))).alias("_text", "_size")
     )
+    sized = parsed.select(
+        *instances.columns, F.explode(F.array(F.from_json("_text", "array<bigint>"))).alias("counts"),
+        F.get("_size", 0).alias("height"), F.get("_size", 1).alias("width"), "_text",
+    )
+    total = F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, n: a + n)
     known = F.col("counts").isNotNull() & ~F.exists("counts", lambda n: n.isNull())
     reason = (
         F.when(F.col("_text").isNull(), F.lit("no counts"))
@@ -233,20 +286,14 @@ def read_run_lengths(instances: DataFrame) -> DataFrame:
         .when(F.exists("counts", lambda n: n < 0), F.lit("negative count"))
         .when(total != F.col("height").cast("bigint") * F.col("width"), F.lit("counts do not fill the size"))
     )
-    return sized.withColumn("reason", reason).drop("_text")
+    return sized.select(*instances.columns, "counts", "height", "width", F.explode(F.array(reason)).alias("reason"))
 
 
-def rectangle_runs(boxes: DataFrame, height: Column) -> DataFrame:
-    """Runs of integer rectangles x1, y1, x2, y2 (ends exclusive): one per column."""
-    columns = boxes.filter((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))).withColumns(
-        {"_h": height, "_x": F.explode(F.sequence(F.col("x1").cast("long"), F.col("x2").cast("long") - 1))}
-    )
-    return columns.select(
-        *KEYS,
-        "instance_id",
-        (F.col("_x") * F.col("_h") + F.col("y1").cast("long")).alias("run_start"),
-        (F.col("_x") * F.col("_h") + F.col("y2").cast("long")).alias("run_end"),
-    )
+def rectangle_runs(boxes: DataFrame, height: Column, packed: bool = False) -> DataFrame:
+    """Runs of integer rectangles x1, y1, x2, y2 (ends exclusive): one per column, or *packed* as one row per rectangle."""
+    if packed:
+        return rectangle_masks(boxes, height)
+    return _inline_runs(rectangle_masks(boxes, height), *KEYS, "instance_id")
 
 
 def polygon_runs(instances: DataFrame) -> DataFrame:

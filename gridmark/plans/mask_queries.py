@@ -40,8 +40,8 @@ def _rectangles(rows, key):
     return rows.select("image_id", "label", F.col(key).alias("instance_id"), *cells)
 
 
-def _runs(spark, folder, name, key):
-    return mk.rectangle_runs(_rectangles(view(spark, folder, name), key), F.lit(_HEIGHT))
+def _runs(spark, folder, name, key, packed=False):
+    return mk.rectangle_runs(_rectangles(view(spark, folder, name), key), F.lit(_HEIGHT), packed)
 
 
 def _masks(spark, folder, name, key):
@@ -161,7 +161,7 @@ def boxes_follow_masks(spark, folder):
         where c = n - 1 and 11000 > (x1 + n - 1)*100 + y2)
     select * from steps""", "det", "gt"))
 def mask_run_lengths(spark, folder):
-    rows = mk.run_lengths(_runs(spark, folder, "det", "det_idx"), F.lit(_WIDTH * _HEIGHT))
+    rows = mk.run_lengths(_runs(spark, folder, "det", "det_idx", packed=True), F.lit(_WIDTH * _HEIGHT))
     return rows.select("image_id", "label", "instance_id", "position", "length")
 
 
@@ -216,11 +216,11 @@ def mask_statistics(spark, folder):
         where label <> 2""", "det", "gt"))
 def mask_records(spark, folder):
     """Masks as uncompressed run lengths, written as result records and read back."""
-    lengths = mk.run_lengths(_runs(spark, folder, "det", "det_idx"), F.lit(_WIDTH * _HEIGHT))
+    lengths = mk.run_lengths(_runs(spark, folder, "det", "det_idx", packed=True), F.lit(_WIDTH * _HEIGHT), listed=True)
     categories = view(spark, folder, "cat").filter("category_id < 7")
     detections = view(spark, folder, "det").withColumns({"height": F.lit(_HEIGHT), "width": F.lit(_WIDTH)})
     path = scale.run_folder(spark, "mask-records")
-    coco.write_records(coco.mask_records(detections, lengths, categories, lb.label_space(view(spark, folder, "cat"))), path)
+    coco.write_records(coco.mask_records(detections, lengths, categories, lb.label_space(view(spark, folder, "cat"))), path, "gzip")
     kind = "image_id bigint, category_id bigint, segmentation struct<size: array<int>, counts: array<bigint>>, score double"
     rows, counts = spark.read.schema(kind).json(path), F.col("segmentation.counts")
     return rows.select(
@@ -240,14 +240,14 @@ def mask_records(spark, folder):
     "det", "gt"))
 def mask_records_rebuilt(spark, folder):
     """Masks written as run lengths in JSON, read back as text and rebuilt as runs."""
-    lengths = mk.run_lengths(_runs(spark, folder, "det", "det_idx"), F.lit(_WIDTH * _HEIGHT))
+    lengths = mk.run_lengths(_runs(spark, folder, "det", "det_idx", packed=True), F.lit(_WIDTH * _HEIGHT), listed=True)
     categories = view(spark, folder, "cat").filter("category_id < 7")
     # The score of these records is the detection's number, so each can be told apart.
     detections = view(spark, folder, "det").withColumns(
         {"height": F.lit(_HEIGHT), "width": F.lit(_WIDTH), "score": F.col("det_idx").cast("double")}
     )
     path = scale.run_folder(spark, "mask-records")
-    coco.write_records(coco.mask_records(detections, lengths, categories, lb.label_space(view(spark, folder, "cat"))), path)
+    coco.write_records(coco.mask_records(detections, lengths, categories, lb.label_space(view(spark, folder, "cat"))), path, "gzip")
     kind = "image_id bigint, category_id bigint, segmentation string, score double"
     rows = spark.read.schema(kind).json(path).withColumnsRenamed({"category_id": "label"})
     found = mk.read_run_lengths(rows.withColumn("instance_id", F.col("score").cast("bigint"))).filter("reason IS NULL")

@@ -135,10 +135,14 @@ def box_records(detections: DataFrame, categories: DataFrame, space: DataFrame |
 def mask_records(
     detections: DataFrame, run_lengths: DataFrame, categories: DataFrame, space: DataFrame | None = None
 ) -> DataFrame:
-    """Result records with the mask as uncompressed run lengths, in run order."""
-    counts = run_lengths.groupBy("image_id", "label", F.col("instance_id").alias("det_idx")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("position", "length"))), lambda r: r["length"]).alias("counts")
-    )
+    """Result records with the mask as uncompressed run lengths, in run order: rows of lengths, or of listed ``counts``."""
+    keys = ["image_id", "label", F.col("instance_id").alias("det_idx")]
+    if "counts" in run_lengths.columns:
+        counts = run_lengths.select(*keys, "counts")
+    else:
+        counts = run_lengths.groupBy(*keys).agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("position", "length"))), lambda r: r["length"]).alias("counts")
+        )
     known = to_category_ids(detections.join(counts, ["image_id", "label", "det_idx"]), categories, space)
     size = F.array("height", "width")
     return known.select("image_id", "category_id", F.struct(size.alias("size"), "counts").alias("segmentation"), "score")
@@ -153,6 +157,6 @@ def keypoint_records(
     return known.select("image_id", "category_id", cut.alias("keypoints"), "score")
 
 
-def write_records(records: DataFrame, path: str) -> None:
-    """JSON lines, one file per task."""
-    records.write.mode("overwrite").json(path)
+def write_records(records: DataFrame, path: str, compression: str | None = None) -> None:
+    """JSON lines, one file per task; run lengths shrink to a fraction under *compression*."""
+    records.write.mode("overwrite").json(path, compression=compression)
