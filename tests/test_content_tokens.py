@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 from pyspark.sql import functions as F
@@ -49,3 +50,16 @@ def test_sums_follow_changes_without_the_old_rows(spark):
 def test_no_list_is_collected(spark):
     frame = sh.generation(sh.content_digests(samples(spark, [("a", 0, 0, 1, "x")]).withColumn("text", F.upper("text")), ["text"]))
     assert "collect" not in frame._jdf.queryExecution().toString().lower()
+
+
+def test_listed_digests_cover_every_sample_and_shard_in_order(spark):
+    def sha(text):
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    rows = [("train", i // 3, i, 10, "t") for i in range(3 * 1500)]
+    listed = sh.content_digests(samples(spark, rows), ["position", "text"], listed=True)
+    want = {k: sha(",".join(sorted(sha(f"{i}|t") for i in range(3 * k, 3 * k + 3)))) for k in range(1500)}
+    assert {r.shard_id: r.digest for r in listed.collect()} == want
+    leaves = [sha(f"{k}|3|{want[k]}") for k in range(1500)]
+    nodes = [sha(",".join(leaves[:1024])), sha(",".join(leaves[1024:]))]
+    assert [tuple(r) for r in sh.generation(listed, levels=3).collect()] == [("train", sha(sha(",".join(nodes)))[:8])]
