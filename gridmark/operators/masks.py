@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
@@ -30,19 +30,22 @@ def _solid(runs: DataFrame) -> DataFrame:
 
 
 def pack_masks(runs: DataFrame, height: Column | None = None) -> DataFrame:
-    """Run rows as packed masks; a mask without pixels has no row. *height* is a column of the runs or a literal."""
-    sized = _solid(runs).withColumn("_h", (F.lit(GRID_HEIGHT) if height is None else height).cast("bigint"))
-    left, top, right, bottom = _extent()
-    packed = sized.groupBy(*KEYS, "instance_id").agg(
-        F.sort_array(F.collect_list("run_start")).alias("starts"),
-        F.sort_array(F.collect_list("run_end")).alias("ends"),
-        F.sum(F.col("run_end") - F.col("run_start")).alias("area"),
-        F.min(left).alias("x1"),
-        F.min(top).alias("y1"),
-        (F.max(right) + 1).alias("x2"),
-        (F.max(bottom) + 1).alias("y2"),
-    )
-    return packed.select(*KEYS, "instance_id", "starts", "ends", "area", "x1", "y1", "x2", "y2")
+    """Run rows as packed masks; a mask without pixels has no row. *height* is a column of the runs or a literal.
+
+    Rows may also be packed parts of masks without a pixel in common, which become one mask each.
+    """
+    keys = [*KEYS, "instance_id"]
+    if "starts" in runs.columns:
+        extent = [F.sum("area").alias("area"), *[F.min(c).alias(c) for c in ("x1", "y1")], *[F.max(c).alias(c) for c in ("x2", "y2")]]
+        packed = _gathered(runs, keys, *extent)
+    else:
+        sized = runs.withColumn("_h", (F.lit(GRID_HEIGHT) if height is None else height).cast("bigint"))
+        left, top, right, bottom = _extent()
+        packed = _gathered(
+            sized, keys, F.sum(F.col("run_end") - F.col("run_start")).alias("area"), F.min(left).alias("x1"), F.min(top).alias("y1"),
+            (F.max(right) + 1).alias("x2"), (F.max(bottom) + 1).alias("y2"),
+        )
+    return packed.select(*keys, "starts", "ends", "area", "x1", "y1", "x2", "y2")
 
 
 def rectangle_masks(boxes: DataFrame, height: Column) -> DataFrame:
@@ -162,30 +165,32 @@ def sync_boxes(instances: DataFrame, before: DataFrame, after: DataFrame, height
     return kept.withColumns(changed).drop("_had", "_x1", "_y1", "_x2", "_y2")
 
 
-def _merged(starts: str, ends: str) -> tuple[Column, Column]:
-    """Borders of the union of runs, from all starts and all ends in order.
-
-    Before the i-th start there is a gap exactly when the i smallest ends all lie before it.
-    """
-    kept_starts = F.filter(starts, lambda s, i: (i == 0) | (s > F.get(ends, i - 1)))
-    kept_ends = F.filter(ends, lambda e, i: (i == F.size(ends) - 1) | (e < F.get(starts, i + 1)))
-    return kept_starts, kept_ends
+def _gathered(spans: DataFrame, keys: list[str], *extent: Column) -> DataFrame:
+    """Sorted starts and ends of all spans of a key, from run rows or from rows of several spans."""
+    if "starts" in spans.columns:
+        borders = [F.sort_array(F.flatten(F.collect_list(name))).alias(name) for name in ("starts", "ends")]
+        return spans.groupBy(*keys).agg(*borders, *extent)
+    borders = [F.sort_array(F.collect_list(f"run_{name}")).alias(f"{name}s") for name in ("start", "end")]
+    return _solid(spans).groupBy(*keys).agg(*borders, *extent)
 
 
 def _inline_runs(packed: DataFrame, *names: str) -> DataFrame:
     """Run rows of sorted borders."""
-    borders = F.arrays_zip(F.col("starts").alias("run_start"), F.col("ends").alias("run_end"))
-    return packed.select(*names, F.inline(borders))
+    return packed.select(*names, F.inline(F.arrays_zip("starts", "ends")).alias("run_start", "run_end"))
 
 
 def merge_runs(spans: DataFrame) -> DataFrame:
     """Touching or overlapping spans of an instance become one run (gaps and islands)."""
     keys = [*KEYS, "instance_id"]
-    packed = _solid(spans).groupBy(*keys).agg(
-        F.sort_array(F.collect_list("run_start")).alias("starts"), F.sort_array(F.collect_list("run_end")).alias("ends")
+    order = Window.partitionBy(*keys).orderBy("run_start", "run_end")
+    reached = F.max("run_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = spans.filter(F.col("run_end") > F.col("run_start")).withColumn(
+        "_new", F.when(reached.isNull() | (F.col("run_start") > reached), 1).otherwise(0)
+    )
+    numbered = marked.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*keys, "_island").agg(F.min("run_start").alias("run_start"), F.max("run_end").alias("run_end")).drop(
+        "_island"
     )
-    starts, ends = _merged("starts", "ends")
-    return _inline_runs(packed.select(*keys, starts.alias("starts"), ends.alias("ends")), *keys)
 
 
 def run_lengths(spans: DataFrame, pixels: Column, listed: bool = False) -> DataFrame:
@@ -198,9 +203,7 @@ def run_lengths(spans: DataFrame, pixels: Column, listed: bool = False) -> DataF
     keys = [*KEYS, "instance_id"]
     known = spans.dropna(subset=keys).withColumn("_pixels", pixels.cast("long"))
     if "starts" not in spans.columns:
-        known = _solid(known).groupBy(*keys, "_pixels").agg(
-            F.sort_array(F.collect_list("run_start")).alias("starts"), F.sort_array(F.collect_list("run_end")).alias("ends")
-        )
+        known = _gathered(known, [*keys, "_pixels"])
     counts = known.select(*keys, F.arrow_udf(_lengths, _LONGS)("starts", "ends", "_pixels").alias("counts"))
     return counts if listed else counts.select(*keys, F.posexplode("counts").alias("position", "length"))
 

@@ -86,7 +86,7 @@ def stepped_mask_overlaps(spark, folder):
             "x2": F.col("x1") + (F.col("_k") + 1) * F.col("_third"), "x1": F.col("x1") + F.col("_k") * F.col("_third"),
             "y1": F.when(F.col("_k") == 0, F.col("y1")).otherwise(F.col("y1") + F.expr("(y2 - y1) div 2")),
         })
-        runs = mk.rectangle_runs(steps, _heights())
+        runs = mk.rectangle_runs(steps, _heights(), packed=True)
         return mk.pack_masks(runs, _heights())
 
     rows = mk.mask_overlaps(side("det", "det_idx"), side("gt", "gt_idx"))
