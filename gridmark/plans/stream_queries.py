@@ -17,11 +17,12 @@ from gridmark.streaming import frames as sf
 from gridmark.streaming import precision as sp
 
 
-def _image_stream(spark, folder, files: int):
-    """Whole-image rows landed as files and read back as a stream, two files per micro-batch."""
-    path = scale.run_folder(spark, "images")
-    se.pack_images(view(spark, folder, "det"), view(spark, folder, "gt")).repartition(files).write.parquet(path)
-    return spark.readStream.schema(se.IMAGE_ROWS).option("maxFilesPerTrigger", 2).parquet(path)
+def _land_images(images, path: str, batches: int):
+    """Whole-image rows added to *path* and read back as a stream of *batches* micro-batches; each has a file for every task."""
+    spark = images.sparkSession
+    files = -(-scale.slice_count(spark) // batches)
+    images.repartition(files * batches).write.mode("append").parquet(path)
+    return spark.readStream.schema(se.IMAGE_ROWS).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _finish(writer) -> None:
@@ -36,7 +37,8 @@ def _finish(writer) -> None:
        from matched join totals t using (label) group by 1, 2""", mq.MATCHED))
 def streamed_matching(spark, folder):
     out = scale.run_folder(spark, "streamed")
-    _finish(se.match_stream(_image_stream(spark, folder, 4), out, f"{out}/checkpoint"))
+    images = se.pack_images(view(spark, folder, "det"), view(spark, folder, "gt"))
+    _finish(se.match_stream(_land_images(images, scale.run_folder(spark, "images"), 2), out, f"{out}/checkpoint"))
     matched, counts = se.matched_so_far(spark, out)
     rows = matched.groupBy("label").agg(
         F.count_if("is_tp").alias("tp"), F.count_if("is_ignored").alias("ignored"), F.count("*").alias("n")
@@ -50,11 +52,9 @@ def streamed_box_statistics(spark, folder):
     sp.use_rocksdb(spark)
     path, checkpoint = scale.run_folder(spark, "images"), scale.run_folder(spark, "curves")
     images = se.pack_images(view(spark, folder, "det"), view(spark, folder, "gt"))
-    for half, files in ((0, 3), (1, 2)):
+    for half, batches in ((0, 3), (1, 2)):
         landed = images.filter(F.pmod(F.xxhash64("image_id"), F.lit(2)) == half)
-        landed.repartition(files).write.mode("append").parquet(path)
-        stream = spark.readStream.schema(se.IMAGE_ROWS).option("maxFilesPerTrigger", 1).parquet(path)
-        _finish(sp.precision_stream(stream, checkpoint))
+        _finish(sp.precision_stream(_land_images(landed, path, batches), checkpoint))
     result = sp.precision_so_far(spark, checkpoint)
     return ap.summarize_boxes(result).withColumn("value", F.round("value", 9))
 
