@@ -77,7 +77,9 @@ def _similarity(g: str, found: str) -> str:
 
 def truth_points(ground_truth: DataFrame, counts: DataFrame, sigmas: Sequence[float] | None = None) -> DataFrame:
     """Ground truths of known categories with a struct ``points_of``: everything a similarity takes from their side."""
-    known = counts.select(F.col("category_id").alias("label"), "k")
+    # One row per category. Broadcast, for a shuffle by category puts all ground truths into as many tasks as there are
+    # categories, and whatever is grouped by image and category afterwards stays there.
+    known = F.broadcast(counts.select(F.col("category_id").alias("label"), "k"))
     truth = ground_truth.join(known, "label").withColumn("_sigmas", sigma_column(F.col("k"), sigmas))
     truth = truth.withColumn(
         "_labelled", F.expr("size(filter(slice(keypoints, 1, 3 * k), (v, i) -> i % 3 = 2 AND v > 0))")
@@ -145,7 +147,9 @@ def evaluate_keypoints(
     Ground truths without labelled points are ignored, like crowds. Detection areas come from the points' extent.
     """
     cap = ap.KEYPOINT_MAX_DETS[-1]
-    known = counts.select(F.col("category_id").alias("label"))
+    # One row per category, used by both sides; what it is counted from should be read once.
+    counts = scale.stored(counts, "keypoint-counts")
+    known = F.broadcast(counts.select(F.col("category_id").alias("label")))
     truth = truth_points(ap.truth_areas(fill_num_keypoints(ground_truth)), counts, sigmas)
     truth = truth.withColumn("_no_points", F.coalesce("num_keypoints", F.lit(0)) == 0)
     # An unlabelled ground truth may absorb one detection only, unlike a crowd, so it is put outside every area range.

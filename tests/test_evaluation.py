@@ -181,3 +181,17 @@ def test_thresholds_must_be_positive(spark, limit):
     with pytest.raises(ValueError):
         m.match_greedy(d, g, 0.0, group_row_limit=limit)
     assert m.match_greedy(d, g, 1.0, group_row_limit=limit).count() == d.count()
+
+
+def test_ground_truths_are_not_shuffled_by_category(spark):
+    detections, truth = frames(spark, *random_case(5))
+    points = F.array(*[F.col(c) for c in ("x1", "y1")], F.lit(2.0))
+    detections, truth = (rows.withColumn("keypoints", points) for rows in (detections, truth.withColumn("area", F.lit(900.0))))
+    counts = truth.groupBy(F.col("label").alias("category_id")).agg(F.lit(1).alias("k"))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = kp.truth_points(truth, counts)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
