@@ -287,8 +287,10 @@ def evaluate(
     truth = truth_areas(ground_truth, F.col("mask_area") if "mask_area" in ground_truth.columns else None)
     lanes = matching.coco_lanes(iou_grid, area_names)
     scored = matching.match_lanes(detections, truth, lanes, pairs, max(max_dets), group_row_limit)
-    result = accumulate(scored, truth_counts(truth, lanes), lanes, max_dets, recall_grid)
-    only_detected = detections.select("label").distinct().join(truth.select("label"), "label", "left_anti")
+    # One row per class: against the ground truths themselves, the anti join would put all of a class into one task.
+    counts = scale.stored(truth_counts(truth, lanes), "truth-counts")
+    result = accumulate(scored, counts, lanes, max_dets, recall_grid)
+    only_detected = scored.select("label").distinct().join(counts.select("label"), "label", "left_anti")
     blank = only_detected.select(
         "label",
         F.explode(F.array(*[F.lit(n) for n in area_names])).alias("area_range"),

@@ -195,3 +195,10 @@ def test_ground_truths_are_not_shuffled_by_category(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_classes_are_compared_without_the_ground_truths(spark, tmp_path):
+    detections, truth = frames(spark, *random_case(6))
+    truth.write.parquet(f"{tmp_path}/truth-rows")
+    result = ap.evaluate(detections, spark.read.parquet(f"{tmp_path}/truth-rows"))
+    assert not [f for rows in (result.precision, result.recall) for f in rows.inputFiles() if "truth-rows" in f]
