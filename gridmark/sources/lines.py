@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyarrow.fs import FileSystem
@@ -34,21 +36,41 @@ def numbered_lines(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return numbered.select("file_path", "line_no", F.regexp_replace("text", "\r$", "").alias("text"))
 
 
+def _written(folder: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Files of rows (name, text) in the order of names, each written as its rows come; rows (name, lines)."""
+    system, root = FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else os.path.abspath(folder))
+    out, open_name, lines, places = None, None, 0, set()
+    try:
+        for batch in batches:
+            names, counts = [], []
+            for name, texts in batch.groupby("name", sort=False, dropna=False)["text"]:
+                name = None if name != name else name
+                if out is None or name != open_name:
+                    if out is not None:
+                        out.close()
+                        names.append(open_name)
+                        counts.append(lines)
+                    place = f"{root}/{name}".rsplit("/", 1)[0]
+                    if place not in places:
+                        system.create_dir(place, recursive=True)
+                        places.add(place)
+                    out, open_name, lines = system.open_output_stream(f"{root}/{name}"), name, 0
+                out.write("".join(f"{t}\n" for t in texts).encode())
+                lines += len(texts)
+            yield pd.DataFrame({"name": names, "lines": counts})
+        if out is not None:
+            yield pd.DataFrame({"name": [open_name], "lines": [lines]})
+    finally:
+        if out is not None:
+            out.close()
+
+
 def write_files(lines: DataFrame, folder: str) -> DataFrame:
     """Write ``name, line_no, text`` as one small file per name below *folder*; rows (name, lines) of what was written.
 
     For labels and manifests, where the file's name carries meaning. Tasks write whole files, so a repeated task writes the
-    same files again.
+    same files again. A task reads its files in turn, and holds none of them whole.
     """
-
-    def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        system, root = FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else os.path.abspath(folder))
-        place = f"{root}/{key[0]}"
-        system.create_dir(place.rsplit("/", 1)[0], recursive=True)
-        with system.open_output_stream(place) as out:
-            out.write("".join(f"{t}\n" for t in rows.sort_values("line_no")["text"]).encode())
-        return pd.DataFrame({"name": [key[0]], "lines": [len(rows)]})
-
-    written = lines.select("name", "line_no", "text").groupBy("name").applyInPandas(write, "name string, lines bigint")
+    placed = lines.select("name", "line_no", "text").repartition("name").sortWithinPartitions("name", F.col("line_no").asc_nulls_last())
+    written = placed.select("name", "text").mapInPandas(partial(_written, folder), "name string, lines bigint")
     return scale.cut_lineage(written)
-

@@ -28,9 +28,11 @@ def read_label_lines(spark: SparkSession, path: str) -> DataFrame:
     """Non-blank lines of every label file with the file's split, stem and 1-based line number."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path, wholetext=True)
     place = F.col("_metadata.file_path")
-    lines = files.select(
-        _split_of(place, "labels").alias("split"),
-        F.regexp_extract(place, r"([^/]+)\.txt$", 1).alias("stem"),
+    # Names are taken apart once for each file, not for each of its lines.
+    named = files.select(_split_of(place, "labels").alias("split"), F.regexp_extract(place, r"([^/]+)\.txt$", 1).alias("stem"), "value")
+    lines = named.select(
+        "split",
+        "stem",
         F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("_line", "text"),
     )
     return lines.filter(F.trim("text") != "").select("split", "stem", (F.col("_line") + 1).alias("line_no"), "text")

@@ -1,11 +1,12 @@
 import random
 import re
 
+import pandas as pd
 import pytest
 
 from gridmark.sources import media, yolo
 from gridmark.sources import tables as tb
-from gridmark.sources.lines import numbered_lines, write_files
+from gridmark.sources.lines import _written, numbered_lines, write_files
 
 
 @pytest.fixture(params=[37, 1 << 27])
@@ -57,3 +58,10 @@ def test_files_are_written_under_their_names(spark, tmp_path):
     assert (tmp_path / "train/labels/s1.txt").read_text() == "".join(f"{t}\n" for n, _, t in rows if n.endswith("s1.txt"))
     found = yolo.read_label_lines(spark, str(tmp_path)).collect()
     assert len(found) == 51 and {(r.split, r.stem) for r in found if not re.match(r"s\d", r.stem)} == {("val", "é")} or {r.split for r in found} == {"train", "val"}
+
+
+def test_a_file_is_written_as_its_rows_come(tmp_path):
+    batches = [pd.DataFrame({"name": n, "text": t}) for n, t in ((["x/a", "x/a"], ["1", "2"]), (["x/a", "x/b"], ["3", None]), (["x/b"], ["5"]))]
+    written = pd.concat(_written(str(tmp_path), iter(batches)))
+    assert list(zip(written["name"], written["lines"])) == [("x/a", 3), ("x/b", 2)]
+    assert [(tmp_path / "x" / n).read_text() for n in "ab"] == ["1\n2\n3\n", "None\n5\n"]
