@@ -71,8 +71,33 @@ def parse_lines(lines: DataFrame, num_classes: int) -> DataFrame:
     Five fields are a centre box; seven or more with paired coordinates are a polygon, whose box is its bounds. Polygon
     points are clipped to the last pixel, boxes are not. Coordinates are single precision, as label tools write them.
     """
-    staged = lines.withColumn("_fields", _fields(F.col("text")))
-    staged = staged.withColumns(
+    parsed = _with_reason(_staged(lines.withColumn("_fields", _fields(F.col("text"))), num_classes), F.col("_reason"))
+    return parsed.withColumn("polygon", F.when(F.col("reason").isNull(), _polygon())).drop("_fields", "_n", "_class", "_values", "_reason")
+
+
+def _with_reason(rows: DataFrame, reason: Column) -> DataFrame:
+    # Generated instead of projected, so that a filter on it does not parse the line again.
+    return rows.select(*[c for c in rows.columns if c != "reason"], F.explode(F.array(reason)).alias("reason"))
+
+
+def _polygon() -> Column:
+    """Pixel polygon of a staged line, clipped; a box is its four corners."""
+    width, height = _single(F.col("width")), _single(F.col("height"))
+    corners = F.array(
+        F.col("x1"), F.col("y1"), F.col("x2"), F.col("y1"), F.col("x2"), F.col("y2"), F.col("x1"), F.col("y2")
+    )
+    pixels = F.transform(
+        "_values", lambda x, i: F.when(i % 2 == 0, _single(x) * width).otherwise(_single(x) * height).cast("double")
+    )
+    return F.transform(
+        F.when(F.col("_n") == 5, corners).otherwise(pixels),
+        lambda x, i: bx.clip(x, 0.0, F.when(i % 2 == 0, F.col("width") - 1).otherwise(F.col("height") - 1).cast("double")),
+    )
+
+
+def _staged(lines: DataFrame, num_classes: int) -> DataFrame:
+    """Lines with ``_fields``: their class and box, and as ``_reason`` why they are refused."""
+    staged = lines.withColumns(
         {
             "_n": F.size("_fields"),
             "_class": F.get("_fields", 0),
@@ -103,19 +128,7 @@ def parse_lines(lines: DataFrame, num_classes: int) -> DataFrame:
         .when(malformed, F.lit("malformed number"))
         .when(has_nan | ~F.coalesce(finite, F.lit(False)), F.lit("non-finite coordinates"))
     )
-    corners = F.array(
-        F.col("x1"), F.col("y1"), F.col("x2"), F.col("y1"), F.col("x2"), F.col("y2"), F.col("x1"), F.col("y2")
-    )
-    pixels = F.transform(
-        "_values", lambda x, i: F.when(i % 2 == 0, _single(x) * width).otherwise(_single(x) * height).cast("double")
-    )
-    clipped = F.transform(
-        F.when(is_box, corners).otherwise(pixels),
-        lambda x, i: bx.clip(x, 0.0, F.when(i % 2 == 0, F.col("width") - 1).otherwise(F.col("height") - 1).cast("double")),
-    )
-    return staged.withColumns({"reason": reason, "polygon": F.when(reason.isNull(), clipped)}).drop(
-        "_fields", "_n", "_class", "_values"
-    )
+    return staged.withColumn("_reason", reason)
 
 
 def parse_pose_lines(lines: DataFrame, num_classes: int, num_keypoints: int, dim: int) -> DataFrame:
@@ -128,8 +141,7 @@ def parse_pose_lines(lines: DataFrame, num_classes: int, num_keypoints: int, dim
         raise ValueError(f"a keypoint has 2 or 3 numbers, got {dim}")
     expected = 5 + num_keypoints * dim
     staged = lines.withColumn("_all", _fields(F.col("text")))
-    head = F.array_join(F.slice("_all", 1, 5), " ")
-    boxes = parse_lines(staged.withColumns({"_text": F.col("text"), "text": head}), num_classes).drop("polygon")
+    boxes = _staged(staged.withColumn("_fields", F.slice("_all", 1, 5)), num_classes)
     points = _numbers(F.slice("_all", 6, num_keypoints * dim)) if num_keypoints else F.array().cast("array<double>")
     boxes = boxes.withColumn("_points", points)
     width, height = _single(F.col("width")), _single(F.col("height"))
@@ -157,13 +169,13 @@ def parse_pose_lines(lines: DataFrame, num_classes: int, num_keypoints: int, dim
         )
     reason = (
         F.when(F.size("_all") != expected, F.lit("wrong field count"))
-        .when(F.col("reason").isNotNull(), F.col("reason"))
+        .when(F.col("_reason").isNotNull(), F.col("_reason"))
         .when(F.exists("_points", lambda x: x.isNull()), F.lit("malformed number"))
         .when(F.exists("_points", lambda x: F.isnan(x) | F.isnan(_single(x)) | ~is_finite(_single(x))), F.lit("non-finite keypoint"))
         .when(bad_visibility, F.lit("visibility out of range"))
     )
-    parsed = boxes.withColumn("reason", reason).withColumn("text", F.col("_text"))
-    return parsed.withColumn("keypoints", F.when(F.col("reason").isNull(), triples)).drop("_all", "_text", "_points")
+    parsed = _with_reason(boxes, reason).withColumn("keypoints", F.when(F.col("reason").isNull(), triples))
+    return parsed.drop("_all", "_points", "_fields", "_n", "_class", "_values", "_reason")
 
 
 def to_coco(images: DataFrame, objects: DataFrame, class_names: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -190,7 +202,8 @@ def to_coco(images: DataFrame, objects: DataFrame, class_names: DataFrame) -> tu
         F.lit(False).alias("iscrowd"),
         *extra,
     )
-    annotations = scale.ordered_ids(rows, ["image_id", "line_no"], "ann_id").drop("line_no")
+    # Numbering reads its rows twice, to sample their ranges and to deal them out.
+    annotations = scale.ordered_ids(scale.stored(rows, "objects"), ["image_id", "line_no"], "ann_id").drop("line_no")
     categories = class_names.select(
         F.col("label").alias("category_id"), "name", F.lit("none").alias("supercategory")
     )

@@ -65,3 +65,10 @@ def test_a_file_is_written_as_its_rows_come(tmp_path):
     written = pd.concat(_written(str(tmp_path), iter(batches)))
     assert list(zip(written["name"], written["lines"])) == [("x/a", 3), ("x/b", 2)]
     assert [(tmp_path / "x" / n).read_text() for n in "ab"] == ["1\n2\n3\n", "None\n5\n"]
+
+
+def test_fields_of_a_line_are_split_once(spark):
+    rows = spark.createDataFrame([("0 0.5 0.5 0.2 0.2", 8, 6)], "text string, width int, height int")
+    for parsed in (yolo.parse_lines(rows, 1), yolo.parse_pose_lines(rows, 1, 0, 3)):
+        plan = parsed.filter("reason IS NULL")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("split(") == 1
