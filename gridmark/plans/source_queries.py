@@ -41,14 +41,20 @@ def coco_documents(spark, folder):
     return joined.select("ann_id", "image_id", "file_name", "category_id", "x", "y", "w", "h", "area", "iscrowd", "split")
 
 
+# Objects of one list in a document of many lines: some hundred MB, so that several tasks read it and one can write it.
+_DOCUMENT_OBJECTS = 1_000_000
+
+
 @query("coco_large_documents", with_views(
     """select a.ann_id, a.image_id, i.file_name, a.category_id, a.x, a.y, a.w, a.h, a.area, a.iscrowd, i.split,
          case when a.iscrowd then '{"counts":[' || a.ann_id || ',1],"size":[2,{}]}' else '[[1.0,2.0,3.0]]' end as segmentation
        from ann a join img i using (image_id)""".replace("{}", "3"), "ann", "img"))
 def coco_large_documents(spark, folder):
-    """All annotations of a split as one document of many lines, read object by object by many tasks."""
+    """All annotations of a split as documents of many lines, one for a million objects, read object by object by many tasks."""
     images = view(spark, folder, "img")
-    boxed = view(spark, folder, "ann").join(images.select("image_id", "split"), "image_id")
+    annotations = view(spark, folder, "ann")
+    boxed = annotations.join(images.select("image_id", "split"), "image_id")
+    documents = 1 + max(images.count(), annotations.count()) // _DOCUMENT_OBJECTS
     runs = F.concat(F.lit('{"counts":['), F.col("ann_id").cast("string"), F.lit(',1],"size":[2,3]}'))
     image = F.to_json(F.struct(F.col("image_id").alias("id"), "file_name", "width", "height"))
     annotation = F.to_json(F.struct(
@@ -58,17 +64,21 @@ def coco_large_documents(spark, folder):
     shape = F.when(F.col("iscrowd"), runs).otherwise(F.lit("[[1.0, 2.0, 3.0]]"))
     annotation = F.replace(annotation, F.lit('"#"'), shape)
     # Lines in order: heads of the lists (the first object after a comma would be none), then their objects.
-    heads = images.select("split").distinct().select("split", F.inline(F.array(
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(documents - 1))).alias("document")
+    heads = images.select("split").distinct().select("split", numbers).select("split", "document", F.inline(F.array(
         F.struct(F.lit(0).alias("part"), F.lit(None).cast("bigint").alias("key"), F.lit('{"info": {"by": {"name": "a}b{"}}, "images": [{"id": null}').alias("value")),
         F.struct(F.lit(2).alias("part"), F.lit(None).cast("bigint").alias("key"), F.lit('], "licenses": [], "annotations": [{"id": null}').alias("value")),
         F.struct(F.lit(4).alias("part"), F.lit(None).cast("bigint").alias("key"), F.lit("]}").alias("value")),
     )))
+    document = F.pmod(F.xxhash64("value"), F.lit(documents)).cast("int").alias("document")
     objects = [rows.select("split", F.lit(part).alias("part"), F.col(key).alias("key"), F.concat(F.lit("  , "), text).alias("value"))
+               .select("split", document, "part", "key", "value")
                for rows, part, key, text in ((images, 1, "image_id", image), (boxed, 3, "ann_id", annotation))]
     path = scale.run_folder(spark, "coco-large")
-    # Written by one task per split, line by line; a producer's file is what it is.
-    lines = heads.unionByName(objects[0]).unionByName(objects[1]).repartition("split").sortWithinPartitions("split", "part", "key")
-    lines.select("split", "value").write.partitionBy("split").text(path)
+    # A document is written by one task, line by line; a producer's file is what it is.
+    lines = heads.unionByName(objects[0]).unionByName(objects[1]).repartition("split", "document")
+    lines = lines.sortWithinPartitions("split", "document", "part", "key").select("split", "document", "value")
+    lines.write.partitionBy("split", "document").text(path)
     tables = [coco.read_coco_objects(spark, f"{path}/split={name}", name) for name in ("train", "val")]
     images = tables[0].images.unionByName(tables[1].images).filter("image_id IS NOT NULL")
     annotations = tables[0].annotations.unionByName(tables[1].annotations).filter("ann_id IS NOT NULL")

@@ -90,8 +90,8 @@ def _placed(spark: SparkSession, path: str) -> DataFrame:
 def document_objects(spark: SparkSession, path: str) -> DataFrame:
     """``file, section, text``: every object of every top-level list of objects of the JSON documents at *path*.
 
-    Top-level keys that hold an object are bookmarks only; a document has a handful of them, and their list is joined to
-    its pieces. Names with a leading underscore are not listed by Spark.
+    Top-level keys that hold an object are bookmarks only; a document has a handful of them, and their list is broadcast to
+    its pieces, which a shuffle by document would gather in one task. Names with a leading underscore are not listed by Spark.
     """
     placed = scale.stored(_placed(spark, path), "json-depths")
     at = F.struct("_block", "_pos")
@@ -103,7 +103,7 @@ def document_objects(spark: SparkSession, path: str) -> DataFrame:
     section = F.when(opens_list, F.regexp_extract("_plain", _CONTAINER, 1))
     marks = top.select("_file", F.struct(at.alias("at"), section.alias("section")).alias("mark"))
     marks = marks.groupBy("_file").agg(F.sort_array(F.collect_list("mark")).alias("_marks"))
-    named = placed.join(marks, "_file").withColumn("_at", at)
+    named = placed.join(F.broadcast(marks), "_file").withColumn("_at", at)
     named = named.withColumn("_mark", F.try_element_at(F.filter("_marks", lambda m: m["at"] <= F.col("_at")), F.lit(-1)))
     named = named.withColumn("section", F.col("_mark.section")).filter(F.col("section").isNotNull())
 

@@ -3,6 +3,8 @@ import random
 
 import pytest
 
+from gridmark import scale
+from gridmark.plans import source_queries as sq
 from gridmark.sources import coco
 from gridmark.sources.documents import document_objects
 
@@ -87,3 +89,32 @@ def test_a_document_is_read_by_many_tasks(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert (row.n, row.d, row.w, row.f) == (60_000, 60_000, sum(i % 7 for i in range(60_000)), 60_000)
+
+
+def test_pieces_are_not_shuffled_by_document(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps(document(1)))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = document_objects(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "BroadcastHashJoin [_file" in plan
+
+
+def test_many_annotations_are_several_documents(spark, tmp_path, monkeypatch):
+    orders = "id AS o_orderkey, id % 9 AS o_custkey"
+    items = (
+        "id div 4 AS l_orderkey, id % 23 AS l_partkey, id % 7 AS l_suppkey, CAST(id % 7 + 1 AS INT) AS l_linenumber, CAST(id % 50 AS DOUBLE) AS l_quantity, "
+        "1D AS l_extendedprice, 0D AS l_discount, 0D AS l_tax, DATE'2020-01-01' AS l_shipdate, 'A' AS l_returnflag, 'F' AS l_linestatus"
+    )
+    spark.range(30).selectExpr(*orders.split(", ")).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(120).selectExpr(*items.split(", ")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    folders = []
+    run_folder = scale.run_folder
+    monkeypatch.setattr(scale, "run_folder", lambda spark, name: folders.append(run_folder(spark, name)) or folders[-1])
+    monkeypatch.setattr(sq, "_DOCUMENT_OBJECTS", 25)
+    rows = sq.coco_large_documents(spark, str(tmp_path)).collect()
+    assert sorted(r.ann_id for r in rows) == sorted(1000 * (i // 4) + i % 4 for i in range(120))
+    written = spark.read.text(next(f for f in folders if "/coco-large-" in f)).select("_metadata.file_path").distinct().collect()
+    assert len(written) == 2 * 5
