@@ -168,8 +168,10 @@ def streamed_ticks(spark, folder):
         source.alias("source"), ((F.col("event_id") - source) / 4).cast("long").alias("tick"),
         F.col("event_id").alias("frame_idx"), F.col("ts").cast("timestamp").alias("ts"),
     )
-    rows.repartition(4, "source").write.parquet(path)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    files = -(-scale.slice_count(spark) // 4)  # of a micro-batch
+    for number in range(4):  # files are taken by their age
+        rows.filter(source == number).repartition(files, "tick").write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
     found = _landed(sf.ticks(stream, 4, "400 days"), spark, "ticks-out")
     return found.select(
         "tick", F.get("frames", 0)["frame_idx"].alias("first_frame"), F.element_at("frames", -1)["frame_idx"].alias("last_frame")

@@ -46,37 +46,65 @@ def ticks(frames: DataFrame, sources: int, watermark: str | None = None) -> Data
     return grouped.filter(F.size("frames") == sources).select("tick", "frames")
 
 
+# Frames, one per source, of the ticks that share a row of state; a call for a block costs about as much as one for a tick.
+BLOCK_FRAMES = 4096
+
+
 def _tick_stream(frames: DataFrame, sources: int) -> DataFrame:
+    """Ticks in blocks of neighbours: every tick of a block has its own frames and its own time to be forgotten."""
     kinds = dict(frames.dtypes)
-    row = f"source {kinds['source']}, frame_idx {kinds['frame_idx']}"
+    columns = ["tick", "source", "frame_idx"]
 
     def complete(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        now = state.getCurrentWatermarkMs()
+        waiting, until = None, pd.Series(dtype="int64")
+        if state.exists:
+            *lists, known, times = (list(v) for v in state.get)
+            waiting = pd.DataFrame(dict(zip(columns, lists, strict=True))) if lists[0] else None
+            until = pd.Series(times, index=known, dtype="int64")
+        closed = until.index if waiting is None else until.index[~until.index.isin(waiting["tick"])]
+        # On a time-out nothing has arrived.
+        for batch in () if state.hasTimedOut else batches:
+            latest = batch.groupby("tick", dropna=False)["_ms"].max().clip(lower=now) + 1
+            until = pd.concat([until, latest]) if len(until) else latest
+            until = until.groupby(level=0, dropna=False).max()
+            arrived = batch.loc[~batch["tick"].isin(closed), columns]
+            waiting = arrived if waiting is None else pd.concat([waiting, arrived])
+            waiting = waiting.drop_duplicates(["tick", "source"])
+        until = until[until >= now]
+        found = None
+        if waiting is not None:
+            waiting = waiting[waiting["tick"].isin(until.index)]
+            full = waiting.groupby("tick", dropna=False)["source"].transform("size") == sources
+            found, waiting = waiting[full].sort_values(["tick", "source"]), waiting[~full]
+        if len(until) == 0:
             state.remove()
             return
-        names, numbers, latest = (list(state.get[0]), list(state.get[1]), state.get[2]) if state.exists else ([], [], 0)
-        done = len(names) == sources
-        for batch in batches:
-            for source, number in zip(batch["source"], batch["frame_idx"], strict=True):
-                if source not in names:
-                    names.append(source)
-                    numbers.append(number)
-            latest = max(latest, int(batch["ts"].max().timestamp() * 1000))
-        state.update((names, numbers, latest))
-        # A closed tick must outlive its own frames in this micro-batch.
-        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + 1)
-        if not done and len(names) == sources:
-            order = sorted(range(sources), key=lambda i: names[i])
-            found = [{"source": names[i], "frame_idx": numbers[i]} for i in order]
-            yield pd.DataFrame({"tick": [key[0]], "frames": [found]})
-
-    return frames.groupBy("tick").applyInPandasWithState(
+        lists = [[]] * 3 if waiting is None else [_plain(waiting[c]) for c in columns]
+        state.update((*lists, _plain(until.index.to_series()), until.tolist()))
+        state.setTimeoutTimestamp(int(until.min()))
+        if found is not None and len(found):
+            names, numbers = (list(found[c].to_numpy().reshape(-1, sources)) for c in columns[1:])
+            yield pd.DataFrame({"tick": found["tick"].to_numpy()[::sources], "names": names, "numbers": numbers})
+
+    blocks = frames.select(
+        F.expr(f"tick div {max(1, BLOCK_FRAMES // sources)}").alias("_block"), *columns, "ts",
+        F.coalesce(F.unix_millis("ts"), F.lit(0)).alias("_ms"),
+    )
+    lists = f"names array<{kinds['source']}>, numbers array<{kinds['frame_idx']}>"
+    rows = blocks.groupBy("_block").applyInPandasWithState(
         complete,
-        f"tick {kinds['tick']}, frames array<struct<{row.replace('source ', 'source: ').replace('frame_idx ', 'frame_idx: ')}>>",
-        f"names array<{kinds['source']}>, numbers array<{kinds['frame_idx']}>, latest bigint",
+        f"tick {kinds['tick']}, {lists}",
+        f"ticks array<{kinds['tick']}>, {lists}, known array<{kinds['tick']}>, until array<bigint>",
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )
+    return rows.select("tick", F.arrays_zip(F.col("names").alias("source"), F.col("numbers").alias("frame_idx")).alias("frames"))
+
+
+def _plain(column: pd.Series) -> list:
+    """Python values; missing ones are None."""
+    return column.astype(object).where(column.notna(), None).tolist()
 
 
 class FirstRows(StatefulProcessor):
