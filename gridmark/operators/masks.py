@@ -299,34 +299,115 @@ def rectangle_runs(boxes: DataFrame, height: Column, packed: bool = False) -> Da
     return _inline_runs(rectangle_masks(boxes, height), *KEYS, "instance_id")
 
 
+# Columns of polygons that are filled at a time.
+FILL_COLUMNS = 500_000
+_FILL = "struct<starts:array<bigint>,ends:array<bigint>>"
+
+
 def polygon_runs(instances: DataFrame) -> DataFrame:
     """Runs of instances with ``polygons`` (array of flat polygons), ``width`` and ``height``; parts are merged.
 
-    Scan-line fill, column by column: pixels whose centres lie inside by the even-odd rule.
+    Scan-line fill, column by column: pixels whose centres lie inside by the even-odd rule. Polygons of an instance meet
+    before they are filled, so that only they are shuffled and runs never leave the row of their instance.
     """
-    parts = instances.select(*KEYS, "instance_id", "width", "height", F.explode("polygons").alias("_p"))
-    parts = parts.filter(F.size("_p") >= 6).withColumn("_n", F.size("_p"))
+    keys = [*KEYS, "instance_id"]
     xs = F.filter("_p", lambda v, i: i % 2 == 0)
     low = F.greatest(F.lit(0), F.array_min(xs).cast("int") - 1)
     high = F.least(F.col("width"), F.array_max(xs).cast("int") + 2)
-    edges = F.transform(
-        F.sequence(F.lit(0), F.floor(F.col("_n") / 2).cast("int") - 1),
-        lambda i: F.struct(
-            F.get("_p", i * 2).alias("x1"),
-            F.get("_p", i * 2 + 1).alias("y1"),
-            F.get("_p", (i * 2 + 2) % F.col("_n")).alias("x2"),
-            F.get("_p", (i * 2 + 3) % F.col("_n")).alias("y2"),
-        ),
-    )
-    parts = parts.withColumns({"_low": low, "_high": high, "_edges": edges}).filter("_high > _low")
-    columns = parts.select(*KEYS, "instance_id", "height", "_edges", F.explode(F.sequence(F.col("_low"), F.col("_high") - 1)).alias("_x"))
-    centre = F.col("_x") + 0.5
-    crossing = F.filter("_edges", lambda e: (e["x1"] <= centre) != (e["x2"] <= centre))
-    heights = F.transform(crossing, lambda e: e["y1"] + (centre - e["x1"]) * (e["y2"] - e["y1"]) / (e["x2"] - e["x1"]))
-    columns = columns.withColumn("_y", F.array_sort(heights)).filter(F.size("_y") >= 2)
-    spans = columns.withColumn("_k", F.explode(F.sequence(F.lit(0), F.floor(F.size("_y") / 2).cast("int") - 1)))
-    first = F.greatest(F.ceil(F.get("_y", F.col("_k") * 2) - 0.5), F.lit(0))
-    last = F.least(F.ceil(F.get("_y", F.col("_k") * 2 + 1) - 0.5), F.col("height"))
-    base = F.col("_x").cast("long") * F.col("height")
-    runs = spans.select(*KEYS, "instance_id", (base + first).alias("run_start"), (base + last).alias("run_end"))
-    return merge_runs(runs.filter(F.col("run_end") > F.col("run_start")))
+    parts = instances.select(*keys, "width", "height", F.explode("polygons").alias("_p")).filter(F.size("_p") >= 6)
+    parts = parts.withColumns({"_low": low, "_high": high}).filter("_high > _low")
+    part = F.struct(F.col("_p").cast("array<double>").alias("points"), "_low", "_high", F.col("height").cast("long").alias("height"))
+    gathered = parts.groupBy(*keys).agg(F.collect_list(part).alias("_parts"))
+    filled = gathered.select(*keys, F.explode(F.array(F.arrow_udf(_filled, _FILL)("_parts"))).alias("_runs"))
+    return _inline_runs(filled.select(*keys, "_runs.*"), *keys)
+
+
+def _filled(instances: pa.Array) -> pa.Array:
+    """Sorted borders of the merged runs of each instance, a list of polygons with their columns and height."""
+    parts = instances.flatten()
+    sizes = pc.list_value_length(instances).to_numpy(zero_copy_only=False)
+    wide = pc.subtract(parts.field("_high"), parts.field("_low")).to_numpy(zero_copy_only=False).astype(np.int64)
+    # So many instances at a time that they have a bounded number of columns, as long as each has.
+    done = np.concatenate([[0], np.cumsum(wide)])[np.cumsum(sizes)]
+    cuts = np.flatnonzero(np.diff(done // FILL_COLUMNS)) + 1
+    bounds = [0, *cuts.tolist(), len(instances)]
+    return pa.concat_arrays([_filled_together(instances[i:j]) for i, j in zip(bounds, bounds[1:])])
+
+
+def _filled_together(instances: pa.Array) -> pa.Array:
+    parts = instances.flatten()
+    owner = np.repeat(np.arange(len(instances)), pc.list_value_length(instances).to_numpy(zero_copy_only=False))
+    points, low, high, height = parts.flatten()
+    heights = pc.fill_null(height, 0).to_numpy(zero_copy_only=False)
+    low, high = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in (low, high))
+    column, y, absent = _crossings(points, low, high)
+    # Columns of all polygons one after the other; the crossings of each in order, missing heights last.
+    wide = high - low
+    before = np.cumsum(wide) - wide
+    order = np.lexsort((y, absent, column) if absent.any() else (y, column))
+    column, y, absent = column[order], y[order], absent[order]
+    first = np.flatnonzero(np.append(True, column[1:] != column[:-1])[: len(column)])
+    count = np.diff(np.append(first, len(column)))
+    opening = np.zeros(len(column), bool)
+    opening[(np.arange(len(column)) - np.repeat(first, count)) % 2 == 0] = True
+    opening &= np.append(column[1:] == column[:-1], False)[: len(column)]
+    begin = np.flatnonzero(opening)
+    part = np.searchsorted(before, column[begin], "right") - 1
+    tall = heights[part]
+    # A run begins at the first pixel whose centre is not above the crossing.
+    top = np.where(absent[begin], 0, _first_centre(y[begin]).clip(0))
+    bottom = np.where(absent[begin + 1], tall, np.minimum(_first_centre(y[begin + 1]), tall))
+    kept = bottom > top
+    base = ((column[begin] - before[part] + low[part]) * tall)[kept]
+    return _merged(owner[part[kept]], base + top[kept], base + bottom[kept], len(instances))
+
+
+def _first_centre(y: np.ndarray) -> np.ndarray:
+    """The first whole number whose half step further is not below *y*; 0 for NaN."""
+    return np.nan_to_num(np.ceil(y - 0.5), nan=0.0).clip(-(2.0**62), 2.0**62).astype(np.int64)
+
+
+def _crossings(points: pa.ListArray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where edges cross the centres of their polygon's columns: the column among all polygons', height, no height known."""
+    flat = points.flatten()
+    known = flat.is_valid().to_numpy(zero_copy_only=False)
+    values = flat.to_numpy(zero_copy_only=False)
+    size = pc.list_value_length(points).to_numpy(zero_copy_only=False).astype(np.int64)
+    start = np.cumsum(size) - size
+    edges = size // 2
+    polygon = np.repeat(np.arange(len(size)), edges)
+    i = np.arange(len(polygon)) - np.repeat(np.cumsum(edges) - edges, edges)
+    x1, y1, x2, y2 = (start[polygon] + (2 * i + k) % size[polygon] for k in range(4))
+    usable = known[x1] & known[x2]
+    polygon, x1, y1, x2, y2 = (a[usable] for a in (polygon, x1, y1, x2, y2))
+    has_y = known[y1] & known[y2]
+    x1, y1, x2, y2 = (values[a] for a in (x1, y1, x2, y2))
+
+    def column_from(x: np.ndarray) -> np.ndarray:
+        """The first column of the polygon whose centre is at or past x, its end for NaN."""
+        return np.clip(np.ceil(np.nan_to_num(x, nan=np.inf) - 0.5), low[polygon], high[polygon]).astype(np.int64)
+
+    ends = column_from(x1), column_from(x2)
+    left = np.minimum(*ends)
+    crossed = np.maximum(*ends) - left
+    edge = np.repeat(np.arange(len(polygon)), crossed)
+    x = left[edge] + np.arange(len(edge)) - np.repeat(np.cumsum(crossed) - crossed, crossed)
+    with np.errstate(all="ignore"):
+        y = y1[edge] + (x + 0.5 - x1[edge]) * (y2[edge] - y1[edge]) / (x2[edge] - x1[edge])
+    before = np.cumsum(high - low) - (high - low)
+    return before[polygon[edge]] + x - low[polygon[edge]], y, ~has_y[edge]
+
+
+def _merged(owner: np.ndarray, start: np.ndarray, end: np.ndarray, owners: int) -> pa.Array:
+    """Sorted borders of each owner's runs; runs that touch or overlap become one."""
+    order = np.lexsort((end, start, owner))
+    owner, start, end = owner[order], start[order], end[order]
+    # Ends by their place among all ends, so that the running largest end of an owner starts above those before it.
+    ranked = np.sort(end)
+    reached = np.maximum.accumulate(owner * len(end) + np.searchsorted(ranked, end)) - owner * len(end)
+    reached = ranked[reached] if len(end) else end
+    new = np.ones(len(end), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (start[1:] > reached[:-1])
+    last = np.append(new[1:], True)[: len(new)]
+    sizes = np.bincount(owner[new], minlength=owners)
+    return pa.StructArray.from_arrays([_listed(start[new], sizes), _listed(reached[last], sizes)], ["starts", "ends"])
