@@ -70,14 +70,70 @@ def mask_areas(masks: DataFrame) -> DataFrame:
     return masks.groupBy("image_id", "label", "instance_id").agg(F.sum(F.col("run_end") - F.col("run_start")).alias("area"))
 
 
-# With the starts of both masks in order, and the ends in order, the i-th end lies after the next start by as many pixels as
-# these two overlap: at a pixel with n open runs, n - 1 such pairs are open, and the runs of one mask are disjoint.
-_SHARED = """
-aggregate(
-  zip_with(sort_array(concat(ends, _ends)), slice(sort_array(concat(starts, _starts)), 2, size(starts) + size(_starts) - 1),
-    (e, s) -> e - s),
-  0L, (total, n) -> CASE WHEN n > 0L THEN total + n ELSE total END)
-"""
+# A mask on its way to others: its first border, then for each run the step from the run before and the length. Steps
+# that a narrow number cannot hold make the whole mask wide.
+_STEPS = "struct<first:bigint,steps:array<int>,wide:array<bigint>>"
+
+
+def _stepped(starts: pa.Array, ends: pa.Array) -> pa.Array:
+    """Borders of masks as steps."""
+    begin, sizes = _flat(starts)
+    end, _ = _flat(ends)
+    offsets = np.cumsum(sizes) - sizes
+    steps = np.empty(2 * len(begin), np.int64)
+    steps[0::2], steps[1::2] = np.diff(begin, prepend=0), end - begin
+    steps[2 * offsets[sizes > 0]] = 0
+    row = np.repeat(np.arange(len(sizes)), 2 * sizes)
+    far = np.bincount(row[np.abs(steps) > np.iinfo(np.int32).max], minlength=len(sizes)) > 0
+    narrow = _listed(steps[~far[row]].astype(np.int32), np.where(far, 0, 2 * sizes))
+    wide = _listed(steps[far[row]], np.where(far, 2 * sizes, 0))
+    first = np.append(begin, 0)[offsets]
+    return pa.StructArray.from_arrays([pa.array(first), narrow, wide], ["first", "steps", "wide"])
+
+
+def _borders(masks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all masks one after the other, and the mask of each."""
+    first, narrow, wide = masks.flatten()
+    steps, sizes = _flat(narrow)
+    if len(far := _flat(wide)[0]):
+        far_sizes = _flat(wide)[1]
+        sizes = sizes + far_sizes
+        is_far = np.repeat(far_sizes > 0, sizes)
+        both = np.empty(len(is_far), np.int64)
+        both[is_far], both[~is_far] = far, steps
+        steps = both
+    runs = sizes // 2
+    row = np.repeat(np.arange(len(runs)), runs)
+    reached = np.cumsum(steps[0::2], dtype=np.int64)
+    # The first step of a mask is 0, so what is reached there was reached by the masks before.
+    before = np.append(reached, 0)[np.cumsum(runs) - runs]
+    begin = reached + (pc.fill_null(first, 0).to_numpy(zero_copy_only=False) - before)[row]
+    return begin, begin + steps[1::2], row
+
+
+def _shared(left: pa.Array, right: pa.Array) -> pa.Array:
+    """Pixels that each pair of masks shares.
+
+    With the starts of both masks in order, and the ends in order, the i-th end lies after the next start by as many pixels
+    as these two overlap: at a pixel with n open runs, n - 1 such pairs are open, and the runs of one mask are disjoint.
+    """
+    sides = [_borders(side) for side in (left, right)]
+    starts, ends, row = (np.concatenate(parts) for parts in zip(*sides, strict=True))
+    if not len(row):
+        return pa.array(np.zeros(len(left), np.int64))
+    low, high = int(min(starts.min(), ends.min())), int(max(starts.max(), ends.max()))
+    if len(left) * (high - low + 1) < 2**62:
+        # Pairs one after the other on one line, so that plain numbers are sorted.
+        along = row * (high - low + 1) - low
+        starts, ends, row = np.sort(starts + along), np.sort(ends + along), np.sort(row)
+    else:
+        starts, ends, row = starts[np.lexsort((starts, row))], ends[np.lexsort((ends, row))], np.sort(row)
+    over = np.where(row[1:] == row[:-1], ends[:-1] - starts[1:], 0).clip(0)
+    total = np.append(0, np.cumsum(over))
+    count = np.bincount(row, minlength=len(left))
+    last = np.cumsum(count)
+    # A pair's overlaps stand between its borders, one less than those.
+    return pa.array(np.where(count > 0, total[np.maximum(last - 1, 0)] - total[np.minimum(last - count, len(total) - 1)], 0))
 
 
 def _tiled(masks: DataFrame) -> DataFrame:
@@ -95,11 +151,15 @@ def mask_overlaps(left: DataFrame, right: DataFrame, height: Column | None = Non
     Either side may be run rows (packed here, with *height*) or packed masks.
     """
     corners = ("x1", "y1", "x2", "y2")
-    a = _tiled(_packed(left, height)).withColumnsRenamed({"instance_id": "left_id", "area": "left_area"})
-    b = _tiled(_packed(right, height)).withColumnsRenamed(
-        {"instance_id": "right_id", "area": "right_area"} | {c: f"_{c}" for c in ("starts", "ends", *corners)}
-    )
-    # Borders are often made from narrow columns, so a side is larger than its estimate; it is not to be broadcast.
+
+    def side(masks: DataFrame, name: str) -> DataFrame:
+        steps = F.arrow_udf(_stepped, _STEPS)("starts", "ends").alias("_mask")
+        stepped = _packed(masks, height).select(*KEYS, F.col("instance_id").alias(f"{name}_id"), F.col("area").alias(f"{name}_area"), *corners, steps)
+        return _tiled(stepped)
+
+    a = side(left, "left")
+    b = side(right, "right").withColumnsRenamed({c: f"_{c}" for c in corners} | {"_mask": "_other"})
+    # Masks are often larger than the estimate of their side; it is not to be broadcast.
     b = b.hint("merge")
     x, y = F.greatest("x1", "_x1"), F.greatest("y1", "_y1")
     touching = (x < F.least("x2", "_x2")) & (y < F.least("y2", "_y2"))
@@ -107,7 +167,8 @@ def mask_overlaps(left: DataFrame, right: DataFrame, height: Column | None = Non
     met = a.join(b, [*KEYS, "_tx", "_ty"]).filter(touching & own_tile)
     # Generated instead of projected, so that a filter on it does not evaluate it twice.
     names = [*KEYS, "left_id", "right_id", "left_area", "right_area"]
-    shared = met.select(*names, F.explode(F.array(F.expr(_SHARED))).alias("intersection")).filter("intersection > 0")
+    intersection = F.explode(F.array(F.arrow_udf(_shared, LongType())("_mask", "_other"))).alias("intersection")
+    shared = met.select(*names, intersection).filter("intersection > 0")
     union = F.col("left_area") + F.col("right_area") - F.col("intersection")
     return shared.withColumn("union", union).withColumn("iou", F.col("intersection").cast("double") / F.col("union"))
 
