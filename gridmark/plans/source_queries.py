@@ -43,6 +43,8 @@ def coco_documents(spark, folder):
 
 # Objects of one list in a document of many lines: some hundred MB, so that several tasks read it and one can write it.
 _DOCUMENT_OBJECTS = 1_000_000
+# Documents of a split that are on disk together.
+_DOCUMENTS_AT_ONCE = 24
 
 
 @query("coco_large_documents", with_views(
@@ -50,9 +52,19 @@ _DOCUMENT_OBJECTS = 1_000_000
          case when a.iscrowd then '{"counts":[' || a.ann_id || ',1],"size":[2,{}]}' else '[[1.0,2.0,3.0]]' end as segmentation
        from ann a join img i using (image_id)""".replace("{}", "3"), "ann", "img"))
 def coco_large_documents(spark, folder):
-    """All annotations of a split as documents of many lines, one for a million objects, read object by object by many tasks."""
-    images = view(spark, folder, "img")
-    annotations = view(spark, folder, "ann")
+    """All annotations of a split as documents of many lines, one for a million objects, read object by object by many tasks.
+
+    Documents are written, read and given up some at a time; all objects of an image are in documents of the same time.
+    """
+    # Stored, so that rows are numbered once and can be read image by image.
+    base = scale.stored(view(spark, folder, "base"), "base")
+    images, annotations = view(spark, folder, "img"), view(spark, folder, "ann", base=base)
+    splits = scale.stored(images.select("split").distinct(), "splits")
+    times = 1 + max(images.count(), annotations.count()) // (_DOCUMENT_OBJECTS * _DOCUMENTS_AT_ONCE)
+    return scale.in_parts(times, "image_id", [images, annotations], lambda i, a: _large_documents(spark, i, a, splits), "coco-joined")
+
+
+def _large_documents(spark, images, annotations, splits):
     boxed = annotations.join(images.select("image_id", "split"), "image_id")
     documents = 1 + max(images.count(), annotations.count()) // _DOCUMENT_OBJECTS
     runs = F.concat(F.lit('{"counts":['), F.col("ann_id").cast("string"), F.lit(',1],"size":[2,3]}'))
@@ -65,7 +77,7 @@ def coco_large_documents(spark, folder):
     annotation = F.replace(annotation, F.lit('"#"'), shape)
     # Lines in order: heads of the lists (the first object after a comma would be none), then their objects.
     numbers = F.explode(F.sequence(F.lit(0), F.lit(documents - 1))).alias("document")
-    heads = images.select("split").distinct().select("split", numbers).select("split", "document", F.inline(F.array(
+    heads = splits.select("split", numbers).select("split", "document", F.inline(F.array(
         F.struct(F.lit(0).alias("part"), F.lit(None).cast("bigint").alias("key"), F.lit('{"info": {"by": {"name": "a}b{"}}, "images": [{"id": null}').alias("value")),
         F.struct(F.lit(2).alias("part"), F.lit(None).cast("bigint").alias("key"), F.lit('], "licenses": [], "annotations": [{"id": null}').alias("value")),
         F.struct(F.lit(4).alias("part"), F.lit(None).cast("bigint").alias("key"), F.lit("]}").alias("value")),
@@ -78,7 +90,8 @@ def coco_large_documents(spark, folder):
     # A document is written by one task, line by line; a producer's file is what it is.
     lines = heads.unionByName(objects[0]).unionByName(objects[1]).repartition("split", "document")
     lines = lines.sortWithinPartitions("split", "document", "part", "key").select("split", "document", "value")
-    lines.write.partitionBy("split", "document").text(path)
+    with scale.shuffles_released(spark):
+        lines.write.partitionBy("split", "document").text(path)
     tables = [coco.read_coco_objects(spark, f"{path}/split={name}", name) for name in ("train", "val")]
     images = tables[0].images.unionByName(tables[1].images).filter("image_id IS NOT NULL")
     annotations = tables[0].annotations.unionByName(tables[1].annotations).filter("ann_id IS NOT NULL")

@@ -25,6 +25,11 @@ def _number(text: Column, characters: str) -> Column:
     return F.length(text) - F.length(F.translate(text, characters, ""))
 
 
+def _plain() -> Column:
+    """The text of a piece without escape pairs."""
+    return F.regexp_replace("value", r"(?s)\\.", "")
+
+
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
     """Pieces between closing braces, with quotes, and the rise in depth for a start outside (0) and inside (1) a string."""
     raw = spark.read.option("lineSep", "}").text(path).select(
@@ -34,8 +39,8 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("_pos"),
     )
     # No escape pair is cut: a backslash never stands before a brace.
-    plain = raw.withColumn("_plain", F.regexp_replace("value", r"(?s)\\.", ""))
-    parts = plain.withColumn("_parts", F.split("_plain", '"'))
+    # Generated instead of projected, here and below, so that what uses it does not compute it again.
+    parts = raw.select("*", F.explode(F.array(F.split(_plain(), '"'))).alias("_parts"))
     # Every second part is outside strings, for either case of the first one.
     parts = parts.withColumn("_out", F.array_join(F.filter("_parts", lambda p, i: i % 2 == 0), " "))
     parts = parts.withColumn("_in", F.array_join(F.filter("_parts", lambda p, i: i % 2 == 1), " "))
@@ -47,7 +52,7 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
     ]
     firsts = [F.regexp_extract(name, r"[\[\]{]", 0).alias(f"_first{start}") for start, name in enumerate(("_out", "_in"))]
     return parts.select(
-        *_BLOCK, "_pos", "value", "_plain", quotes.alias("_quotes"), rises[0].alias("_rise0"), rises[1].alias("_rise1"), *firsts
+        *_BLOCK, "_pos", "value", quotes.alias("_quotes"), rises[0].alias("_rise0"), rises[1].alias("_rise1"), *firsts
     )
 
 
@@ -75,7 +80,9 @@ def _placed(spark: SparkSession, path: str) -> DataFrame:
     starts = totals.withColumn("_case", F.coalesce(F.sum("_turn").over(earlier), F.lit(0)) % 2)
     gained = F.when(F.col("_case") == 0, F.col("_sum0")).otherwise(F.col("_sum1"))
     starts = starts.withColumn("_base", F.coalesce(F.sum(gained).over(earlier), F.lit(0)))
-    known = followed.join(starts.select(*_BLOCK, "_case", "_base"), _BLOCK)
+    # So few that they go to the pieces, which stay where they are and are stored once.
+    starts = scale.stored(starts.select(*_BLOCK, "_case", "_base"), "json-ranges")
+    known = followed.join(F.broadcast(starts), _BLOCK)
     first = F.col("_case") == 0
     depth = F.col("_base") + F.when(first, F.col("_depth0")).otherwise(F.col("_depth1"))
     end = depth + F.when(first, F.col("_step0")).otherwise(F.col("_step1"))
@@ -83,7 +90,7 @@ def _placed(spark: SparkSession, path: str) -> DataFrame:
     closed = (quoted + F.col("_quotes")) % 2 == 0
     bracket = F.when(quoted == 0, F.col("_first0")).otherwise(F.col("_first1"))
     return known.select(
-        *_BLOCK, "_pos", "value", "_plain", depth.alias("_from"), end.alias("_to"), closed.alias("_closed"), bracket.alias("_bracket")
+        *_BLOCK, "_pos", "value", depth.alias("_from"), end.alias("_to"), closed.alias("_closed"), bracket.alias("_bracket")
     )
 
 
@@ -93,19 +100,19 @@ def document_objects(spark: SparkSession, path: str) -> DataFrame:
     Top-level keys that hold an object are bookmarks only; a document has a handful of them, and their list is broadcast to
     its pieces, which a shuffle by document would gather in one task. Names with a leading underscore are not listed by Spark.
     """
-    placed = scale.stored(_placed(spark, path), "json-depths")
+    placed = _placed(spark, path)
     at = F.struct("_block", "_pos")
     # A piece that starts at the top, or closes a list there, says what follows: the list of objects or the object that its
     # first brace opens, or nothing of that kind.
     at_top = (F.col("_from") <= 1) | ((F.col("_from") == 2) & (F.col("_bracket") == "]"))
-    top = placed.filter(at_top)
+    top = placed.filter(at_top).withColumn("_plain", _plain())
     opens_list = F.regexp_extract("_plain", _CONTAINER, 2).startswith("[")
     section = F.when(opens_list, F.regexp_extract("_plain", _CONTAINER, 1))
     marks = top.select("_file", F.struct(at.alias("at"), section.alias("section")).alias("mark"))
     marks = marks.groupBy("_file").agg(F.sort_array(F.collect_list("mark")).alias("_marks"))
     named = placed.join(F.broadcast(marks), "_file").withColumn("_at", at)
-    named = named.withColumn("_mark", F.try_element_at(F.filter("_marks", lambda m: m["at"] <= F.col("_at")), F.lit(-1)))
-    named = named.withColumn("section", F.col("_mark.section")).filter(F.col("section").isNotNull())
+    mark = F.try_element_at(F.filter("_marks", lambda m: m["at"] <= F.col("_at")), F.lit(-1))
+    named = named.select("*", F.explode(F.array(mark["section"])).alias("section")).filter(F.col("section").isNotNull())
 
     starts, ends = F.col("_from") <= 2, F.col("_closed") & (F.col("_to") == 2)
     text = (
@@ -114,7 +121,8 @@ def document_objects(spark: SparkSession, path: str) -> DataFrame:
         .otherwise(F.col("value"))
     )
     # Closing the list or what follows it opens no object; other pieces get back the brace that cut them.
-    shown = named.select(*_BLOCK, "_pos", "section", F.concat(text, F.lit("}")).alias("text"), starts.alias("_starts"), ends.alias("_ends"))
+    text = F.explode(F.array(F.concat(text, F.lit("}")))).alias("text")
+    shown = named.select(*_BLOCK, "_pos", "section", starts.alias("_starts"), ends.alias("_ends"), text)
     shown = shown.filter(~F.col("_starts") | (F.length("text") > 1))
     whole = shown.filter(F.col("_starts") & F.col("_ends")).select(F.col("_file").alias("file"), "section", "text")
 
