@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
+from gridmark import scale
+
 KEYS = ["image_id", "label"]
 # Height of the grid in which boxes around masks are taken when the image's own is not known. Any height gives right
 # pairs as long as both sides use the same; the image's own gives the fewest candidates.
@@ -143,13 +145,18 @@ def _tiled(masks: DataFrame) -> DataFrame:
     return masks.withColumn("_tx", span("x1", "x2")).withColumn("_ty", span("y1", "y2"))
 
 
-def mask_overlaps(left: DataFrame, right: DataFrame, height: Column | None = None) -> DataFrame:
+def mask_overlaps(left: DataFrame, right: DataFrame, height: Column | None = None, parts: int = 1) -> DataFrame:
     """Intersection, union and IoU of same-image same-class masks that share a pixel; other pairs have IoU 0.
 
     Masks meet in the tiles that their boxes touch, and a pair whose boxes touch is compared once, in the tile of the low
     corner of what the boxes share. So a crowded image does not compare all with all, and no group is probed or gathered.
-    Either side may be run rows (packed here, with *height*) or packed masks.
+    Either side may be run rows (packed here, with *height*) or packed masks. With *parts*, images are compared in so many
+    parts one after the other, and the result is a stored table (see :func:`gridmark.scale.in_parts`).
     """
+    return scale.in_parts(parts, "image_id", [left, right], lambda a, b: _overlaps(a, b, height), "mask-overlaps")
+
+
+def _overlaps(left: DataFrame, right: DataFrame, height: Column | None) -> DataFrame:
     corners = ("x1", "y1", "x2", "y2")
 
     def side(masks: DataFrame, name: str) -> DataFrame:
@@ -174,13 +181,13 @@ def mask_overlaps(left: DataFrame, right: DataFrame, height: Column | None = Non
 
 
 def matching_pairs(
-    detections: DataFrame, truth: DataFrame, crowds: DataFrame | None = None, height: Column | None = None
+    detections: DataFrame, truth: DataFrame, crowds: DataFrame | None = None, height: Column | None = None, parts: int = 1
 ) -> DataFrame:
     """Mask overlaps in the form the matching operators take: IoU, or for *crowds* the share of the detection covered.
 
     *crowds* are the ground truths under the published protocol's crowd rule; the confidence sweep has none.
     """
-    overlaps = mask_overlaps(detections, truth, height).withColumnRenamed("right_id", "gt_idx")
+    overlaps = mask_overlaps(detections, truth, height, parts).withColumnRenamed("right_id", "gt_idx")
     overlap = F.col("iou")
     if crowds is not None:
         overlaps = overlaps.join(crowds.select(*KEYS, "gt_idx", F.lit(True).alias("_crowd")), [*KEYS, "gt_idx"], "left")

@@ -40,12 +40,17 @@ def _rectangles(rows, key):
     return rows.select("image_id", "label", F.col(key).alias("instance_id"), *cells)
 
 
+def _base(spark, folder):
+    """Numbered rows as a stored table, so that they are numbered once and can be read image by image."""
+    return scale.stored(view(spark, folder, "base"), "base")
+
+
 def _runs(spark, folder, name, key, packed=False):
     return mk.rectangle_runs(_rectangles(view(spark, folder, name), key), F.lit(_HEIGHT), packed)
 
 
-def _masks(spark, folder, name, key):
-    return mk.rectangle_masks(_rectangles(view(spark, folder, name), key), _heights())
+def _masks(spark, folder, name, key, **tables):
+    return mk.rectangle_masks(_rectangles(view(spark, folder, name, **tables), key), _heights())
 
 
 @query("mask_overlaps", with_views(
@@ -78,9 +83,10 @@ _STEPS = """
     "det", "gt"))
 def stepped_mask_overlaps(spark, folder):
     """Masks that are no rectangles, packed from their runs."""
+    base = _base(spark, folder)
 
     def side(name, key):
-        r, third = _rectangles(view(spark, folder, name), key), F.expr("(x2 - x1) div 3")
+        r, third = _rectangles(view(spark, folder, name, base=base), key), F.expr("(x2 - x1) div 3")
         parts = r.withColumns({"_third": third, "_k": F.explode(F.array(F.lit(0), F.lit(1)))})
         steps = parts.withColumns({
             "x2": F.col("x1") + (F.col("_k") + 1) * F.col("_third"), "x1": F.col("x1") + F.col("_k") * F.col("_third"),
@@ -89,7 +95,7 @@ def stepped_mask_overlaps(spark, folder):
         runs = mk.rectangle_runs(steps, _heights(), packed=True)
         return mk.pack_masks(runs, _heights())
 
-    rows = mk.mask_overlaps(side("det", "det_idx"), side("gt", "gt_idx"))
+    rows = mk.mask_overlaps(side("det", "det_idx"), side("gt", "gt_idx"), parts=scale.part_count(base))
     return rows.select("image_id", "label", "left_id", "right_id", "intersection", "union")
 
 

@@ -1,6 +1,7 @@
 """What a query keeps on disk on its way is bounded: large tables are worked on part by part."""
 
 import datetime
+import gc
 import time
 from pathlib import Path
 
@@ -8,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridmark import scale
+from gridmark.operators import masks as mk
+from gridmark.plans import mask_queries as mq
 from gridmark.plans import source_queries as sq
 from gridmark.plans.fixtures import view
 from gridmark.sources import coco
@@ -86,3 +89,24 @@ def test_documents_are_on_disk_some_at_a_time(spark, folder, monkeypatch):
     assert sorted(map(str, got.select(*names).collect())) == sorted(map(str, known.collect())) and len(rows) > 420
     assert max(lines) < len(rows) / 2
     assert _kept(spark, "coco-large") == before and not _kept(spark, "json-depths")
+
+
+def test_stepped_masks_meet_part_by_part(spark, folder, monkeypatch):
+    """Images are compared in parts that leave no shuffle files, with the same pairs."""
+    whole = sorted(mq.stepped_mask_overlaps(spark, folder).collect())
+    monkeypatch.setattr(scale, "part_count", lambda table: 3, raising=False)
+    compare, seen = mk._overlaps, []
+
+    def noted(left, right, height):
+        seen.append({r.image_id for r in left.select("image_id").collect()})
+        return compare(left, right, height)
+
+    monkeypatch.setattr(mk, "_overlaps", noted)
+    pairs = mq.stepped_mask_overlaps(spark, folder)
+    assert len(seen) == 3 and sum(map(len, seen)) == len(set().union(*seen)) == 61
+    assert sorted(pairs.collect()) == whole and len(whole) > 60
+    monkeypatch.undo()
+    gc.collect()
+    before = _shuffle_files(spark)
+    scale.stored(mq.stepped_mask_overlaps(spark, folder), "pairs")
+    assert not _left(spark, before)
