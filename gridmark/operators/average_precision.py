@@ -270,23 +270,24 @@ def evaluate(
     recall_grid: Sequence[float] = RECALL_GRID,
     pairs: DataFrame | None = None,
     group_row_limit: int = scale.GROUP_ROW_LIMIT,
+    parts: int = 1,
 ) -> Evaluation:
     """Full evaluation of one run. Ground truth without an ``area`` column uses its ``mask_area``, or else box areas;
     detections bring the area of their masks as ``area``.
 
     Classes that only appear in detections are kept and come out undefined. A grid too long for one pass is evaluated
-    in several.
+    in several. With *parts*, images with given *pairs* are matched in so many parts one after the other.
     """
     passes = matching.lane_passes(iou_grid, area_names)
     if len(passes) > 1:
-        options = {"area_names": area_names, "max_dets": max_dets, "recall_grid": recall_grid, "pairs": pairs, "group_row_limit": group_row_limit}
+        options = {"area_names": area_names, "max_dets": max_dets, "recall_grid": recall_grid, "pairs": pairs, "group_row_limit": group_row_limit, "parts": parts}
         parts = [evaluate(detections, ground_truth, iou_grid=p, **options) for p in passes]
         return Evaluation(
             reduce(DataFrame.unionByName, [p.precision for p in parts]), reduce(DataFrame.unionByName, [p.recall for p in parts])
         )
     truth = truth_areas(ground_truth, F.col("mask_area") if "mask_area" in ground_truth.columns else None)
     lanes = matching.coco_lanes(iou_grid, area_names)
-    scored = matching.match_lanes(detections, truth, lanes, pairs, max(max_dets), group_row_limit)
+    scored = matching.match_lanes(detections, truth, lanes, pairs, max(max_dets), group_row_limit, parts=parts)
     # One row per class: against the ground truths themselves, the anti join would put all of a class into one task.
     counts = scale.stored(truth_counts(truth, lanes), "truth-counts")
     result = accumulate(scored, counts, lanes, max_dets, recall_grid)

@@ -264,11 +264,11 @@ def _fields(names: Sequence[str]) -> str:
     return "".join(f", '{n}', {n}" for n in names)
 
 
-def _staged(both: DataFrame, limit: int, dets: str, fold: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame | None]:
-    """Folded detections of the small groups, and the rows (``d``, ``g``) of larger ones if there are any.
+def _folded(both: DataFrame, limit: int, dets: str, fold: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Folded detections of the small groups, and the rows (``d``, ``g``) of larger ones, without masks.
 
     One shuffle counts the rows of each group and gathers the small ones; each row of a larger group is a group of its
-    own there (``_solo``) and is put aside. All is written at once, so the inputs are read and computed once.
+    own there (``_solo``) and is put aside. All is to be written at once, so that the inputs are read and computed once.
     """
     sized = both.withColumn("_rows", F.count("*").over(Window.partitionBy(*GROUP)))
     solo = F.when(F.col("_rows") > limit, F.monotonically_increasing_id())
@@ -280,7 +280,11 @@ def _staged(both: DataFrame, limit: int, dets: str, fold: Callable[[DataFrame],
     groups = groups.filter("size(dets) > 0").selectExpr(
         "*", "CASE WHEN _solo IS NOT NULL THEN get(dets, 0) END AS _d", "CASE WHEN _solo IS NOT NULL THEN get(gts, 0) END AS _g"
     )
-    staged = scale.stored(fold(groups), "matched")
+    return fold(groups)
+
+
+def _staged(staged: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Stored rows of :func:`_folded` as those of the small groups, and those of larger ones if there are any."""
     aside = staged.filter("tp_mask IS NULL").select(*GROUP, "d", "g")
     return staged.filter("tp_mask IS NOT NULL").drop("d", "g"), aside if scale.any_rows(aside) else None
 
@@ -298,7 +302,8 @@ def _fold_overlaps(
 
     both = d.unionByName(g, allowMissingColumns=True)
     dets = _capped("array_sort(collect_list(d))", max_dets)
-    folded, large = _staged(both, limit, dets, lambda groups: _fold_groups(groups, lanes, overlap.near))
+    rows = _folded(both, limit, dets, lambda groups: _fold_groups(groups, lanes, overlap.near))
+    folded, large = _staged(scale.stored(rows, "matched"))
     if large is None:
         return folded
     # Capped before any join: the group limit keeps at most max_dets rows per map task.
@@ -347,19 +352,9 @@ def match_groups(groups: DataFrame, lanes: Lanes) -> DataFrame:
 
 
 def _fold_pairs(
-    detections: DataFrame, ground_truth: DataFrame, pairs: DataFrame, lanes: Lanes, max_dets: int | None, limit: int
+    detections: DataFrame, ground_truth: DataFrame, pairs: DataFrame, lanes: Lanes, max_dets: int | None, limit: int, parts: int
 ) -> DataFrame:
     """The same fold when overlaps were computed elsewhere (masks)."""
-    truth = ground_truth.select(*GROUP, "gt_idx", "crowd", "regular")
-    near = pairs.filter(F.col("overlap") >= min(lanes.thresholds)).join(truth, [*GROUP, "gt_idx"])
-    by_detection = near.groupBy(*GROUP, "det_idx").agg(
-        F.expr("collect_list(named_struct('gt_idx', gt_idx, 'overlap', overlap, 'regular', regular, 'crowd', crowd)) AS found")
-    )
-    d = detections.join(by_detection, [*GROUP, "det_idx"], "left").selectExpr(
-        *GROUP,
-        "named_struct('signed', -score, 'det_idx', det_idx, 'in_range', in_range, 'found', coalesce(found, array())) AS d",
-    )
-
     def fold(groups: DataFrame) -> DataFrame:
         located = (
             "filter(transform(d.found, f -> named_struct('overlap', f.overlap, 'pos', CAST(array_position(gts, f.gt_idx) AS INT), "
@@ -372,8 +367,22 @@ def _fold_pairs(
         )
         return _fold(groups.withColumn("dets", F.expr(ordered)), lanes)
 
-    both = d.unionByName(truth.select(*GROUP, F.col("gt_idx").alias("g")), allowMissingColumns=True)
-    folded, large = _staged(both, limit, "collect_list(d)", fold)
+    def matched(detections: DataFrame, truth: DataFrame, pairs: DataFrame) -> DataFrame:
+        near = pairs.filter(F.col("overlap") >= min(lanes.thresholds)).join(truth, [*GROUP, "gt_idx"])
+        by_detection = near.groupBy(*GROUP, "det_idx").agg(
+            F.expr("collect_list(named_struct('gt_idx', gt_idx, 'overlap', overlap, 'regular', regular, 'crowd', crowd)) AS found")
+        )
+        d = detections.join(by_detection, [*GROUP, "det_idx"], "left").selectExpr(
+            *GROUP,
+            "named_struct('signed', -score, 'det_idx', det_idx, 'in_range', in_range, 'found', coalesce(found, array())) AS d",
+        )
+        both = d.unionByName(truth.select(*GROUP, F.col("gt_idx").alias("g")), allowMissingColumns=True)
+        return _folded(both, limit, "collect_list(d)", fold)
+
+    # Each side is parted on its own: joins pass a filter on to one of their sides only, if others are behind it.
+    sides = [detections, ground_truth.select(*GROUP, "gt_idx", "crowd", "regular"), pairs]
+    rows = scale.in_parts(parts, "image_id", sides, matched, "matched")
+    folded, large = _staged(scale.stored(rows, "matched") if parts == 1 else rows)
     if large is None:
         return folded
     found = large.filter("d IS NOT NULL").select(*GROUP, "d.*").selectExpr("*", "-signed AS score").drop("signed")
@@ -600,19 +609,20 @@ def match_lanes(
     max_dets: int | None = None,
     group_row_limit: int = scale.GROUP_ROW_LIMIT,
     overlap: Overlap | None = None,
+    parts: int = 1,
 ) -> DataFrame:
     """Every detection with its rank in image and class, and ``tp_mask`` and ``ignore_mask`` over *lanes*.
 
     Boxes overlap unless *overlap* says how else, or *pairs* (image_id, label, det_idx, gt_idx, overlap) were computed
-    elsewhere. *max_dets* is the protocol's cap per image and class, taken in rank order before matching. The result is a
-    stored table.
+    elsewhere; these may be matched in *parts* (see :func:`gridmark.scale.in_parts`). *max_dets* is the protocol's cap per
+    image and class, taken in rank order before matching. The result is a stored table.
     """
     overlap = overlap or box_overlap(lanes)
     d = _detection_columns(detections, lanes, overlap.detection if pairs is None else ())
     g = _truth_columns(ground_truth, lanes, overlap.truth if pairs is None else ())
     if pairs is None:
         return _fold_overlaps(d, g, overlap, lanes, max_dets, group_row_limit)
-    return _fold_pairs(d, g, pairs, lanes, max_dets, group_row_limit)
+    return _fold_pairs(d, g, pairs, lanes, max_dets, group_row_limit, parts)
 
 
 def match_greedy(

@@ -198,13 +198,16 @@ _MASK_PROTOCOL = protocol_sql(
 
 
 def _mask_evaluation(spark, folder):
-    detections, truth = view(spark, folder, "det"), view(spark, folder, "gt")
-    found, real = _masks(spark, folder, "det", "det_idx"), _masks(spark, folder, "gt", "gt_idx")
-    keys = ["image_id", "label"]
+    base = _base(spark, folder)
+    parts = scale.part_count(base)
+    detections, truth = view(spark, folder, "det", base=base), view(spark, folder, "gt", base=base)
+    found, real = (_masks(spark, folder, name, key, base=base) for name, key in (("det", "det_idx"), ("gt", "gt_idx")))
+    keys, crowds = ["image_id", "label"], truth.filter("iscrowd")
     areas = [mk.mask_areas(masks).withColumnRenamed("instance_id", key) for masks, key in ((found, "det_idx"), (real, "gt_idx"))]
     detections = detections.join(areas[0], [*keys, "det_idx"])
     truth = truth.join(areas[1].withColumnRenamed("area", "mask_area"), [*keys, "gt_idx"], "left")
-    return ap.evaluate(detections, truth, pairs=mk.matching_pairs(found, real, truth.filter("iscrowd")))
+    pairs = mk.matching_pairs(found, real, crowds, parts=parts)
+    return ap.evaluate(detections, truth, pairs=pairs, parts=parts)
 
 
 @query("mask_statistics", with_views(

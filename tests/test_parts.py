@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gridmark import scale
 from gridmark.operators import masks as mk
+from gridmark.operators import matching as mt
 from gridmark.plans import mask_queries as mq
 from gridmark.plans import source_queries as sq
 from gridmark.plans.fixtures import view
@@ -110,3 +111,19 @@ def test_stepped_masks_meet_part_by_part(spark, folder, monkeypatch):
     before = _shuffle_files(spark)
     scale.stored(mq.stepped_mask_overlaps(spark, folder), "pairs")
     assert not _left(spark, before)
+
+
+def test_mask_statistics_match_part_by_part(spark, folder, monkeypatch):
+    """Overlaps and matches of images are computed in parts, with the same statistics."""
+    whole = sorted(mq.mask_statistics(spark, folder).collect())
+    monkeypatch.setattr(scale, "part_count", lambda table: 3, raising=False)
+    fold, seen = mt._folded, []
+
+    def noted(both, *options):
+        seen.append({r.image_id for r in both.select("image_id").collect()})
+        return fold(both, *options)
+
+    monkeypatch.setattr(mt, "_folded", noted)
+    parts = sorted(mq.mask_statistics(spark, folder).collect())
+    assert len(seen) == 3 and sum(map(len, seen)) == len(set().union(*seen)) == 61
+    assert parts == whole and len(whole) == 12 and any(r.value > 0 for r in whole)
